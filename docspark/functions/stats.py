@@ -6,6 +6,7 @@ import math
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _normal_two_sided(z: float) -> float:
@@ -51,17 +52,17 @@ def _over(fn):
     return run
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_two_sided(z: pd.Series) -> pd.Series:
     return _over(_normal_two_sided)(z)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def ks_pvalue(d: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
     """Asymptotic two-sample p-value."""
     return _over(lambda s, a, b: _kolmogorov(s * math.sqrt(a * b / (a + b))))(d, n, m)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_pvalue(x: pd.Series, dof: pd.Series) -> pd.Series:
     return _over(lambda s, k: _chi2_tail(s, int(k)))(x, dof)

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docspark.functions.bind import let
+
 
 def as_double(v: Column) -> Column:
     return v.cast("array<double>")
@@ -31,8 +33,13 @@ def cosine(a: Column, b: Column) -> Column:
 
 def l2_normalize(v: Column) -> Column:
     """Unit length; a zero vector stays as it is."""
-    n = norm(v)
-    return F.when(n > 0, F.transform(as_double(v), lambda x: x / n)).otherwise(as_double(v))
+    return let(norm(v), lambda n: F.transform(as_double(v), lambda x: F.when(n > 0, x / n).otherwise(x)))
+
+
+def softmax(logits: Column) -> Column:
+    e = let(F.array_max(logits), lambda top: F.transform(logits, lambda x: F.exp(x - top)))
+    scale = lambda v: let(F.aggregate(v, F.lit(0.0), lambda s, x: s + x), lambda n: F.transform(v, lambda x: x / n))
+    return let(e, scale)
 
 
 def _slot(token: str, dim: int) -> tuple[int, float]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docspark.functions.vectors import softmax
+
 # The classes, in tie order, and the blend weights.
 CLASSES = ["invoice", "contract", "report", "email", "form", "receipt", "legal", "other"]
 BLEND = {"structural": 0.4, "text": 0.6}
@@ -30,11 +32,7 @@ def calibrate(probs: Column, temperature: float) -> Column:
     """Temperature scaling over log probabilities (CLS5)."""
     if temperature == 1.0:
         return probs
-    logits = F.transform(probs, lambda p: F.log(p + EPS) / max(1e-5, temperature))
-    top = F.array_max(logits)
-    e = F.transform(logits, lambda x: F.exp(x - top))
-    total = F.aggregate(e, F.lit(0.0), lambda s, x: s + x)
-    return F.transform(e, lambda x: x / total)
+    return softmax(F.transform(probs, lambda p: F.log(p + EPS) / max(1e-5, temperature)))
 
 
 def decide(probs: Column) -> tuple[Column, Column, Column]:

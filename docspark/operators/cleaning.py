@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docspark.functions import text as tx
+from docspark.functions.bind import let
 
 BOILERPLATE_SHARE = 0.8
 MIN_PAGES = 3
@@ -29,30 +30,36 @@ def boilerplate(c: Column, share: float = BOILERPLATE_SHARE) -> Column:
     One document is one row, so the count runs inside the row: lines are made distinct per page,
     and sorted runs of equal lines are as long as the pages holding them.
     """
-    per_page = page_lines(c)
+    return let(page_lines(c), lambda per_page: repeated_lines(per_page, share))
+
+
+def repeated_lines(per_page: Column, share: float) -> Column:
     flat = F.filter(F.flatten(F.transform(per_page, F.array_distinct)), lambda s: F.char_length(s) >= MIN_LINE)
-    ordered = F.array_sort(flat)
     need = F.floor(F.size(per_page) * share).cast("int") + 1
     # After sorting, a line that occurs ``need`` times equals the one ``need - 1`` places on.
-    hits = F.filter(ordered, lambda s, i: F.get(ordered, i + need - 1) == s)
+    hits = let(F.array_sort(flat), lambda o: let(need, lambda k: F.filter(o, lambda s, i: F.get(o, i + k - 1) == s)))
     return F.when(F.size(per_page) >= MIN_PAGES, F.array_distinct(hits)).otherwise(F.array().cast("array<string>"))
 
 
 def remove_boilerplate(df: DataFrame, text: str, out: str, share: float = BOILERPLATE_SHARE) -> DataFrame:
     """Adds ``out``: the text without boilerplate lines, or unchanged when there are none (CLN3)."""
     marks = F.regexp_extract_all(text, F.lit(f"({tx.PAGE_MARK}\\n?)"), F.lit(1))
-    work = df.withColumn("_lines", page_lines(F.col(text))).withColumn("_bp", boilerplate(F.col(text), share))
-    work = work.withColumn(
-        "_pages",
-        F.transform(
-            "_lines", lambda ls: F.array_join(F.filter(ls, lambda s: ~F.array_contains(F.col("_bp"), s)), "\n")
+
+    def without(lines: Column, bad: Column) -> Column:
+        pages_left = F.transform(lines, lambda ls: F.array_join(F.filter(ls, lambda s: ~F.array_contains(bad, s)), "\n"))
+        return let(pages_left, lambda p: let(marks, lambda m: rejoin(m, p)))
+
+    def rejoin(m: Column, p: Column) -> Column:
+        marked = F.zip_with(m, p, lambda a, b: F.concat(a, b))
+        return F.array_join(F.when(F.size(m) == F.size(p), marked).otherwise(p), "\n\n")
+
+    result = let(
+        page_lines(F.col(text)),
+        lambda lines: let(
+            repeated_lines(lines, share), lambda bad: F.when(F.size(bad) == 0, F.col(text)).otherwise(without(lines, bad))
         ),
-    ).withColumn("_marks", marks)
-    with_marks = F.zip_with("_marks", "_pages", lambda m, p: F.concat(m, p))
-    joined = F.array_join(F.when(F.size("_marks") == F.size("_pages"), with_marks).otherwise(F.col("_pages")), "\n\n")
-    return work.withColumn(out, F.when(F.size("_bp") == 0, F.col(text)).otherwise(joined)).drop(
-        "_lines", "_bp", "_pages", "_marks"
     )
+    return df.withColumn(out, result)
 
 
 def clean(df: DataFrame, text: str, out: str = "clean_text") -> DataFrame:

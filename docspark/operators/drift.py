@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docspark.functions import stats
+from docspark.functions.bind import let
 from docspark.operators.ordered import running_counts
 
 # Fixed values of the reports.
@@ -76,10 +77,9 @@ def psi_vectors(df: DataFrame, vec: str = "embedding", dims: int = 10) -> DataFr
     ref = proj.where(F.col("side") == "ref")
     lo = ref.agg(F.array(*(F.min(F.col("p")[i]) for i in range(dims)))).scalar()
     hi = ref.agg(F.array(*(F.max(F.col("p")[i]) for i in range(dims)))).scalar()
-    binned = proj.select(
-        "side",
-        F.posexplode(F.array(*(_bin(F.col("p")[i], F.get(lo, F.lit(i)), F.get(hi, F.lit(i))) for i in range(dims)))).alias("dim", "bin"),
-    )
+    zipped = F.arrays_zip("p", lo.alias("lo"), hi.alias("hi"))
+    bins = F.transform(F.col("z"), lambda e: _bin(e["p"], e["lo"], e["hi"]))
+    binned = proj.select("side", zipped.alias("z")).select("side", F.posexplode(bins).alias("dim", "bin"))
     counted = binned.groupBy("dim", "bin").agg(F.sum(_is("ref")).alias("r"), F.sum(_is("cur")).alias("c"))
     return _psi_rows(counted, ["dim"])
 
@@ -141,22 +141,26 @@ def js_scores(df: DataFrame, x: str) -> DataFrame:
     Empty bins get a small density before shares are brought back to one.
     """
     at = _bin(F.col(x).cast("double"), F.lit(0.0), F.lit(1.0))
-    binned = df.select("side", at.alias("bin")).where(F.col("bin").isNotNull())
-    per_bin = [
-        F.sum(F.when(F.col("bin") == b, _is(s)).otherwise(0)).alias(f"{s}{b}") for s in ("ref", "cur") for b in range(BINS)
-    ]
-    one = binned.agg(*per_bin)
-    pairs = []
-    for s in ("ref", "cur"):
-        n = sum((F.col(f"{s}{b}") for b in range(BINS)), F.lit(0))
-        d = [F.when(F.col(f"{s}{b}") == 0, DENSITY_EPS).otherwise(F.col(f"{s}{b}") / n * BINS) for b in range(BINS)]
-        total = sum(d, F.lit(0.0))
-        pairs.append([v / total for v in d])
-    js = F.lit(0.0)
-    for p, q in zip(*pairs):
-        m = (p + q) / 2
-        js = js + (p * F.log(p / m) + q * F.log(q / m)) / 2
-    return one.select(js.alias("js"))
+    counted = (
+        df.select("side", at.alias("bin")).where(F.col("bin").isNotNull())
+        .groupBy("bin").agg(F.sum(_is("ref")).alias("ref"), F.sum(_is("cur")).alias("cur"))
+    )
+    one = counted.agg(F.map_from_entries(F.collect_list(F.struct("bin", F.struct("ref", "cur")))).alias("m"))
+
+    def shares(side: str) -> Column:
+        n = F.transform(
+            F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.coalesce(F.try_element_at("m", b)[side], F.lit(0).cast("long"))
+        )
+        density = lambda v: let(_sum(v), lambda t: F.transform(v, lambda x: F.when(x == 0, DENSITY_EPS).otherwise(x / t * BINS)))
+        return let(let(n, density), lambda d: let(_sum(d), lambda t: F.transform(d, lambda x: x / t)))
+
+    part = lambda p, q: (p * F.log(p / ((p + q) / 2)) + q * F.log(q / ((p + q) / 2))) / 2
+    pq = one.select(shares("ref").alias("p"), shares("cur").alias("q"))
+    return pq.select(_sum(F.zip_with("p", "q", part)).alias("js"))
+
+
+def _sum(v: Column) -> Column:
+    return F.aggregate(v.cast("array<double>"), F.lit(0.0), lambda s, x: s + x)
 
 
 def split_window(df: DataFrame, ts: str, cut: Column) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docspark.functions.bind import let
+
 SPAN = "array<struct<text:string,label:string,start:int,end:int,confidence:double>>"
 
 # Entity patterns in label order.
@@ -198,22 +200,28 @@ def key_values(words: Column) -> Column:
 
     A value is the next word, even if that is a key itself, and all words up to the next key.
     """
+    return let(words, _key_values)
+
+
+def _key_values(words: Column) -> Column:
     idx = F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i")))
-    keys = F.transform(
-        F.filter(idx, lambda e: F.endswith(e["w"], F.lit(":")) & (e["i"] + 1 < F.size(words))), lambda e: e["i"]
-    )
-    stops = F.transform(F.filter(idx, lambda e: F.endswith(e["w"], F.lit(":"))), lambda e: e["i"])
+    colon = F.transform(F.filter(idx, lambda e: F.endswith(e["w"], F.lit(":"))), lambda e: e["i"])
 
-    def pair(i: Column) -> Column:
-        later = F.filter(stops, lambda j: j > i + 1)
-        end = F.coalesce(F.get(later, F.lit(0)), F.size(words))
+    def pair(i: Column, stops: Column) -> Column:
+        end = F.coalesce(F.get(F.filter(stops, lambda j: j > i + 1), F.lit(0)), F.size(words))
         word = F.get(words, i)
         name = F.replace(F.lower(F.substring(word, F.lit(1), F.char_length(word) - 1)), F.lit(" "), F.lit("_"))
         return F.struct(name.alias("key"), F.array_join(F.slice(words, i + 2, end - i - 1), " ").alias("value"))
 
-    pairs = F.transform(keys, pair)
-    last_of = lambda p, n: ~F.exists(F.slice(pairs, n + 2, F.size(pairs)), lambda q: q["key"] == p["key"])
-    return F.filter(pairs, last_of)
+    def pairs(stops: Column) -> Column:
+        usable = F.filter(stops, lambda i: i + 1 < F.size(words))
+        return F.transform(usable, lambda i: pair(i, stops))
+
+    def last(found: Column) -> Column:
+        rest = lambda n: F.slice(found, n + 2, F.size(found))
+        return F.filter(found, lambda p, n: ~F.exists(rest(n), lambda q: q["key"] == p["key"]))
+
+    return let(let(colon, pairs), last)
 
 
 def layout_regions(tokens: Column) -> Column:

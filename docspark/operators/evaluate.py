@@ -5,8 +5,10 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docspark.functions import text as tx
+from docspark.functions.vectors import softmax
 
 CONTRADICTION_ALERT = 0.7
 PENALTY = 0.3
@@ -25,7 +27,7 @@ def _lcs(a: list[str], b: list[str]) -> int:
     return len(a) - v.bit_count()
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_lcs(list(x), list(y)) for x, y in zip(a, b)], dtype="int32")
 
@@ -60,13 +62,6 @@ def contradiction_rate(sentences: DataFrame, by: str = "response_id") -> DataFra
     return sentences.groupBy(by).agg(F.round(F.avg(hit.cast("double")), 4).alias("contradiction_rate"))
 
 
-def softmax(logits: Column) -> Column:
-    top = F.array_max(logits)
-    e = F.transform(logits, lambda x: F.exp(x - top))
-    total = F.aggregate(e, F.lit(0.0), lambda s, x: s + x)
-    return F.transform(e, lambda x: x / total)
-
-
 def contradiction_penalty(scored: DataFrame, contradiction_index: int = 2) -> DataFrame:
     """Confidence cut for answers a chunk contradicts, of (answer_id, confidence, logits) (EVL4)."""
     p = F.get(softmax(F.col("logits")), F.lit(contradiction_index))

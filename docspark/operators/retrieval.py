@@ -250,34 +250,40 @@ def extractive_answer(hits: DataFrame, query: str, rank: str = "rank", top: int
     short = F.substring(F.col("doc_id").cast("string"), 1, 8)
     flat = tx.strip(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")))
     kw = hits.select("query_id", rank, short.alias("short"), keywords(F.col(query)).alias("kw"), flat.alias("flat"))
-    sents = kw.select("query_id", rank, "short", "kw", F.posexplode(tx.sentences(F.col("flat"))).alias("pos", "sentence"))
+    sents = kw.select("query_id", rank, "short", "kw", F.posexplode_outer(tx.sentences(F.col("flat"))).alias("pos", "sentence"))
     low = F.lower("sentence")
-    hits_n = F.size(F.filter("kw", lambda k: F.contains(low, k)))
-    scored = sents.withColumn("hits", hits_n)
-    ends = F.col("sentence").rlike(r"[.?!]$")
-    body = F.when(ends, F.col("sentence")).otherwise(F.concat("sentence", F.lit(".")))
+    scored = sents.withColumn("hits", F.size(F.filter("kw", lambda k: F.contains(low, k))))
     tag = F.concat(F.lit(" [DOC-"), F.col("short"), F.lit("]."))
+    body = F.when(F.col("sentence").rlike(r"[.?!]$"), F.col("sentence")).otherwise(F.concat("sentence", F.lit(".")))
     cited = F.concat(F.substring(body, F.lit(1), F.char_length(body) - 1), tag)
-    matched = (F.col("hits") > 0) | (F.size("kw") == 0)
-    w = Window.partitionBy("query_id").orderBy(F.desc("hits"), rank, "pos")
-    best = (
-        scored.where(matched).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= top)
-        .groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rn", cited.alias("s")))).alias("s"))
-        .select("query_id", F.array_join(F.transform("s", lambda e: e["s"]), " ").alias("best"))
+    matched = F.col("sentence").isNotNull() & ((F.col("hits") > 0) | (F.size("kw") == 0))
+    by_query = Window.partitionBy("query_id")
+    scored = scored.withColumn("matched", matched).withColumns(
+        {
+            "best_at": F.row_number().over(by_query.orderBy(F.desc("matched"), F.desc("hits"), rank, "pos")),
+            "first_at": F.row_number().over(by_query.orderBy(rank, "pos")),
+            "first_rank": F.min(rank).over(by_query),
+        }
     )
-    wf = Window.partitionBy("query_id").orderBy(rank, "pos")
-    first = (
-        scored.withColumn("rn", F.row_number().over(wf)).where(F.col("rn") <= 2)
-        .withColumn("first_rank", F.min(rank).over(Window.partitionBy("query_id"))).where(F.col(rank) == F.col("first_rank"))
-        .groupBy("query_id")
-        .agg(F.sort_array(F.collect_list(F.struct("rn", F.concat("sentence", tag).alias("s")))).alias("s"))
-        .select("query_id", F.concat(F.lit("Based on the provided document: "),
-                                     F.array_join(F.transform("s", lambda e: e["s"]), " ")).alias("fallback"))
+    is_best = F.col("matched") & (F.col("best_at") <= top)
+    is_first = F.col("sentence").isNotNull() & (F.col("first_at") <= 2) & (F.col(rank) == F.col("first_rank"))
+    kept = scored.where(is_best | (F.col("best_at") == 1) | (F.col("first_at") <= 2))
+
+    def joined(flag: Column, at: str, text: Column) -> Column:
+        parts = F.sort_array(F.collect_list(F.when(flag, F.struct(at, text.alias("s")))))
+        return F.array_join(F.transform(parts, lambda e: e["s"]), " ")
+
+    out = kept.groupBy("query_id").agg(
+        joined(is_best, "best_at", cited).alias("best"),
+        joined(is_first, "first_at", F.concat("sentence", tag)).alias("first"),
+    )
+    return out.select(
+        "query_id",
+        F.when(F.col("best") != "", F.col("best"))
+        .when(F.col("first") != "", F.concat(F.lit("Based on the provided document: "), F.col("first")))
+        .otherwise(NO_ANSWER).alias("answer"),
+        F.when(F.col("best") != "", 0.9).when(F.col("first") != "", 0.8).otherwise(0.0).alias("confidence"),
     )
-    everyone = hits.select("query_id").distinct()
-    out = everyone.join(best, "query_id", "left").join(first, "query_id", "left")
-    conf = F.when(F.col("best").isNotNull(), 0.9).when(F.col("fallback").isNotNull(), 0.8).otherwise(0.0)
-    return out.select("query_id", F.coalesce("best", "fallback", F.lit(NO_ANSWER)).alias("answer"), conf.alias("confidence"))
 
 
 def agent_actions(raw: Column) -> dict[str, Column]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -28,9 +29,23 @@ def get_spark(app: str = "docspark", master: str | None = None, **conf: str) ->
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    find_package(spark)
     return spark
 
 
+def find_package(spark: SparkSession) -> None:
+    """Lets Python workers of a local run import this package from its folder.
+
+    On a cluster ship it with ``--py-files`` instead.
+    """
+    sc = spark.sparkContext
+    if sc.master.startswith("local"):
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        paths = sc.environment.get("PYTHONPATH", "").split(os.pathsep)
+        if root not in paths:
+            sc.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; a temporary one only for local runs."""
     sc = spark.sparkContext
