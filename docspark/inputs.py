@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.functions import text as tx
+from docspark.functions.bind import let
 
 WORDS_SQL = r"list_filter(regexp_split_to_array({t}, '[\t-\r\x1c-\x1f\x{{85}}\p{{Z}}]+'), lambda w: w <> '')"
 WS_SQL = r"[\t-\r\x1c-\x1f\x{85}\p{Z}]"
@@ -147,7 +148,7 @@ def class_maps(spark: SparkSession, sf: str) -> DataFrame:
 
     def normal(m: str):
         total = F.aggregate(F.map_values(m), F.lit(0.0), lambda s, x: s + x)
-        return F.transform_values(m, lambda k, v: v / total)
+        return let(total, lambda t: F.transform_values(m, lambda k, v: v / t))
 
     maps = d.select("doc_id", "source", "lang", *(probs(m).alias(m) for m in ("classifier", "vision", "llm")))
     return maps.select("doc_id", "source", "lang", *(normal(m).alias(m) for m in ("classifier", "vision", "llm")))

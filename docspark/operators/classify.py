@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docspark.functions.bind import let
 from docspark.functions.vectors import softmax
 
 # The classes, in tie order, and the blend weights.
@@ -17,8 +18,8 @@ EPS = 1e-9
 
 def align(probs: Column) -> Column:
     """The map's probabilities in class order, absent classes zero (CLS3)."""
-    lowered = F.transform_keys(probs, lambda k, v: F.lower(k))
-    return F.array(*(F.coalesce(F.try_element_at(lowered, F.lit(c)), F.lit(0.0)) for c in CLASSES))
+    pick = lambda m: F.array(*(F.coalesce(F.try_element_at(m, F.lit(c)), F.lit(0.0)) for c in CLASSES))
+    return let(F.transform_keys(probs, lambda k, v: F.lower(k)), pick)
 
 
 def blend(structural: Column, text: Column, weights: dict[str, float] = BLEND) -> Column:

@@ -142,10 +142,12 @@ def js_scores(df: DataFrame, x: str) -> DataFrame:
     """
     at = _bin(F.col(x).cast("double"), F.lit(0.0), F.lit(1.0))
     counted = (
-        df.select("side", at.alias("bin")).where(F.col("bin").isNotNull())
-        .groupBy("bin").agg(F.sum(_is("ref")).alias("ref"), F.sum(_is("cur")).alias("cur"))
+        df.select("side", at.alias("bin")).groupBy("bin").agg(F.sum(_is("ref")).alias("ref"), F.sum(_is("cur")).alias("cur"))
     )
-    one = counted.agg(F.map_from_entries(F.collect_list(F.struct("bin", F.struct("ref", "cur")))).alias("m"))
+    # Rows without a bin go after the aggregation; a filter here would be pushed below it and
+    # compute the score many times per row.
+    placed = F.filter(F.collect_list(F.struct("bin", F.struct("ref", "cur").alias("n"))), lambda e: e["bin"].isNotNull())
+    one = counted.agg(F.map_from_entries(placed).alias("m"))
 
     def shares(side: str) -> Column:
         n = F.transform(

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docspark.session import broadcast_if_small
-
 SLICES = 64
 
 
@@ -16,13 +14,14 @@ def running_counts(df: DataFrame, keys: list[str], x: str, counts: list[str]) ->
     Equal values are combined first. Each key's value range is then cut at sketched quantiles; the
     slices' totals (at most ``SLICES`` + 1 rows per key) give the offsets, and only the rows of one
     slice are sorted together, so a key holding most rows spreads over that many tasks. The sketch
-    decides balance only; the result is exact.
+    decides balance only; the result is exact. AQE turns the joins with cuts and offsets into
+    broadcasts when they come out small.
     """
     per_value = df.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(*(F.sum(c).alias(c) for c in counts))
     marks = F.array(*(F.lit(i / SLICES) for i in range(1, SLICES)))
     cuts = per_value.groupBy(*keys).agg(F.percentile_approx(x, marks, 1000).alias("_cuts"))
     if keys:
-        sliced = per_value.join(broadcast_if_small(cuts), keys)
+        sliced = per_value.join(cuts, keys)
     else:
         sliced = per_value.withColumn("_cuts", F.lit(cuts.scalar()))
     sliced = sliced.withColumn("_slice", F.size(F.filter("_cuts", lambda b: b < F.col(x)))).drop("_cuts")
@@ -35,7 +34,7 @@ def running_counts(df: DataFrame, keys: list[str], x: str, counts: list[str]) ->
         *(F.sum(f"_p_{c}").over(whole).alias(f"all_{c}") for c in counts),
     )
     inside = Window.partitionBy(*keys, "_slice").orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
-    joined = sliced.join(broadcast_if_small(parts), [*keys, "_slice"])
+    joined = sliced.join(parts, [*keys, "_slice"])
     return joined.select(
         *keys, x, *counts,
         *((F.sum(c).over(inside) + F.col(f"_b_{c}")).alias(f"cum_{c}") for c in counts),
@@ -49,19 +48,16 @@ def percentiles(df: DataFrame, keys: list[str], columns: dict[str, dict[str, flo
     The built-in exact percentile holds every distinct value of a group in one task; this picks
     the two neighbouring order statistics from running counts instead.
     """
-    out = None
-    for col, wanted in columns.items():
-        run = running_counts(df.withColumn("_n", F.lit(1)).select(*keys, F.col(col).alias("_x"), "_n"), keys, "_x", ["_n"])
-        aggs = []
+    rows = df.select(*keys, F.explode(F.array(*(F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("x")) for c in columns))).alias("_e"))
+    flat = rows.select(*keys, F.col("_e.c").alias("_c"), F.col("_e.x").alias("_x"), F.lit(1).alias("_n"))
+    run = running_counts(flat, [*keys, "_c"], "_x", ["_n"])
+    aggs = []
+    for c, wanted in columns.items():
         for name, p in wanted.items():
-            h = (F.col("all__n") - 1) * F.lit(p)
+            h = F.when(F.col("_c") == c, (F.col("all__n") - 1) * F.lit(p))
             for side, at in (("lo", F.floor(h)), ("hi", F.ceil(h))):
                 aggs.append(F.min(F.when(F.col("cum__n") > at, F.col("_x"))).alias(f"{name}_{side}"))
             aggs.append(F.max(h - F.floor(h)).alias(f"{name}_f"))
-        got = run.groupBy(*keys).agg(*aggs)
-        got = got.select(
-            *keys,
-            *((F.col(f"{n}_lo") + (F.col(f"{n}_hi") - F.col(f"{n}_lo")) * F.col(f"{n}_f")).alias(n) for n in wanted),
-        )
-        out = got if out is None else out.join(got, keys)
-    return out
+    got = run.groupBy(*keys).agg(*aggs)
+    between = lambda n: F.col(f"{n}_lo") + (F.col(f"{n}_hi") - F.col(f"{n}_lo")) * F.col(f"{n}_f")
+    return got.select(*keys, *(between(n).alias(n) for wanted in columns.values() for n in wanted))

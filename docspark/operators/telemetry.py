@@ -139,7 +139,7 @@ def request_columns(events: DataFrame) -> DataFrame:
     """Raw events to request telemetry: error and cache flags, latency, key and label."""
     k = F.get_json_object("props", "$.k").cast("long")
     return events.select(
-        "event_id", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"),
+        "event_id", F.col("ts").cast("timestamp").alias("ts"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"),
         F.col("user_id").alias("api_key"), F.col("event_type").alias("label"),
         (F.col("event_type") == "error").alias("error"), (k % 2 == 0).alias("cache_hit"), F.col("value").alias("latency"),
         F.concat(F.lit("exp"), (F.col("user_id") % 5).cast("string")).alias("experiment_id"),

@@ -11,7 +11,7 @@ from docspark.session import find_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-FAMILIES = ["text", "vectors", "retrieval", "entities", "decisions", "experiments", "catalogue"]
+FAMILIES = ["text", "vectors", "retrieval", "entities", "decisions", "experiments", "catalogue", "ingestion", "telemetry"]
 
 
 def query(name: str, sql: str | None = None):

@@ -369,6 +369,8 @@ SYLLABLE_SQL = (
 
 
 def features_sql() -> str:
+    """The features in SQL. DuckDB rounds x.xx5 after scaling, which lifts doubles just below a half;
+    rounding the decimal value keeps them down."""
     from docspark.operators.features import CONTRACT_WORDS, INVOICE_WORDS, REPORT_WORDS
 
     syl = SYLLABLE_SQL.format(w="x")
@@ -387,7 +389,7 @@ feats AS (
     CASE WHEN contains(low, 'subject:') AND (contains(low, 'to:') OR contains(low, 'from:') OR contains(low, 'cc:')) THEN 'email'
          WHEN greatest(inv, con, rep) = 0 THEN 'other' WHEN inv = greatest(inv, con, rep) THEN 'invoice'
          WHEN con = greatest(inv, con, rep) THEN 'contract' ELSE 'report' END AS doc_type_signal,
-    CASE WHEN len(w) = 0 THEN 0.0 ELSE greatest(0.0, round(0.39 * (len(w) / greatest(ns, 1)) + 11.8 * (syl / len(w)) - 15.59, 2)) END AS reading_level,
+    CASE WHEN len(w) = 0 THEN 0.0 ELSE greatest(0.0, round((0.39::DOUBLE * (len(w) / greatest(ns, 1)) + 11.8::DOUBLE * (syl / len(w)) - 15.59::DOUBLE)::DECIMAL(30, 15), 2)::DOUBLE) END AS reading_level,
     CASE WHEN len(w) = 0 THEN 0.0 ELSE round(nouns / len(w), 4) END AS entity_density, round({ALPHA_SQL.format(t="raw_text")}, 4) AS text_quality_score
   FROM f1)"""
 

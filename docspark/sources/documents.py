@@ -87,11 +87,15 @@ def from_messages(df: DataFrame) -> DataFrame:
 
     Empty and unparsable payloads are skipped. Works on streams and tables.
     """
-    parsed = F.try_parse_json(decode(F.col("value")))
+    body = decode(F.col("value"))
+    parsed = F.try_parse_json(body)
+    # The parser stops after one value; in brackets, anything behind it shows.
+    listed = F.try_parse_json(F.concat(F.lit("["), body, F.lit("]")))
+    alone = listed.isNotNull() & F.try_variant_get(listed, "$[1]", "string").isNull()
     uri = F.concat(
         F.lit("kafka://"), "topic", F.lit("/"), F.col("partition").cast("string"), F.lit("/"), F.col("offset").cast("string")
     )
-    ok = df.where((F.octet_length("value") > 0) & parsed.isNotNull())
+    ok = df.where((F.octet_length("value") > 0) & parsed.isNotNull() & alone)
     return ok.select(
         hashing.uuid5(uri).alias("doc_id"),
         F.lit("stream").alias("source_type"),
