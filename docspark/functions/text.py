@@ -68,7 +68,8 @@ def is_table(c: Column) -> Column:
 
 def alpha_ratio(c: Column) -> Column:
     n = F.char_length(c)
-    return F.when(n == 0, F.lit(0.0)).otherwise(F.regexp_count(c, F.lit(r"\p{L}")) / n)
+    # Dropping the runs between letters takes far fewer matches than counting letters one by one.
+    return F.when(n == 0, F.lit(0.0)).otherwise(F.char_length(F.regexp_replace(c, r"\P{L}+", "")) / n)
 
 
 def tokens(c: Column) -> Column:

@@ -10,11 +10,16 @@ from pyspark.sql import functions as F
 
 from docspark.functions import text as tx
 from docspark.functions.bind import let
+from docspark.session import spread
 
 WORDS_SQL = r"list_filter(regexp_split_to_array({t}, '[\t-\r\x1c-\x1f\x{{85}}\p{{Z}}]+'), lambda w: w <> '')"
 WS_SQL = r"[\t-\r\x1c-\x1f\x{85}\p{Z}]"
 
 
+# Tables whose rows take long to process compared with reading them.
+TEXT_TABLES = {"documents", "pages", "conversations"}
+
+
 def words_sql(t: str) -> str:
     return WORDS_SQL.format(t=t)
 
@@ -35,7 +40,8 @@ def tokens_sql(t: str) -> str:
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def envelope(spark: SparkSession, sf: str, docs: DataFrame | None = None) -> DataFrame:

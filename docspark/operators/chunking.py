@@ -6,9 +6,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docspark.functions import text as tx
 from docspark.functions import vectors as vx
+from docspark.functions.bind import let
 
 SPANS = "array<struct<s:int,e:int>>"
 # Fixed values of the semantic strategy.
@@ -82,30 +84,43 @@ def sentence_table(docs: DataFrame, text: str, doc_id: str = "doc_id") -> DataFr
     )
 
 
-def _from_spans(df: DataFrame, strategy: str, spans: Column, doc_id: str, text: str) -> DataFrame:
-    """Chunk rows of (s, e) sentence ranges with offsets (CHK6).
+def _chunk(sents: Column, text: Column, first: Column, last: Column) -> Column:
+    """Text and offsets of the sentences ``first`` to ``last``, both inclusive."""
+    body = F.array_join(F.slice(sents, first + 1, last - first + 1), " ")
+    start = F.position(F.get(sents, first), text) - 1
+    return F.struct(body.alias("text"), start.alias("char_start"), first.cast("int").alias("sentence_start"))
 
-    ``char_start`` is the first place the opening sentence occurs; ``sentence_start`` counts the
-    sentences before, so it stays exact when a sentence repeats.
-    """
-    rows = df.select(doc_id, text, "_sents", F.posexplode(spans).alias("chunk_index", "_span"))
-    part = F.slice("_sents", F.col("_span.s") + 1, F.col("_span.e") - F.col("_span.s") + 1)
-    rows = rows.withColumn("chunk_text", F.array_join(part, " "))
-    start = F.position(F.get("_sents", F.col("_span.s")), F.col(text)) - 1
+
+def _chunk_rows(df: DataFrame, strategy: str, chunks: Column, doc_id: str, *extra: str) -> DataFrame:
+    """One row per chunk. Chunks are built inside the document's row, so only finished chunks are
+    exploded and the text is not copied along."""
+    rows = df.select(doc_id, F.posexplode(chunks).alias("chunk_index", "c"))
     return rows.select(
         chunk_id(F.col(doc_id), strategy, F.col("chunk_index")).alias("chunk_id"),
         doc_id,
         "chunk_index",
-        F.col("chunk_text").alias("text"),
-        tx.word_count(F.col("chunk_text")).alias("token_count"),
-        start.alias("char_start"),
-        (start + F.char_length("chunk_text")).alias("char_end"),
-        F.col("_span.s").alias("sentence_start"),
+        "c.text",
+        tx.word_count(F.col("c.text")).alias("token_count"),
+        "c.char_start",
+        (F.col("c.char_start") + F.char_length("c.text")).alias("char_end"),
+        "c.sentence_start",
         F.lit(strategy).alias("chunk_strategy"),
-        tx.is_table(F.col("chunk_text")).alias("is_table"),
+        tx.is_table(F.col("c.text")).alias("is_table"),
+        *(f"c.{e}" for e in extra),
     )
 
 
+def _from_spans(df: DataFrame, strategy: str, spans: Column, doc_id: str, text: str) -> DataFrame:
+    """Chunk rows of (s, e) sentence ranges with offsets (CHK6).
+
+    ``char_start`` is the first place the opening sentence occurs; ``sentence_start`` counts the
+    sentences before, so it stays exact when a sentence repeats.
+    """
+    placed = df.withColumn("_spans", spans)
+    chunks = F.transform("_spans", lambda p: _chunk(F.col("_sents"), F.col(text), p["s"], p["e"]))
+    return _chunk_rows(placed, strategy, chunks, doc_id)
+
+
 def _with_sentences(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     keep = docs.select(doc_id, text).where(~tx.is_blank(F.col(text)))
     sents = keep.withColumn("_sents", tx.sentences(F.col(text)))
@@ -131,39 +146,47 @@ def default_sentence_encoder(dim: int = 64):
     return encode
 
 
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def consecutive_similarity(vecs: pd.Series) -> pd.Series:
+    """Cosine of every sentence with the one before; 0 when either has no length."""
+
+    def one(v) -> np.ndarray:
+        if len(v) < 2:
+            return np.empty(0)
+        m = np.vstack(v).astype(float)
+        n = np.linalg.norm(m, axis=1)
+        scale = n[1:] * n[:-1]
+        return np.divide((m[1:] * m[:-1]).sum(axis=1), scale, out=np.zeros(len(scale)), where=scale > 0)
+
+    return vecs.map(one)
+
+
 def semantic(docs: DataFrame, text: str, threshold: float = 0.75, encoder=None, doc_id: str = "doc_id") -> DataFrame:
     """Chunks broken where consecutive sentences drift apart (CHK4)."""
     df = _with_sentences(docs, text, doc_id)
     df = df.withColumn("_vecs", (encoder or default_sentence_encoder())("_sents"))
-    # Similarity of each sentence to the one before it; the first has none.
-    sims = F.transform("_vecs", lambda v, i: vx.cosine(F.get("_vecs", i - 1), v))
-    df = df.withColumn("_sims", F.slice(sims, 2, F.greatest(F.size(sims) - 1, F.lit(0))))
+    df = df.withColumn("_sims", consecutive_similarity("_vecs"))
     return _from_spans(df, "semantic", semantic_spans(threshold)("_counts", "_sims"), doc_id, text)
 
 
 def sentence_window(docs: DataFrame, text: str, doc_id: str = "doc_id") -> DataFrame:
     """One chunk per sentence with up to three neighbours on each side (CHK5)."""
-    df = docs.select(doc_id, text).where(~tx.is_blank(F.col(text))).withColumn("_sents", tx.sentences(F.col(text)))
-    rows = df.select(doc_id, text, "_sents", F.posexplode("_sents").alias("chunk_index", "base_sentence"))
-    first = F.greatest(F.col("chunk_index") - WINDOW, F.lit(0))
-    last = F.least(F.col("chunk_index") + WINDOW, F.size("_sents") - 1)
-    rows = rows.withColumn("context_window", F.slice("_sents", first + 1, last - first + 1))
-    rows = rows.withColumn("chunk_text", F.array_join("context_window", " "))
-    start = F.position(F.col("context_window")[0], F.col(text)) - 1
-    return rows.select(
-        chunk_id(F.col(doc_id), "sentence_window", F.col("chunk_index")).alias("chunk_id"),
-        doc_id,
-        "chunk_index",
-        F.col("chunk_text").alias("text"),
-        tx.word_count(F.col("chunk_text")).alias("token_count"),
-        start.alias("char_start"),
-        (start + F.char_length("chunk_text")).alias("char_end"),
-        first.alias("sentence_start"),
-        F.lit("sentence_window").alias("chunk_strategy"),
-        tx.is_table(F.col("chunk_text")).alias("is_table"),
-        "base_sentence",
-        "context_window",
-    )
+    df = docs.select(doc_id, text).where(~tx.is_blank(F.col(text)))
+
+    def windows(sents: Column) -> Column:
+        n = F.size(sents)
+
+        def one(base: Column, i: Column) -> Column:
+            first, last = F.greatest(i - WINDOW, F.lit(0)), F.least(i + WINDOW, n - 1)
+            c = _chunk(sents, F.col(text), first, last)
+            around = F.slice(sents, first + 1, last - first + 1)
+            return F.struct(c["text"].alias("text"), c["char_start"].alias("char_start"), c["sentence_start"].alias("sentence_start"),
+                            base.alias("base_sentence"), around.alias("context_window"))
+
+        return F.transform(sents, one)
+
+    chunks = let(tx.sentences(F.col(text)), windows)
+    return _chunk_rows(df, "sentence_window", chunks, doc_id, "base_sentence", "context_window")
 
 
 STRATEGIES = {"fixed": fixed, "semantic": semantic, "sentence_window": sentence_window}

@@ -29,7 +29,7 @@ def blank_page(c: Column) -> Column:
 
 def mean_word_length(c: Column) -> Column:
     """Non-space characters over words: no word array is built."""
-    return F.regexp_count(c, F.lit(tx.NWS)) / tx.word_count(c)
+    return F.char_length(F.regexp_replace(c, tx.WS + "+", "")) / tx.word_count(c)
 
 
 def failure_reason(text: str = "raw_text", raw: str | None = "raw_bytes", language: str = "language") -> Column:

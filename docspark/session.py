@@ -72,6 +72,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin over all cores when a table has fewer file splits than cores.
+
+    A large table has many splits and passes through unchanged; this only keeps one small file
+    from running as one task.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether ``df`` has at most ``rows`` rows, reading no more than it must."""
     return df.limit(rows + 1).count() <= rows
