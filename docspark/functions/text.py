@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docspark.functions.bind import let
+
 # Unicode white space, as one character class, and its complement.
 WS = r"[\t-\r\x1c-\x1f\x{85}\p{Z}]"
 NWS = r"[^\t-\r\x1c-\x1f\x{85}\p{Z}]"
@@ -88,18 +90,14 @@ def syllables(c: Column) -> Column:
     Four pattern counts over the whole text replace a loop over words: words whose only vowel
     group ends in a final e, and words without any vowel, are raised to one.
     """
-    t = F.regexp_replace(F.lower(c), "[^a-z\t-\r\x1c-\x1f\\x{85}\\p{Z}]", "")
     cons = "[b-df-hj-np-tv-xz]"
 
-    def n(p: str) -> Column:
-        return F.regexp_count(t, F.lit(p))
+    def total(t: Column) -> Column:
+        n = lambda p: F.regexp_count(t, F.lit(p))
+        groups, final_e = n("[aeiouy]+"), n("e(?![a-z])")
+        return groups - final_e + n(f"(?<![a-z]){cons}+(?![a-z])") + n(f"(?<![a-z]){cons}*[aeiouy]*e(?![a-z])")
 
-    return (
-        n("[aeiouy]+")
-        - n("e(?![a-z])")
-        + n(f"(?<![a-z]){cons}+(?![a-z])")
-        + n(f"(?<![a-z]){cons}*[aeiouy]*e(?![a-z])")
-    )
+    return let(F.regexp_replace(F.lower(c), "[^a-z\t-\r\x1c-\x1f\\x{85}\\p{Z}]", ""), total)
 
 
 def proper_nouns(c: Column) -> Column:

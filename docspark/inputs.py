@@ -107,7 +107,7 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 def receipts(spark: SparkSession, sf: str) -> DataFrame:
     """One line of business text per order, with the identifiers entity patterns look for."""
-    o = table(spark, sf, "orders")
+    o = spread(table(spark, sf, "orders"))
     cents = F.round(F.col("o_totalprice") * 100).cast("long")
     money = F.concat((cents / 100).cast("long").cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
     key = F.col("o_orderkey")

@@ -13,7 +13,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -85,9 +85,9 @@ def block_join(
             columns = math.ceil(n / BROADCAST_ROWS)
             first_l, first_r = f"l_{left.columns[0]}", f"r_{right.columns[0]}"
             lp = lp.withColumn("cell_row", F.pmod(F.xxhash64(F.col(first_l)[0]), F.lit(left_salts)))
-            lp = lp.withColumn("cell_col", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).cast("long"))
+            lp = lp.withColumn("cell_col", F.explode(_upto(columns)))
             rp = rp.withColumn("cell_col", F.pmod(F.xxhash64(F.col(first_r)[0]), F.lit(columns)))
-            rp = rp.withColumn("cell_row", F.explode(F.sequence(F.lit(0), F.lit(left_salts - 1))).cast("long"))
+            rp = rp.withColumn("cell_row", F.explode(_upto(left_salts)))
             on = ["pack_key", "cell_row", "cell_col"]
     lcols = [c for c in left.columns if c != key]
     rcols = [c for c in right.columns if c != key]
@@ -106,6 +106,10 @@ def block_join(
     return joined.mapInArrow(run, schema)
 
 
+def _upto(n: int) -> Column:
+    return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
+
+
 def matrix(v: pa.Array) -> np.ndarray:
     """A list array of equal-length vectors as a float64 matrix."""
     flat = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64)

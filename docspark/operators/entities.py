@@ -55,8 +55,7 @@ def regex_spans(text: Column, label: str, pattern: str) -> Column:
         return F.struct(end.alias("at"), (~acc["odd"]).alias("odd"), spans.alias("spans"))
 
     zero = F.struct(F.lit(0).alias("at"), F.lit(False).alias("odd"), empty.alias("spans"))
-    found = F.aggregate(pieces, zero, step, lambda acc: acc["spans"])
-    return F.when(text.rlike(p), found).otherwise(empty)
+    return F.aggregate(pieces, zero, step, lambda acc: acc["spans"])
 
 
 def regex_entities(text: Column, patterns: dict[str, str] | None = None) -> Column:

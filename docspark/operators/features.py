@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docspark.functions import text as tx
+from docspark.functions.bind import let
 
 # Keyword signals of the document types.
 INVOICE_WORDS = ["invoice", "receipt", "billing", "amount due", "payable", "purchase order", "po number", "total due"]
@@ -57,31 +58,42 @@ def has_images(metadata: Column, source_type: Column) -> Column:
 
 def doc_type_signal(text: Column) -> Column:
     """E-mail headers first, then the type with most keywords; ties in listed order (FEA5)."""
-    t = F.lower(text)
-    has = lambda k: F.contains(t, F.lit(k))
-    email = has("subject:") & (has("to:") | has("from:") | has("cc:"))
-    inv, con, rep = (tx.count_contained(t, w) for w in (INVOICE_WORDS, CONTRACT_WORDS, REPORT_WORDS))
-    top = F.greatest(inv, con, rep)
-    return (
-        F.when(email, "email")
-        .when(top == 0, "other")
-        .when(inv == top, "invoice")
-        .when(con == top, "contract")
-        .otherwise("report")
-    )
+
+    def hits(t: Column) -> Column:
+        has = lambda k: F.contains(t, F.lit(k))
+        email = has("subject:") & (has("to:") | has("from:") | has("cc:"))
+        inv, con, rep = (tx.count_contained(t, w) for w in (INVOICE_WORDS, CONTRACT_WORDS, REPORT_WORDS))
+        return F.struct(email.alias("email"), inv.alias("inv"), con.alias("con"), rep.alias("rep"))
+
+    def pick(h: Column) -> Column:
+        top = F.greatest(h["inv"], h["con"], h["rep"])
+        return (
+            F.when(h["email"], "email")
+            .when(top == 0, "other")
+            .when(h["inv"] == top, "invoice")
+            .when(h["con"] == top, "contract")
+            .otherwise("report")
+        )
+
+    return let(let(F.lower(text), hits), pick)
 
 
 def reading_level(text: Column) -> Column:
     """Flesch-Kincaid grade, never negative (FEA6-7)."""
-    w = tx.word_count(text)
-    s = F.greatest(tx.sentence_count(text), F.lit(1))
-    grade = F.round(0.39 * (w / s) + 11.8 * (tx.syllables(text) / w) - 15.59, 2)
-    return F.when(w == 0, F.lit(0.0)).otherwise(F.greatest(grade, F.lit(0.0)))
+
+    def grade(n: Column) -> Column:
+        g = F.round(0.39 * (n["w"] / n["s"]) + 11.8 * (n["syl"] / n["w"]) - 15.59, 2)
+        return F.when(n["w"] == 0, F.lit(0.0)).otherwise(F.greatest(g, F.lit(0.0)))
+
+    counts = F.struct(
+        tx.word_count(text).alias("w"), F.greatest(tx.sentence_count(text), F.lit(1)).alias("s"), tx.syllables(text).alias("syl")
+    )
+    return let(counts, grade)
 
 
 def entity_density(text: Column) -> Column:
-    w = tx.word_count(text)
-    return F.when(w == 0, F.lit(0.0)).otherwise(F.round(tx.proper_nouns(text) / w, 4))
+    density = lambda w: F.when(w == 0, F.lit(0.0)).otherwise(F.round(tx.proper_nouns(text) / w, 4))
+    return let(tx.word_count(text), density)
 
 
 def document_features(docs: DataFrame, text: str = "raw_text") -> DataFrame:
@@ -127,15 +139,18 @@ def feature_vector(features: DataFrame) -> DataFrame:
 
 def keyword_class(text: Column) -> Column:
     """First keyword family found (FEA12)."""
-    t = F.lower(text)
-    has = lambda *ks: tx.count_contained(t, list(ks)) > 0
-    return (
-        F.when(has("resume", "cv", "curriculum vitae", "experience"), "resume")
-        .when(has("contract", "agreement"), "contract")
-        .when(has("invoice", "bill"), "invoice")
-        .when(has("report"), "report")
-        .otherwise("other")
-    )
+
+    def pick(t: Column) -> Column:
+        has = lambda *ks: tx.count_contained(t, list(ks)) > 0
+        return (
+            F.when(has("resume", "cv", "curriculum vitae", "experience"), "resume")
+            .when(has("contract", "agreement"), "contract")
+            .when(has("invoice", "bill"), "invoice")
+            .when(has("report"), "report")
+            .otherwise("other")
+        )
+
+    return let(F.lower(text), pick)
 
 
 def with_model_outputs(features: DataFrame, entities: DataFrame, classes: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from docspark.operators import classify, drift, entities, evaluate, features
 from docspark.operators import vectors as vec
 from docspark.plans import query
 from docspark.plans.entities import REGIONS, spans_sql
+from docspark.session import cut_lineage
 
 CLASS_ORDER = "list_position(['" + "','".join(classify.CLASSES) + "'], {c})"
 
@@ -326,15 +327,17 @@ SELECT (jp.js > 0.1 OR jc.js > 0.1 OR je.js > 0.1) AS any_output_drift, round(jp
   round(je.js, 6) AS entity_extraction_rates_js, jp.js > 0.1 AS classes_affected FROM jp, jc, je"""),
 )
 def drift_report(spark, sf):
-    docs, top = sided_documents(spark, sf), top_classes(spark, sf)
-    rates = docs.withColumn("rate", F.regexp_count("text", F.lit("[0-9]+")).cast("string"))
+    # Each score reads its side table several times, so the narrow columns are written down once.
+    sides = sided_documents(spark, sf)
+    docs = cut_lineage(sides.select("side", "len", "lang", F.regexp_count("text", F.lit("[0-9]+")).cast("string").alias("rate")))
+    top = cut_lineage(top_classes(spark, sf).select("side", "class", "p"))
     r = drift.report(
         {
             "text_length_ks_p": drift.ks_two_sample(docs, "len").select("p_value"),
             "language_chi2_p": drift.chi2_two_sides(docs, "lang").select("p_value"),
             "predicted_classes_js": drift.js_categorical(top, "class"),
             "confidence_scores_js": drift.js_scores(top, "p"),
-            "entity_extraction_rates_js": drift.js_categorical(rates, "rate"),
+            "entity_extraction_rates_js": drift.js_categorical(docs, "rate"),
         },
         spark,
     )

@@ -15,7 +15,7 @@ from docspark.operators import chunking, cleaning, dedup, entities, features, qu
 from docspark.operators import vectors as vec
 from docspark.plans import query
 from docspark.plans.text import VALIDATED
-from docspark.session import cut_lineage, scratch_path
+from docspark.session import cut_lineage, scratch_path, spread
 from docspark.sources import documents, layout
 from docspark.streaming import jobs
 
@@ -40,7 +40,7 @@ CDC = """cdc AS (
 
 
 def changes(spark, sf):
-    o = inputs.table(spark, sf, "orders")
+    o = spread(inputs.table(spark, sf, "orders"))
     op = F.when(F.col("o_orderkey") % 3 == 0, "c").when(F.col("o_orderkey") % 3 == 1, "d").otherwise("u")
     rec = F.concat(
         F.lit('{"'), F.when(F.col("o_orderstatus") == "F", "uuid").otherwise("id"), F.lit('":"'), F.col("o_orderkey").cast("string"),

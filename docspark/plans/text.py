@@ -475,10 +475,8 @@ def stored_features(spark, sf):
     f = features.document_features(e)
     at = F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 60)
     long = features.to_long(f, at)
-    upd = long.where(F.col("feature_name") == "page_count").select(
-        "doc_id", "feature_name", (F.col("feature_value").cast("int") + 1).cast("string").alias("feature_value"),
-        (F.col("computed_at") + F.expr("INTERVAL 6 HOURS")).alias("computed_at"),
-    )
+    recount = e.select("doc_id", (features.page_count(F.col("raw_text"), F.col("page_count")) + 1).alias("page_count"))
+    upd = features.to_long(recount, at + F.expr("INTERVAL 6 HOURS"))
     return long, upd
 
 
