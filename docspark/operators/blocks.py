@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docspark.session import BROADCAST_ROWS
+from docspark.session import BROADCAST_ROWS, cut_lineage
 
 Columns = dict[str, pa.Array]
 
@@ -74,6 +74,9 @@ def block_join(
     on a grid: right packs are spread over as many columns as the bound needs and left packs over
     ``left_salts`` rows, so every cell is an ordinary shuffled equi-join partition.
     """
+    if key is None:
+        # The small side is written down once: it is counted here and read by the join.
+        right = cut_lineage(right)
     lp = pack(left, key, left_order, "l_")
     rp = pack(right, key, right_order, "r_")
     on = ["pack_key"]

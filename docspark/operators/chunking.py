@@ -44,7 +44,8 @@ def fixed_spans(size: int, overlap: int):
     def spans(counts: pd.Series) -> pd.Series:
         return counts.map(lambda c: [{"s": s, "e": e} for s, e in _fixed_spans(list(c), size, overlap)])
 
-    return spans
+    # Its result is exploded; marked so, it runs once instead of again in an inferred filter.
+    return spans.asNondeterministic()
 
 
 def _semantic_spans(counts: list[int], sims: list[float], threshold: float) -> list[tuple[int, int]]:
@@ -74,7 +75,7 @@ def semantic_spans(threshold: float):
             [[{"s": s, "e": e} for s, e in _semantic_spans(list(c), list(m), threshold)] for c, m in zip(counts, sims)]
         )
 
-    return spans
+    return spans.asNondeterministic()
 
 
 def sentence_table(docs: DataFrame, text: str, doc_id: str = "doc_id") -> DataFrame:

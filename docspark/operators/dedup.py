@@ -44,13 +44,13 @@ def ttl_registrations(rows: DataFrame, key: str, at: str, ttl: int) -> DataFrame
     combined minimum.
     """
     slim = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(at).cast("long").alias("t"))
-    sliced = slim.withColumn("slice", F.floor(F.col("t") / ttl).cast("long"))
+    # Keys and distinct times only, written down once and read by every round.
+    sliced = cut_lineage(slim.distinct().withColumn("slice", F.floor(F.col("t") / ttl).cast("long")))
     summary = sliced.groupBy("k", "slice").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
     w = Window.partitionBy("k").orderBy("slice")
     prev = F.lag("hi").over(w)
     opening = summary.withColumn("prev", prev).where(F.col("prev").isNull() | (F.col("lo") - F.col("prev") >= ttl))
     starts = cut_lineage(opening.select("k", F.col("lo").alias("reg")))
-    sliced = sliced.distinct()
     found, frontier = starts, starts
     while True:
         ahead = frontier.select(
