@@ -54,6 +54,10 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
 
 
+# Marked so, it keeps its own step in the plan: run once, and never nested below another UDF.
+nfkc = nfkc.asNondeterministic()
+
+
 def strip_controls(c: Column) -> Column:
     return F.regexp_replace(c, CONTROL, "")
 

@@ -64,5 +64,5 @@ def remove_boilerplate(df: DataFrame, text: str, out: str, share: float = BOILER
 
 def clean(df: DataFrame, text: str, out: str = "clean_text") -> DataFrame:
     """NFKC, control characters, boilerplate, white space, in this order (CLN1-4, CLN6)."""
-    stepped = df.withColumn("_n", tx.strip_controls(tx.nfkc(F.coalesce(text, F.lit("")))))
+    stepped = df.withColumn("_n", tx.nfkc(F.coalesce(text, F.lit("")))).withColumn("_n", tx.strip_controls(F.col("_n")))
     return remove_boilerplate(stepped, "_n", "_b").withColumn(out, tx.collapse_whitespace(F.col("_b"))).drop("_n", "_b")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docspark.session import find_package
+from docspark.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -20,7 +20,7 @@ def query(name: str, sql: str | None = None):
     def add(fn):
         @functools.wraps(fn)
         def run(spark: SparkSession, sf: str) -> DataFrame:
-            find_package(spark)
+            prepare(spark)
             return fn(spark, sf)
 
         QUERIES[name] = run

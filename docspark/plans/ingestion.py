@@ -308,7 +308,7 @@ def ingest_run(spark, sf):
     ok = F.col("failure_reason").isNull()
     key = hashing.dedup_key(F.concat(F.lit("s3://raw/"), "lang"), F.col("checksum"))
     firsts = dedup.first_wins(e.where(ok).select("doc_id", "ingestion_ts", key.alias("k")), "k", "ingestion_ts", "doc_id")
-    kept = firsts.where(~F.col("is_duplicate")).select("doc_id")
+    kept = cut_lineage(firsts.where(~F.col("is_duplicate")).select("doc_id"))
     docs = e.join(kept, "doc_id", "left_semi").select("doc_id", "raw_text", "source_type", "language", "page_count", "metadata")
     cleaned = cleaning.clean(docs, "raw_text")
     chunks = cut_lineage(chunking.fixed(cleaned, "clean_text"))

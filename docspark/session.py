@@ -12,20 +12,29 @@ from pyspark.sql import DataFrame, SparkSession
 BROADCAST_ROWS = 200_000
 
 
+# What results and memory use rely on; all can be set on a running session.
+SETTINGS = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
+}
+
+
+def prepare(spark: SparkSession) -> None:
+    """The settings above on a session made elsewhere."""
+    for k, v in SETTINGS.items():
+        spark.conf.set(k, v)
+    find_package(spark)
+
+
 def get_spark(app: str = "docspark", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings every operator relies on; size settings stay the caller's."""
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
-    settings = {
-        "spark.sql.session.timeZone": "UTC",
-        "spark.sql.adaptive.enabled": "true",
-        "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.execution.arrow.pyspark.enabled": "true",
-        "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
-        **conf,
-    }
-    for k, v in settings.items():
+    for k, v in {**SETTINGS, **conf}.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from docspark.operators import quality
 from docspark.operators.telemetry import count_label
-from docspark.session import scratch_path
+from docspark.session import scratch_path, spread
 from docspark.sources import documents
 
 WATERMARK = "10 minutes"
@@ -81,12 +81,14 @@ def gated_ingest(docs: DataFrame, root: str, checkpoint: str):
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        checked = quality.validate(batch)
+        # Both outputs read the verdicts, so they are kept for the length of the batch.
+        checked = quality.validate(spread(batch)).persist()
         bad = F.col("failure_reason").isNotNull()
         good = checked.where(~bad).drop("failure_reason", "raw_bytes")
         good.write.mode("overwrite").parquet(f"{root}/accepted/batch-{batch_id}")
         letters = documents.dead_letters(checked.where(bad).drop("quality_score"), F.col("ingestion_ts"))
         letters.write.mode("overwrite").parquet(f"{root}/dead_letters/batch-{batch_id}")
+        checked.unpersist()
 
     return docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -153,6 +153,13 @@ def test_sentence_windows(spark):
     assert [r.text for r in chunking.fixed(df, "t").collect()] == ["Word."]
 
 
+def test_chunks_of_cleaned_text(spark):
+    df = spark.createDataFrame([(1, "One™ sentence.  Two sentences."), (2, "")], "doc_id long, t string")
+    for strategy in chunking.STRATEGIES:
+        rows = chunking.chunk(cleaning.clean(df, "t"), "clean_text", strategy).collect()
+        assert {r.doc_id for r in rows} == {1} and rows[0].text == "OneTM sentence. Two sentences."
+
+
 def test_unknown_strategy(spark):
     df = spark.createDataFrame([(1, "A text.", "other")], "doc_id long, t string, strategy string")
     with pytest.raises(ValueError):
