@@ -85,7 +85,7 @@ def ab_ztest(spark, sf):
 CONFIGS = """,
 configs AS (
   SELECT experiment_id, min(ts) AS start_time, CASE experiment_id WHEN 'exp4' THEN 'shadow' ELSE 'live' END AS mode,
-    CASE experiment_id WHEN 'exp3' THEN 'completed' ELSE 'running' END AS status, 0.1 + 0.12 * substr(experiment_id, 4)::INT AS split_ratio,
+    CASE experiment_id WHEN 'exp3' THEN 'completed' ELSE 'running' END AS status, (0.1::DOUBLE + 0.12::DOUBLE * substr(experiment_id, 4)::INT) AS split_ratio,
     24 AS shadow_duration_hours, max(ts) - to_hours(substr(experiment_id, 4)::BIGINT) AS last_update_time FROM requests GROUP BY experiment_id)"""
 
 
