@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from docspark import session
-from docspark.llm import line_quality, packing, sharding, tables, token_counts
+from docspark.llm import line_quality, minhash, packing, repeats, sharding, tables, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,3 +54,13 @@ def op3_token_counts(spark: SparkSession, sf: str) -> DataFrame:
 @query("op5_best_fit_packing")
 def op5_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), public_tokenizers.path(BYTE_BPE))
+
+
+@query("op9_minhash_near_dedup")
+def op9_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf, "documents"))
+
+
+@query("op6_suffix_array_dedup")
+def op6_suffix_array_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf, "documents")).drop("rest")
