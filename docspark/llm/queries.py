@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from docspark import session
-from docspark.llm import line_quality, minhash, packing, repeats, sharding, tables, token_counts
+from docspark.llm import line_quality, minhash, packing, repeats, sharding, tables, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -64,3 +64,9 @@ def op9_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
 @query("op6_suffix_array_dedup")
 def op6_suffix_array_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf, "documents")).drop("rest")
+
+
+@query("op10_fm_toxicity")
+def op10_fm_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return toxicity.toxicity(docs, toxicity.fit(docs, table(spark, sf, "labels")))
