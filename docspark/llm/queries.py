@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from docspark import session
-from docspark.llm import line_quality, minhash, packing, repeats, sharding, tables, token_counts, toxicity
+from docspark.llm import collision_search, line_quality, minhash, packing, repeats, sharding, tables, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -70,3 +70,9 @@ def op6_suffix_array_dedup(spark: SparkSession, sf: str) -> DataFrame:
 def op10_fm_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     return toxicity.toxicity(docs, toxicity.fit(docs, table(spark, sf, "labels")))
+
+
+@query("op8_collision_search")
+def op8_collision_search(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return collision_search.nearest(vectors, vectors.where("vec_id % 50 = 0"))
