@@ -135,24 +135,16 @@ def whole_tokens(tok: Tokenizer) -> list[tuple[str, int]]:
     return found
 
 
-class Memo:
-    """Token ids by pre-token hash: the proved whole tokens, then the rest as they are met and merged."""
+class Known:
+    """Token ids by the hash of what they encode, in sorted arrays; it starts from a base it may fall back to."""
 
-    def __init__(self, tok: Tokenizer, whole: list[tuple[str, int]]):
-        self.tok = tok
-        self.splitter = Splitter(tok)
-        raw = [t.encode() for t, _ in whole]
-        at = np.cumsum([0, *map(len, raw)])
-        flat = np.frombuffer(b"".join(raw), np.uint8)
-        hashes = Spans(flat).of(at[:-1], at[1:]) if raw else np.zeros(0, np.uint64)
+    def __init__(self, hashes: np.ndarray, ids: np.ndarray):
         order = np.argsort(hashes)
-        ids = np.array([i for _, i in whole], np.uint32)[order]
-        self.base = (hashes[order], ids, np.arange(len(ids)), np.ones(len(ids), np.int64))
+        self.base = (hashes[order], ids[order].astype(np.uint32), np.arange(len(ids)), np.ones(len(ids), np.int64))
         self.keys, self.ids, self.at, self.size = self.base
 
-    def find(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """The memo's place for every pre-token; unknown ones are merged by the library first."""
-        ends = np.append(starts[1:], len(data))
+    def find(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, encode) -> np.ndarray:
+        """Every span's place; ``encode(starts, ends)`` gives (ids, sizes) of distinct spans met anew."""
         h = Spans(data).of(starts, ends)
         distinct, first, inverse = np.unique(h, return_index=True, return_inverse=True)
         if len(self.keys) + len(distinct) > MEMO:
@@ -160,33 +152,50 @@ class Memo:
         place = np.minimum(np.searchsorted(self.keys, distinct), max(len(self.keys) - 1, 0))
         missing = self.keys[place] != distinct if len(self.keys) else np.ones(len(distinct), bool)
         if missing.any():
-            self._merge(distinct[missing], data, starts[first[missing]], ends[first[missing]])
+            self._add(distinct[missing], *encode(starts[first[missing]], ends[first[missing]]))
             place = np.searchsorted(self.keys, distinct)
         return place[inverse]
 
-    def _merge(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
-        raw = data.tobytes()
-        got: list[list[int]] = []
-        for i in range(0, len(starts), 4096):
-            texts = [raw[a:b].decode() for a, b in zip(starts[i : i + 4096].tolist(), ends[i : i + 4096].tolist(), strict=True)]
-            got += [e.ids for e in self.tok.encode_batch(texts, add_special_tokens=False)]
-        size = np.array([len(x) for x in got], np.int64)
-        ids = np.fromiter((i for x in got for i in x), np.uint32, int(size.sum()))
+    def _add(self, hashes: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
         at = len(self.ids) + np.cumsum(size) - size
         keys = np.concatenate([self.keys, hashes])
         order = np.argsort(keys, kind="stable")
         self.keys = keys[order]
-        self.ids = np.concatenate([self.ids, ids])
+        self.ids = np.concatenate([self.ids, ids.astype(np.uint32)])
         self.at = np.concatenate([self.at, at])[order]
         self.size = np.concatenate([self.size, size])[order]
 
+
+class Memo:
+    """A byte-level tokenizer: the proved whole tokens, then the rest as they are met and merged."""
+
+    def __init__(self, tok: Tokenizer, whole: list[tuple[str, int]]):
+        self.tok = tok
+        self.splitter = Splitter(tok)
+        raw = [t.encode() for t, _ in whole]
+        at = np.cumsum([0, *map(len, raw)])
+        flat = np.frombuffer(b"".join(raw), np.uint8)
+        self.known = Known(Spans(flat).of(at[:-1], at[1:]), np.array([i for _, i in whole], np.uint32))
+
+    def _places(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        def merge(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            raw = data.tobytes()
+            got: list[list[int]] = []
+            for i in range(0, len(begin), 4096):
+                texts = [raw[a:b].decode() for a, b in zip(begin[i : i + 4096].tolist(), end[i : i + 4096].tolist(), strict=True)]
+                got += [e.ids for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+            size = np.array([len(x) for x in got], np.int64)
+            return np.fromiter((i for x in got for i in x), np.uint32, int(size.sum())), size
+
+        return self.known.find(data, starts, np.append(starts[1:], len(data)), merge)
+
     def counts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Tokens of every text."""
         starts = self.splitter.split(data, offsets)
         total = np.zeros(len(starts) + 1, np.int64)
         if len(starts):
-            place = self.find(data, starts)
-            np.cumsum(self.size[place], out=total[1:])
+            place = self._places(data, starts)
+            np.cumsum(self.known.size[place], out=total[1:])
         text = np.searchsorted(starts, offsets)
         return total[text[1:]] - total[text[:-1]]
 
@@ -195,10 +204,10 @@ class Memo:
         starts = self.splitter.split(data, offsets)
         if len(starts) == 0:
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        place = self.find(data, starts)
-        size = self.size[place]
+        place = self._places(data, starts)
+        size = self.known.size[place]
         total = np.concatenate([[0], np.cumsum(size)])
-        return self.ids[ranges(self.at[place], size)], total[np.searchsorted(starts, offsets)]
+        return self.known.ids[ranges(self.known.at[place], size)], total[np.searchsorted(starts, offsets)]
 
 
 class Plain:

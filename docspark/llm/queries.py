@@ -7,13 +7,14 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docspark import session
-from docspark.llm import collision_search, line_quality, minhash, packing, repeats, sharding, tables, token_counts, toxicity
+from docspark.llm import collision_search, line_quality, minhash, packing, piece_encoding, repeats, sharding, tables, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-BYTE_BPE = "byte_bpe_50k.json"
+BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def query(name: str, sql: str | None = None):
@@ -76,3 +77,16 @@ def op10_fm_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 def op8_collision_search(spark: SparkSession, sf: str) -> DataFrame:
     vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
     return collision_search.nearest(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+@query("op7_piece_encoding")
+def op7_piece_encoding(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids of every text, their digest, and whether decoding gives the text back."""
+    path = public_tokenizers.path(PIECE_BPE)
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    ids = piece_encoding.encode(docs, path, keep=["doc_id", "text"])
+    back = piece_encoding.decode(ids.select("doc_id", F.col("text").alias("was"), "ids", F.col("ids").alias("kept")), path)
+    return back.select(
+        "doc_id", F.size("kept").cast("long").alias("n_tokens"), F.sha2(F.array_join("kept", ",").cast("binary"), 256).alias("ids_sha256"),
+        (F.col("text") == F.translate(F.coalesce("was", F.lit("")), "▁", " ")).alias("round_trip"),
+    )

@@ -237,7 +237,9 @@ def _merged(spans: pa.Array) -> list[list[tuple[int, int]]]:
 
 def _with_spans(docs: DataFrame, keep: list[str], text: str, length: int, split: int) -> DataFrame:
     rows = docs.select(F.struct(*(F.col(c) for c in keep)).alias("row"), *text_key(F.col(text)), F.col(text).alias("text"))
-    return rows.join(repeated_spans(docs, text, length, split), ["k1", "k2"], "left").select("row.*", F.col("text").cast("binary").alias("body"), "spans")
+    # Written, so that the join deals both sides anew and a text with very many copies can be split.
+    spans = written(repeated_spans(docs, text, length, split), "spans")
+    return rows.join(spans, ["k1", "k2"], "left").select("row.*", F.col("text").cast("binary").alias("body"), "spans")
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", keep: list[str] | None = None, length: int = 400, split: int = SPLIT) -> DataFrame:
