@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark import session
-from docspark.llm import collision_search, line_quality, minhash, packing, piece_encoding, repeats, sharding, tables, token_counts, toxicity
+from docspark.llm import collision_search, licenses, line_quality, minhash, packing, piece_encoding, repeats, sharding, tables, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -90,3 +90,9 @@ def op7_piece_encoding(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", F.size("kept").cast("long").alias("n_tokens"), F.sha2(F.array_join("kept", ",").cast("binary"), 256).alias("ids_sha256"),
         (F.col("text") == F.translate(F.coalesce("was", F.lit("")), "▁", " ")).alias("round_trip"),
     )
+
+
+@query("op4_license_scan", licenses.SQL)
+def op4_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    found = licenses.licenses(licenses.filed(table(spark, sf, "documents")), keep=["doc_id"])
+    return found.withColumn("own_score", F.round("own_score", 6))
