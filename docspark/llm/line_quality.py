@@ -77,8 +77,8 @@ def text_key(text: Column) -> list[Column]:
 KEY = ["k1", "k2"]
 
 
-def frequent_lines(docs: DataFrame, text: str, host: str, min_docs: int, share: float) -> tuple[DataFrame, DataFrame]:
-    """((host, k1, k2, removed_words, lines) of texts with a frequent line, (host, k1, k2, copies))."""
+def frequent_lines(docs: DataFrame, text: str, host: str, min_docs: int, share: float) -> DataFrame:
+    """(host, k1, k2, removed_words, lines) of the distinct texts with a frequent line."""
     d = docs.select(F.col(host).alias("host"), *text_key(F.col(text)), F.coalesce(F.col(text), F.lit("")).alias("t"))
     copies = d.groupBy("host", *KEY).agg(F.count("*").alias("copies"))
     line = F.transform(F.split("t", "\n"), lambda x: F.struct(F.xxhash64(normalised(x)).alias("line"), F.size(_words(x)).alias("words")))
@@ -96,7 +96,23 @@ def frequent_lines(docs: DataFrame, text: str, host: str, min_docs: int, share:
     hit, k = hit.alias("v"), copies.alias("k")
     same = F.col("v.host").eqNullSafe(F.col("k.host")) & (F.col("v.k1") == F.col("k.k1")) & (F.col("v.k2") == F.col("k.k2"))
     removed = (F.col("removed") / F.col("copies")).cast("long").alias("removed_words")
-    return hit.join(k, same).select("v.host", "v.k1", "v.k2", removed, "v.lines"), copies
+    return hit.join(k, same).select("v.host", "v.k1", "v.k2", removed, "v.lines")
+
+
+def _judged(docs: DataFrame, text: str, host: str, min_docs: int, share: float, depleted: int) -> DataFrame:
+    """Every row as a struct, with its rules' values, verdict and frequent lines."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(host).alias("host"), *text_key(F.col(text)), *base_rules(F.col(text)))
+    found = frequent_lines(docs, text, host, min_docs, share)
+    r, f = rows.alias("r"), found.alias("f")
+    same = F.col("r.host").eqNullSafe(F.col("f.host")) & (F.col("r.k1") == F.col("f.k1")) & (F.col("r.k2") == F.col("f.k2"))
+    n, repeat = F.col("r.w.n_words"), F.col("r.w.n_repeat_words")
+    removed = F.coalesce(F.col("f.removed_words"), F.lit(0).cast("long"))
+    failed = (n < MIN_WORDS) | (100 * repeat > 30 * n)
+    gone = (removed > 0) & ((n - removed < MIN_WORDS) | (100 * removed > depleted * n))
+    return r.join(f, same, "left").select(
+        "r.row", n.alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", repeat.alias("n_repeat_words"),
+        failed.alias("base_failed"), removed.alias("removed_words"), F.col("f.lines").alias("removed_lines"), (~failed & ~gone).alias("kept"),
+    )
 
 
 def line_quality(
@@ -116,19 +132,15 @@ def line_quality(
     Columns of other names, such as k1, may be present and are ignored unless kept.
     """
     keep = ["doc_id"] if keep is None else keep
-    kept_as = F.struct(*(F.col(c) for c in keep)).alias("row")
-    rows = docs.select(kept_as, F.col(host).alias("host"), *text_key(F.col(text)), *base_rules(F.col(text)))
-    found, _ = frequent_lines(docs, text, host, min_docs, share)
-    r, f = rows.alias("r"), found.alias("f")
-    same = F.col("r.host").eqNullSafe(F.col("f.host")) & (F.col("r.k1") == F.col("f.k1")) & (F.col("r.k2") == F.col("f.k2"))
-    n, repeat = F.col("r.w.n_words"), F.col("r.w.n_repeat_words")
-    removed = F.coalesce(F.col("f.removed_words"), F.lit(0).cast("long"))
-    failed = (n < MIN_WORDS) | (100 * repeat > 30 * n)
-    gone = (removed > 0) & ((n - removed < MIN_WORDS) | (100 * removed > depleted * n))
-    return r.join(f, same, "left").select(
-        "r.row.*", n.alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", repeat.alias("n_repeat_words"),
-        failed.alias("base_failed"), removed.alias("removed_words"), F.col("f.lines").alias("removed_lines"), (~failed & ~gone).alias("kept"),
-    )
+    judged = _judged(docs, text, host, min_docs, share, depleted)
+    return judged.select(*(F.col("row").getField(c).alias(c) for c in keep), *judged.columns[1:])
+
+
+def cleaned(docs: DataFrame, text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE, depleted: int = DEPLETED) -> DataFrame:
+    """The kept rows with all their columns, their texts without the frequent lines."""
+    kept = _judged(docs, text, host, min_docs, share, depleted).where("kept")
+    shorter = without_lines(F.col("row").getField(text), F.col("removed_lines"))
+    return kept.select(*((shorter if c == text else F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 def without_lines(text: Column, lines: Column) -> Column:
