@@ -36,4 +36,6 @@ def components(edges: DataFrame) -> DataFrame:
         if state == before or state["n"] == 0:
             return now
         before = state
-        now = written(_star(_star(now, True), False), "edges")
+        for large in (True, False) * 2:
+            now = _star(now, large)
+        now = written(now, "edges")

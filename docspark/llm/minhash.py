@@ -5,12 +5,12 @@ so copies never meet as pairs. Of a class's ``PERMUTATIONS`` minima, runs of ``R
 the low ``BITS`` of each are kept, packed into a few longs: for a candidate pair, bit counts of the
 exclusive or give the equal slots, and so, corrected for chance collisions, a similarity.
 
-Links only matter for what they connect, so a bucket of any size is worked off in steps: every class against
-its buckets' least class, best estimate first; then what these stars left apart; last, where a bucket still
-spans several components, all its pairs across components, in tiles of bounded size inside the task. Every pair
-whose estimate isn't hopeless is confirmed on the full sets of the two texts.
+Links only matter for what they connect, so a bucket of any size is worked off in two steps: every class against
+the hubs it meets most often, a bucket's hub being the class that meets most others anywhere; then, where a bucket still spans classes not known
+to be connected, all its pairs across them, in tiles of bounded size inside the task. Every pair whose estimate
+isn't hopeless is confirmed on the full sets of the two texts.
 
-A pair at the threshold shares no band with a chance of 5e-6, and is estimated under ``CUT`` with one near 1e-9.
+A pair at the threshold shares no band with a chance of 4e-6, and is estimated under ``CUT`` with one near 5e-5.
 """
 
 from __future__ import annotations
@@ -28,8 +28,10 @@ from docspark.llm.tables import fields, map_batches, written
 from docspark.llm.textbytes import LOWER, Spans, chunks, joined, mixed, words
 
 SHINGLE = 5
-PERMUTATIONS, ROWS, BITS = 128, 4, 4
-CUT = 0.5
+PERMUTATIONS, ROWS, BITS = 384, 6, 4
+CUT = 0.66
+# Hubs that a class is compared with first.
+HUBS = 3
 TILE = 512
 _rng = np.random.default_rng(9)
 FACTOR = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -66,8 +68,8 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
 def minima(hashes: np.ndarray) -> np.ndarray:
     """The least value of every permutation over the set."""
     least = np.full(PERMUTATIONS, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(hashes), 2048):
-        least = np.minimum(least, (hashes[i : i + 2048, None] * FACTOR + SHIFT).min(axis=0))
+    for i in range(0, len(hashes), 256):
+        least = np.minimum(least, (hashes[i : i + 256, None] * FACTOR + SHIFT).min(axis=0))
     return least
 
 
@@ -166,37 +168,51 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return map_batches(both, "u long, v long", make)
 
 
-def across(buckets: DataFrame, label: DataFrame, sigs: DataFrame) -> DataFrame:
-    """(u, v), u < v, estimated near enough and in one bucket but different components."""
+HALF = 0x7FFFFFFF
+
+
+def across(buckets: DataFrame, label: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
+    """(u, v), u < v, estimated near enough and in one bucket, but with different labels.
+
+    A pair comes from the first of the buckets it shares only, and not at all if its set sizes rule it out.
+    """
     named = label.select(F.col("u").alias("c"), F.col("v").alias("least"))
     rows = buckets.join(named, "c", "left").select("h", "n", "c", F.coalesce("least", "c").alias("comp"))
     mixed_ones = rows.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") != F.col("hi")).select("h")
     tile = F.pmod(F.xxhash64("c"), F.ceil(F.col("n") / TILE)).alias("tile")
-    member = F.struct("c", "comp", "sig")
-    tiles = rows.join(mixed_ones, "h").join(sigs, "c").select("h", tile, member.alias("m"))
+    marks = F.transform("bands", lambda x: x.bitwiseAND(F.lit(HALF)).cast("int")).alias("marks")
+    members = sigs.select("c", "size", "sig", marks)
+    member = F.struct("c", "comp", "size", "sig", "marks")
+    tiles = rows.join(mixed_ones, "h").join(members, "c").select("h", tile, member.alias("m"))
     tiles = tiles.groupBy("h", "tile").agg(F.collect_list("m").alias("m"), F.min("m.comp").alias("lo"), F.max("m.comp").alias("hi"))
     a, b = (tiles.select("h", *(F.col(x).alias(x + s) for x in ("tile", "m", "lo", "hi"))) for s in ("1", "2"))
     pure = (F.col("lo1") == F.col("hi1")) & (F.col("lo2") == F.col("hi2")) & (F.col("lo1") == F.col("lo2"))
     met = a.join(b, "h").where((F.col("tile1") <= F.col("tile2")) & ~pure)
-    met = met.select(*(F.col(f"m{s}.{x}").alias(x + s) for s in "12" for x in ("c", "comp", "sig")))
+    met = met.select(F.col("h").bitwiseAND(F.lit(HALF)).cast("int").alias("mark"), (F.col("tile1") == F.col("tile2")).alias("same"), *(F.col(f"m{s}.{x}").alias(x + s) for s in "12" for x in ("c", "comp", "size", "sig", "marks")))
     need = (CUT * (1 - 1 / (1 << BITS)) + 1 / (1 << BITS)) * PERMUTATIONS
 
-    def side(b: pa.RecordBatch, at: int, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        c, comp = (b.column(at + k)[i].values.to_numpy() for k in (0, 1))
-        return c, comp, b.column(at + 2)[i].values.flatten().to_numpy().view(np.uint64).reshape(len(c), LONGS)
+    def side(b: pa.RecordBatch, at: int, i: int) -> list[np.ndarray]:
+        plain = [b.column(at + k)[i].values.to_numpy() for k in range(3)]
+        wide = [b.column(at + k)[i].values.flatten().to_numpy().reshape(len(plain[0]), -1) for k in (3, 4)]
+        return [*plain, wide[0].view(np.uint64), wide[1]]
 
     def make():
         def step(b: pa.RecordBatch):
             for i in range(b.num_rows):
-                (c1, p1, s1), (c2, p2, s2) = side(b, 0, i), side(b, 3, i)
+                (c1, p1, n1, s1, m1), (c2, p2, n2, s2, m2) = side(b, 2, i), side(b, 7, i)
                 equal = np.zeros((len(c1), len(c2)), np.int64)
                 for k in range(LONGS):
                     x = s1[:, None, k] ^ s2[None, :, k]
                     x |= x >> np.uint64(1)
                     x |= x >> np.uint64(2)
                     equal += np.bitwise_count(~x & np.uint64(0x1111111111111111))
-                u, v = np.nonzero((equal >= need) & (p1[:, None] != p2[None, :]))
-                u, v = c1[u], c2[v]
+                may = 100 * np.minimum(n1[:, None], n2[None, :]) >= percent * np.maximum(n1[:, None], n2[None, :])
+                if b.column(1)[i].as_py():
+                    may &= c1[:, None] < c2[None, :]
+                u, v = np.nonzero((equal >= need) & (p1[:, None] != p2[None, :]) & may)
+                first = (m1[u] == m2[v]).argmax(axis=1)
+                here = m1[u, first] == b.column(0)[i].as_py()
+                u, v = c1[u[here]], c2[v[here]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
 
         return step
@@ -217,29 +233,27 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     classes = some.groupBy("s1", "s2").agg(F.min("row").alias("c"), F.min("doc_id").alias("least_key"))
     classes = written(classes, "classes")
     of_class = some.join(classes.select(F.col("c").alias("row")), "row", "left_semi")
-    sigs = written(of_class.select(F.col("row").alias("c"), "k1", "k2", "sig", "bands"), "class-signatures")
+    sigs = written(of_class.select(F.col("row").alias("c"), "k1", "k2", F.col("n_shingles").alias("size"), "sig", "bands"), "class-signatures")
     entries = sigs.select("c", F.explode("bands").alias("h"))
-    hubs = entries.groupBy("h").agg(F.min("c").alias("hub"), F.count("*").alias("n")).where(F.col("n") > 1)
-    buckets = written(entries.join(hubs, "h"), "buckets")
-    sigs = sigs.select("c", "k1", "k2", "sig")
+    shared = entries.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    buckets = written(entries.join(shared, "h"), "buckets")
     # The texts of all classes that have a candidate at all, once.
     wanted = buckets.select("c").distinct().join(sigs.select("c", "k1", "k2"), "c")
     bodies = docs.select(*text_key(F.col(text)), F.col(text).alias("text")).join(wanted.select("k1", "k2"), ["k1", "k2"], "left_semi")
     bodies = bodies.groupBy("k1", "k2").agg(F.first("text").alias("text"))
     texts = written(bodies.join(wanted, ["k1", "k2"]).select("c", "text"), "texts")
-    sigs = sigs.select("c", "sig")
-
-    star = buckets.where(F.col("c") != F.col("hub")).select(F.col("c").alias("u"), F.col("hub").alias("v")).distinct()
-    star = written(estimates(star, sigs), "stars")
-    best = star.groupBy("u").agg(F.max_by("v", F.struct("est", "v")).alias("v"))
-    links = written(confirmed(best, texts, percent), "links")
-    label = components(links)
-    rest = _apart(star.select("u", "v").join(best, ["u", "v"], "left_anti"), label)
-    more = written(confirmed(rest, texts, percent), "links")
-    label = components(label.union(more))
-    rest = across(buckets.select("h", "n", "c"), label, sigs)
+
+    # What meets most others is near the middle of its group, and so near to most of it.
+    weights = buckets.groupBy("c").agg(F.sum("n").alias("weight"))
+    weighed = buckets.select("h", "c").join(weights, "c")
+    hubs = weighed.groupBy("h").agg(F.max(F.struct("weight", "c"))["c"].alias("hub"))
+    star = weighed.join(hubs, "h").where(F.col("c") != F.col("hub")).groupBy("c", "hub").agg(F.count("*").alias("n"))
+    star = star.groupBy("c").agg(F.sort_array(F.collect_list(F.struct("n", F.col("hub").alias("v"))), asc=False).alias("v"))
+    star = star.select(F.col("c").alias("u"), F.explode(F.slice("v", 1, HUBS)["v"]).alias("v"))
+    links = written(confirmed(estimates(star, sigs), texts, percent), "links")
+    rest = across(buckets.select("h", "n", "c"), _hung(links, weights), sigs, percent)
     more = written(confirmed(rest, texts, percent), "links")
-    label = components(label.union(more))
+    label = components(links.union(more))
 
     named = classes.join(label.select(F.col("u").alias("c"), F.col("v").alias("least")), "c", "left").select("s1", "s2", "least_key", F.coalesce("least", "c").alias("comp"))
     lowest = named.groupBy("comp").agg(F.min("least_key").alias("component"))
@@ -250,9 +264,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     return out.select(F.col("doc_id").alias(key), "n_shingles", component.alias("component_id"), kept.alias("kept"))
 
 
-def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
-    """Pairs whose ends are in different components."""
-    for end in ("u", "v"):
-        named = label.select(F.col("u").alias(end), F.col("v").alias(f"least_{end}"))
-        pairs = pairs.join(named, end, "left")
-    return pairs.where(F.coalesce("least_u", "u") != F.coalesce("least_v", "v")).select("u", "v")
+def _hung(links: DataFrame, weights: DataFrame) -> DataFrame:
+    """(u, v): a class and a heavier one that it is surely connected with, some steps up its links."""
+    heavy = F.max(F.struct("weight", "v"))["v"].alias("v")
+    up = written(links.join(weights.withColumnRenamed("c", "v"), "v").groupBy("u").agg(heavy), "hung")
+    for _ in range(2):
+        above = up.select(F.col("u").alias("v"), F.col("v").alias("w"))
+        up = up.join(above, "v", "left").select("u", F.coalesce("w", "v").alias("v"))
+    return up
