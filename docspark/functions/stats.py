@@ -27,22 +27,18 @@ def _kolmogorov(lam: float) -> float:
 
 
 def _chi2_tail(x: float, dof: int) -> float:
-    """Upper tail by the finite sums that hold for integer degrees of freedom."""
+    """Upper tail by the finite sums that hold for integer degrees of freedom.
+
+    Each term is taken from its logarithm, so none vanishes before the large ones are reached.
+    """
     if dof <= 0 or x <= 0:
         return 1.0
     h = x / 2.0
-    if dof % 2 == 0:
-        term, total = math.exp(-h), 0.0
-        for k in range(dof // 2):
-            total += term
-            term *= h / (k + 1)
-        return min(1.0, total)
-    total = math.erfc(math.sqrt(h))
-    term = math.exp(-h) * math.sqrt(h) / math.gamma(1.5)
-    for k in range((dof - 1) // 2):
-        total += term
-        term *= h / (k + 1.5)
-    return min(1.0, total)
+    odd = dof % 2
+    shift = 0.5 if odd else 0.0
+    logs = ((k + shift) * math.log(h) - h - math.lgamma(k + shift + 1.0) for k in range(dof // 2))
+    total = math.fsum(math.exp(v) for v in logs if v > -745.0)
+    return min(1.0, total + (math.erfc(math.sqrt(h)) if odd else 0.0))
 
 
 def _over(fn):

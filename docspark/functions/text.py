@@ -17,6 +17,7 @@ NWS = r"[^\t-\r\x1c-\x1f\x{85}\p{Z}]"
 CONTROL = r"[\x00-\x08\x0b-\x1f\x7f-\x{9f}\p{Cf}]"
 INLINE_WS = r"[\x0b\x0c\x1c-\x1f\x{85}\p{Z}]+"
 SENTENCE_END = r"([.!?])" + WS + "+"
+SENTENCE_GAP = r"(?<=[.!?])" + WS + "+"
 PAGE_MARK = r"--- PAGE \d+ ---"
 UNIT = "\x1f"
 
@@ -39,8 +40,7 @@ def words(c: Column) -> Column:
 
 def sentences(c: Column) -> Column:
     """Break after . ! or ? followed by white space; pieces are stripped and non-empty."""
-    marked = F.regexp_replace(strip(c), SENTENCE_END, "$1" + UNIT)
-    return F.filter(F.split(marked, UNIT), lambda s: s != "")
+    return F.filter(F.split(strip(c), SENTENCE_GAP), lambda s: s != "")
 
 
 def sentence_count(c: Column) -> Column:

@@ -16,21 +16,10 @@ def as_double(v: Column) -> Column:
     return v.cast("array<double>")
 
 
-def dot(a: Column, b: Column) -> Column:
-    prod = F.zip_with(as_double(a), as_double(b), lambda x, y: x * y)
-    return F.aggregate(prod, F.lit(0.0), lambda s, x: s + x)
-
-
 def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(as_double(v), F.lit(0.0), lambda s, x: s + x * x))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Zero when either vector has no length."""
-    n = norm(a) * norm(b)
-    return F.when(n > 0, dot(a, b) / n).otherwise(F.lit(0.0))
-
-
 def l2_normalize(v: Column) -> Column:
     """Unit length; a zero vector stays as it is."""
     return let(norm(v), lambda n: F.transform(as_double(v), lambda x: F.when(n > 0, x / n).otherwise(x)))

@@ -17,9 +17,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docspark.session import BROADCAST_ROWS, cut_lineage
+from docspark.session import cut_lineage
 
 Columns = dict[str, pa.Array]
+# A score matrix of one tile pair has at most 32 MB.
+LEFT_TILE, RIGHT_TILE = 4096, 1024
+# Packs of the right side that a column of the grid takes; left packs are dealt over its rows.
+COLUMN_PACKS = 16
 
 
 def pack(df: DataFrame, key: str | None = None, order: list[str] | None = None, prefix: str = "") -> DataFrame:
@@ -70,28 +74,24 @@ def block_join(
 ) -> DataFrame:
     """Score every pack of ``left`` against every pack of ``right`` with the same key.
 
-    Unkeyed, the right side is broadcast when it is small. Beyond the bound both sides are laid
-    on a grid: right packs are spread over as many columns as the bound needs and left packs over
-    ``left_salts`` rows, so every cell is an ordinary shuffled equi-join partition.
+    Unkeyed, both sides are laid on a grid of cells: right packs over columns of ``COLUMN_PACKS``
+    packs, left packs over ``left_salts`` rows. A cell is an ordinary equi-join partition, and
+    adaptive execution broadcasts the right side where its measured bytes allow.
     """
-    if key is None:
-        # The small side is written down once: it is counted here and read by the join.
-        right = cut_lineage(right)
     lp = pack(left, key, left_order, "l_")
     rp = pack(right, key, right_order, "r_")
     on = ["pack_key"]
     if key is None:
-        n = right.count()
-        if n <= BROADCAST_ROWS:
-            rp = F.broadcast(rp)
-        else:
-            columns = math.ceil(n / BROADCAST_ROWS)
-            first_l, first_r = f"l_{left.columns[0]}", f"r_{right.columns[0]}"
-            lp = lp.withColumn("cell_row", F.pmod(F.xxhash64(F.col(first_l)[0]), F.lit(left_salts)))
-            lp = lp.withColumn("cell_col", F.explode(_upto(columns)))
-            rp = rp.withColumn("cell_col", F.pmod(F.xxhash64(F.col(first_r)[0]), F.lit(columns)))
-            rp = rp.withColumn("cell_row", F.explode(_upto(left_salts)))
-            on = ["pack_key", "cell_row", "cell_col"]
+        # Written down once: it is counted here and read by the join.
+        rp = cut_lineage(rp)
+        columns = math.ceil(max(1, rp.count()) / COLUMN_PACKS)
+        rows = left_salts if columns > 1 else 1
+        first_l, first_r = f"l_{left.columns[0]}", f"r_{right.columns[0]}"
+        lp = lp.withColumn("cell_row", F.pmod(F.xxhash64(F.col(first_l)[0]), F.lit(rows)))
+        lp = lp.withColumn("cell_col", F.explode(_upto(columns)))
+        rp = rp.withColumn("cell_col", F.pmod(F.xxhash64(F.col(first_r)[0]), F.lit(columns)))
+        rp = rp.withColumn("cell_row", F.explode(_upto(rows)))
+        on = ["cell_row", "cell_col"]
     lcols = [c for c in left.columns if c != key]
     rcols = [c for c in right.columns if c != key]
 
@@ -101,14 +101,23 @@ def block_join(
             for i in range(b.num_rows):
                 lv = {c: b.column(at["l_" + c])[i].values for c in lcols}
                 rv = {c: b.column(at["r_" + c])[i].values for c in rcols}
-                out = score(lv, rv)
-                if out is not None and out.num_rows:
-                    yield out
+                for lt in _tiles(lv, LEFT_TILE):
+                    for rt in _tiles(rv, RIGHT_TILE):
+                        out = score(lt, rt)
+                        if out is not None and out.num_rows:
+                            yield out
 
     joined = lp.join(rp, on).select(*(f"l_{c}" for c in lcols), *(f"r_{c}" for c in rcols))
     return joined.mapInArrow(run, schema)
 
 
+def _tiles(columns: Columns, rows: int):
+    """Slices of the columns, without copies; a score matrix is never larger than two of them."""
+    n = len(next(iter(columns.values())))
+    for s in range(0, n, rows):
+        yield {c: v.slice(s, rows) for c, v in columns.items()}
+
+
 def _upto(n: int) -> Column:
     return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
 

@@ -9,11 +9,15 @@ from docspark.functions import hashing
 
 
 def upsert_status(catalogue: DataFrame, updates: DataFrame) -> DataFrame:
-    """Newest status per document; the first source_uri stays (CAT1)."""
-    both = catalogue.unionByName(updates)
+    """Newest status per document; the first source_uri stays (CAT1).
+
+    At one time an update stands over what is there, and a later status in order over an earlier.
+    """
+    turn = lambda df, n: df.withColumn("_turn", F.lit(n))
+    both = turn(catalogue, 0).unionByName(turn(updates, 1))
     picked = both.groupBy("doc_id").agg(
-        F.min_by("source_uri", "updated_at").alias("source_uri"),
-        F.max_by(F.struct("status", "error_message", "updated_at"), "updated_at").alias("s"),
+        F.min_by("source_uri", F.struct("updated_at", "_turn", "source_uri")).alias("source_uri"),
+        F.max_by(F.struct("status", "error_message", "updated_at"), F.struct("updated_at", "_turn", "status", "error_message")).alias("s"),
     )
     return picked.select("doc_id", "source_uri", "s.status", "s.error_message", "s.updated_at")
 

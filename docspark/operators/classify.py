@@ -17,9 +17,16 @@ EPS = 1e-9
 
 
 def align(probs: Column) -> Column:
-    """The map's probabilities in class order, absent classes zero (CLS3)."""
-    pick = lambda m: F.array(*(F.coalesce(F.try_element_at(m, F.lit(c)), F.lit(0.0)) for c in CLASSES))
-    return let(F.transform_keys(probs, lambda k, v: F.lower(k)), pick)
+    """The map's probabilities in class order, absent classes zero (CLS3).
+
+    Of keys that differ in case only the last stands.
+    """
+
+    def pick(entries: Column) -> Column:
+        named = lambda c: F.filter(entries, lambda e: F.lower(e["key"]) == c)
+        return F.array(*(F.coalesce(F.try_element_at(named(c), F.lit(-1))["value"], F.lit(0.0)) for c in CLASSES))
+
+    return let(F.map_entries(probs), pick)
 
 
 def blend(structural: Column, text: Column, weights: dict[str, float] = BLEND) -> Column:

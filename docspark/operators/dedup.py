@@ -12,13 +12,15 @@ from docspark.session import cut_lineage
 def first_wins(rows: DataFrame, key: str, ts: str, doc_id: str) -> DataFrame:
     """Adds is_duplicate and existing_doc_id: the earliest row of a key wins (DED1-2, no TTL).
 
+    Rows without a key are no duplicates of anything.
+
     The winner is a map-side combined minimum, so a key held by a third of all rows reaches the
     shuffle as one row per task; joining it back is an equi-join AQE may split when skewed.
     """
     firsts = rows.groupBy(key).agg(F.min(F.struct(ts, doc_id)).alias("_first"))
-    dup = F.col(doc_id) != F.col(f"_first.{doc_id}")
+    dup = F.coalesce(F.col(doc_id) != F.col(f"_first.{doc_id}"), F.lit(False))
     return (
-        rows.join(firsts, key)
+        rows.join(firsts, key, "left")
         .withColumn("is_duplicate", dup)
         .withColumn("existing_doc_id", F.when(dup, F.col(f"_first.{doc_id}")))
         .drop("_first")

@@ -67,10 +67,16 @@ def psi(df: DataFrame, x: str) -> DataFrame:
 
 
 def psi_vectors(df: DataFrame, vec: str = "embedding", dims: int = 10) -> DataFrame:
-    """Largest PSI over principal components fitted on the reference (DRF2): (dim, psi)."""
+    """PSI of each principal component fitted on the reference (DRF2): (dim, psi).
+
+    With ``MIN_VECTORS`` rows or fewer on a side nothing can be told, and there are no rows.
+    """
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
+    sizes = df.agg(F.sum(_is("ref")).alias("r"), F.sum(_is("cur")).alias("c")).first()
+    if min(sizes["r"] or 0, sizes["c"] or 0) <= MIN_VECTORS:
+        return df.sparkSession.createDataFrame([], "dim int, psi double")
     data = df.select("side", array_to_vector(F.col(vec).cast("array<double>")).alias("v"))
     model = PCA(k=dims, inputCol="v", outputCol="p").fit(data.where(F.col("side") == "ref"))
     proj = model.transform(data).select("side", vector_to_array("p").alias("p"))
@@ -84,6 +90,11 @@ def psi_vectors(df: DataFrame, vec: str = "embedding", dims: int = 10) -> DataFr
     return _psi_rows(counted, ["dim"])
 
 
+def psi_largest(df: DataFrame, vec: str = "embedding", dims: int = 10) -> DataFrame:
+    """The largest of ``psi_vectors``, 0 where there are none (DRF2): one row."""
+    return psi_vectors(df, vec, dims).agg(F.coalesce(F.max("psi"), F.lit(0.0)).alias("psi"))
+
+
 def ks_two_sample(df: DataFrame, x: str) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov distance and asymptotic p-value (DRF3): one row."""
     sides = df.select(F.col(x), _is("ref").alias("r"), _is("cur").alias("c"))

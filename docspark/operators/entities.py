@@ -37,24 +37,26 @@ def unicode_pattern(p: str) -> str:
 def regex_spans(text: Column, label: str, pattern: str) -> Column:
     """Matches of one pattern with offsets, end exclusive (NER1).
 
-    Matches are fenced by two markers; splitting at them leaves matches at odd places, and the
-    running length of the pieces gives their offsets.
+    Splitting the text at the matches leaves the gaps between them, so no marker enters the text;
+    the running length of gaps and matches gives the offsets.
     """
     p = unicode_pattern(pattern)
-    pieces = F.split(F.regexp_replace(text, F.lit(p), F.lit("\x01$0\x02")), "[\x01\x02]")
+    gap = lambda g, m: F.struct(g.alias("gap"), m.alias("match"))
+    pieces = F.zip_with(F.split(text, p), F.regexp_extract_all(text, F.lit(p), F.lit(0)), gap)
     empty = F.array().cast(SPAN)
 
     def step(acc: Column, piece: Column) -> Column:
-        n = F.char_length(piece)
-        end = (acc["at"] + n).cast("int")
+        match = piece["match"]
+        start = acc["at"] + F.char_length(piece["gap"])
+        end = (start + F.coalesce(F.char_length(match), F.lit(0))).cast("int")
         span = F.struct(
-            piece.alias("text"), F.lit(label).alias("label"), acc["at"].alias("start"), end.alias("end"),
+            match.alias("text"), F.lit(label).alias("label"), start.alias("start"), end.alias("end"),
             F.lit(1.0).alias("confidence"),
         )
-        spans = F.when(acc["odd"], F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
-        return F.struct(end.alias("at"), (~acc["odd"]).alias("odd"), spans.alias("spans"))
+        spans = F.when(match.isNotNull(), F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
+        return F.struct(end.alias("at"), spans.alias("spans"))
 
-    zero = F.struct(F.lit(0).alias("at"), F.lit(False).alias("odd"), empty.alias("spans"))
+    zero = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
     return F.aggregate(pieces, zero, step, lambda acc: acc["spans"])
 
 

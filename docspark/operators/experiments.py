@@ -14,7 +14,6 @@ MIN_SAMPLES = 10
 ROLLBACK_FACTOR, ROLLBACK_FLOOR = 1.5, 0.01
 SHADOW_ROUGE = 0.40
 RAMP_STEP, RAMP_CAP, RAMP_HOURS = 0.05, 0.50, 2
-Z_LIMIT = 1.959964
 DRIFT_LIMIT, LABEL_LIMIT = 0.15, 500
 
 
@@ -209,6 +208,7 @@ def stage_history(versions: DataFrame) -> DataFrame:
 
 
 def latest_results(results: DataFrame) -> DataFrame:
-    """One result per experiment, the last written (SNK5)."""
-    w = Window.partitionBy("experiment_id").orderBy(F.desc("written_at"))
+    """One result per experiment, the last written; at one time the greatest of the other columns (SNK5)."""
+    others = [F.desc(c) for c in results.columns if c not in ("experiment_id", "written_at")]
+    w = Window.partitionBy("experiment_id").orderBy(F.desc("written_at"), *others)
     return results.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")

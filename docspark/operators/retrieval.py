@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from docspark.functions import text as tx
 from docspark.operators import blocks
-from docspark.session import broadcast_if_small
 
 K1, B = 1.2, 0.75
 RERANK_THRESHOLD = 0.4
@@ -29,67 +28,81 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("term"))
 
 
-def bm25_topk(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """BM25 over (chunk_id, text) for (query_id, text): (query_id, chunk_id, score, rank).
-
-    Chunk text is never shuffled: the scan meets packed query weights, term weights of a pack
-    form a matrix, and each pack keeps its k best. Only query terms get document frequencies,
-    counted with map-side combine, so a term found in every chunk costs one counter.
-    """
-    toks = chunks.select("chunk_id", tx.tokens(F.col("text")).alias("toks"))
+def _bm25_weights(toks: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, terms, idfs, avg_len) of queries with a known term; only query terms are counted."""
     totals = toks.agg(F.count("*").alias("n"), F.avg(F.size("toks")).alias("avg_len"))
     terms = query_terms(queries)
-    vocabulary = broadcast_if_small(terms.select("term").distinct())
     df = (
         toks.select(F.explode(F.array_distinct("toks")).alias("term"))
-        .join(vocabulary, "term", "left_semi")
+        .join(terms.select("term").distinct(), "term", "left_semi")
         .groupBy("term")
         .agg(F.count("*").alias("df"))
     )
     n = totals.select("n").scalar()
     idf = F.log(F.lit(1.0) + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = terms.join(df, "term").select("query_id", "term", idf.alias("idf"))
-    per_query = weights.groupBy("query_id").agg(
+    return weights.groupBy("query_id").agg(
         F.collect_list("term").alias("terms"),
         F.collect_list("idf").alias("idfs"),
         F.lit(totals.select("avg_len").scalar()).alias("avg_len"),
     )
-    chunk_type = chunks.schema["chunk_id"].dataType.simpleString()
-    query_type = queries.schema["query_id"].dataType.simpleString()
+
+
+def _bm25_scores(c: blocks.Columns, q: blocks.Columns) -> np.ndarray:
+    """Scores of a tile of chunks (toks) against a tile of queries (terms, idfs, avg_len)."""
+    q_terms = q["terms"].flatten()
+    q_row = np.repeat(np.arange(len(q["terms"])), q["terms"].value_lengths().to_numpy())
+    vocab = q_terms.unique()
+    weight = np.zeros((len(vocab), len(q["terms"])))
+    weight[_positions(q_terms, vocab), q_row] = q["idfs"].flatten().to_numpy(zero_copy_only=False)
+    avg_len = q["avg_len"][0].as_py()
+
+    lens = c["toks"].value_lengths().to_numpy().astype(float)
+    found = _positions(c["toks"].flatten(), vocab)
+    rows = np.repeat(np.arange(len(lens)), lens.astype(int))[found >= 0]
+    step = max(1, 4_000_000 // max(1, len(vocab)))  # dense piece of at most 32 MB
+    starts = np.arange(0, len(lens), step)
+    cuts = np.searchsorted(rows, np.append(starts, len(lens)))
+    hit = found[found >= 0]
+    out = []
+    for p, s in enumerate(starts):
+        e = min(s + step, len(lens))
+        tf = np.zeros((e - s, len(vocab)))
+        np.add.at(tf, (rows[cuts[p] : cuts[p + 1]] - s, hit[cuts[p] : cuts[p + 1]]), 1.0)
+        scale = K1 * (1 - B + B * lens[s:e] / avg_len)
+        sat = tf * (K1 + 1) / (tf + scale[:, None])
+        out.append(np.round(sat @ weight, 9))
+    return np.concatenate(out)
+
+
+def _hits(c: blocks.Columns, q: blocks.Columns, m: np.ndarray, k: int) -> pa.RecordBatch:
+    """The k best rows (and ties) of every column."""
+    i, j = blocks.top_rows(m, k)
+    return pa.RecordBatch.from_arrays(
+        [q["query_id"].take(pa.array(j)), c["chunk_id"].take(pa.array(i)), pa.array(m[i, j])], names=["query_id", "chunk_id", "score"]
+    )
+
+
+def _types(chunks: DataFrame, queries: DataFrame) -> tuple[str, str]:
+    return chunks.schema["chunk_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+
+
+def bm25_topk(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """BM25 over (chunk_id, text) for (query_id, text): (query_id, chunk_id, score, rank).
+
+    Chunk text is never shuffled: the scan meets packed query weights, term weights of a tile of
+    queries form a matrix, and each tile keeps its k best. Only query terms get document
+    frequencies, counted with map-side combine, so a term found in every chunk costs one counter.
+    """
+    toks = chunks.select("chunk_id", tx.tokens(F.col("text")).alias("toks"))
+    chunk_type, query_type = _types(chunks, queries)
 
     def score(c: blocks.Columns, q: blocks.Columns) -> pa.RecordBatch:
-        q_terms = q["terms"].flatten()
-        q_row = np.repeat(np.arange(len(q["terms"])), q["terms"].value_lengths().to_numpy())
-        vocab = q_terms.unique()
-        weight = np.zeros((len(vocab), len(q["terms"])))
-        weight[_positions(q_terms, vocab), q_row] = q["idfs"].flatten().to_numpy(zero_copy_only=False)
-        avg_len = q["avg_len"][0].as_py()
-
-        lens = c["toks"].value_lengths().to_numpy().astype(float)
-        found = _positions(c["toks"].flatten(), vocab)
-        rows = np.repeat(np.arange(len(lens)), lens.astype(int))[found >= 0]
-        out = []
-        step = max(1, 4_000_000 // max(1, len(vocab)))  # dense piece of at most 32 MB
-        starts = np.arange(0, len(lens), step)
-        cuts = np.searchsorted(rows, np.append(starts, len(lens)))
-        hit = found[found >= 0]
-        for p, s in enumerate(starts):
-            e = min(s + step, len(lens))
-            tf = np.zeros((e - s, len(vocab)))
-            np.add.at(tf, (rows[cuts[p] : cuts[p + 1]] - s, hit[cuts[p] : cuts[p + 1]]), 1.0)
-            scale = K1 * (1 - B + B * lens[s:e] / avg_len)
-            sat = tf * (K1 + 1) / (tf + scale[:, None])
-            m = np.round(sat @ weight, 9)
-            m[m <= 0] = -np.inf
-            i, j = blocks.top_rows(m, k)
-            out.append((i + s, j, m[i, j]))
-        i, j, s = (np.concatenate(x) for x in zip(*out))
-        return pa.RecordBatch.from_arrays(
-            [q["query_id"].take(pa.array(j)), c["chunk_id"].take(pa.array(i)), pa.array(s)],
-            names=["query_id", "chunk_id", "score"],
-        )
+        m = _bm25_scores(c, q)
+        m[m <= 0] = -np.inf
+        return _hits(c, q, m, k)
 
-    found = blocks.block_join(toks, per_query, score, f"query_id {query_type}, chunk_id {chunk_type}, score double")
+    found = blocks.block_join(toks, _bm25_weights(toks, queries), score, f"query_id {query_type}, chunk_id {chunk_type}, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -101,27 +114,49 @@ def _positions(values: pa.Array, vocab: pa.Array) -> np.ndarray:
     return pc.fill_null(pc.index_in(values, value_set=vocab), -1).to_numpy(zero_copy_only=False)
 
 
-def hybrid_topk(dense: DataFrame, sparse: DataFrame, k: int, alpha: float = 0.7) -> DataFrame:
-    """Min-max each ranked list per query and fuse: alpha dense, the rest keyword (VEC4).
+def hybrid_topk(chunks: DataFrame, queries: DataFrame, k: int, alpha: float = 0.7) -> DataFrame:
+    """Min-max both scores per query over all chunks and fuse: alpha dense, the rest keyword (VEC4).
 
-    Both inputs are top lists of (query_id, chunk_id, score); a chunk missing from one list
-    contributes zero there, and a list whose scores are all equal counts as one.
+    ``chunks`` (chunk_id, text, embedding) and ``queries`` (query_id, text, embedding). Every chunk has
+    a dense score; those that hold a query term have a keyword score, others contribute zero there. A
+    list whose scores are all equal counts as one. A first pass over the blocks finds each query's
+    ranges, a row per tile; a second fuses and keeps the k best of a tile.
     """
-
-    def scaled(df: DataFrame, name: str) -> DataFrame:
-        w = Window.partitionBy("query_id")
-        lo, hi = F.min("score").over(w), F.max("score").over(w)
-        v = F.when(hi > lo, (F.col("score") - lo) / (hi - lo)).otherwise(F.lit(1.0))
-        return df.select("query_id", "chunk_id", v.alias(name))
-
-    both = scaled(dense, "d").join(scaled(sparse, "s"), ["query_id", "chunk_id"], "full")
-    fused = F.round(F.coalesce("d", F.lit(0.0)) * alpha + F.coalesce("s", F.lit(0.0)) * (1 - alpha), 9)
+    toks = chunks.select("chunk_id", tx.tokens(F.col("text")).alias("toks"), "embedding")
+    chunk_type, query_type = _types(chunks, queries)
+    weights = _bm25_weights(toks, queries)
+    avg = toks.agg(F.avg(F.size("toks"))).scalar()
+    asked = queries.select("query_id", "embedding").join(weights.drop("avg_len"), "query_id", "left")
+    empty = lambda c, t: F.coalesce(c, F.array().cast(f"array<{t}>")).alias(c)
+    asked = asked.select("query_id", "embedding", empty("terms", "string"), empty("idfs", "double"), avg.alias("avg_len"))
+
+    def scores(c: blocks.Columns, q: blocks.Columns) -> tuple[np.ndarray, np.ndarray]:
+        dense = blocks.unit_rows(blocks.matrix(c["embedding"])) @ blocks.unit_rows(blocks.matrix(q["embedding"])).T
+        return np.round(dense, 9), _bm25_scores(c, q)
+
+    def ranges(c: blocks.Columns, q: blocks.Columns) -> pa.RecordBatch:
+        d, s = scores(c, q)
+        held = s > 0
+        lo, hi = np.where(held, s, np.inf).min(axis=0), np.where(held, s, -np.inf).max(axis=0)
+        made = [d.min(axis=0), d.max(axis=0), lo, hi]
+        return pa.RecordBatch.from_arrays([q["query_id"], *map(pa.array, made)], names=["query_id", "d_lo", "d_hi", "s_lo", "s_hi"])
+
+    found = blocks.block_join(toks, asked, ranges, f"query_id {query_type}, d_lo double, d_hi double, s_lo double, s_hi double")
+    ends = found.groupBy("query_id").agg(*(f(c).alias(c) for c, f in (("d_lo", F.min), ("d_hi", F.max), ("s_lo", F.min), ("s_hi", F.max))))
+
+    def scaled(m: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        wide = np.where(hi > lo, hi - lo, 1.0)
+        return np.where(hi > lo, (m - np.where(np.isfinite(lo), lo, 0.0)) / wide, 1.0)
+
+    def fuse(c: blocks.Columns, q: blocks.Columns) -> pa.RecordBatch:
+        d, s = scores(c, q)
+        d_lo, d_hi, s_lo, s_hi = (q[n].to_numpy() for n in ("d_lo", "d_hi", "s_lo", "s_hi"))
+        m = scaled(d, d_lo, d_hi) * alpha + np.where(s > 0, scaled(s, s_lo, s_hi), 0.0) * (1 - alpha)
+        return _hits(c, q, np.round(m, 9), k)
+
+    fused = blocks.block_join(toks, asked.join(ends, "query_id"), fuse, f"query_id {query_type}, chunk_id {chunk_type}, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return (
-        both.select("query_id", "chunk_id", fused.alias("score"))
-        .withColumn("rank", F.row_number().over(w))
-        .where(F.col("rank") <= k)
-    )
+    return fused.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def best_chunk_per_doc(hits: DataFrame) -> DataFrame:
@@ -235,9 +270,10 @@ def low_confidence(conf: Column) -> Column:
 
 
 def keywords(query: Column) -> Column:
-    """Lower-cased query words without edge punctuation, stop words and words under 3 letters."""
-    w = F.transform(tx.words(F.lower(query)), lambda x: F.regexp_replace(x, r"^[?,.!]+|[?,.!]+$", ""))
-    return F.filter(w, lambda x: (F.char_length(x) > 2) & ~x.isin(STOP_WORDS))
+    """Lower-cased query words of 3 signs or more as they stand, then without edge punctuation and stop words."""
+    long = F.filter(tx.words(F.lower(query)), lambda x: F.char_length(x) > 2)
+    w = F.transform(long, lambda x: F.regexp_replace(x, r"^[?,.!]+|[?,.!]+$", ""))
+    return F.filter(w, lambda x: ~x.isin(STOP_WORDS))
 
 
 def extractive_answer(hits: DataFrame, query: str, rank: str = "rank", top: int = 3) -> DataFrame:
@@ -286,6 +322,15 @@ def extractive_answer(hits: DataFrame, query: str, rank: str = "rank", top: int
     )
 
 
+def last_of_key(entries: Column) -> Column:
+    """A map of (key, value) entries in which a repeated key's last value stands."""
+
+    def last(e: Column, i: Column) -> Column:
+        return ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: x["key"] == e["key"])
+
+    return F.map_from_entries(F.filter(entries, last))
+
+
 def agent_actions(raw: Column) -> dict[str, Column]:
     """Tool call or answer of an agent reply (RAG11)."""
     tool = F.regexp_extract(raw, r"Action:\s*(\w+)", 1)
@@ -297,8 +342,9 @@ def agent_actions(raw: Column) -> dict[str, Column]:
     text_values = F.regexp_extract_all(args, F.lit(r'"\w+":\s*"([^"]*)"'), F.lit(1))
     nums = F.regexp_extract_all(args, F.lit(r'"(\w+)":\s*\d+\.?\d*'), F.lit(1))
     num_values = F.regexp_extract_all(args, F.lit(r'"\w+":\s*(\d+\.?\d*)'), F.lit(1))
-    pairs = F.map_from_arrays(F.concat(texts, nums), F.concat(text_values, num_values))
-    parsed = F.coalesce(F.from_json(args, "map<string,string>"), pairs)
+    entry = lambda k, v: F.struct(k.alias("key"), v.alias("value"))
+    pairs = F.zip_with(F.concat(texts, nums), F.concat(text_values, num_values), entry)
+    parsed = last_of_key(F.coalesce(F.map_entries(F.from_json(args, "map<string,string>")), pairs))
     return {
         "action": F.when(call, "tool_call").otherwise("respond"),
         "tool": F.when(call, tool),

@@ -250,12 +250,18 @@ ks_f AS (SELECT sum(r) OVER (ORDER BY len) / sum(r) OVER () AS f1, sum(c) OVER (
 ks AS (SELECT max(abs(f1 - f2)) AS statistic FROM ks_f)"""
 
 
+KS_P = """(SELECT CASE WHEN lam < 1e-3 THEN 1.0 ELSE least(1.0, greatest(0.0, 2 * list_sum(list_transform(range(1, 101), lambda k: CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END * exp(-2 * (k * lam) * (k * lam)))))) END
+  FROM (SELECT statistic * sqrt(n * m / (n + m)::DOUBLE) AS lam FROM ks, (SELECT (count(*) FILTER (side = 'ref'))::DOUBLE AS n, (count(*) FILTER (side = 'cur'))::DOUBLE AS m FROM sided)))"""
+CHI_P = """(SELECT CASE WHEN chi2 <= 0 OR dof <= 0 THEN 1.0 ELSE greatest(0.0, 1 - list_sum(list_transform(range(0, 2000), lambda k: exp((dof / 2.0 + k) * ln(chi2 / 2) - chi2 / 2 - lgamma(dof / 2.0 + k + 1))))) END FROM chi)"""
+
+
 @query(
     "ks_text_length",
-    f"""WITH {SIDED}{KS} SELECT round(statistic, 6) AS statistic, (SELECT count(*) FROM sided WHERE side = 'ref') AS n_ref, (SELECT count(*) FROM sided WHERE side = 'cur') AS n_cur FROM ks""",
+    f"""WITH {SIDED}{KS} SELECT round(statistic, 6) AS statistic, (SELECT count(*) FROM sided WHERE side = 'ref') AS n_ref, (SELECT count(*) FROM sided WHERE side = 'cur') AS n_cur, round({KS_P}, 6) AS p_value FROM ks""",
 )
 def ks_text_length(spark, sf):
-    return drift.ks_two_sample(sided_documents(spark, sf), "len").select(F.round("statistic", 6).alias("statistic"), "n_ref", "n_cur")
+    one = drift.ks_two_sample(sided_documents(spark, sf), "len")
+    return one.select(F.round("statistic", 6).alias("statistic"), "n_ref", "n_cur", F.round("p_value", 6).alias("p_value"))
 
 
 CHI = """,
@@ -266,9 +272,9 @@ ch_d AS (SELECT er, ec, abs(r - er) - CASE WHEN k = 2 THEN least(0.5, abs(r - er
 chi AS (SELECT sum(dr * dr / er + dc * dc / ec) AS chi2, count(*) - 1 AS dof FROM ch_d)"""
 
 
-@query("chi2_language", f"WITH {SIDED}{CHI} SELECT round(chi2, 6) AS chi2, dof FROM chi")
+@query("chi2_language", f"WITH {SIDED}{CHI} SELECT round(chi2, 6) AS chi2, dof, round({CHI_P}, 6) AS p_value FROM chi")
 def chi2_language(spark, sf):
-    return drift.chi2_two_sides(sided_documents(spark, sf), "lang").select(F.round("chi2", 6).alias("chi2"), "dof")
+    return drift.chi2_two_sides(sided_documents(spark, sf), "lang").select(F.round("chi2", 6).alias("chi2"), "dof", F.round("p_value", 6).alias("p_value"))
 
 
 def js_sql(source: str, x: str, name: str) -> str:
@@ -322,17 +328,23 @@ RATES = "len(regexp_extract_all(text, '[0-9]+'))"
 
 @query(
     "drift_report",
-    with_sql("preds", rest=TOP + JSC + js_sql("top", "class", "jp") + f", {SIDED}{KS}{CHI}" + js_sql("sided", RATES, "je") + """
-SELECT (jp.js > 0.1 OR jc.js > 0.1 OR je.js > 0.1) AS any_output_drift, round(jp.js, 6) AS predicted_classes_js, round(jc.js, 6) AS confidence_scores_js,
-  round(je.js, 6) AS entity_extraction_rates_js, jp.js > 0.1 AS classes_affected FROM jp, jc, je"""),
+    with_sql("preds", rest=TOP + JSC + js_sql("top", "class", "jp") + f", {SIDED}{KS}{CHI}" + js_sql("sided", RATES, "je") + f""",
+scores AS (SELECT {KS_P} AS k, {CHI_P} AS c, jp.js AS p, jc.js AS s, je.js AS e FROM jp, jc, je)
+SELECT k < 0.05 OR c < 0.05 OR p > 0.1 OR s > 0.1 OR e > 0.1 AS other_drift, round(p, 6) AS predicted_classes_js, round(s, 6) AS confidence_scores_js,
+  round(e, 6) AS entity_extraction_rates_js, round(k, 6) AS text_length_ks_p, round(c, 6) AS language_chi2_p,
+  array_to_string(list_filter([CASE WHEN k < 0.05 THEN 'text_lengths' END, CASE WHEN c < 0.05 THEN 'languages' END, CASE WHEN p > 0.1 THEN 'predicted_classes' END,
+    CASE WHEN s > 0.1 THEN 'confidence_scores' END, CASE WHEN e > 0.1 THEN 'entity_extraction_rates' END], lambda x: x IS NOT NULL), ',') AS affected,
+  true AS embeddings_scored FROM scores"""),
 )
 def drift_report(spark, sf):
     # Each score reads its side table several times, so the narrow columns are written down once.
     sides = sided_documents(spark, sf)
     docs = cut_lineage(sides.select("side", "len", "lang", F.regexp_count("text", F.lit("[0-9]+")).cast("string").alias("rate")))
     top = cut_lineage(top_classes(spark, sf).select("side", "class", "p"))
+    vectors = inputs.halves(inputs.table(spark, sf, "embeddings").select("vec_id", "embedding"), "vec_id")
     r = drift.report(
         {
+            "embedding_psi": drift.psi_largest(vectors),
             "text_length_ks_p": drift.ks_two_sample(docs, "len").select("p_value"),
             "language_chi2_p": drift.chi2_two_sides(docs, "lang").select("p_value"),
             "predicted_classes_js": drift.js_categorical(top, "class"),
@@ -341,11 +353,12 @@ def drift_report(spark, sf):
         },
         spark,
     )
-    has = lambda n: F.array_contains("affected_features", n)
+    # A component's sign and basis are the solver's, so its score is checked for being there only.
+    others = F.array_remove("affected_features", "embeddings")
+    names = ("predicted_classes_js", "confidence_scores_js", "entity_extraction_rates_js", "text_length_ks_p", "language_chi2_p")
     return r.select(
-        (has("predicted_classes") | has("confidence_scores") | has("entity_extraction_rates")).alias("any_output_drift"),
-        *(F.round(n, 6).alias(n) for n in ("predicted_classes_js", "confidence_scores_js", "entity_extraction_rates_js")),
-        has("predicted_classes").alias("classes_affected"),
+        (F.size(others) > 0).alias("other_drift"), *(F.round(n, 6).alias(n) for n in names),
+        F.array_join(others, ",").alias("affected"), (F.col("embedding_psi") >= 0).alias("embeddings_scored"),
     )
 
 

@@ -11,7 +11,7 @@ from docspark.operators import vectors as vec
 from docspark.plans import query
 from docspark.plans.text import word_count_sql
 from docspark.plans.vectors import embed_sql
-from docspark.session import BROADCAST_ROWS, cut_lineage, fits
+from docspark.session import cut_lineage
 
 K = 5
 BM25 = f""",
@@ -37,23 +37,16 @@ def bm25_hits(spark, sf):
     p, q = inputs.passages(spark, sf), inputs.questions(spark, sf)
     hits = rag.bm25_topk(p, q, 3 * K)
     # Hits are k per question; passages are scanned once more for the text of those.
-    rows = p.join(F.broadcast(hits) if rag_small(q) else hits, "chunk_id")
+    rows = p.join(hits, "chunk_id")
     return rows.join(q.select("query_id", F.col("text").alias("query")), "query_id")
 
 
-def rag_small(q) -> bool:
-    return fits(q, BROADCAST_ROWS // (3 * K))
-
-
 @query("bm25_topk", with_sql("passages", "questions", rest=BM25 + " SELECT query_id, chunk_id, rank, round(score, 4) AS score FROM hits"))
 def bm25_topk(spark, sf):
     h = rag.bm25_topk(inputs.passages(spark, sf), inputs.questions(spark, sf), 3 * K)
     return h.select("query_id", "chunk_id", "rank", F.round("score", 4).alias("score"))
 
 
-POOL = 50
-
-
 @query(
     "hybrid_topk",
     with_sql("passages", "questions", rest=BM25
@@ -62,18 +55,17 @@ POOL = 50
              + f""",
 ds AS (SELECT query_id, chunk_id, round(list_dot_product(pv.embedding, qv.embedding), 9) AS score
   FROM (SELECT p.chunk_id, coalesce(embedding, list_transform(range(0, 64), lambda i: 0.0)) AS embedding FROM passages p LEFT JOIN pv USING (chunk_id)) pv, qv),
-dense AS (SELECT query_id, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rn FROM ds) WHERE rn <= {POOL}),
-sparse AS (SELECT query_id, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rn FROM bm) WHERE rn <= {POOL}),
-dn AS (SELECT query_id, chunk_id, CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 1.0 END AS d FROM (SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi FROM dense WINDOW w AS (PARTITION BY query_id))),
-sn AS (SELECT query_id, chunk_id, CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 1.0 END AS s FROM (SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi FROM sparse WINDOW w AS (PARTITION BY query_id))),
+dn AS (SELECT query_id, chunk_id, CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 1.0 END AS d FROM (SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi FROM ds WINDOW w AS (PARTITION BY query_id))),
+sn AS (SELECT query_id, chunk_id, CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 1.0 END AS s FROM (SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi FROM bm WINDOW w AS (PARTITION BY query_id))),
 fused AS (SELECT query_id, chunk_id, round(coalesce(d, 0.0) * 0.7 + coalesce(s, 0.0) * (1 - 0.7), 9) AS score FROM dn FULL JOIN sn USING (query_id, chunk_id))
 SELECT query_id, chunk_id, rank, round(score, 4) AS score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM fused) WHERE rank <= 10"""),
 )
 def hybrid_topk(spark, sf):
     p, q = inputs.passages(spark, sf), inputs.questions(spark, sf)
-    dense = vec.exact_topk(vec.encode(p, F.col("text")), vec.encode_queries(q, F.col("text")), POOL)
-    h = rag.hybrid_topk(dense, rag.bm25_topk(p, q, POOL), 10)
+    # Encoded passages are read by two passes over the blocks.
+    chunks = cut_lineage(vec.encode(p, F.col("text")).select("chunk_id", "text", "embedding"))
+    h = rag.hybrid_topk(chunks, vec.encode_queries(q, F.col("text")), 10)
     return h.select("query_id", "chunk_id", "rank", F.round("score", 4).alias("score"))
 
 
@@ -138,7 +130,7 @@ STOPS = ", ".join(f"'{w}'" for w in rag.STOP_WORDS)
 EXTRACTIVE = f""",
 kw AS (
   SELECT query_id, rank, left(doc_id::VARCHAR, 8) AS short, {strip_sql("replace(text, chr(10), ' ')")} AS flat,
-    list_filter(list_transform({words_sql("lower(query)")}, lambda w: regexp_replace(w, '^[?,.!]+|[?,.!]+$', '', 'g')), lambda w: length(w) > 2 AND w NOT IN ({STOPS})) AS kw FROM hit_rows),
+    list_filter(list_transform(list_filter({words_sql("lower(query)")}, lambda w: length(w) > 2), lambda w: regexp_replace(w, '^[?,.!]+|[?,.!]+$', '', 'g')), lambda w: w NOT IN ({STOPS})) AS kw FROM hit_rows),
 st AS (
   SELECT query_id, rank, short, kw, unnest(s) AS sentence, generate_subscripts(s, 1) AS pos FROM (SELECT *, {sentences_sql("flat")} AS s FROM kw)),
 sc AS (SELECT *, len(list_filter(kw, lambda k: contains(lower(sentence), k))) AS hits FROM st),

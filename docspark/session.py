@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# The largest side, in rows of a bounded width, that may be broadcast.
-BROADCAST_ROWS = 200_000
-
-
 # What results and memory use rely on; all can be set on a running session.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -66,6 +64,7 @@ def shared_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         configured = tempfile.mkdtemp(prefix="docspark-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
     sc.setCheckpointDir(configured)
     return configured
 
@@ -79,25 +78,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives executor loss, unlike a local one."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin over all cores when a table has fewer file splits than cores.
-
-    A large table has many splits and passes through unchanged; this only keeps one small file
-    from running as one task.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``rows`` rows, reading no more than it must."""
-    return df.limit(rows + 1).count() <= rows
-
-
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only behind a size check; otherwise AQE picks a shuffle join."""
-    from pyspark.sql import functions as F
-
-    return F.broadcast(df) if fits(df, rows) else df

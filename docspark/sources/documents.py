@@ -188,7 +188,8 @@ def dead_letters(rejected: DataFrame, failed_at: Column) -> DataFrame:
 
     ``failed_at`` is written in epoch seconds beside the text form, so readers need no parsing.
     """
-    doc = F.struct(*(c for c in rejected.columns if c not in ("failure_reason", "raw_bytes")))
+    # Binary fields are base64 in JSON, so a retried letter can be checked against its checksum.
+    doc = F.struct(*(F.base64(c).alias(c) if t == "binary" else F.col(c) for c, t in rejected.dtypes if c != "failure_reason"))
     return rejected.select(
         F.to_json(F.struct("failure_reason", failed_at.cast("timestamp").alias("failed_at"), doc.alias("document"))).alias("value")
     )
@@ -241,17 +242,18 @@ def next_version(latest: Column, env: str, requested: Column | None = None) -> C
     return F.when(F.coalesce(requested, F.lit("")) != "", tagged).otherwise(auto)
 
 
-def snapshot_if_large(batch: DataFrame, registry: DataFrame, root: str, env: str) -> DataFrame:
-    """Writes a version of a batch over the row limit; returns the registry with it (SNK6).
+def snapshot_if_large(batch: DataFrame, registry: DataFrame, root: str, env: str, over: int = SNAPSHOT_ROWS) -> DataFrame:
+    """Writes a version of a batch of more than ``over`` rows; returns the registry with it (SNK6).
 
-    ``registry`` (version, written_at) is small: a row per snapshot.
+    ``registry`` (version, written_at) is small: a row per snapshot. A batch that isn't written has
+    a row as well, without a version.
     """
-    if batch.limit(SNAPSHOT_ROWS + 1).count() <= SNAPSHOT_ROWS:
-        return registry
-    latest = registry.agg(F.max_by("version", "written_at").alias("latest"))
+    spark = batch.sparkSession
+    if batch.limit(over + 1).count() <= over:
+        return registry.unionByName(spark.range(1).select(F.lit(None).cast("string").alias("version"), F.current_timestamp().alias("written_at")))
+    latest = registry.where("version IS NOT NULL").agg(F.max_by("version", "written_at").alias("latest"))
     tag = latest.select(next_version(F.col("latest"), env)).first()[0]
     batch.write.mode("overwrite").parquet(f"{root.rstrip('/')}/{tag}")
-    spark = batch.sparkSession
     row = spark.range(1).select(F.lit(tag).alias("version"), F.current_timestamp().alias("written_at"))
     return registry.unionByName(row)
 

@@ -8,18 +8,19 @@ from pyspark.sql import types as T
 
 from docspark.operators import quality
 from docspark.operators.telemetry import count_label
-from docspark.session import scratch_path, spread
+from docspark.session import scratch_path
 from docspark.sources import documents
 
 WATERMARK = "10 minutes"
 
 
-def kafka_source(spark: SparkSession, servers: str, pattern: str = "raw.*", per_trigger: int = 100) -> DataFrame:
+def kafka_source(spark: SparkSession, servers: str, pattern: str = "raw.*", per_trigger: int | None = None) -> DataFrame:
     """Broker messages as documents (SRC2). Needs the Kafka connector on the class path."""
-    raw = (
-        spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribePattern", pattern)
-        .option("startingOffsets", "earliest").option("maxOffsetsPerTrigger", per_trigger).load()
+    reader = (
+        spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers)
+        .option("subscribePattern", pattern).option("startingOffsets", "earliest")
     )
+    raw = (reader if per_trigger is None else reader.option("maxOffsetsPerTrigger", per_trigger)).load()
     return documents.from_messages(raw.select("value", "topic", "partition", "offset"))
 
 
@@ -82,9 +83,9 @@ def gated_ingest(docs: DataFrame, root: str, checkpoint: str):
 
     def write(batch: DataFrame, batch_id: int) -> None:
         # Both outputs read the verdicts, so they are kept for the length of the batch.
-        checked = quality.validate(spread(batch)).persist()
+        checked = quality.validate(batch).persist()
         bad = F.col("failure_reason").isNotNull()
-        good = checked.where(~bad).drop("failure_reason", "raw_bytes")
+        good = checked.where(~bad).drop("failure_reason")
         good.write.mode("overwrite").parquet(f"{root}/accepted/batch-{batch_id}")
         letters = documents.dead_letters(checked.where(bad).drop("quality_score"), F.col("ingestion_ts"))
         letters.write.mode("overwrite").parquet(f"{root}/dead_letters/batch-{batch_id}")
