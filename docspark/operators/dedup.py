@@ -38,38 +38,43 @@ def ttl_registrations(rows: DataFrame, key: str, at: str, ttl: int) -> DataFrame
     """(key, reg): the times a key was registered, each opening ``ttl`` units during which
     further rows are duplicates and do not extend it.
 
-    Registrations of a key are at least one TTL apart, so an aligned slice of that width holds at
-    most one. A row with no row of its key in the TTL before it always registers; those are found
-    on the (key, slice) summary. From there every open chain takes one step per round, all keys
-    together, and the step needs the next two slices only. Rounds are bounded by the longest
-    unbroken run divided by the TTL; no group is ever gathered, and each round is a map-side
-    combined minimum.
+    Every time points to the one that would register after it: the first of its key a TTL or more
+    later, found in the next aligned slice or else as the start of the slice after. A row with no row
+    of its key in the TTL before it always registers; from these, pointers are followed by doubling,
+    so the rounds grow with the logarithm of the longest unbroken run over the TTL. No group is
+    gathered: a key is cut into slices, and its slices are met by equality.
     """
     slim = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(at).cast("long").alias("t"))
-    # Keys and distinct times only, written down once and read by every round.
+    # Keys and distinct times only, written down once.
     sliced = cut_lineage(slim.distinct().withColumn("slice", F.floor(F.col("t") / ttl).cast("long")))
     summary = sliced.groupBy("k", "slice").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
     w = Window.partitionBy("k").orderBy("slice")
-    prev = F.lag("hi").over(w)
-    opening = summary.withColumn("prev", prev).where(F.col("prev").isNull() | (F.col("lo") - F.col("prev") >= ttl))
-    starts = cut_lineage(opening.select("k", F.col("lo").alias("reg")))
-    found, frontier = starts, starts
+    ahead = {f"{c}{i}": F.lead(c, i).over(w) for i in (1, 2) for c in ("slice", "lo")}
+    summary = cut_lineage(summary.withColumns({"prev": F.lag("hi").over(w), **ahead}))
+    opening = summary.where(F.col("prev").isNull() | (F.col("lo") - F.col("prev") >= ttl)).select("k", F.col("lo").alias("t"))
+
+    # A time and what it asks of the next slice are sorted together, latest first; the last time seen is the answer.
+    asked = sliced.select("k", (F.col("slice") + 1).alias("slice"), (F.col("t") + ttl).alias("t"), F.col("t").alias("of"))
+    both = asked.unionByName(sliced.withColumn("of", F.lit(None).cast("long")))
+    latest = Window.partitionBy("k", "slice").orderBy(F.desc("t"), F.col("of").asc_nulls_first())
+    seen = F.last(F.when(F.col("of").isNull(), F.col("t")), ignorenulls=True).over(latest.rowsBetween(Window.unboundedPreceding, 0))
+    inside = both.select("k", "slice", "of", seen.alias("seen")).where(F.col("of").isNotNull())
+    inside = inside.select("k", F.col("of").alias("t"), (F.col("slice") - 1).alias("slice"), "seen")
+    close = F.col("slice1") == F.col("slice") + 1
+    target = F.when(close, F.coalesce("seen", "lo2")).otherwise(F.col("lo1"))
+    jumps = inside.join(summary, ["k", "slice"]).select("k", "t", target.alias("to")).where(F.col("to").isNotNull())
+    jumps = cut_lineage(jumps)
+
+    found = cut_lineage(opening)
     while True:
-        ahead = frontier.select(
-            "k", "reg", F.explode(F.array(*(F.floor(F.col("reg") / ttl).cast("long") + i for i in (1, 2)))).alias("slice")
-        )
-        step = (
-            sliced.join(ahead, ["k", "slice"])
-            .where(F.col("t") >= F.col("reg") + ttl)
-            .groupBy("k", "reg")
-            .agg(F.min("t").alias("nxt"))
-            .select("k", F.col("nxt").alias("reg"))
-        )
-        frontier = cut_lineage(step.join(starts, ["k", "reg"], "left_anti"))
-        if frontier.isEmpty():
+        reached = found.join(jumps, ["k", "t"]).select("k", F.col("to").alias("t")).join(found, ["k", "t"], "left_anti").distinct()
+        reached = cut_lineage(reached)
+        if reached.isEmpty():
             break
-        found = found.unionByName(frontier)
-    return found.select(F.col("k").alias(key), "reg")
+        found = cut_lineage(found.unionByName(reached))
+        onward = jumps.select("k", F.col("t").alias("to"), F.col("to").alias("far"))
+        jumps = cut_lineage(jumps.join(onward, ["k", "to"]).select("k", "t", F.col("far").alias("to")))
+    return found.select(F.col("k").alias(key), F.col("t").alias("reg"))
 
 
 def ttl_dedup(rows: DataFrame, key: str, at: str, doc_id: str, ttl: int) -> DataFrame:

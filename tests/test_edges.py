@@ -54,6 +54,25 @@ def test_rows_without_a_key_stay(spark):
     assert got == {1: (False, None), 2: (True, 1), 3: (False, None), 4: (False, None)}
 
 
+def test_a_long_chain_of_registrations_takes_few_rounds(spark, monkeypatch):
+    """One key seen every third of a TTL for 5,000 registrations, and a few keys at random times."""
+    rounds = []
+    real = dedup.cut_lineage
+    monkeypatch.setattr(dedup, "cut_lineage", lambda df: rounds.append(1) or real(df))
+    r = np.random.default_rng(2)
+    rows = [("hot", t) for t in range(0, 5000 * 99, 33)] + [(f"k{k}", int(t)) for k in range(4) for t in r.integers(0, 3000, 200)]
+    df = spark.createDataFrame(rows, "key string, t long")
+    got = sorted(map(tuple, dedup.ttl_registrations(df, "key", "t", 90).collect()))
+    want = []
+    for k in {k for k, _ in rows}:
+        reg = None
+        for t in sorted({t for x, t in rows if x == k}):
+            if reg is None or t - reg >= 90:
+                reg = t
+                want.append((k, t))
+    assert got == sorted(want) and len(rounds) < 60
+
+
 def test_ties_have_one_outcome(spark):
     schema = "doc_id long, source_uri string, status string, error_message string, updated_at long"
     old = spark.createDataFrame([(1, "a", "queued", None, 5)], schema)
