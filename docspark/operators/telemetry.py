@@ -124,7 +124,11 @@ def canary(events: DataFrame, key: str, ts: str, error: str) -> DataFrame:
     w = F.window(ts, "5 minutes", "30 seconds")
     rate = F.count(F.when(F.col(error), 1)) / (F.count("*") + 0.0001)
     per = events.groupBy(key, w.alias("w")).agg(F.count("*").alias("requests"), rate.alias("error_rate"))
-    per = per.select(key, F.col("w.start").alias("window_start"), "requests", "error_rate")
+    return stopped(per.select(key, F.col("w.start").alias("window_start"), "requests", "error_rate"), key)
+
+
+def stopped(per: DataFrame, key: str) -> DataFrame:
+    """Adds failures, the windows over the limit so far, and aborted to error rates per window (STR8)."""
     failed = (F.col("error_rate") > CANARY_LIMIT).cast("int")
     run = Window.partitionBy(key).orderBy("window_start").rowsBetween(Window.unboundedPreceding, 0)
     per = per.withColumn("failures", F.sum(failed).over(run))

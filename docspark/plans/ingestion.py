@@ -293,7 +293,7 @@ def stream_dedup(spark, sf):
     docs = inputs.envelope(spark, sf, jobs.file_source(spark, sf, "documents"))
     rows = docs.select(F.sha2("raw_text", 256).alias("text_key"), F.col("ingestion_ts"))
     # The key lives a month past its event, longer than the table spans.
-    out = jobs.run(jobs.dedup(rows, "text_key", "ingestion_ts", "31 days"), "append", "dedup")
+    out = jobs.run(jobs.dedup(rows, "text_key", "ingestion_ts", "31 days"), "dedup")
     return out.groupBy("text_key").agg(F.count("*").alias("documents"))
 
 

@@ -55,7 +55,7 @@ def rate_limit(spark, sf):
 
 @query("rate_limit_stream", with_sql("requests", rest=LIMITED, recursive=True))
 def rate_limit_stream(spark, sf):
-    s = jobs.run(jobs.rate_limit(request_stream(spark, sf), 2, DAY_US), "append", "rate-limit")
+    s = jobs.run(jobs.rate_limit(request_stream(spark, sf), 2, DAY_US), "rate-limit")
     return s.select("event_id", "api_key", "admitted")
 
 
@@ -70,7 +70,7 @@ def requests_per_minute(spark, sf):
 
 @query("requests_per_minute_stream", with_sql("requests", rest=MINUTE))
 def requests_per_minute_stream(spark, sf):
-    r = jobs.run(jobs.per_minute(request_stream(spark, sf)), "complete", "per-minute")
+    r = jobs.run(jobs.per_minute(request_stream(spark, sf)), "per-minute", ["window_start", "label"])
     return r.select(us("window_start"), "label", "requests", F.round("rate", 6).alias("rate"))
 
 
@@ -88,7 +88,7 @@ def cache_ratio_5m(spark, sf):
 
 @query("cache_ratio_stream", with_sql("requests", rest=RATIO))
 def cache_ratio_stream(spark, sf):
-    r = jobs.run(jobs.hit_ratio(request_stream(spark, sf)), "complete", "hit-ratio")
+    r = jobs.run(jobs.hit_ratio(request_stream(spark, sf)), "hit-ratio", ["window_start"])
     return r.select(us("window_start"), "requests", "hits", F.round("ratio", 6).alias("ratio"))
 
 
@@ -100,7 +100,7 @@ def latency_p95(spark, sf):
 
 @query("latency_p95_stream")
 def latency_p95_stream(spark, sf):
-    r = jobs.run(jobs.latency_p95(request_stream(spark, sf), "1 day"), "complete", "p95")
+    r = jobs.run(jobs.latency_p95(request_stream(spark, sf), "1 day"), "p95", ["window_start", "label"])
     return r.select(us("window_start"), "label", "p95")
 
 
@@ -124,21 +124,26 @@ p AS (SELECT experiment_id, error, (us // 30000000 - unnest(range(0, 10))) * 300
 g AS (SELECT experiment_id, window_start, count(*) AS requests, count(*) FILTER (error) / (count(*) + 0.0001) AS error_rate FROM p GROUP BY ALL)"""
 
 
+STOPPED = """,
+f AS (SELECT *, sum((error_rate > 0.01)::INT) OVER (PARTITION BY experiment_id ORDER BY window_start)::BIGINT AS failures FROM g)
+SELECT experiment_id, window_start, requests, round(error_rate, 6) AS error_rate, failures, failures >= 3 AS aborted FROM f"""
+
+
 @query(
     "canary_error_rate",
-    with_sql("requests", rest=CANARY + """,
-f AS (SELECT *, sum((error_rate > 0.01)::INT) OVER (PARTITION BY experiment_id ORDER BY window_start)::BIGINT AS failures FROM g)
-SELECT experiment_id, window_start, requests, round(error_rate, 6) AS error_rate, failures, failures >= 3 AS aborted FROM f"""),
+    with_sql("requests", rest=CANARY + STOPPED),
 )
 def canary_error_rate(spark, sf):
     c = tel.canary(requests(spark, sf), "experiment_id", "ts", "error")
     return c.select("experiment_id", us("window_start"), "requests", F.round("error_rate", 6).alias("error_rate"), "failures", "aborted")
 
 
-@query("canary_stream", with_sql("requests", rest=CANARY + " SELECT experiment_id, window_start, requests, round(error_rate, 6) AS error_rate FROM g"))
+@query("canary_stream", with_sql("requests", rest=CANARY + STOPPED))
 def canary_stream(spark, sf):
-    r = jobs.run(jobs.error_rate(request_stream(spark, sf)), "complete", "canary")
-    return r.select("experiment_id", us("window_start"), "requests", F.round("error_rate", 6).alias("error_rate"))
+    """Rates from the stream; failures and the stop from its table of windows."""
+    r = jobs.run(jobs.error_rate(request_stream(spark, sf)), "canary", ["experiment_id", "window_start"])
+    r = tel.stopped(r, "experiment_id")
+    return r.select("experiment_id", us("window_start"), "requests", F.round("error_rate", 6).alias("error_rate"), "failures", "aborted")
 
 
 STATUS = " SELECT source_type, CASE WHEN byte_size > 2000 THEN 'completed' ELSE 'failed' END AS status, count(*) AS documents FROM envelope GROUP BY ALL"
@@ -156,7 +161,7 @@ def status_counts(spark, sf):
 @query("status_counts_stream", with_sql("envelope", rest=STATUS))
 def status_counts_stream(spark, sf):
     docs = inputs.envelope(spark, sf, jobs.file_source(spark, sf, "documents"))
-    return jobs.run(jobs.status_counts(with_status(docs)), "complete", "status")
+    return jobs.run(jobs.status_counts(with_status(docs)), "status", ["source_type", "status"])
 
 
 @query(
@@ -168,5 +173,5 @@ def ab_stream(spark, sf):
 
     r = request_stream(spark, sf)
     live = r.withColumn("variant", assign_variant(F.concat(F.lit("req-"), F.col("event_id").cast("string")), F.lit(0.5)))
-    out = jobs.run(jobs.variant_metrics(live), "complete", "variants")
+    out = jobs.run(jobs.variant_metrics(live), "variants", ["experiment_id", "variant", "status"])
     return out.withColumn("mean_latency", F.round("mean_latency", 6))

@@ -32,45 +32,57 @@ def kafka_sink(df: DataFrame, servers: str, topic: str, checkpoint: str):
     )
 
 
-def file_source(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One table of a folder as a stream."""
+def file_source(spark: SparkSession, folder: str, name: str, per_trigger: int | None = None) -> DataFrame:
+    """One table of a folder as a stream, ``per_trigger`` files to a batch (all that are there by default)."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    return (reader if per_trigger is None else reader.option("maxFilesPerTrigger", per_trigger)).parquet(folder)
 
 
-def run(df: DataFrame, mode: str, name: str) -> DataFrame:
+def run(df: DataFrame, name: str, keys: list[str] | None = None) -> DataFrame:
     """Runs a stream over what is there and returns its table.
 
-    Append output is one folder per batch, replaced when a batch is retried; complete output
-    replaces the table each batch.
+    Output is one folder per batch, replaced when a batch is retried. With ``keys`` batches hold the
+    groups they changed (update mode), so state is evicted behind the watermark, and the newest
+    row of a key stands; without, they are appended.
     """
     spark = df.sparkSession
     out, ckpt = scratch_path(spark, name), scratch_path(spark, f"{name}-state")
     schema = df.schema
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        target = f"{out}/batch={batch_id}" if mode == "append" else f"{out}/current"
-        batch.write.mode("overwrite").parquet(target)
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     q = (
-        df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", ckpt)
+        df.writeStream.outputMode("update" if keys else "append").foreachBatch(write).option("checkpointLocation", ckpt)
         .trigger(availableNow=True).start()
     )
     q.awaitTermination()
-    return spark.read.schema(schema).parquet(f"{out}/*")
+    if not keys:
+        return spark.read.schema(schema).parquet(f"{out}/*")
+    batches = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(out)
+    newest = batches.groupBy(*keys).agg(F.max_by(F.struct(*schema.names), "batch").alias("row"))
+    return newest.select("row.*")
+
+
+def late_rows(query) -> int:
+    """Rows that a finished query's recent batches dropped behind the watermark."""
+    return sum(s.numRowsDroppedByWatermark for p in query.recentProgress for s in p.stateOperators)
 
 
 def archive(messages: DataFrame, root: str, checkpoint: str):
     """Raw batches as JSON under a dated folder; documents get the folder as metadata (SNK2)."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        docs = documents.from_messages(batch)
+        # Both outputs read the parsed messages, so they are kept for the length of the batch.
+        docs = documents.from_messages(batch).persist()
         raw = docs.select("doc_id", F.col("source_uri").alias("uri"), F.col("raw_text").alias("payload"))
         now = F.current_timestamp()
         stamped = raw.withColumns({"ingestion_ts": now, "year": F.year(now), "month": F.month(now), "day": F.dayofmonth(now)})
         folder = f"{root}/raw/batch-{batch_id}"
         stamped.write.mode("overwrite").partitionBy("year", "month", "day").json(folder)
         docs.withColumn("s3_batch_uri", F.lit(folder)).write.mode("overwrite").parquet(f"{root}/documents/batch-{batch_id}")
+        docs.unpersist()
 
     return messages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

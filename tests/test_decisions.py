@@ -234,7 +234,7 @@ def test_rate_limit_batch_and_stream(spark, tmp_path):
     assert got == want
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     s = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    got = {r.event_id: r.admitted for r in jobs.run(jobs.rate_limit(s, 3, 60), "append", "t").collect()}
+    got = {r.event_id: r.admitted for r in jobs.run(jobs.rate_limit(s, 3, 60), "t").collect()}
     assert got == want
 
 
