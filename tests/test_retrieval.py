@@ -33,8 +33,8 @@ def test_exact_topk_matches_brute_force(spark):
     assert all(ids[0] == i for i, ids in got.items())
 
 
-def test_grid_join_beyond_the_broadcast_bound(spark, monkeypatch):
-    monkeypatch.setattr(blocks, "BROADCAST_ROWS", 3)
+def test_grid_join_of_several_columns(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "COLUMN_PACKS", 1)
     df, v = store(spark)
     q = df.where("chunk_id < 10").select(F.col("chunk_id").alias("query_id"), "embedding")
     got = {}
