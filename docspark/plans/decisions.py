@@ -149,16 +149,31 @@ def train_text(spark, sf):
     return accuracy
 
 
-@query("rouge_l")
+def ascii_words_sql(t: str) -> str:
+    return words_sql(rf"lower(regexp_replace({t}, '[^a-zA-Z0-9\t-\r\x1c-\x1f\x{{85}}\p{{Z}}]', '', 'g'))")
+
+
+# The longest common subsequence row by row: what ends at a word, then the running maximum.
+ROUGE = f""",
+ro AS (SELECT conv_id, turn, {ascii_words_sql("b")} AS p, {ascii_words_sql("a")} AS r FROM answers),
+lcs AS (
+  SELECT conv_id, turn, 0 AS i, list_transform(r, lambda x: 0) AS best FROM ro
+  UNION ALL
+  SELECT conv_id, turn, i + 1, list_transform(range(1, len(ends) + 1), lambda j: list_max(ends[1:j])) FROM (
+    SELECT conv_id, turn, i, list_transform(range(1, len(r) + 1), lambda k: CASE WHEN r[k] = p[i + 1] THEN coalesce(best[k - 1], 0) + 1 ELSE best[k] END) AS ends
+    FROM lcs JOIN ro USING (conv_id, turn) WHERE i < len(p))),
+rouge AS (
+  SELECT conv_id, turn, CASE WHEN len(p) * len(r) = 0 THEN 0.0 ELSE round(2.0::DOUBLE * best[len(r)] / (len(p) + len(r)), 4) END AS rouge_l
+  FROM lcs JOIN ro USING (conv_id, turn) WHERE i = len(p))
+SELECT conv_id, turn, rouge_l FROM rouge"""
+
+
+@query("rouge_l", with_sql("answers", rest=ROUGE, recursive=True))
 def rouge_l(spark, sf):
     a = inputs.answers(spark, sf)
     return a.select("conv_id", "turn", evaluate.rouge_l(F.col("b"), F.col("a")).alias("rouge_l"))
 
 
-def ascii_words_sql(t: str) -> str:
-    return words_sql(rf"lower(regexp_replace({t}, '[^a-zA-Z0-9\t-\r\x1c-\x1f\x{{85}}\p{{Z}}]', '', 'g'))")
-
-
 @query(
     "token_overlap",
     with_sql("answers", rest=f""",

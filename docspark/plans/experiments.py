@@ -9,7 +9,7 @@ from docspark.inputs import with_sql
 from docspark.operators import experiments as exp
 from docspark.operators import telemetry
 from docspark.plans import query
-from docspark.plans.decisions import ascii_words_sql
+from docspark.plans.decisions import ROUGE, ascii_words_sql
 
 
 def md5_mod_sql(t: str) -> str:
@@ -191,7 +191,7 @@ def ab_shadow_eval(spark, sf):
     return e.select("experiment_id", *(F.round(c, 6).alias(c) for c in ("p50_latency_diff", "p95_latency_diff", "p99_latency_diff", "avg_confidence_diff")), "winner", "status")
 
 
-@query("ab_shadow_log")
+@query("ab_shadow_log", with_sql("answers", rest=ROUGE, recursive=True))
 def ab_shadow_log(spark, sf):
     log = inputs.answers(spark, sf).select("conv_id", "turn", F.col("a").alias("response_a"), F.col("b").alias("response_b"))
     return exp.enrich_shadow(log).select("conv_id", "turn", "rouge_l")

@@ -98,7 +98,7 @@ def latency_p95(spark, sf):
     return tel.latency_p95(r, ["label", "day"], "latency").withColumn("p95", F.round("p95", 6))
 
 
-@query("latency_p95_stream")
+@query("latency_p95_stream", with_sql("requests", rest=" SELECT us // 86400000000 * 86400000000 AS window_start, label, quantile_disc(latency, 0.95) AS p95 FROM requests GROUP BY ALL"))
 def latency_p95_stream(spark, sf):
     r = jobs.run(jobs.latency_p95(request_stream(spark, sf), "1 day"), "p95", ["window_start", "label"])
     return r.select(us("window_start"), "label", "p95")
