@@ -74,8 +74,14 @@ def contradiction_penalty(scored: DataFrame, contradiction_index: int = 2) -> Da
     )
 
 
-def evaluate(pairs: DataFrame, prediction: str, reference: str) -> DataFrame:
-    """Both similarity scores in one projection (EVL5)."""
-    return pairs.withColumn("rouge_l", rouge_l(F.col(prediction), F.col(reference))).withColumn(
-        "token_overlap", token_overlap(F.col(prediction), F.col(reference))
-    )
+def evaluate(pairs: DataFrame, prediction: str, reference: str, sentences: DataFrame | None = None, by: str = "response_id") -> DataFrame:
+    """Both similarity scores in one projection, and the contradiction rate of each response (EVL5).
+
+    ``sentences`` is what ``contradiction_rate`` takes; a response without any contradicts nothing.
+    """
+    p, r = F.col(prediction), F.col(reference)
+    scored = pairs.withColumns({"rouge_l": rouge_l(p, r), "token_overlap": token_overlap(p, r)})
+    if sentences is None:
+        return scored.withColumn("contradiction_rate", F.lit(0.0))
+    joined = scored.join(contradiction_rate(sentences, by), by, "left")
+    return joined.withColumn("contradiction_rate", F.coalesce("contradiction_rate", F.lit(0.0)))

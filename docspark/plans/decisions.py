@@ -154,7 +154,7 @@ def ascii_words_sql(t: str) -> str:
 
 
 # The longest common subsequence row by row: what ends at a word, then the running maximum.
-ROUGE = f""",
+ROUGE_ROWS = f""",
 ro AS (SELECT conv_id, turn, {ascii_words_sql("b")} AS p, {ascii_words_sql("a")} AS r FROM answers),
 lcs AS (
   SELECT conv_id, turn, 0 AS i, list_transform(r, lambda x: 0) AS best FROM ro
@@ -164,8 +164,8 @@ lcs AS (
     FROM lcs JOIN ro USING (conv_id, turn) WHERE i < len(p))),
 rouge AS (
   SELECT conv_id, turn, CASE WHEN len(p) * len(r) = 0 THEN 0.0 ELSE round(2.0::DOUBLE * best[len(r)] / (len(p) + len(r)), 4) END AS rouge_l
-  FROM lcs JOIN ro USING (conv_id, turn) WHERE i = len(p))
-SELECT conv_id, turn, rouge_l FROM rouge"""
+  FROM lcs JOIN ro USING (conv_id, turn) WHERE i = len(p))"""
+ROUGE = ROUGE_ROWS + " SELECT conv_id, turn, rouge_l FROM rouge"
 
 
 @query("rouge_l", with_sql("answers", rest=ROUGE, recursive=True))
@@ -197,6 +197,25 @@ def scored_sentences(spark, sf):
     return s.select("response_id", "sentence", label.alias("label"), F.when(n % 7 != 0, (n % 10) / 10.0).alias("score"))
 
 
+@query(
+    "combined_evaluation",
+    with_sql("answers", recursive=True, rest=ROUGE_ROWS + f""",
+ev AS (SELECT conv_id, turn, list_distinct(p) AS p, list_distinct(r) AS r, len(list_intersect(list_distinct(p), list_distinct(r))) AS n FROM ro),
+se AS (SELECT conv_id, turn, unnest({sentences_sql("b")}) AS s FROM answers),
+cr AS (SELECT conv_id, turn, round(avg((contains(lower(s), 'contradict') OR contains(lower(s), 'not true') OR contains(lower(s), ' the '))::INT), 4) AS c FROM se GROUP BY ALL)
+SELECT conv_id, turn, rouge_l, CASE WHEN n > 0 THEN round(0.5 + 2.0::DOUBLE * n / (len(p) + len(r)) * 0.5, 4) ELSE 0.0 END AS token_overlap,
+  coalesce(c, 0.0) AS contradiction_rate FROM rouge JOIN ev USING (conv_id, turn) LEFT JOIN cr USING (conv_id, turn)"""),
+)
+def combined_evaluation(spark, sf):
+    """Sentences with ' the ' stand for those a model found to contradict; wording decides on the rest."""
+    a = inputs.answers(spark, sf).withColumn("response_id", F.concat_ws("/", "conv_id", "turn"))
+    s = a.select("response_id", F.explode(tx.sentences(F.col("b"))).alias("sentence"))
+    told = F.contains(F.lower("sentence"), F.lit(" the "))
+    s = s.select("response_id", "sentence", F.when(told, "CONTRADICTION").alias("label"), F.when(told, 0.9).alias("score"))
+    e = evaluate.evaluate(a, "b", "a", s)
+    return e.select("conv_id", "turn", "rouge_l", "token_overlap", "contradiction_rate")
+
+
 @query(
     "contradiction_rate",
     f"""WITH s AS (SELECT conv_id * 1000 + turn AS response_id, unnest({sentences_sql("text")}) AS sentence FROM conversations),

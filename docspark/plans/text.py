@@ -502,3 +502,19 @@ def feature_store_wide(spark, sf):
     long, upd = stored_features(spark, sf)
     wide = features.to_wide(features.upsert(long, upd))
     return wide.select("doc_id", *features.FEATURE_TYPES)
+
+
+@query(
+    "features_with_outputs",
+    """WITH e AS (SELECT doc_id, len(regexp_extract_all(text, '[0-9]+')) AS entity_count FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'invoice' WHEN lang = 'en' THEN 'report' ELSE 'other' END AS doc_type_signal, entity_count,
+  CASE WHEN doc_id % 3 = 0 THEN round((doc_id % 10) / 10.0::DOUBLE, 6) ELSE 0.0 END AS class_confidence FROM documents JOIN e USING (doc_id)""",
+)
+def features_with_outputs(spark, sf):
+    """Numbers stand for entities; every third document has a predicted class."""
+    d = inputs.table(spark, sf, "documents")
+    signal = F.when(F.col("lang") == "en", "report").otherwise("other")
+    found = d.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0))).alias("text"))
+    known = d.where("doc_id % 3 = 0").select("doc_id", F.lit("invoice").alias("predicted_class"), ((F.col("doc_id") % 10) / 10.0).alias("confidence"))
+    out = features.with_model_outputs(d.select("doc_id", signal.alias("doc_type_signal")), found, known)
+    return out.withColumn("class_confidence", F.round("class_confidence", 6))

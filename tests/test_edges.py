@@ -132,3 +132,16 @@ def test_fused_scores_see_every_chunk(spark, monkeypatch):
         want = sorted(((-round(f, 9), k) for k, f in enumerate(fused)))[:60]
         assert [got[i, n + 1][1] for n in range(60)] == [round(-f, 6) for f, _ in want]
         assert [got[i, n + 1][0] for n in range(20)] == [k for _, k in want[:20]]
+
+
+def test_due_letters_reach_the_callback(spark):
+    rows = [('{"failure_reason": "bad", "failed_at": "2024-01-01T00:00:00", "document": {"doc_id": "a"}}',), ('{"failed_at": "2024-01-02T00:00:00"}',)]
+    schedule = documents.retry_schedule(spark.createDataFrame(rows, "value string"), F.lit("2024-01-01 00:05:00").cast("timestamp"))
+    got = documents.retry_due(schedule, lambda due: due.select(F.upper("doc_id").alias("again"))).collect()
+    assert [r.again for r in got] == ["A"]
+
+
+def test_readers_by_source_type(spark, tmp_path):
+    (tmp_path / "one.txt").write_bytes(b"some text")
+    found = documents.READERS["api"](spark, str(tmp_path))
+    assert found.count() == 1 and "source_uri" in found.columns
