@@ -9,8 +9,9 @@ from docspark.session import get_spark
 
 
 @pytest.fixture(scope="session")
-def spark():
-    s = get_spark("tests", "local[4]", **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "4g"})
+def spark(tmp_path_factory):
+    shared = str(tmp_path_factory.mktemp("shared"))
+    s = get_spark("tests", "local[4]", **{"spark.checkpoint.dir": shared, "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "4g"})
     yield s
     s.stop()
 
