@@ -11,7 +11,8 @@ from docspark.llm.piece_matching import Matcher, Pieces
 from docspark.llm.tables import fields, map_batches
 from docspark.llm.textbytes import binary, chunks, joined
 
-BATCH = 8 << 20
+# Bytes of texts matched together: what a task holds are some dozen arrays over their new words' edges.
+BATCH = 1 << 20
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:

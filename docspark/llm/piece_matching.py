@@ -188,8 +188,8 @@ class Matcher:
         eights = _eights(text)
         low, high = self._search(eights, order, False), self._search(eights, order, True)
         n = high - low
-        at = order[ranges(low, n)].astype(np.int64)
-        piece = np.repeat(np.arange(len(n)), n)
+        at = order[ranges(low, n)]
+        piece = np.repeat(np.arange(len(n), dtype=np.int32), n)
         # A character that is no piece stands for its bytes, as an edge of its own.
         sign = np.flatnonzero(((text & 0xC0) != 0x80) & (text != 0xFF))
         lead = text[sign]
@@ -198,17 +198,16 @@ class Matcher:
         lone = self.p.left < 0
         single[at[lone[piece]]] = True
         other = ~single[sign]
-        at = np.concatenate([at, sign[other]])
-        end = np.concatenate([at[: len(piece)] + self.length[piece], sign[other] + wide[other]])
-        piece = np.concatenate([piece, np.full(int(other.sum()), FREE)])
+        end = np.concatenate([at + self.length[piece], sign[other] + wide[other]]).astype(np.int32)
+        at = np.concatenate([at, sign[other]]).astype(np.int32)
+        piece = np.concatenate([piece, np.full(int(other.sum()), FREE, np.int32)])
         by = np.argsort(at, kind="stable")
         at, end, piece = at[by], end[by], piece[by]
-        word = np.searchsorted(begin, at, "right") - 1
-        depth = at - begin[word]
+        depth = at - begin[np.searchsorted(begin, at, "right") - 1].astype(np.int32)
         by = np.argsort(depth.astype(np.uint16) if len(depth) and depth.max() < 65536 else depth, kind="stable")
         at, end, piece, depth = at[by], end[by], piece[by], depth[by]
-        last = np.full(len(text) + 1, NONE)
-        origin = np.full(len(text) + 1, NONE)
+        last = np.full(len(text) + 1, NONE, np.int32)
+        origin = np.full(len(text) + 1, NONE, np.int32)
         last[begin] = FREE
         cuts = np.flatnonzero(np.diff(depth, prepend=-1)) if len(depth) else np.zeros(0, np.int64)
         for a, b in zip(cuts, np.append(cuts[1:], len(depth)), strict=True):
@@ -218,7 +217,7 @@ class Matcher:
             fine = (u == FREE) | (v == FREE)
             both = np.flatnonzero(~fine)
             if len(both):
-                pair, inverse = np.unique(u[both] * len(self.length) + v[both], return_inverse=True)
+                pair, inverse = np.unique(u[both].astype(np.int64) * len(self.length) + v[both], return_inverse=True)
                 fine[both] = self.p.apart(pair // len(self.length), pair % len(self.length))[inverse]
             hit = a + live[fine]
             last[end[hit]] = piece[hit]
