@@ -22,14 +22,14 @@ from pyspark.sql import types as T
 
 from docspark.llm.line_quality import text_key
 from docspark.llm.suffix_arrays import common_prefixes, suffix_array
-from docspark.llm.tables import fields, map_batches, written
+from docspark.llm.tables import fields, map_batches, release, written
 from docspark.llm.textbytes import Spans, chunks, joined, mixed, ranges
 
 GRAM = 32
 # Bytes of a long text looked at together; places inside take this many bits beside a hash.
-SLICE, PLACE_BITS = 4 << 20, 24
+SLICE, PLACE_BITS = 1 << 20, 24
 # Segment bytes aimed at in a shard, and different segments of one owner beyond which it is split by windows.
-SHARD, SPLIT = 1_000_000, 8192
+SHARD, SPLIT = 600_000, 8192
 RUN = "array<struct<a:bigint,b:bigint,owner:bigint,segment:bigint>>"
 SPANS = "array<struct<s:bigint,e:bigint>>"
 
@@ -149,6 +149,7 @@ def _in_shards(segments: DataFrame, length: int) -> DataFrame:
         which, s, e = covered(at, which, length)
         rows, first = np.unique(which, return_index=True)
         spans = _lists(np.append(first, len(s)), s - offsets[which], e - offsets[which])
+        release()
         return pa.Table.from_arrays([owner.take(pa.array(rows)), segment.take(pa.array(rows)), spans], names=["owner", "segment", "spans"])
 
     return segments.groupBy("shard").applyInArrow(solve, f"owner bigint, segment bigint, spans {SPANS}")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -16,7 +17,7 @@ _owned: list[tuple[SparkSession, str]] = []
 
 def prepare(spark: SparkSession) -> None:
     """Arrow batches small enough that a task's arrays over one stay within some hundred MB."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -39,6 +40,15 @@ def _clean() -> None:
             return
 
 
+def release() -> None:
+    """Gives a worker's free memory back: workers live on and wait beside tasks that need it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library, which does so itself or not at all
+        return
+
+
 def map_batches(df: DataFrame, schema: T.StructType | str, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]]) -> DataFrame:
     """``mapInArrow`` with something made once per task: ``make()`` gives the function over batches."""
 
@@ -47,6 +57,8 @@ def map_batches(df: DataFrame, schema: T.StructType | str, make: Callable[[], Ca
         for b in batches:
             if b.num_rows:
                 yield from step(b)
+        del step
+        release()
 
     return df.mapInArrow(run, schema)
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 # Bytes handled at a time inside a task; a longer text is handled alone.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 _powers: dict[int, np.ndarray] = {}
 
