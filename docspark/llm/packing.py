@@ -255,7 +255,7 @@ def cut(docs: DataFrame, path: str, capacity: int, end: int, text: str = "text",
                 nth[order] = np.arange(len(size)) - np.searchsorted(ordered, ordered) + met[ordered]
                 met[:] += np.bincount(size, minlength=capacity + 1)
                 made = [piece, start, size, crc, np.full(len(size), task), nth]
-                made = [pa.array(m, T_PIECE if k == 0 else pa.int64()) for k, m in enumerate(made)]
+                made = [pa.array(m, pa.int32() if k == 0 else pa.int64()) for k, m in enumerate(made)]
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), *made], names=out.names)
 
         return step
@@ -263,9 +263,6 @@ def cut(docs: DataFrame, path: str, capacity: int, end: int, text: str = "text",
     return map_batches(docs.select(key, text), out, make)
 
 
-T_PIECE = pa.int32()
-
-
 def pack(docs: DataFrame, path: str, capacity: int = 1024, end: int = 2, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Every piece of every document with its sequence_id and offset in that sequence.
 

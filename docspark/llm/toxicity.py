@@ -64,7 +64,7 @@ def _terms_of(sample: DataFrame) -> DataFrame:
             data, offsets = joined(b.column(1))
             for i, j in chunks(offsets):
                 text, term = terms(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                lists = [np.unique(term[text == d]).astype(str) for d in range(j - i)] if j - i < 64 else _grouped(text, term, j - i)
+                lists = _grouped(text, term, j - i)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(lists, pa.list_(pa.string()))], names=out.names)
 
         return step
@@ -73,6 +73,7 @@ def _terms_of(sample: DataFrame) -> DataFrame:
 
 
 def _grouped(text: np.ndarray, term: np.ndarray, n: int) -> list[np.ndarray]:
+    """The distinct terms of each of ``n`` texts as strings."""
     order = np.lexsort((term, text))
     text, term = text[order], term[order]
     cuts = np.searchsorted(text, np.arange(n + 1))
