@@ -52,10 +52,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages of 400 bytes that occur elsewhere; a character cut in two goes as well."""
+    """Documents without passages of over 50 words, or of 400 bytes, that occur elsewhere.
+
+    A character cut in two goes as well.
+    """
     _ready(spark)
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row"), "text")
-    cut = repeats.remove_repeats(rows, keep=["row"])
+    cut = repeats.remove_passages(rows, keep=["row"])
     text = F.try_validate_utf8(F.col("rest").cast("string"))
     whole = F.coalesce(text, F.replace(F.make_valid_utf8(F.col("rest").cast("string")), F.lit("�"), F.lit("")))
     return _counted(cut.select(*((whole if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns)))

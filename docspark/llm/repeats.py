@@ -12,6 +12,7 @@ shard should hold is split instead: its windows are counted by 128-bit hashes.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,8 @@ SLICE, PLACE_BITS = 1 << 20, 24
 SHARD, SPLIT = 600_000, 8192
 RUN = "array<struct<a:bigint,b:bigint,owner:bigint,segment:bigint>>"
 SPANS = "array<struct<s:bigint,e:bigint>>"
+# Bytes that stand for a word where passages are measured in words, and what parts words.
+CODE, WORDS = 4, re.compile(rb"[^ \t-\r]+")
 
 
 def runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -276,3 +279,68 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep: list[str] | None =
         return step
 
     return map_batches(source, out, make)
+
+
+def _coded(docs: DataFrame, text: str) -> DataFrame:
+    """k1, k2 and codes of every row: ``CODE`` ASCII bytes of a hash for each word, so that n words have one length."""
+    cols = docs.select(*text_key(F.col(text)), F.col(text).alias("text"))
+    out = fields(cols, ["k1", "k2"], ("codes", T.StringType()))
+
+    def make():
+        def step(b: pa.RecordBatch):
+            data, offsets = joined(b.column(2))
+            for i, j in chunks(offsets):
+                part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                inside = np.zeros(len(part) + 2, bool)
+                inside[1:-1] = (part != 32) & ((part < 9) | (part > 13))
+                edge = np.zeros(len(part) + 1, bool)
+                edge[at] = True
+                starts = np.flatnonzero(inside[1:] & (~inside[:-1] | edge))
+                ends = np.flatnonzero(inside[:-1] & (~inside[1:] | edge))
+                hashes = mixed(Spans(part).of(starts, ends))
+                codes = np.stack([(hashes >> np.uint64(57 - 7 * k)).astype(np.uint8) & 127 for k in range(CODE)], axis=1)
+                first = (CODE * np.searchsorted(starts, at)).astype(np.int32)
+                body = pa.StringArray.from_buffers(j - i, pa.py_buffer(first.tobytes()), pa.py_buffer(codes.tobytes()))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), body], names=out.names)
+
+        return step
+
+    return map_batches(cols, out, make)
+
+
+def remove_passages(docs: DataFrame, text: str = "text", keep: list[str] | None = None, words: int = 51, length: int = 400, split: int = SPLIT) -> DataFrame:
+    """``keep`` columns and rest: the text without strings of ``length`` bytes or ``words`` words that start elsewhere too.
+
+    Both are judged on the input, as in ``remove_repeats``. Words are what white space parts, whatever its amount, and
+    are compared by 28-bit hashes; white space beside a passage of words stays.
+    """
+    keep = ["doc_id"] if keep is None else keep
+    coded = _coded(docs, text)
+    of_words = repeated_spans(coded.select("codes"), "codes", CODE * words, split).select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), F.col("spans").alias("of_words"))
+    names = [k.alias(n) for k, n in zip(text_key(F.col("codes")), ("c1", "c2"), strict=True)]
+    keys = coded.where(F.octet_length("codes") >= CODE * words).select("k1", "k2", *names).distinct()
+    of_words = keys.join(of_words, ["c1", "c2"]).select("k1", "k2", "of_words")
+    spans = written(repeated_spans(docs, text, length, split).join(of_words, ["k1", "k2"], "full"), "spans")
+    rows = docs.select(F.struct(*(F.col(c) for c in keep)).alias("row"), *text_key(F.col(text)), F.col(text).alias("text"))
+    source = rows.join(spans, ["k1", "k2"], "left").select("row.*", F.col("text").cast("binary").alias("body"), "spans", "of_words")
+    out = fields(docs, keep, ("rest", T.BinaryType()))
+
+    def without(t: bytes, cuts: list[dict] | None, of_words: list[dict] | None) -> bytes:
+        cuts = list(cuts or ())
+        if of_words:
+            at = [m.span() for m in WORDS.finditer(t)]
+            inner = ((-(-x["s"] // CODE), x["e"] // CODE) for x in of_words)
+            cuts += [{"s": at[i][0], "e": at[j - 1][1]} for i, j in inner if j - i >= words]
+        merged = _merged(pa.array([cuts]))[0]
+        edges = [0, *(x for c in merged for x in c), len(t)]
+        return b"".join(t[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True))
+
+    def make():
+        def step(b: pa.RecordBatch):
+            lists = (c.to_pylist() for c in b.columns[len(keep) :])
+            rest = [without(t or b"", s, w) if s or w else t or b"" for t, s, w in zip(*lists, strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(rest, pa.binary())], names=out.names)
+
+        return step
+
+    return map_batches(source, out, make)

@@ -123,3 +123,14 @@ def test_pipeline_of_nothing(spark, nothing, tmp_path):
     spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     rows = nothing.select("doc_id", "text", "lang", "source", "n_chars")
     assert [x.count() for x in stages(spark, rows, str(tmp_path))] == [0] * 6
+
+
+def test_pipeline_cuts_passages_of_51_short_words(spark):
+    r = random.Random(6)
+    own = lambda n: " ".join(f"own{r.randrange(10**9)}" for _ in range(n))
+    short, less = " ".join(r.choice("abcdefgh") for _ in range(51)), " ".join(f"{r.choice('stuv')}{k}" for k in range(50))
+    texts = [f"{own(30)} {short} {own(30)}", f"{own(30)} {short}", f"{own(20)} {less} {own(9)}", f"{own(20)} {less} {own(8)}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.text for x in corpus_pipeline.repeated_passages(spark, df, "").collect()}
+    assert len(short.encode()) == 101 and all(short not in got[i] and got[i].split()[:30] == texts[i].split()[:30] for i in (0, 1))
+    assert [got[2], got[3]] == texts[2:]
