@@ -27,9 +27,9 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and aren't depleted, without lines too frequent at their source."""
+    """Documents that pass the base rules and aren't depleted, without lines too frequent at their source, however large it is."""
     _ready(spark)
-    return _counted(line_quality.cleaned(docs))
+    return _counted(line_quality.cleaned(docs, enough=line_quality.ENOUGH))
 
 
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

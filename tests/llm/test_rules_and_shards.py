@@ -8,6 +8,7 @@ import zlib
 
 import pytest
 
+import corpus_pipeline
 from docspark.llm import licenses, line_quality, sharding
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -69,6 +70,15 @@ def test_frequent_lines_go_and_depleted_documents_with_them(spark):
     assert kept[3] == own(3) and 20 not in kept and kept[41].startswith("subscribe") and sum(i >= 60 for i in kept) == 40
 
 
+def test_enough_documents_condemn_a_line_at_a_large_host(spark):
+    own = lambda i: " ".join(f"own{i}x{k}" for k in range(30))
+    often = lambda i: "Read more\n" * (i < 10) + "See also\n" * (10 <= i < 19)
+    df = spark.createDataFrame([(i, often(i) + own(i), "h") for i in range(300)], "doc_id long, text string, source string")
+    kept = {r.doc_id: r.text for r in corpus_pipeline.quality_rules(spark, df, "").collect()}
+    assert kept == {i: "See also\n" * (10 <= i < 19) + own(i) for i in range(300)}
+    assert line_quality.line_quality(df).where("removed_words > 0").count() == 0
+
+
 def shard_of(key, n):
     def cost(s):
         h = int(hashlib.md5(f"{'' if key is None else key}:{s}".encode()).hexdigest()[:13], 16)
