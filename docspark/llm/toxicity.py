@@ -114,8 +114,8 @@ class Machine:
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Machine:
     """A model from at most ``sample`` labelled rows outside the held-out part, those of least key hash.
 
-    Equal texts of the sample count once. Without rows of both labels, or a term tied to them, the model is the
-    share of positive labels alone, smoothed.
+    Equal texts of the sample count once. Without rows of both labels, or a term tied to them, nothing tells texts
+    apart: the model is the smoothed share of positive labels times ``THRESHOLD``, so that no text is predicted toxic.
     """
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(F.col(key)))
     known = known.groupBy(F.col(key).alias("key")).agg((F.max(label) > 0).cast("double").alias("label"))
@@ -127,7 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     found = written(_terms_of(rows), "terms")
     size = found.agg(F.count("*").alias("n"), F.sum("label").alias("p")).first()
     n, p = size["n"], size["p"] or 0.0
-    share = (p + 1) / (n + 2)
+    share = THRESHOLD * (p + 1) / (n + 2)
     bare = Machine(float(np.log(share / (1 - share))), np.zeros(0, np.uint64), np.zeros(0), np.zeros((0, FACTORS)))
     if p in (0, n):
         return bare

@@ -134,3 +134,15 @@ def test_pipeline_cuts_passages_of_51_short_words(spark):
     got = {x.doc_id: x.text for x in corpus_pipeline.repeated_passages(spark, df, "").collect()}
     assert len(short.encode()) == 101 and all(short not in got[i] and got[i].split()[:30] == texts[i].split()[:30] for i in (0, 1))
     assert [got[2], got[3]] == texts[2:]
+
+
+def test_labels_that_teach_nothing_keep_all_documents(spark, tmp_path):
+    docs, labels, _ = labelled(spark, 60)
+    some = labels.where(~toxicity.held_out(labels.doc_id))
+    cases = [labels.limit(0), labels.where(toxicity.held_out(labels.doc_id)), some.limit(1).selectExpr("doc_id", "0 toxic"), some.selectExpr("doc_id", "1 toxic")]
+    cases.append(some.selectExpr("doc_id", "cast(doc_id % 2 as int) toxic"))  # as many toxic as not, tied to no term
+    for k, none in enumerate(cases):
+        none.write.parquet(f"{tmp_path}/{k}/labels.parquet")
+        assert len(toxicity.fit(docs, none).hashes) == 0
+        calm = corpus_pipeline.toxic_documents(spark, docs, f"{tmp_path}/{k}")
+        assert sorted(map(tuple, calm.collect())) == sorted(map(tuple, docs.collect()))
