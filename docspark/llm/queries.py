@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark import session
-from docspark.llm import collision_search, licenses, line_quality, minhash, packing, piece_encoding, repeats, sharding, tables, token_counts, toxicity
+from docspark.llm import collision_search, licenses, line_quality, minhash, packing, piece_encoding, repeats, sharding, tables, token_counts, toxicity, turn_repair
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -96,3 +96,9 @@ def op7_piece_encoding(spark: SparkSession, sf: str) -> DataFrame:
 def op4_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     found = licenses.licenses(licenses.filed(table(spark, sf, "documents")), keep=["doc_id"])
     return found.withColumn("own_score", F.round("own_score", 6))
+
+
+@query("op11_turn_repair", turn_repair.SQL)
+def op11_turn_repair(spark: SparkSession, sf: str) -> DataFrame:
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    return turn_repair.repair_digests(turn_repair.damaged(turns), turns)
