@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark import session
-from docspark.llm import collision_search, licenses, line_quality, minhash, packing, piece_encoding, repeats, sharding, tables, token_counts, toxicity, turn_repair
+from docspark.llm import collision_search, licenses, line_quality, minhash, packing, piece_encoding, prefix_trie, repeats, sharding, tables, token_counts, toxicity, turn_repair
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -102,3 +102,8 @@ def op4_license_scan(spark: SparkSession, sf: str) -> DataFrame:
 def op11_turn_repair(spark: SparkSession, sf: str) -> DataFrame:
     turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
     return turn_repair.repair_digests(turn_repair.damaged(turns), turns)
+
+
+@query("op13_prefix_trie", prefix_trie.SQL)
+def op13_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf, "conversations"))

@@ -368,7 +368,7 @@ def repair(conversations: DataFrame) -> DataFrame:
     as many turns. A role that doesn't begin with s, u or a can't be kept. No rows give no rows; other columns are ignored.
     """
     coded = _coded(conversations)
-    packed = written(segmented(coded, in_order()), "segments")
+    packed = written(segmented(coded, in_order(), ["turn", "role", "text", "n", "fault", "initial"]), "segments")
     narrow = "conv_id long, segment long, ways array<long>, head int, tail int, first_turn long, last_turn long"
     cut = written(_mapped(packed.where("open"), narrow, _summed), "summaries")
     walk = cut.repartition("conv_id").sortWithinPartitions("conv_id", "segment").select("conv_id", "segment", "ways")

@@ -24,12 +24,12 @@ def in_order(conv: str = "conv_id") -> list[Column]:
     return [F.col(conv).asc_nulls_first(), F.col("turn").asc_nulls_first(), F.col("role"), F.col("text")]
 
 
-def segmented(df: DataFrame, order: list[Column], conv: str = "conv_id", rows: int = ROWS) -> DataFrame:
-    """One row per segment: ``conv``, segment (ascending in the conversation), open, and every other column as a list.
+def segmented(df: DataFrame, order: list[Column], keep: list[str], conv: str = "conv_id", rows: int = ROWS) -> DataFrame:
+    """One row per segment: ``conv``, segment (ascending in the conversation), open, and the columns of ``keep`` as lists.
 
     No rows give no segments. Rows that are alike in all of ``order`` meet in one task, so callers add up or salt them.
     """
-    others = [c for c in df.columns if c != conv]
+    others = keep
     lists = [T.StructField(c, T.ArrayType(df.schema[c].dataType)) for c in others]
     out = T.StructType([df.schema[conv], T.StructField("segment", T.LongType()), T.StructField("open", T.BooleanType()), *lists])
 
@@ -62,5 +62,5 @@ def segmented(df: DataFrame, order: list[Column], conv: str = "conv_id", rows: i
 
 
 def earlier(conv: str = "conv_id") -> Window:
-    """The segments before this one in its conversation; meant for narrow rows of open segments."""
+    """The segments before this one in its conversation, for narrow rows of open segments."""
     return Window.partitionBy(conv).orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
