@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark import session
-from docspark.llm import collision_search, licenses, line_quality, minhash, packing, piece_encoding, prefix_trie, repeats, sharding, tables, token_counts, toxicity, turn_repair
+from docspark.llm import collision_search, context_trees, licenses, line_quality, minhash, packing, piece_encoding, prefix_trie, repeats, sharding, tables, token_counts, toxicity, turn_repair
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -107,3 +107,9 @@ def op11_turn_repair(spark: SparkSession, sf: str) -> DataFrame:
 @query("op13_prefix_trie", prefix_trie.SQL)
 def op13_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf, "conversations"))
+
+
+@query("op12_context_trees")
+def op12_context_trees(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return context_trees.languages(docs, context_trees.grow(docs))

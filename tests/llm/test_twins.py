@@ -17,10 +17,11 @@ COLUMNS = {
     8: "query_id rank vec_id score",
     9: "doc_id n_shingles component_id kept",
     10: "doc_id held_out score predicted",
+    12: "doc_id held_out lang_pred score",
 }
 
 
-@pytest.mark.parametrize("n", [1, 2, 4])
+@pytest.mark.parametrize("n", [1, 2, 4, 11, 13])
 def test_query_matches_sql(spark, n):
     key = next(k for k in entry.queries() if k.startswith(f"op{n}_"))
     con = duckdb.connect()
