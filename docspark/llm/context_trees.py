@@ -194,15 +194,16 @@ def languages(docs: DataFrame, model: Languages, key: str = "doc_id", text: str
     """
     keep = [key] if keep is None else keep
     lettered = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    cols = docs.select(*keep, held_out(F.col(key)).alias("held_out"), F.when(lettered, F.col(text)).alias("body"))
-    out = fields(cols, [*keep, "held_out"], ("lang_pred", T.StringType()), ("score", T.DoubleType()))
+    row = F.struct(*(F.col(c) for c in keep))
+    cols = docs.select(row.alias("row"), held_out(F.col(key)).alias("held_out"), F.when(lettered, F.col(text)).alias("body"))
+    out = fields(docs, keep, ("held_out", T.BooleanType()), ("lang_pred", T.StringType()), ("score", T.DoubleType()))
     names = [*model.names, UNKNOWN]
 
     def make():
         coder = Coder(model.trees)
 
         def step(b: pa.RecordBatch):
-            body = b.column(len(keep) + 1)
+            body = b.column(2)
             none = body.is_null().to_numpy(zero_copy_only=False)
             best, score = np.full(b.num_rows, len(names) - 1), np.zeros(b.num_rows)
             if coder.trees:
@@ -211,7 +212,7 @@ def languages(docs: DataFrame, model: Languages, key: str = "doc_id", text: str
                 share = 1 / np.exp2((lengths.min(axis=0) - lengths) / UNIT).sum(axis=0)
                 best, score = np.where(none, best, pick), np.where(none, 0.0, share)
             made = [pa.array(names).take(pa.array(best)), pa.array(score)]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep) + 1], *made], names=out.names)
+            yield pa.RecordBatch.from_arrays([*b.column(0).flatten(), b.column(1), *made], names=out.names)
 
         return step
 
