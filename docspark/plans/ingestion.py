@@ -14,10 +14,10 @@ from docspark.operators import catalogue as cat
 from docspark.operators import chunking, cleaning, dedup, entities, features, quality
 from docspark.operators import vectors as vec
 from docspark.plans import query
-from docspark.plans.text import VALIDATED
+from docspark.plans.text import VALIDATED, ttl_sql
 from docspark.session import cut_lineage, scratch_path
 from docspark.sources import documents, layout
-from docspark.streaming import jobs
+from docspark.streaming import jobs, stateful
 
 NS = uuid.NAMESPACE_DNS.hex
 
@@ -269,8 +269,8 @@ def stream_ingest(spark, sf):
     docs = inputs.envelope(spark, sf, jobs.file_source(spark, sf, "documents"))
     root = scratch_path(spark, "ingest")
     jobs.gated_ingest(docs, root, f"{root}/checkpoint").awaitTermination()
-    good = spark.read.parquet(f"{root}/accepted/*").select(F.col("doc_id").cast("string").alias("doc_id"), F.lit("accepted").alias("outcome"))
-    bad = spark.read.parquet(f"{root}/dead_letters/*").select(
+    good = jobs.read_batches(spark, f"{root}/accepted", "doc_id long").select(F.col("doc_id").cast("string").alias("doc_id"), F.lit("accepted").alias("outcome"))
+    bad = jobs.read_batches(spark, f"{root}/dead_letters", "value string").select(
         F.get_json_object("value", "$.document.doc_id").alias("doc_id"), F.get_json_object("value", "$.failure_reason").alias("outcome")
     )
     return good.unionByName(bad)
@@ -282,19 +282,22 @@ def stream_archive(spark, sf):
     m = e.select(F.col("props").cast("binary").alias("value"), F.concat(F.lit("raw."), "event_type").alias("topic"), (F.col("user_id") % 4).cast("int").alias("partition"), F.col("event_id").alias("offset"))
     root = scratch_path(spark, "archive")
     jobs.archive(m, root, f"{root}/checkpoint").awaitTermination()
-    return spark.read.schema("uri string, payload string").option("recursiveFileLookup", "true").json(f"{root}/raw")
+    return jobs.read_batches(spark, f"{root}/raw", "uri string, payload string", "json")
+
+
+# Copies of a text arrive hours or days apart; its key lives six hours.
+SIX_HOURS = 21_600
 
 
 @query(
     "stream_dedup",
-    """SELECT text_key, count(*) AS documents FROM (SELECT DISTINCT sha256(text) AS text_key FROM documents) GROUP BY ALL""",
+    with_sql("envelope", rest=ttl_sql("SELECT CASE WHEN doc_id % 19 > 0 THEN sha256(raw_text) END AS k, epoch(ingestion_ts)::BIGINT AS t, doc_id AS id FROM envelope", SIX_HOURS), recursive=True),
 )
 def stream_dedup(spark, sf):
     docs = inputs.envelope(spark, sf, jobs.file_source(spark, sf, "documents"))
-    rows = docs.select(F.sha2("raw_text", 256).alias("text_key"), F.col("ingestion_ts"))
-    # The key lives a month past its event, longer than the table spans.
-    out = jobs.run(jobs.dedup(rows, "text_key", "ingestion_ts", "31 days"), "dedup")
-    return out.groupBy("text_key").agg(F.count("*").alias("documents"))
+    rows = docs.select("doc_id", "ingestion_ts", F.when(F.col("doc_id") % 19 > 0, F.sha2("raw_text", 256)).alias("text_key"))
+    out = jobs.run(stateful.dedup(rows, "text_key", "ingestion_ts", "doc_id", SIX_HOURS * 1_000_000), "dedup")
+    return out.select(F.col("doc_id").alias("id"), "is_duplicate", "existing_id")
 
 
 @query("ingest_run")

@@ -9,7 +9,7 @@ from docspark.inputs import with_sql
 from docspark.operators import telemetry as tel
 from docspark.plans import query
 from docspark.plans.experiments import LIVE
-from docspark.streaming import jobs
+from docspark.streaming import jobs, stateful
 
 
 def requests(spark, sf):
@@ -55,7 +55,7 @@ def rate_limit(spark, sf):
 
 @query("rate_limit_stream", with_sql("requests", rest=LIMITED, recursive=True))
 def rate_limit_stream(spark, sf):
-    s = jobs.run(jobs.rate_limit(request_stream(spark, sf), 2, DAY_US), "rate-limit")
+    s = jobs.run(stateful.rate_limit(request_stream(spark, sf), 2, DAY_US), "rate-limit")
     return s.select("event_id", "api_key", "admitted")
 
 
@@ -146,6 +146,21 @@ def canary_stream(spark, sf):
     return r.select("experiment_id", us("window_start"), "requests", F.round("error_rate", 6).alias("error_rate"), "failures", "aborted")
 
 
+# Windows that the watermark, ten minutes behind the newest event, has passed.
+CLOSED = """,
+edge AS (SELECT (max(us) // 1000 - 600000) * 1000 AS passed FROM requests),
+f AS (SELECT g.*, row_number() OVER (PARTITION BY experiment_id ORDER BY window_start) AS failures FROM g, edge
+  WHERE error_rate > 0.01 AND window_start + 300000000 <= passed)
+SELECT experiment_id, window_start, round(error_rate, 6) AS error_rate, failures FROM f WHERE failures = 3"""
+
+
+@query("canary_stop_stream", with_sql("requests", rest=CANARY + CLOSED))
+def canary_stop_stream(spark, sf):
+    """The stop event of every experiment, given while the stream runs."""
+    r = jobs.run(stateful.canary_stop(jobs.error_rate(request_stream(spark, sf)), tel.CANARY_LIMIT, tel.CANARY_FAILURES), "canary-stop")
+    return r.select("experiment_id", us("window_start"), F.round("error_rate", 6).alias("error_rate"), "failures")
+
+
 STATUS = " SELECT source_type, CASE WHEN byte_size > 2000 THEN 'completed' ELSE 'failed' END AS status, count(*) AS documents FROM envelope GROUP BY ALL"
 
 

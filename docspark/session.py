@@ -53,6 +53,18 @@ def find_package(spark: SparkSession) -> None:
             sc.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
 
 
+def keyed_state(spark: SparkSession) -> None:
+    """The state store that keeps keyed states on disk, beside memory, for streams with states of their own."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether a path on any file system Spark reads is a folder; false where there is nothing."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.exists(at) and files.getFileStatus(at).isDirectory()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; a temporary one only for local runs."""
     sc = spark.sparkContext

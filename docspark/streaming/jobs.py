@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from docspark.operators import quality
 from docspark.operators.telemetry import count_label
-from docspark.session import scratch_path
+from docspark.session import is_folder, scratch_path
 from docspark.sources import documents
 
 WATERMARK = "10 minutes"
@@ -33,10 +33,23 @@ def kafka_sink(df: DataFrame, servers: str, topic: str, checkpoint: str):
 
 
 def file_source(spark: SparkSession, folder: str, name: str, per_trigger: int | None = None) -> DataFrame:
-    """One table of a folder as a stream, ``per_trigger`` files to a batch (all that are there by default)."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-    return (reader if per_trigger is None else reader.option("maxFilesPerTrigger", per_trigger)).parquet(folder)
+    """One table of a folder as a stream, ``per_trigger`` files to a batch (all that are there by default).
+
+    A table is a folder of part files, as Spark writes it, or a single file.
+    """
+    path = f"{folder}/{name}.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    reader = reader if per_trigger is None else reader.option("maxFilesPerTrigger", per_trigger)
+    if is_folder(spark, path):
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+
+
+def read_batches(spark: SparkSession, path: str, schema: T.StructType | str, kind: str = "parquet") -> DataFrame:
+    """What a sink's batches have written under ``path``; no rows where nothing came."""
+    if not is_folder(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").format(kind).load(path)
 
 
 def run(df: DataFrame, name: str, keys: list[str] | None = None) -> DataFrame:
@@ -58,8 +71,8 @@ def run(df: DataFrame, name: str, keys: list[str] | None = None) -> DataFrame:
         .trigger(availableNow=True).start()
     )
     q.awaitTermination()
-    if not keys:
-        return spark.read.schema(schema).parquet(f"{out}/*")
+    if not keys or not is_folder(spark, out):
+        return read_batches(spark, out, schema)
     batches = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(out)
     newest = batches.groupBy(*keys).agg(F.max_by(F.struct(*schema.names), "batch").alias("row"))
     return newest.select("row.*")
@@ -106,11 +119,6 @@ def gated_ingest(docs: DataFrame, root: str, checkpoint: str):
     return docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def dedup(docs: DataFrame, key: str, ts: str, ttl: str = "1 day") -> DataFrame:
-    """First row of a key within the TTL on event time (DED3)."""
-    return docs.withWatermark(ts, ttl).dropDuplicatesWithinWatermark([key])
-
-
 def per_minute(events: DataFrame) -> DataFrame:
     """Requests per minute and label (STR3)."""
     e = events.withWatermark("ts", WATERMARK)
@@ -153,32 +161,3 @@ def variant_metrics(rows: DataFrame) -> DataFrame:
     return rows.groupBy("experiment_id", "variant", count_label(F.col("error")).alias("status")).agg(
         F.count("*").alias("requests"), F.avg("latency").alias("mean_latency")
     )
-
-
-RATE_STATE = T.StructType([T.StructField("admitted", T.ArrayType(T.LongType()))])
-
-
-def rate_limit(events: DataFrame, limit: int, width_us: int) -> DataFrame:
-    """Sliding-window limiter with the last admitted times of each key as state (STR2)."""
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    out = "event_id long, api_key long, us long, admitted boolean"
-
-    def step(key, batches, state):
-        import pandas as pd
-
-        recent = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["us", "event_id"])
-        flags = []
-        for t in rows["us"]:
-            ok = len(recent) < limit or recent[-limit] <= t - width_us
-            flags.append(ok)
-            if ok:
-                recent = [*recent, int(t)][-limit:]
-        state.update((recent,))
-        yield rows[["event_id", "api_key", "us"]].assign(admitted=flags)
-
-    return (
-        events.select("event_id", "api_key", "us").groupBy("api_key")
-        .applyInPandasWithState(step, out, RATE_STATE, "append", GroupStateTimeout.NoTimeout)
-    )

@@ -10,7 +10,7 @@ from docspark.functions import stats
 from docspark.operators import classify, drift, entities, evaluate, experiments, telemetry
 from docspark.operators.ordered import percentiles
 from docspark.sources import documents
-from docspark.streaming import jobs
+from docspark.streaming import jobs, stateful
 
 
 def test_regex_entities(spark):
@@ -227,14 +227,14 @@ def rate_brute(rows, limit, width):
 
 def test_rate_limit_batch_and_stream(spark, tmp_path):
     rng = random.Random(6)
-    rows = [(i, 0 if rng.random() < 0.4 else rng.randrange(5), rng.randrange(0, 4000)) for i in range(800)]
+    rows = [(i, 0 if rng.random() < 0.4 else rng.randrange(5), rng.randrange(1, 4000)) for i in range(800)]
     df = spark.createDataFrame(rows, "event_id long, api_key long, us long")
     want = rate_brute(rows, 3, 60)
     got = {r.event_id: r.admitted for r in telemetry.rate_limit(df, "api_key", "us", "event_id", 3, 60).collect()}
     assert got == want
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     s = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    got = {r.event_id: r.admitted for r in jobs.run(jobs.rate_limit(s, 3, 60), "t").collect()}
+    got = {r.event_id: r.admitted for r in jobs.run(stateful.rate_limit(s, 3, 60), "t").collect()}
     assert got == want
 
 

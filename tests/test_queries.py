@@ -14,6 +14,7 @@ KEYS = [
     "feature_store_asof", "vector_topk", "bm25_topk", "citations", "kv_pairs", "pii_counts", "ensemble_vote", "js_classes",
     "ab_ztest", "catalogue_page", "cdc_documents", "span_headings", "rate_limit", "canary_stream", "stream_ingest",
     "hybrid_topk", "drift_report", "ks_text_length", "chi2_language", "agent_actions", "idempotency_filter", "status_counts_stream",
+    "rate_limit_stream", "stream_dedup", "canary_stop_stream", "stream_archive",
 ]
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are not here")
 
