@@ -32,26 +32,51 @@ def mean_word_length(c: Column) -> Column:
     return F.char_length(F.regexp_replace(c, tx.WS + "+", "")) / tx.word_count(c)
 
 
-def failure_reason(text: str = "raw_text", raw: str | None = "raw_bytes", language: str = "language") -> Column:
-    """NULL for accepted rows, else the first failing check (VAL1-5, VAL7-10)."""
-    t = F.col(text)
+# What the schema checks answer, in their order.
+SCHEMA_REASONS = ["checksum_mismatch", "missing_text", "text_too_short", "byte_size_out_of_range", "language_not_allowed"]
+
+
+def _first(checks: list[tuple[Column, str]]) -> Column:
     why = F.lit(None).cast("string")
-    checks: list[tuple[Column, str]] = []
+    for test, reason in reversed(checks):
+        why = F.when(test, F.lit(reason)).otherwise(why)
+    return why
+
+
+def _schema_checks(text: str, raw: str | None, language: str) -> list[tuple[Column, str]]:
+    t = F.col(text)
+    tests = [
+        t.isNull(), F.char_length(t) < MIN_CHARS, ~F.col("byte_size").between(MIN_BYTES, MAX_BYTES), ~F.col(language).isin(ALLOWED_LANGUAGES),
+    ]
+    checks = list(zip(tests, SCHEMA_REASONS[1:], strict=True))
     if raw is not None:
-        checks.append((F.col(raw).isNotNull() & (F.sha2(raw, 256) != F.col("checksum")), "checksum_mismatch"))
-    checks += [
-        (t.isNull(), "missing_text"),
-        (F.char_length(t) < MIN_CHARS, "text_too_short"),
-        (~F.col("byte_size").between(MIN_BYTES, MAX_BYTES), "byte_size_out_of_range"),
-        (~F.col(language).isin(ALLOWED_LANGUAGES), "language_not_allowed"),
+        checks.insert(0, (F.col(raw).isNotNull() & (F.sha2(raw, 256) != F.col("checksum")), SCHEMA_REASONS[0]))
+    return checks
+
+
+def _content_checks(text: str) -> list[tuple[Column, str]]:
+    t = F.col(text)
+    return [
         (tx.is_blank(t), "whitespace_only"),
         (blank_page(t), "blank_page"),
         (mean_word_length(t) < MIN_WORD_LENGTH, "unreadable_scan"),
         (tx.alpha_ratio(t) <= MIN_ALPHA, "low_alphabetic_ratio"),
     ]
-    for test, reason in reversed(checks):
-        why = F.when(test, F.lit(reason)).otherwise(why)
-    return why
+
+
+def schema_reason(text: str = "raw_text", raw: str | None = "raw_bytes", language: str = "language") -> Column:
+    """NULL for rows that pass the schema checks (VAL1-5)."""
+    return _first(_schema_checks(text, raw, language))
+
+
+def content_reason(text: str = "raw_text") -> Column:
+    """NULL for rows whose text passes the content checks (VAL7-10)."""
+    return _first(_content_checks(text))
+
+
+def failure_reason(text: str = "raw_text", raw: str | None = "raw_bytes", language: str = "language") -> Column:
+    """NULL for accepted rows, else the first failing check (VAL1-5, VAL7-10)."""
+    return _first([*_schema_checks(text, raw, language), *_content_checks(text)])
 
 
 def validate(docs: DataFrame, **cols) -> DataFrame:

@@ -7,17 +7,16 @@ import uuid
 from pyspark.sql import functions as F
 
 from docspark import inputs
-from docspark.functions import hashing
 from docspark.functions import text as tx
 from docspark.inputs import sentences_sql, with_sql
 from docspark.operators import catalogue as cat
-from docspark.operators import chunking, cleaning, dedup, entities, features, quality
-from docspark.operators import vectors as vec
+from docspark.operators import entities, quality
 from docspark.plans import query
-from docspark.plans.text import VALIDATED, ttl_sql
+from docspark.plans.entities import spans_sql
+from docspark.plans.text import LANGUAGE_SQL, VALIDATED, content_sql, features_sql, fixed_sql, schema_sql, ttl_sql, word_count_sql
 from docspark.session import cut_lineage, scratch_path
 from docspark.sources import documents, layout
-from docspark.streaming import jobs, stateful
+from docspark.streaming import ingest, jobs, stateful
 
 NS = uuid.NAMESPACE_DNS.hex
 
@@ -263,17 +262,64 @@ def table_markdown(spark, sf):
     return layout.tables_markdown(cells).select("doc", "row_count", "col_count", "headers", "markdown")
 
 
-@query("stream_ingest", with_sql("envelope", rest=f"""{VALIDATED} SELECT doc_id::VARCHAR AS doc_id, 'accepted' AS outcome FROM validated WHERE failure_reason IS NULL
-UNION ALL SELECT doc_id::VARCHAR, failure_reason FROM validated WHERE failure_reason IS NOT NULL"""))
+# The gate in order and what every sink must hold of it. Copies are submitted under one address per language.
+GATED = f""",
+lang_of AS (SELECT doc_id, lang AS detected, p AS prob FROM probs WHERE rn = 1),
+submitted AS (SELECT * REPLACE ('s3://raw/' || lang AS source_uri) FROM envelope),
+schema_checked AS (SELECT *, CASE{schema_sql()} END AS schema_reason, sha256(source_uri || ':' || checksum) AS k FROM submitted),
+owners AS (SELECT k, arg_min(doc_id, (ingestion_ts, doc_id)) AS owner FROM schema_checked WHERE schema_reason IS NULL GROUP BY k),
+content AS (SELECT doc_id, CASE{content_sql()} END AS content_reason FROM envelope),
+gated AS (
+  SELECT s.*, detected, prob, CASE WHEN schema_reason IS NULL AND owner <> s.doc_id THEN owner END AS existing,
+    coalesce(schema_reason, CASE WHEN owner <> s.doc_id THEN 'duplicate_document' END,
+      CASE WHEN detected NOT IN ('en','fr','de','es','hi','zh') THEN 'detected_language_not_allowed' END, content_reason) AS reason
+  FROM schema_checked s LEFT JOIN owners o ON o.k = s.k LEFT JOIN lang_of USING (doc_id) JOIN content USING (doc_id)),
+chunked AS (SELECT doc_id, count(*) AS n, sum({word_count_sql("text")})::BIGINT AS tokens FROM chunks GROUP BY doc_id),
+tagged AS (SELECT doc_id, count(*) AS n FROM spans GROUP BY doc_id),
+done AS (
+  SELECT g.doc_id, epoch(g.ingestion_ts)::BIGINT AS stamp, detected, prob, c.n AS chunks, c.tokens, coalesce(t.n, 0) AS entities, doc_type_signal
+  FROM gated g LEFT JOIN chunked c USING (doc_id) LEFT JOIN tagged t USING (doc_id) JOIN feats USING (doc_id) WHERE reason IS NULL)
+SELECT 'documents' AS sink, doc_id::VARCHAR AS doc_id, detected || ':' || (prob < 0.85) AS detail FROM done
+UNION ALL SELECT 'keys', doc_id::VARCHAR, k FROM gated WHERE schema_reason IS NULL AND existing IS NULL
+UNION ALL SELECT 'duplicates', doc_id::VARCHAR, existing::VARCHAR FROM gated WHERE reason = 'duplicate_document'
+UNION ALL SELECT 'features', doc_id::VARCHAR, doc_type_signal FROM done
+UNION ALL SELECT 'chunks', doc_id::VARCHAR, chunks || ':' || tokens FROM done WHERE chunks IS NOT NULL
+UNION ALL SELECT 'vectors', doc_id::VARCHAR, (chunks * 64)::VARCHAR FROM done WHERE chunks IS NOT NULL
+UNION ALL SELECT 'catalogue', doc_id::VARCHAR, CASE WHEN chunks IS NULL THEN 'failed:0 chunks' ELSE 'completed' END FROM done
+UNION ALL SELECT 'catalogue', doc_id::VARCHAR, 'failed:' || reason FROM gated WHERE reason <> 'duplicate_document'
+UNION ALL SELECT 'letters', doc_id::VARCHAR, reason FROM gated WHERE reason <> 'duplicate_document'
+UNION ALL SELECT 'letters', doc_id::VARCHAR, '0 chunks' FROM done WHERE chunks IS NULL
+UNION ALL SELECT 'events', doc_id::VARCHAR, '{{"doc_id":"' || doc_id || '","status":"completed","predicted_class":"' || doc_type_signal || '","entities_extracted":' || entities || ',"timestamp":' || stamp || '}}'
+  FROM done WHERE chunks IS NOT NULL"""
+INGESTED = (
+    fixed_sql(512, 64) + f""",
+{LANGUAGE_SQL.rstrip()},
+{inputs.SQL["envelope"].strip()}""" + features_sql() + spans_sql("documents", entities.ENTITY_PATTERNS) + GATED
+)
+
+
+def submissions(spark, sf, docs=None):
+    return inputs.envelope(spark, sf, docs).withColumn("source_uri", F.concat(F.lit("s3://raw/"), "lang")).drop("lang", "source")
+
+
+@query("ingest_run", INGESTED)
+def ingest_run(spark, sf):
+    """One batch through the gate into all its sinks, and again: the second time adds nothing."""
+    model = cut_lineage(quality.train_language_model(inputs.table(spark, sf, "documents")))
+    root = scratch_path(spark, "ingest")
+    for _ in range(2):
+        ingest.ingest_batch(submissions(spark, sf), root, 0, model)
+    return ingest.records(spark, root)
+
+
+@query("stream_ingest", INGESTED)
 def stream_ingest(spark, sf):
-    docs = inputs.envelope(spark, sf, jobs.file_source(spark, sf, "documents"))
+    """The same from a stream, whose batches find the keys of those before them."""
+    model = cut_lineage(quality.train_language_model(inputs.table(spark, sf, "documents")))
     root = scratch_path(spark, "ingest")
-    jobs.gated_ingest(docs, root, f"{root}/checkpoint").awaitTermination()
-    good = jobs.read_batches(spark, f"{root}/accepted", "doc_id long").select(F.col("doc_id").cast("string").alias("doc_id"), F.lit("accepted").alias("outcome"))
-    bad = jobs.read_batches(spark, f"{root}/dead_letters", "value string").select(
-        F.get_json_object("value", "$.document.doc_id").alias("doc_id"), F.get_json_object("value", "$.failure_reason").alias("outcome")
-    )
-    return good.unionByName(bad)
+    docs = submissions(spark, sf, jobs.file_source(spark, sf, "documents"))
+    ingest.ingest_stream(docs, root, f"{root}/checkpoint", model).awaitTermination()
+    return ingest.records(spark, root)
 
 
 @query("stream_archive", """SELECT 'kafka://raw.' || event_type || '/' || (user_id % 4) || '/' || event_id AS uri, replace(props, ': ', ':') AS payload FROM events""")
@@ -298,29 +344,3 @@ def stream_dedup(spark, sf):
     rows = docs.select("doc_id", "ingestion_ts", F.when(F.col("doc_id") % 19 > 0, F.sha2("raw_text", 256)).alias("text_key"))
     out = jobs.run(stateful.dedup(rows, "text_key", "ingestion_ts", "doc_id", SIX_HOURS * 1_000_000), "dedup")
     return out.select(F.col("doc_id").alias("id"), "is_duplicate", "existing_id")
-
-
-@query("ingest_run")
-def ingest_run(spark, sf):
-    """Gate, deduplicate, clean, chunk, embed, index, classify, tag and record, as one batch.
-
-    Returns a row per document with what each step made of it. Tables that more than one later
-    step reads are written down once.
-    """
-    e = quality.validate(inputs.envelope(spark, sf))
-    ok = F.col("failure_reason").isNull()
-    key = hashing.dedup_key(F.concat(F.lit("s3://raw/"), "lang"), F.col("checksum"))
-    firsts = dedup.first_wins(e.where(ok).select("doc_id", "ingestion_ts", key.alias("k")), "k", "ingestion_ts", "doc_id")
-    kept = cut_lineage(firsts.where(~F.col("is_duplicate")).select("doc_id"))
-    docs = e.join(kept, "doc_id", "left_semi").select("doc_id", "raw_text", "source_type", "language", "page_count", "metadata")
-    cleaned = cleaning.clean(docs, "raw_text")
-    chunks = cut_lineage(chunking.fixed(cleaned, "clean_text"))
-    store = vec.encode(chunks, F.col("text")).select("doc_id", "chunk_id", "embedding")
-    feats = features.document_features(docs).select("doc_id", "doc_type_signal", "text_quality_score")
-    tags = docs.select("doc_id", F.size(entities.extract_entities(F.col("raw_text"))).alias("entities"))
-    per_doc = store.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum(F.size("embedding")).alias("numbers"))
-    out = e.select("doc_id", "failure_reason").join(per_doc, "doc_id", "left").join(feats, "doc_id", "left").join(tags, "doc_id", "left")
-    status = (
-        F.when(~ok, "rejected").when(F.col("doc_type_signal").isNull(), "duplicate").when(F.col("chunks").isNull(), "failed").otherwise("completed")
-    )
-    return out.select("doc_id", status.alias("status"), "failure_reason", "chunks", "numbers", "doc_type_signal", "entities")

@@ -27,21 +27,31 @@ def word_count_sql(t: str) -> str:
     return WORD_COUNT_SQL.format(t=t)
 
 
-def failure_sql(text_ok: str = "sha256(raw_text) <> checksum") -> str:
-    """The gates as one CASE over ``envelope`` columns."""
-    t = "raw_text"
-    blank = BLANK_SQL.format(t="regexp_replace(p, '^.*?---', '', 's')")
-    return f"""CASE
+def schema_sql(text_ok: str = "sha256(raw_text) <> checksum") -> str:
+    """The schema checks over ``envelope`` columns, as branches of a CASE."""
+    return f"""
     WHEN {text_ok} THEN 'checksum_mismatch'
-    WHEN {t} IS NULL THEN 'missing_text'
-    WHEN length({t}) < 51 THEN 'text_too_short'
+    WHEN raw_text IS NULL THEN 'missing_text'
+    WHEN length(raw_text) < 51 THEN 'text_too_short'
     WHEN byte_size < 100 OR byte_size > 52428800 THEN 'byte_size_out_of_range'
-    WHEN language NOT IN ('en','fr','de','es','hi','zh') THEN 'language_not_allowed'
+    WHEN language NOT IN ('en','fr','de','es','hi','zh') THEN 'language_not_allowed'"""
+
+
+def content_sql() -> str:
+    """The content checks, as branches of a CASE."""
+    t = "raw_text"
+    blank = BLANK_SQL.format(t="regexp_replace(p, '^.*?---', '', 's')")
+    return f"""
     WHEN {BLANK_SQL.format(t=t)} THEN 'whitespace_only'
     WHEN contains({t}, '--- PAGE ') AND len(list_filter(string_split({t}, '--- PAGE '),
          lambda p: NOT ({BLANK_SQL.format(t="p")}) AND {blank})) > 0 THEN 'blank_page'
     WHEN {NONSPACE_SQL.format(t=t)} / {word_count_sql(t)} < 2 THEN 'unreadable_scan'
-    WHEN {ALPHA_SQL.format(t=t)} <= 0.6 THEN 'low_alphabetic_ratio' END"""
+    WHEN {ALPHA_SQL.format(t=t)} <= 0.6 THEN 'low_alphabetic_ratio'"""
+
+
+def failure_sql(text_ok: str = "sha256(raw_text) <> checksum") -> str:
+    """The gates as one CASE."""
+    return f"CASE{schema_sql(text_ok)}{content_sql()} END"
 
 
 VALIDATED = f""",
@@ -87,9 +97,8 @@ def response_envelope(spark, sf):
     return quality.response_envelope(c, "answer", "confidence").select("conv_id", "turn", "confidence_value", "error", "valid")
 
 
-@query(
-    "language_id",
-    f"""WITH slots AS (
+# Texts and their likeliest language, by character pairs counted over all documents.
+LANGUAGE_SQL = f"""slots AS (
   SELECT doc_id, lang, unnest(list_transform(range(1, len(c)), lambda i: (ord(c[i]) * {quality.GRAM_FACTOR} + ord(c[i + 1])) % {quality.GRAM_SLOTS})) AS slot
   FROM (SELECT doc_id, lang, string_split(lower(text), '') AS c FROM documents)),
 per_slot AS (SELECT lang, slot, count(*) AS n FROM slots GROUP BY ALL),
@@ -101,7 +110,12 @@ scores AS (
   FROM counts c CROSS JOIN totals t LEFT JOIN model m ON m.lang = t.lang AND m.slot = c.slot GROUP BY ALL),
 probs AS (
   SELECT doc_id, lang, s, exp(s - max(s) OVER d) / sum(exp(s - m)) OVER d AS p, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, lang) AS rn
-  FROM (SELECT *, max(s) OVER (PARTITION BY doc_id) AS m FROM scores) WINDOW d AS (PARTITION BY doc_id))
+  FROM (SELECT *, max(s) OVER (PARTITION BY doc_id) AS m FROM scores) WINDOW d AS (PARTITION BY doc_id))"""
+
+
+@query(
+    "language_id",
+    f"""WITH {LANGUAGE_SQL}
 SELECT doc_id, lang AS language, round(p, 4) AS prob, p < 0.85 AS uncertain_language,
   CASE WHEN lang NOT IN ('en','fr','de','es','hi','zh') THEN 'language_not_allowed' END AS failure_reason
 FROM probs WHERE rn = 1""",

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docspark.operators import quality
 from docspark.operators.telemetry import count_label
 from docspark.session import is_folder, scratch_path
 from docspark.sources import documents
@@ -100,25 +99,6 @@ def archive(messages: DataFrame, root: str, checkpoint: str):
     return messages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def gated_ingest(docs: DataFrame, root: str, checkpoint: str):
-    """Quality gate with accepted and dead-letter outputs (STR9).
-
-    Both outputs are folders named by batch and replaced on retry, so a rerun adds nothing twice.
-    """
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        # Both outputs read the verdicts, so they are kept for the length of the batch.
-        checked = quality.validate(batch).persist()
-        bad = F.col("failure_reason").isNotNull()
-        good = checked.where(~bad).drop("failure_reason")
-        good.write.mode("overwrite").parquet(f"{root}/accepted/batch-{batch_id}")
-        letters = documents.dead_letters(checked.where(bad).drop("quality_score"), F.col("ingestion_ts"))
-        letters.write.mode("overwrite").parquet(f"{root}/dead_letters/batch-{batch_id}")
-        checked.unpersist()
-
-    return docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def per_minute(events: DataFrame) -> DataFrame:
     """Requests per minute and label (STR3)."""
     e = events.withWatermark("ts", WATERMARK)
