@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from docspark.functions import text as tx
 from docspark.functions import vectors as vx
 from docspark.operators import blocks
+from docspark.session import is_folder
+from docspark.sources import log
 
 QUERY_PREFIX = "Represent this sentence: "
 
@@ -127,33 +129,93 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, filters: dict[str
     return _ranked(found, k)
 
 
-def cell_topk(vectors: DataFrame, queries: DataFrame, k: int, cells: int = 16, probes: int = 4, seed: int = 7) -> DataFrame:
-    """Approximate search: k-means cells, each query probing its nearest few (VEC3).
+# Vectors that the centres of cells are found from at most, and that are searched exactly to learn how many cells a
+# search must open; those of least key hash.
+CELL_SAMPLE, PROBE_SAMPLE = 65_536, 128
 
-    Cells are matched by an equi-join of packs, so a cell holding a third of all vectors is just
-    more packs. Report recall against ``exact_topk``; this never replaces it silently.
+
+def write_cells(
+    vectors: DataFrame, path: str, cells: int | None = None, sample: int = CELL_SAMPLE, target: float = 0.95, nearest: int = 10, seed: int = 7
+) -> None:
+    """An inverted index on disk (VEC3): vectors in folders by the nearest centre, and the centres.
+
+    Every vector is stored; centres, about the square root of the number of vectors, come from a k-means over a sample
+    of at most ``sample`` of them. How many cells a search opens is measured: the fewest in which ``PROBE_SAMPLE``
+    vectors find the ``target`` share of their ``nearest``. Folders of large cells hold several files, those of small
+    ones one. Vectors null or empty are left out.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    train = vectors.select(array_to_vector(vx.as_double(F.col("embedding"))).alias("features"))
-    model = KMeans(k=cells, seed=seed, maxIter=10).fit(train)
-    centers = np.vstack(model.clusterCenters())  # cells x dim, fixed size
-
-    def nearest(n: int):
-        @F.pandas_udf("array<int>")
-        def cells_of(v):
-            import pandas as pd
-
-            m = np.vstack(v.map(np.asarray).to_list()).astype(float)
-            d = (m**2).sum(1)[:, None] - 2 * m @ centers.T + (centers**2).sum(1)[None, :]
-            return pd.Series(list(np.argsort(d, axis=1, kind="stable")[:, :n].astype("int32")))
-
-        return cells_of
-
-    v = vectors.select("chunk_id", "embedding", nearest(1)("embedding")[0].alias("cell"))
-    q = queries.select("query_id", "embedding", F.explode(nearest(probes)("embedding")).alias("cell"))
-    chunk_type = vectors.schema["chunk_id"].dataType.simpleString()
+    spark = vectors.sparkSession
+    known = vectors.where(F.size("embedding") > 0)
+    n = known.count()
+    cells = cells or max(1, round(n**0.5))
+    train = known.select(vx.as_double(F.col("embedding")).alias("e"), F.xxhash64("chunk_id").alias("h"))
+    if n > sample:
+        # A share of the hashes that holds the sample and little more.
+        train = train.where(F.col("h") / F.lit(2.0**64) + 0.5 <= 1.2 * sample / n).orderBy("h").limit(sample)
+    centres = np.zeros((0, 1))
+    if n:
+        unit = train.select(array_to_vector(vx.l2_normalize(F.col("e"))).alias("features"))
+        centres = np.vstack(KMeans(k=min(cells, n), seed=seed, maxIter=8, initMode="random").fit(unit).clusterCenters())
+    placed = known.withColumn("cell", _nearest_cells(centres, 1)("embedding")[0])
+    placed.hint("rebalance", "cell").write.partitionBy("cell").parquet(f"{path}/vectors")
+    stored = spark.read.schema(placed.schema).parquet(f"{path}/vectors")
+    asked = stored.select(F.col("chunk_id").alias("query_id"), "embedding", F.xxhash64("chunk_id").alias("h"))
+    asked = asked.where(F.col("h") / F.lit(2.0**64) + 0.5 <= 2 * PROBE_SAMPLE / max(n, 1)).orderBy("h").limit(PROBE_SAMPLE)
+    order = asked.select("query_id", _nearest_cells(centres, len(centres))("embedding").alias("order"))
+    found = exact_topk(stored, asked, nearest).join(stored.select("chunk_id", "cell"), "chunk_id").join(order, "query_id")
+    turns = found.groupBy(F.array_position("order", F.col("cell")).alias("turn")).agg(F.count("*").alias("n")).orderBy("turn").collect()
+    total, probes, sofar = sum(r["n"] for r in turns), 1, 0
+    for r in turns:
+        probes, sofar = r["turn"], sofar + r["n"]
+        if sofar >= target * total:
+            break
+    rows = [(i, c.tolist(), int(probes)) for i, c in enumerate(centres)]
+    spark.createDataFrame(rows, "cell int, centre array<double>, probes int").coalesce(1).write.parquet(f"{path}/centres")
+
+
+def _nearest_cells(centres: np.ndarray, n: int):
+    @F.pandas_udf("array<int>")
+    def cells_of(v):
+        import pandas as pd
+
+        if not len(centres):
+            return pd.Series([[]] * len(v))
+        m = blocks.unit_rows(np.vstack(v.map(np.asarray).to_list()).astype(float))
+        far = (centres**2).sum(1)[None, :] - 2 * m @ centres.T
+        return pd.Series(list(np.argsort(far, axis=1, kind="stable")[:, :n].astype("int32")))
+
+    return cells_of
+
+
+def probed_cells(spark, path: str, queries: DataFrame, probes: int | None = None) -> DataFrame:
+    """(query_id, embedding, cell): every query with the nearest cells, as many as the index asks for by default."""
+    rows = spark.read.parquet(f"{path}/centres").orderBy("cell").collect()
+    centres = np.array([r["centre"] for r in rows])
+    n = probes or (rows[0]["probes"] if rows else 1)
+    found = queries.where(F.size("embedding") > 0)
+    return found.select("query_id", "embedding", F.explode(_nearest_cells(centres, n)("embedding")).alias("cell"))
+
+
+def opened(spark, path: str, schema, probed: DataFrame) -> DataFrame:
+    """The stored vectors of probed cells: the cells are a filter on folders, so the others are not listed or read."""
+    if not is_folder(spark, f"{path}/vectors"):
+        return spark.createDataFrame([], schema).withColumn("cell", F.lit(None).cast("int"))
+    wanted = [r[0] for r in probed.select("cell").distinct().collect()]
+    return spark.read.parquet(f"{path}/vectors").where(F.col("cell").isin(wanted))
+
+
+def cell_topk(spark, path: str, schema, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
+    """Approximate search of the index (VEC3): each query scans its nearest cells, by exact cosine.
+
+    Cells are matched by an equi-join of packs, so a cell holding a third of all vectors is just more packs. ``schema`` is
+    that of the indexed rows. Report recall against ``exact_topk``; this never replaces it silently.
+    """
+    q = probed_cells(spark, path, queries, probes)
+    v = opened(spark, path, schema, q).select("chunk_id", "embedding", "cell")
+    chunk_type = v.schema["chunk_id"].dataType.simpleString()
     query_type = queries.schema["query_id"].dataType.simpleString()
 
     def score(lv: blocks.Columns, rv: blocks.Columns) -> pa.RecordBatch:
@@ -196,13 +258,75 @@ def stats(vectors: DataFrame, *by: str) -> DataFrame:
     return vectors.groupBy(*by).agg(F.count("*").alias("total_vectors"), F.countDistinct("doc_id").alias("total_documents"))
 
 
-def save_snapshot(vectors: DataFrame, path: str) -> None:
-    """A store version on disk, one folder per namespace (VEC8).
+def save_version(updates: DataFrame, root: str, replace: bool = False) -> int:
+    """Updates of a stored vector table as a new version, upserted by chunk_id or in place of what was there (VEC8).
 
-    ``rebalance`` lets AQE split a namespace that holds most rows and merge the small ones.
+    Only the namespaces (source types) that the updates are of are written again.
     """
-    vectors.hint("rebalance", "source_type").write.partitionBy("source_type").parquet(path)
+    return log.write_version(updates, root, "source_type", None if replace else _newer)
 
 
-def load_snapshot(spark, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def _newer(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Rows by chunk_id, the new one winning."""
+    both = old.withColumn("_turn", F.lit(0)).unionByName(new.withColumn("_turn", F.lit(1)))
+    fields = [c for c in new.columns if c != "chunk_id"]
+    return both.groupBy("chunk_id").agg(F.max_by(F.struct(*fields), "_turn").alias("r")).select("chunk_id", "r.*")
+
+
+def load_version(spark, root: str, schema, version: int | None = None, as_of=None, tenant: str | None = None) -> DataFrame:
+    """A version of a stored vector table, the newest by default; one tenant opens one folder (VEC5, VEC8)."""
+    return log.read_version(spark, root, schema, version, as_of, None if tenant is None else [tenant])
+
+
+class VectorStore:
+    """One way into a stored vector table: exact, by cells, or mixed with keywords (VEC1-8).
+
+    ``mode`` is ``exact``, ``cells`` or ``hybrid``. Writes make a version; searches see the newest one, and the cells
+    that were built for it.
+    """
+
+    def __init__(self, spark, root: str, schema, mode: str = "exact"):
+        if mode not in ("exact", "cells", "hybrid"):
+            raise ValueError(f"unknown mode {mode}")
+        self.spark, self.root, self.schema, self.mode = spark, root.rstrip("/"), schema, mode
+
+    def upsert(self, updates: DataFrame) -> int:
+        version = save_version(updates, f"{self.root}/rows")
+        if self.mode == "cells":
+            write_cells(self.rows(), self._cells(version))
+        return version
+
+    def delete(self, doc_ids: DataFrame) -> int:
+        """A version without the documents' chunks; namespaces that hold none of them keep their folders."""
+        rows, ids = self.rows(), doc_ids.select("doc_id").distinct()
+        hit = [r[0] for r in rows.join(ids, "doc_id", "left_semi").select("source_type").distinct().collect()]
+        left = delete_documents(rows.where(F.col("source_type").isin(hit)), ids)
+        version = log.write_version(left, f"{self.root}/rows", "source_type", drop=hit)
+        if self.mode == "cells":
+            write_cells(self.rows(), self._cells(version))
+        return version
+
+    def rows(self, tenant: str | None = None) -> DataFrame:
+        return load_version(self.spark, f"{self.root}/rows", self.schema, tenant=tenant)
+
+    def _cells(self, version: int) -> str:
+        return f"{self.root}/cells/{version:012d}"
+
+    def search(self, queries: DataFrame, k: int, filters: dict[str, object] | None = None, tenant: str | None = None) -> DataFrame:
+        """(query_id, chunk_id, score, rank); ``queries`` has query_id and embedding, and text for ``hybrid``.
+
+        Filters and tenants are answered exactly, so that a filter never empties a probed cell.
+        """
+        if self.mode == "hybrid":
+            from docspark.operators import retrieval
+
+            rows = with_filters(self.rows(tenant), filters or {})
+            return retrieval.hybrid_topk(rows, queries, k)
+        if self.mode == "cells" and not filters and tenant is None:
+            version = log.version_of(self.spark, f"{self.root}/rows")
+            if version is not None:
+                return cell_topk(self.spark, self._cells(version), self.schema, queries, k)
+        return exact_topk(self.rows(tenant), queries, k, filters)
+
+    def stats(self) -> DataFrame:
+        return stats(self.rows(), "source_type")

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docspark import inputs
+from docspark import inputs, plans
 from docspark.functions import text as tx
 from docspark.inputs import sentences_sql, with_sql, words_sql
 from docspark.operators import classify, drift, entities, evaluate, features
 from docspark.operators import vectors as vec
 from docspark.plans import query
 from docspark.plans.entities import REGIONS, spans_sql
-from docspark.session import cut_lineage
+from docspark.session import cut_lineage, scratch_path
+from docspark.sources import log
 
 CLASS_ORDER = "list_position(['" + "','".join(classify.CLASSES) + "'], {c})"
 
@@ -404,3 +405,25 @@ def drift_window_split(spark, sf):
     e = inputs.table(spark, sf, "events")
     cut = e.agg(F.max("ts") - F.expr("INTERVAL 7 DAYS")).scalar()
     return drift.split_window(e, "ts", cut).groupBy("side").agg(F.count("*").alias("events"))
+
+
+@query(
+    "report_tables",
+    f"""WITH e AS ({plans.ORACLES["combined_evaluation"]}), d AS ({plans.ORACLES["drift_report"]})
+SELECT 'evaluation-' || (conv_id % 10) AS report_id, 'evaluation' AS kind, sum(rouge_l > 0.2)::BIGINT AS above, sum(contradiction_rate > 0)::BIGINT AS contradicted, NULL AS affected FROM e GROUP BY ALL
+UNION ALL SELECT 'drift-1', 'drift', NULL, NULL, affected FROM d""",
+)
+def report_tables(spark, sf):
+    """Drift and evaluation reports appended to one table, twice and in part again; every report is there once (SNK5)."""
+    e = plans.QUERIES["combined_evaluation"](spark, sf)
+    e = e.groupBy(F.concat(F.lit("evaluation-"), (F.col("conv_id") % 10).cast("string")).alias("report_id")).agg(
+        F.lit("evaluation").alias("kind"), F.count(F.when(F.col("rouge_l") > 0.2, 1)).alias("above"),
+        F.count(F.when(F.col("contradiction_rate") > 0, 1)).alias("contradicted"), F.lit(None).cast("string").alias("affected"),
+    )
+    none = F.lit(None).cast("long")
+    d = plans.QUERIES["drift_report"](spark, sf).select(F.lit("drift-1").alias("report_id"), F.lit("drift").alias("kind"), none.alias("above"), none.alias("contradicted"), "affected")
+    root = scratch_path(spark, "reports")
+    e, both = cut_lineage(e), cut_lineage(e.unionByName(d))
+    for reports in (e, both, both):
+        log.append_reports(reports, root)
+    return log.read_table(spark, root, "reports", both.schema)

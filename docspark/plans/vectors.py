@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docspark import inputs
@@ -9,6 +12,7 @@ from docspark.inputs import tokens_sql, with_sql
 from docspark.operators import vectors as vec
 from docspark.plans import query
 from docspark.session import scratch_path
+from docspark.sources import log
 
 
 def embed_sql(source: str, text: str, key: str, name: str = "embedded") -> str:
@@ -87,9 +91,40 @@ def vector_upsert(spark, sf):
     with_sql("vectors", rest=" SELECT source_type, count(*) AS total_vectors, count(DISTINCT doc_id) AS total_documents FROM vectors GROUP BY ALL"),
 )
 def vector_snapshot_roundtrip(spark, sf):
-    path = scratch_path(spark, "vectors")
-    vec.save_snapshot(inputs.vectors(spark, sf), path)
-    return vec.stats(vec.load_snapshot(spark, path), "source_type")
+    path, v = scratch_path(spark, "vectors"), inputs.vectors(spark, sf)
+    vec.save_version(v, path)
+    return vec.stats(vec.load_version(spark, path, v.schema), "source_type")
+
+
+@query(
+    "vector_versions",
+    with_sql("vectors", rest=""",
+third AS (SELECT chunk_id + (CASE WHEN chunk_id % 2 = 0 THEN 0 ELSE 1000000 END) AS chunk_id, doc_id, 'api' AS source_type, label || '!' AS label FROM vectors WHERE source_type = 'api' AND chunk_id % 3 = 0),
+v1 AS (SELECT chunk_id, doc_id, source_type, label FROM vectors),
+v2 AS (SELECT * FROM v1 WHERE chunk_id NOT IN (SELECT chunk_id FROM third) UNION ALL SELECT * FROM third),
+v3 AS (SELECT * FROM v2 WHERE doc_id NOT IN (SELECT doc_id FROM vectors WHERE source_type = 'pdf' AND doc_id % 7 = 0)),
+seen AS (
+  SELECT 'first' AS asked, * FROM v1 UNION ALL SELECT 'upserted', * FROM v2 UNION ALL SELECT 'deleted', * FROM v3
+  UNION ALL SELECT 'newest', * FROM v2 UNION ALL SELECT 'image', * FROM v2 WHERE source_type = 'image')
+SELECT asked, source_type, count(*) AS total_vectors, count(DISTINCT doc_id) AS total_documents, count(*) FILTER (label LIKE '%!') AS changed,
+  sum(chunk_id)::BIGINT AS ids FROM seen GROUP BY ALL"""),
+)
+def vector_versions(spark, sf):
+    """A store written, upserted, cut and rolled back: every version as it reads afterwards."""
+    v = inputs.vectors(spark, sf)
+    store = vec.VectorStore(spark, scratch_path(spark, "store"), v.schema)
+    first = store.upsert(v)
+    moved = F.col("chunk_id") + F.when(F.col("chunk_id") % 2 == 0, 0).otherwise(1_000_000)
+    second = store.upsert(v.where("source_type = 'api' AND chunk_id % 3 = 0").withColumns({"chunk_id": moved, "label": F.concat("label", F.lit("!"))}))
+    third = store.delete(v.where("source_type = 'pdf' AND doc_id % 7 = 0"))
+    rows = f"{store.root}/rows"
+    log.roll_back(spark, rows, second)
+    asked = [("first", first, None), ("upserted", second, None), ("deleted", third, None), ("newest", None, None), ("image", None, "image")]
+    seen = [vec.load_version(spark, rows, v.schema, n, tenant=t).withColumn("asked", F.lit(a)) for a, n, t in asked]
+    return functools.reduce(DataFrame.unionByName, seen).groupBy("asked", "source_type").agg(
+        F.count("*").alias("total_vectors"), F.countDistinct("doc_id").alias("total_documents"),
+        F.count(F.when(F.endswith("label", F.lit("!")), 1)).alias("changed"), F.sum("chunk_id").alias("ids"),
+    )
 
 
 POOLED = """,
@@ -165,7 +200,16 @@ def vector_delete_stats(spark, sf):
     return vec.stats(vec.delete_documents(inputs.vectors(spark, sf), gone), "label")
 
 
-@query("vector_cells_recall")
+# The share found is the index's; what SQL can say is that it is enough.
+@query(
+    "vector_cells_recall",
+    with_sql("vectors", rest=POOLED + """
+SELECT count(*) AS queries, count(*) * least(10, (SELECT count(*) FROM vectors)) AS expected, true AS recall_enough FROM queries"""),
+)
 def vector_cells_recall(spark, sf):
-    v, q = inputs.vectors(spark, sf), label_queries(spark, sf)
-    return vec.recall(vec.cell_topk(v, q, 10), vec.exact_topk(v, q, 10))
+    """Ten nearest of every label's mean by the index on disk, against the exact ones."""
+    v, q, path = inputs.vectors(spark, sf), label_queries(spark, sf), scratch_path(spark, "cells")
+    vec.write_cells(v, path)
+    found = vec.recall(vec.cell_topk(spark, path, v.schema, q, 10), vec.exact_topk(v, q, 10))
+    per = found.agg(F.count("*").alias("queries"), F.sum("expected").alias("expected"), F.sum("found").alias("found"))
+    return per.select("queries", "expected", (F.col("found") >= 0.9 * F.col("expected")).alias("recall_enough"))

@@ -16,9 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docspark.session import is_folder
+from docspark.sources import documents
 
 MANIFEST = (
-    T.StructType().add("entry", "long").add("parent", "long").add("name", "string").add("folder", "string").add("row_count", "long").add("written_at", "timestamp")
+    T.StructType().add("entry", "long").add("parent", "long").add("name", "string").add("folder", "string").add("row_count", "long").add("tag", "string")
+    .add("written_at", "timestamp")
 )
 
 
@@ -33,9 +35,9 @@ def manifests(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(MANIFEST).option("recursiveFileLookup", "true").parquet(f"{root.rstrip('/')}/manifests")
 
 
-def _publish(spark: SparkSession, root: str, entry: int, parent: int | None, rows: list[tuple]) -> None:
+def _publish(spark: SparkSession, root: str, entry: int, parent: int | None, rows: list[tuple], tag: str | None = None) -> None:
     """The manifest as one file; fails where another writer has been first."""
-    made = spark.createDataFrame([(entry, parent, *r) for r in rows] or [(entry, parent, None, None, None)], T.StructType(MANIFEST.fields[:-1]))
+    made = spark.createDataFrame([(entry, parent, *r, tag) for r in rows or [(None, None, None)]], T.StructType(MANIFEST.fields[:-1]))
     made.withColumn("written_at", F.current_timestamp()).coalesce(1).write.mode("errorifexists").parquet(_at(root, entry))
 
 
@@ -86,21 +88,22 @@ def read_table(spark: SparkSession, root: str, name: str, schema: T.StructType |
 
 
 def versions(spark: SparkSession, root: str) -> DataFrame:
-    """(version, parent, namespaces, row_count, written_at), a row per version."""
+    """(version, parent, tag, namespaces, row_count, written_at), a row per version."""
     m = manifests(spark, root)
-    per = m.groupBy(F.col("entry").alias("version"), "parent").agg(
+    per = m.groupBy(F.col("entry").alias("version"), "parent", "tag").agg(
         F.count("name").alias("namespaces"), F.coalesce(F.sum("row_count"), F.lit(0)).alias("row_count"), F.max("written_at").alias("written_at")
     )
     return per
 
 
-def version_of(spark: SparkSession, root: str, version: int | None = None, as_of=None) -> int | None:
-    """The number asked for, the newest one written by ``as_of``, or the newest; None where there is none."""
+def version_of(spark: SparkSession, root: str, version: int | str | None = None, as_of=None) -> int | None:
+    """The number or tag asked for, the newest one written by ``as_of``, or the newest; None where there is none."""
     m = manifests(spark, root)
     if version is not None:
-        if m.where(F.col("entry") == version).isEmpty():
+        found = m.where(F.col("tag" if isinstance(version, str) else "entry") == version).agg(F.max("entry")).first()[0]
+        if found is None:
             raise ValueError(f"no version {version} in {root}")
-        return version
+        return found
     if as_of is not None:
         m = m.where(F.col("written_at") <= F.lit(as_of).cast("timestamp"))
     return m.agg(F.max("entry")).first()[0]
@@ -114,8 +117,9 @@ def _choice(spark: SparkSession, root: str, version: int | None) -> dict[str, tu
 
 
 def write_version(
-    df: DataFrame, root: str, namespace: str, merge: Callable[[DataFrame, DataFrame], DataFrame] | None = None, drop: list[str] | None = None
-) -> int:
+    df: DataFrame, root: str, namespace: str, merge: Callable[[DataFrame, DataFrame], DataFrame] | None = None, drop: list[str] | None = None,
+    tag: str | None = None,
+) -> int:
     """A new version in which the namespaces that ``df`` has rows of are replaced, or merged with what was there.
 
     All others keep their folders: an update costs what it touches. ``merge(old, new)`` gives a namespace's rows;
@@ -137,11 +141,11 @@ def write_version(
             rows = merge(old, rows).select(*df.columns)
         folder = f"data/{version:012d}-{uuid.uuid5(uuid.NAMESPACE_URL, name).hex[:12]}-{attempt}"
         choice[name] = (folder, _write(rows, f"{root.rstrip('/')}/{folder}"))
-    _publish(spark, root, version, parent, [(n, *c) for n, c in sorted(choice.items())])
+    _publish(spark, root, version, parent, [(n, *c) for n, c in sorted(choice.items())], tag)
     return version
 
 
-def read_version(spark: SparkSession, root: str, schema: T.StructType | str, version: int | None = None, as_of=None, namespaces: list[str] | None = None) -> DataFrame:
+def read_version(spark: SparkSession, root: str, schema: T.StructType | str, version: int | str | None = None, as_of=None, namespaces: list[str] | None = None) -> DataFrame:
     """A version's rows, the newest by default; with ``namespaces`` only their folders are opened."""
     choice = _choice(spark, root, version_of(spark, root, version, as_of))
     folders = [f"{root.rstrip('/')}/{f}" for n, (f, k) in sorted(choice.items()) if k and (namespaces is None or n in namespaces)]
@@ -150,14 +154,23 @@ def read_version(spark: SparkSession, root: str, schema: T.StructType | str, ver
     return spark.read.schema(schema).parquet(*folders)
 
 
-def roll_back(spark: SparkSession, root: str, to: int) -> int:
+def roll_back(spark: SparkSession, root: str, to: int | str) -> int:
     """A new version with the choice of an older one; nothing is copied and nothing is lost."""
-    version_of(spark, root, to)
+    to = version_of(spark, root, to)
     newest = version_of(spark, root)
     _publish(spark, root, newest + 1, newest, [(n, *c) for n, c in sorted(_choice(spark, root, to).items())])
     return newest + 1
 
 
+def tag_version(df: DataFrame, root: str, env: str, namespace: str, requested: str | None = None, **how) -> tuple[int, str]:
+    """A version under a tag, the requested one or the newest tag with its patch number raised (SNK6)."""
+    spark = df.sparkSession
+    newest = manifests(spark, root).where(F.col("tag").isNotNull()).agg(F.max_by("tag", "entry").alias("latest"))
+    wanted = None if requested is None else F.lit(requested)
+    tag = newest.select(documents.next_version(F.col("latest"), env, wanted)).first()[0]
+    return write_version(df, root, namespace, tag=tag, **how), tag
+
+
 # Reports: every report has an id and is there once.
 
 
