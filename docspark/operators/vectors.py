@@ -6,11 +6,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docspark.functions import text as tx
 from docspark.functions import vectors as vx
 from docspark.operators import blocks
-from docspark.session import is_folder
 from docspark.sources import log
 
 QUERY_PREFIX = "Represent this sentence: "
@@ -132,6 +132,7 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, filters: dict[str
 # Vectors that the centres of cells are found from at most, and that are searched exactly to learn how many cells a
 # search must open; those of least key hash.
 CELL_SAMPLE, PROBE_SAMPLE = 65_536, 128
+CENTRES = "cell int, centre array<double>, probes int"
 
 
 def write_cells(
@@ -173,7 +174,7 @@ def write_cells(
         if sofar >= target * total:
             break
     rows = [(i, c.tolist(), int(probes)) for i, c in enumerate(centres)]
-    spark.createDataFrame(rows, "cell int, centre array<double>, probes int").coalesce(1).write.parquet(f"{path}/centres")
+    spark.createDataFrame(rows, CENTRES).coalesce(1).write.parquet(f"{path}/centres")
 
 
 def _nearest_cells(centres: np.ndarray, n: int):
@@ -192,7 +193,7 @@ def _nearest_cells(centres: np.ndarray, n: int):
 
 def probed_cells(spark, path: str, queries: DataFrame, probes: int | None = None) -> DataFrame:
     """(query_id, embedding, cell): every query with the nearest cells, as many as the index asks for by default."""
-    rows = spark.read.parquet(f"{path}/centres").orderBy("cell").collect()
+    rows = spark.read.schema(CENTRES).parquet(f"{path}/centres").orderBy("cell").collect()
     centres = np.array([r["centre"] for r in rows])
     n = probes or (rows[0]["probes"] if rows else 1)
     found = queries.where(F.size("embedding") > 0)
@@ -201,10 +202,8 @@ def probed_cells(spark, path: str, queries: DataFrame, probes: int | None = None
 
 def opened(spark, path: str, schema, probed: DataFrame) -> DataFrame:
     """The stored vectors of probed cells: the cells are a filter on folders, so the others are not listed or read."""
-    if not is_folder(spark, f"{path}/vectors"):
-        return spark.createDataFrame([], schema).withColumn("cell", F.lit(None).cast("int"))
     wanted = [r[0] for r in probed.select("cell").distinct().collect()]
-    return spark.read.parquet(f"{path}/vectors").where(F.col("cell").isin(wanted))
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField("cell", T.IntegerType())])).parquet(f"{path}/vectors").where(F.col("cell").isin(wanted))
 
 
 def cell_topk(spark, path: str, schema, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
