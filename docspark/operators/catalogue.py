@@ -51,18 +51,63 @@ def filtered(catalogue: DataFrame, status=None, source_type=None, start=None, en
     return out
 
 
-def page(catalogue: DataFrame, features: DataFrame, number: int = 1, size: int = 20, **filters) -> DataFrame:
-    """One page, newest first, with the document type when known (CAT2, CAT4, CAT5)."""
-    rows = filtered(catalogue, **filters).orderBy(F.desc("updated_at"), "doc_id").offset((number - 1) * size).limit(size)
+def _shown(rows: DataFrame, features: DataFrame) -> DataFrame:
     kinds = features.where(F.col("feature_name") == "doc_type_signal").select("doc_id", F.col("feature_value").alias("doc_type"))
-    # A page is small by construction, so it is the broadcast side and features are only scanned.
-    kinds = kinds.join(F.broadcast(rows.select("doc_id")), "doc_id", "left_semi")
+    # Features are cut to the page first; its size is the caller's, so how it is sent is left to its measured bytes.
+    kinds = kinds.join(rows.select("doc_id"), "doc_id", "left_semi")
     return rows.join(kinds, "doc_id", "left").select(
         "doc_id", filename(F.col("source_uri")).alias("filename"), listed_type(F.col("source_uri")).alias("source_type"),
         "status", "updated_at", "doc_type",
     )
 
 
+def write_listing(catalogue: DataFrame, path: str) -> None:
+    """The catalogue in listing order, newest first, with every row's place from 0 (CAT2).
+
+    A range sort puts neighbours into one file, and places are counted from the sizes of the parts before, so nothing
+    is ranked in one task. A page is then a range of places, and files and row groups outside it stay shut.
+    """
+    spark = catalogue.sparkSession
+    ordered = catalogue.orderBy(F.desc_nulls_last("updated_at"), F.asc_nulls_first("doc_id"))
+    part = ordered.withColumn("at", F.monotonically_increasing_id())
+    # The upper bits of the id are the part, the lower ones the place inside it.
+    part.withColumns({"part": F.shiftright("at", 33).cast("int"), "inside": F.col("at").bitwiseAND(F.lit((1 << 33) - 1))}).drop("at").write.parquet(f"{path}/sorted")
+    stored = spark.read.parquet(f"{path}/sorted")
+    sizes = {r["part"]: r["n"] for r in stored.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    before, total = [], 0
+    for p in range(max(sizes, default=-1) + 1):
+        before.append(total)
+        total += sizes.get(p, 0)
+    spark.createDataFrame([(p, n) for p, n in enumerate(before)], "part int, before long").coalesce(1).write.parquet(f"{path}/parts")
+
+
+def listed(spark, path: str, number: int, size: int) -> DataFrame:
+    """Page ``number`` from 1 of a written listing: page 10,000 costs what page 1 does."""
+    first, last = (number - 1) * size, number * size - 1
+    rows = spark.read.parquet(f"{path}/sorted")
+    parts = [tuple(r) for r in spark.read.parquet(f"{path}/parts").orderBy("part").collect()]
+    wanted = [(p, b) for i, (p, b) in enumerate(parts) if b <= last and (i + 1 == len(parts) or parts[i + 1][1] > first)]
+    inside = F.lit(False)
+    for p, b in wanted:
+        inside = inside | ((F.col("part") == p) & F.col("inside").between(max(first - b, 0), last - b))
+    return rows.where(inside).drop("part", "inside")
+
+
+def page_after(catalogue: DataFrame, features: DataFrame, after: tuple | None = None, size: int = 20, **filters) -> DataFrame:
+    """The page behind a row (its updated_at and doc_id), or the first one: only rows behind it are read and held (CAT2)."""
+    rows = filtered(catalogue, **filters)
+    if after is not None:
+        at, doc_id = F.lit(after[0]).cast("timestamp"), F.lit(after[1])
+        # The first test alone can shut files of a listing; the second settles rows of one time.
+        rows = rows.where(F.col("updated_at") <= at).where((F.col("updated_at") < at) | (F.col("doc_id") > doc_id))
+    return _shown(rows.orderBy(F.desc("updated_at"), "doc_id").limit(size), features)
+
+
+def page(catalogue: DataFrame, features: DataFrame, number: int = 1, size: int = 20, **filters) -> DataFrame:
+    """One page, newest first, with the document type when known (CAT2, CAT4, CAT5)."""
+    return _shown(filtered(catalogue, **filters).orderBy(F.desc("updated_at"), "doc_id").offset((number - 1) * size).limit(size), features)
+
+
 def total(catalogue: DataFrame, **filters) -> DataFrame:
     return filtered(catalogue, **filters).agg(F.count("*").alias("total"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from docspark.functions import text as tx
 from docspark.functions import vectors as vx
-from docspark.functions.bind import let
+from docspark.functions.spans import places
 
 SPANS = "array<struct<s:int,e:int>>"
 # Fixed values of the semantic strategy.
@@ -85,10 +85,9 @@ def sentence_table(docs: DataFrame, text: str, doc_id: str = "doc_id") -> DataFr
     )
 
 
-def _chunk(sents: Column, text: Column, first: Column, last: Column) -> Column:
-    """Text and offsets of the sentences ``first`` to ``last``, both inclusive."""
+def _chunk(sents: Column, start: Column, first: Column, last: Column) -> Column:
+    """Text and offsets of the sentences ``first`` to ``last``, both inclusive; the first opens at ``start``."""
     body = F.array_join(F.slice(sents, first + 1, last - first + 1), " ")
-    start = F.position(F.get(sents, first), text) - 1
     return F.struct(body.alias("text"), start.alias("char_start"), first.cast("int").alias("sentence_start"))
 
 
@@ -118,7 +117,9 @@ def _from_spans(df: DataFrame, strategy: str, spans: Column, doc_id: str, text:
     sentences before, so it stays exact when a sentence repeats.
     """
     placed = df.withColumn("_spans", spans)
-    chunks = F.transform("_spans", lambda p: _chunk(F.col("_sents"), F.col(text), p["s"], p["e"]))
+    opening = F.transform("_spans", lambda p: F.get(F.col("_sents"), p["s"]))
+    placed = placed.withColumn("_starts", places(F.col(text), opening))
+    chunks = F.transform("_spans", lambda p, i: _chunk(F.col("_sents"), F.get("_starts", i), p["s"], p["e"]))
     return _chunk_rows(placed, strategy, chunks, doc_id)
 
 
@@ -172,22 +173,19 @@ def semantic(docs: DataFrame, text: str, threshold: float = 0.75, encoder=None,
 
 def sentence_window(docs: DataFrame, text: str, doc_id: str = "doc_id") -> DataFrame:
     """One chunk per sentence with up to three neighbours on each side (CHK5)."""
-    df = docs.select(doc_id, text).where(~tx.is_blank(F.col(text)))
-
-    def windows(sents: Column) -> Column:
-        n = F.size(sents)
-
-        def one(base: Column, i: Column) -> Column:
-            first, last = F.greatest(i - WINDOW, F.lit(0)), F.least(i + WINDOW, n - 1)
-            c = _chunk(sents, F.col(text), first, last)
-            around = F.slice(sents, first + 1, last - first + 1)
-            return F.struct(c["text"].alias("text"), c["char_start"].alias("char_start"), c["sentence_start"].alias("sentence_start"),
-                            base.alias("base_sentence"), around.alias("context_window"))
-
-        return F.transform(sents, one)
-
-    chunks = let(tx.sentences(F.col(text)), windows)
-    return _chunk_rows(df, "sentence_window", chunks, doc_id, "base_sentence", "context_window")
+    df = docs.select(doc_id, text).where(~tx.is_blank(F.col(text))).withColumn("_sents", tx.sentences(F.col(text)))
+    sents, n = F.col("_sents"), F.size("_sents")
+    opening = F.transform(sents, lambda s, i: F.get(sents, F.greatest(i - WINDOW, F.lit(0))))
+    df = df.withColumn("_starts", places(F.col(text), opening))
+
+    def one(base: Column, i: Column) -> Column:
+        first, last = F.greatest(i - WINDOW, F.lit(0)), F.least(i + WINDOW, n - 1)
+        c = _chunk(sents, F.get("_starts", i), first, last)
+        around = F.slice(sents, first + 1, last - first + 1)
+        return F.struct(c["text"].alias("text"), c["char_start"].alias("char_start"), c["sentence_start"].alias("sentence_start"),
+                        base.alias("base_sentence"), around.alias("context_window"))
+
+    return _chunk_rows(df, "sentence_window", F.transform(sents, one), doc_id, "base_sentence", "context_window")
 
 
 STRATEGIES = {"fixed": fixed, "semantic": semantic, "sentence_window": sentence_window}

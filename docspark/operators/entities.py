@@ -5,17 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docspark.functions import spans
 from docspark.functions.bind import let
-
-SPAN = "array<struct<text:string,label:string,start:int,end:int,confidence:double>>"
+from docspark.functions.spans import SPAN  # noqa: F401
 
 # Entity patterns in label order.
 ENTITY_PATTERNS = {
     "CONTRACT_ID": r"\bCON-\d{6}-\d{2}\b",
     "INVOICE_NO": r"\bINV-\d{6,8}\b",
     "MONEY": r"\$\d+(?:\.\d{2})?|\b\d+(?:\.\d{2})?\s?(?:USD|EUR|GBP|dollars|cents)\b",
-    "DATE": r"\b\d{4}-\d{2}-\d{2}\b|\b\d{2}/\d{2}/\d{4}\b"
-    r"|\b(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\s\d{1,2},?\s\d{4}\b",
+    "DATE": r"\b\d{4}-\d{2}-\d{2}\b|\b\d{2}/\d{2}/\d{4}\b|\b(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\s\d{1,2},?\s\d{4}\b",
 }
 # Personal-data patterns in redaction order.
 PII_PATTERNS = {
@@ -25,6 +24,7 @@ PII_PATTERNS = {
     "CREDIT_CARD": r"\b(?:\d{4}[- ]?){3}\d{4}\b",
     "PASSPORT": r"\b[A-Z0-9]{9}\b",
 }
+# Names of model labels.
 LABEL_NAMES = {"PER": "PERSON", "ORG": "ORG", "LOC": "LOCATION"}
 TABLE_CONFIDENCE, TEXT_CONFIDENCE, EMPTY_CONFIDENCE = 0.88, 0.92, 0.5
 
@@ -35,126 +35,33 @@ def unicode_pattern(p: str) -> str:
 
 
 def regex_spans(text: Column, label: str, pattern: str) -> Column:
-    """Matches of one pattern with offsets, end exclusive (NER1).
-
-    Splitting the text at the matches leaves the gaps between them, so no marker enters the text;
-    the running length of gaps and matches gives the offsets.
-    """
-    p = unicode_pattern(pattern)
-    gap = lambda g, m: F.struct(g.alias("gap"), m.alias("match"))
-    pieces = F.zip_with(F.split(text, p), F.regexp_extract_all(text, F.lit(p), F.lit(0)), gap)
-    empty = F.array().cast(SPAN)
-
-    def step(acc: Column, piece: Column) -> Column:
-        match = piece["match"]
-        start = acc["at"] + F.char_length(piece["gap"])
-        end = (start + F.coalesce(F.char_length(match), F.lit(0))).cast("int")
-        span = F.struct(
-            match.alias("text"), F.lit(label).alias("label"), start.alias("start"), end.alias("end"),
-            F.lit(1.0).alias("confidence"),
-        )
-        spans = F.when(match.isNotNull(), F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
-        return F.struct(end.alias("at"), spans.alias("spans"))
-
-    zero = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
-    return F.aggregate(pieces, zero, step, lambda acc: acc["spans"])
+    """Matches of one pattern with offsets, end exclusive (NER1)."""
+    return spans.pattern_spans({label: pattern})(text)
 
 
 def regex_entities(text: Column, patterns: dict[str, str] | None = None) -> Column:
     """Spans of all patterns, in label order; custom patterns extend or replace (NER1, UDF2)."""
-    merged = {**ENTITY_PATTERNS, **(patterns or {})}
-    return F.concat(*(regex_spans(text, label, p) for label, p in merged.items()))
-
-
-def _mapped(tag: Column) -> Column:
-    out = tag
-    for k, v in LABEL_NAMES.items():
-        out = F.when(tag == k, F.lit(v)).otherwise(out)
-    return out
+    return spans.pattern_spans({**ENTITY_PATTERNS, **(patterns or {})})(text)
 
 
 def merge_tokens(text: Column, tokens: Column) -> Column:
-    """Token predictions (word, entity, start, end, score) to spans (NER2).
-
-    The fold over a document's own tokens keeps the open entity and the closed ones.
-    """
-    closed_t = "array<struct<label:string,start:int,end:int,total:double,n:int>>"
-
-    def step(acc: Column, t: Column) -> Column:
-        last = F.element_at(F.when(F.size(acc["spans"]) > 0, acc["spans"]), -1)
-        outside = t["entity"] == "O"
-        prefix = F.substring_index(t["entity"], "-", 1)
-        tag = F.when(F.contains(t["entity"], F.lit("-")), F.get(F.split(t["entity"], "-"), F.lit(1))).otherwise(t["entity"])
-        label = _mapped(tag)
-        gap = F.substring(text, last["end"] + 1, F.lit(1))
-        touching = (t["start"] == last["end"]) | ((t["start"] == last["end"] + 1) & (gap == " "))
-        same = (prefix == "I") & touching & (label == last["label"])
-        extends = acc["open"] & (F.startswith(t["word"], F.lit("##")) | F.coalesce(same, F.lit(False)))
-        opened = F.struct(
-            label.alias("label"), t["start"].alias("start"), t["end"].alias("end"), t["score"].alias("total"),
-            F.lit(1).alias("n"),
-        )
-        grown = F.struct(
-            last["label"].alias("label"), last["start"].alias("start"), t["end"].alias("end"),
-            (last["total"] + t["score"]).alias("total"), (last["n"] + 1).alias("n"),
-        )
-        kept = F.slice(acc["spans"], F.lit(1), F.greatest(F.size(acc["spans"]) - 1, F.lit(0)))
-        spans = (
-            F.when(outside, acc["spans"])
-            .when(extends, F.concat(kept, F.array(grown)))
-            .otherwise(F.concat(acc["spans"], F.array(opened)))
-        )
-        return F.struct((~outside).alias("open"), spans.cast(closed_t).alias("spans"))
-
-    zero = F.struct(F.lit(False).alias("open"), F.array().cast(closed_t).alias("spans"))
-    spans = F.aggregate(tokens, zero, step, lambda acc: acc["spans"])
-    return F.transform(
-        spans,
-        lambda s: F.struct(
-            F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("text"),
-            s["label"].alias("label"),
-            s["start"].alias("start"),
-            s["end"].alias("end"),
-            F.round(s["total"] / s["n"], 4).alias("confidence"),
-        ),
-    )
+    """Token predictions (word, entity, start, end, score) to spans with their mean score (NER2)."""
+    found = spans.token_spans(LABEL_NAMES)(text, tokens)
+    return F.transform(found, lambda s: s.withField("confidence", F.round(s["confidence"], 4)))
 
 
-def resolve_overlaps(spans: Column) -> Column:
+def resolve_overlaps(found: Column) -> Column:
     """Keep the surer, then longer, of overlapping spans; sorted by start (NER3).
 
     Each span, in (start, longest first) order, is held against the first kept span it overlaps.
     """
-    tagged = F.transform(
-        spans,
-        lambda s, i: F.struct(s["start"].alias("a"), (s["start"] - s["end"]).alias("b"), i.alias("i"), s.alias("s")),
-    )
-    ordered = F.transform(F.array_sort(tagged), lambda t: t["s"])
-
-    def step(kept: Column, s: Column) -> Column:
-        clash = F.transform(
-            kept, lambda k: F.greatest(k["start"], s["start"]) < F.least(k["end"], s["end"])
-        )
-        at = F.array_position(clash, True)
-        rival = F.element_at(F.when(at > 0, kept), at.cast("int"))
-        longer = (s["confidence"] == rival["confidence"]) & ((s["end"] - s["start"]) > (rival["end"] - rival["start"]))
-        wins = F.coalesce((s["confidence"] > rival["confidence"]) | longer, F.lit(False))
-        replaced = F.transform(kept, lambda k, i: F.when(i + 1 == at, s).otherwise(k))
-        return F.when(at == 0, F.concat(kept, F.array(s))).when(wins, replaced).otherwise(kept)
-
-    kept = F.aggregate(ordered, F.array().cast(SPAN), lambda a, s: step(a, s).cast(SPAN))
-    by_start = F.transform(
-        kept, lambda s, i: F.struct(s["start"].alias("a"), i.alias("i"), s.alias("s"))
-    )
-    return F.transform(F.array_sort(by_start), lambda t: t["s"])
+    return spans.resolve_spans()(found)
 
 
 def extract_entities(text: Column, tokens: Column | None = None, patterns: dict[str, str] | None = None) -> Column:
-    """Model spans, if given, and pattern spans, overlaps resolved (NER4)."""
-    found = regex_entities(text, patterns)
-    if tokens is not None:
-        found = F.concat(merge_tokens(text, tokens).cast(SPAN), found)
-    return F.when(text.rlike(r"\S"), resolve_overlaps(found)).otherwise(F.array().cast(SPAN))
+    """Model spans, if given, and pattern spans, overlaps resolved, in one pass over the text (NER4)."""
+    find = spans.all_spans({**ENTITY_PATTERNS, **(patterns or {})}, LABEL_NAMES, tokens is not None)
+    return find(text) if tokens is None else find(text, tokens)
 
 
 def redact(text: Column) -> Column:
@@ -181,9 +88,9 @@ def pii_counts(text: Column) -> dict[str, Column]:
     return out
 
 
-def redact_spans(text: Column, spans: Column) -> Column:
+def redact_spans(text: Column, found: Column) -> Column:
     """Persons and locations replaced right to left on redacted text (PII3)."""
-    target = F.filter(spans, lambda s: s["label"].isin("PERSON", "LOCATION"))
+    target = F.filter(found, lambda s: s["label"].isin("PERSON", "LOCATION"))
     keyed = F.transform(target, lambda s: F.struct((-s["start"]).alias("k"), s.alias("s")))
     return F.aggregate(
         F.array_sort(keyed),

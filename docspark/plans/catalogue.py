@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docspark import inputs
-from docspark.inputs import with_sql
 from docspark.functions import hashing
+from docspark.inputs import with_sql
 from docspark.operators import catalogue as cat
 from docspark.operators import chunking, features
 from docspark.plans import query
 from docspark.plans.text import features_sql, fixed_sql
+from docspark.session import scratch_path
 
 # Every document is processing on arrival; all but the German ones then complete or fail.
 CATALOGUE = """,
@@ -59,6 +60,30 @@ def catalogue_page(spark, sf):
     return p.withColumn("updated", F.unix_seconds("updated_at")).drop("updated_at")
 
 
+@query(
+    "catalogue_seek",
+    with_sql("envelope", rest=CATALOGUE + """,
+placed AS (SELECT doc_id, status, epoch(updated_at)::BIGINT AS updated, (row_number() OVER (ORDER BY updated_at DESC, doc_id) - 1) // 20 + 1 AS page FROM cat)
+SELECT CASE page WHEN 4 THEN 'behind' ELSE page::VARCHAR END AS page, doc_id, status, updated FROM placed WHERE page IN (1, 3, 4, 9)"""),
+)
+def catalogue_seek(spark, sf):
+    """Three pages of the written listing by number, and the one behind the third by its last row."""
+    path = scratch_path(spark, "listing")
+    cat.write_listing(catalogue(spark, sf), path)
+    shown = ["doc_id", "status", F.unix_seconds("updated_at").alias("updated")]
+    pages = [cat.listed(spark, path, n, 20).select(F.lit(str(n)).alias("page"), *shown) for n in (1, 3, 9)]
+    last = cat.listed(spark, path, 3, 20).orderBy("updated_at", F.desc("doc_id")).first()
+    if last is not None:
+        rows = spark.read.parquet(f"{path}/sorted")
+        none = spark.createDataFrame([], "doc_id long, feature_name string, feature_value string")
+        behind = cat.page_after(rows, none, (last["updated_at"], last["doc_id"]), 20)
+        pages.append(behind.select(F.lit("behind").alias("page"), *shown))
+    out = pages[0]
+    for p in pages[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 @query("catalogue_total", with_sql("envelope", rest=CATALOGUE + " SELECT count(*) AS total FROM cat WHERE status = 'completed' AND (source_uri LIKE '%.pdf' OR source_uri LIKE '%.PDF')"))
 def catalogue_total(spark, sf):
     return cat.total(catalogue(spark, sf), status="completed", source_type="pdf")
