@@ -239,8 +239,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     buckets = written(entries.join(shared, "h"), "buckets")
     # The texts of all classes that have a candidate at all, once.
     wanted = buckets.select("c").distinct().join(sigs.select("c", "k1", "k2"), "c")
-    bodies = docs.select(*text_key(F.col(text)), F.col(text).alias("text")).join(wanted.select("k1", "k2"), ["k1", "k2"], "left_semi")
-    bodies = bodies.groupBy("k1", "k2").agg(F.first("text").alias("text"))
+    # Copies of a text are one row of their map task before they meet.
+    bodies = docs.select(*text_key(F.col(text)), F.col(text).alias("text")).groupBy("k1", "k2").agg(F.first("text").alias("text"))
     texts = written(bodies.join(wanted, ["k1", "k2"]).select("c", "text"), "texts")
 
     # What meets most others is near the middle of its group, and so near to most of it.

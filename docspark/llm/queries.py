@@ -64,7 +64,8 @@ def op9_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("op6_suffix_array_dedup")
 def op6_suffix_array_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    return repeats.remove_repeats(table(spark, sf, "documents")).drop("rest")
+    """By strings of 400 bytes; then, for passages of over 50 words as well, the words and bytes that would go."""
+    return repeats.remove_passages(table(spark, sf, "documents"), rest=False)
 
 
 @query("op10_fm_toxicity")

@@ -1,19 +1,21 @@
-"""Removal of repeated byte strings with sharded suffix arrays.
+"""Removal of repeated byte strings and passages of words with sharded suffix arrays.
 
 Two equal strings of ``length`` bytes must meet in one shard. Each window of that length is owned by the least
 hashed ``GRAM``-byte string inside it, so equal windows have equal owners, and neighbouring windows with the same
 owner form a run: a segment of text that a shard can take whole. Runs whose owner occurs once in the corpus
 can't repeat and go no further. Equal segments are counted before anything moves; owners with different
 segments go to shards of bounded size, where the suffix array of the segments is induced and common prefixes
-of neighbouring suffixes tell which windows start elsewhere too. An owner with more different segments than a
-shard should hold is split instead: its windows are counted by 128-bit hashes.
+of neighbouring suffixes tell which windows start elsewhere too. An owner with more bytes than a shard should
+hold is dealt anew: its segments are searched as texts of their own, with owners by another hash, so that what they have
+in common no longer decides. What a few rounds don't part is counted by 128-bit hashes of its windows.
+
+Passages are measured in words: a text of words is a text of ``CODE`` bytes for each word, searched in the same way.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,26 +26,30 @@ from pyspark.sql import types as T
 from docspark.llm.line_quality import text_key
 from docspark.llm.suffix_arrays import common_prefixes, suffix_array
 from docspark.llm.tables import fields, map_batches, release, written
-from docspark.llm.textbytes import Spans, chunks, joined, mixed, ranges
-
-GRAM = 32
-# Bytes of a long text looked at together; places inside take this many bits beside a hash.
-SLICE, PLACE_BITS = 1 << 20, 24
-# Segment bytes aimed at in a shard, and different segments of one owner beyond which it is split by windows.
-SHARD, SPLIT = 600_000, 8192
+from docspark.llm.textbytes import Spans, binary, chunks, joined, mixed, ranges, windows_of, words
+
+GRAM_BITS = 5
+GRAM = 1 << GRAM_BITS
+# Bytes of a text looked at together; places inside take this many bits beside a hash.
+SLICE, PLACE_BITS = 1 << 18, 20
+# Segment bytes aimed at in a shard, beyond which one owner is dealt anew, and how often that is done.
+SHARD, ROUNDS = 600_000, 4
 RUN = "array<struct<a:bigint,b:bigint,owner:bigint,segment:bigint>>"
 SPANS = "array<struct<s:bigint,e:bigint>>"
 # Bytes that stand for a word where passages are measured in words, and what parts words.
-CODE, WORDS = 4, re.compile(rb"[^ \t-\r]+")
+CODE = 4
+
 
+def runs(data: np.ndarray, offsets: np.ndarray, length: int, deal: int = 0) -> tuple[np.ndarray, ...]:
+    """(text, a, b, owner, segment) of each run: windows start at a … b of that text, in order.
 
-def runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(text, a, b, owner, segment) of each run: windows start at a … b of that text, in order."""
+    Every ``deal`` orders the strings that may own a window by a hash of its own.
+    """
     n = len(data)
     if n < length:
         return tuple(np.zeros(0, np.int64) for _ in range(5))
-    sums = Spans(data)
-    grams = mixed((sums.sums[GRAM:] - sums.sums[:-GRAM]) * sums.back[: n - GRAM + 1])
+    grams = windows_of(data, GRAM_BITS)
+    grams = mixed(grams + np.uint64(deal)) if deal else grams
     low = np.uint64((1 << PLACE_BITS) - 1)
     value = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
     w = length - GRAM + 1
@@ -66,7 +72,7 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray
     finish[:-1] &= ~valid[1:] | (owner[1:] != owner[:-1])
     a, b = np.flatnonzero(begin), np.flatnonzero(finish)
     text = np.searchsorted(offsets, a, "right") - 1
-    return text, a - offsets[text], b - offsets[text], grams[owner[a]].view(np.int64), sums.of(a, b + length).view(np.int64)
+    return text, a - offsets[text], b - offsets[text], grams[owner[a]].view(np.int64), Spans(data).of(a, b + length).view(np.int64)
 
 
 def _pieces(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple[int, int, int, int]]:
@@ -79,28 +85,52 @@ def _pieces(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tupl
             yield i, j, s, min(s + SLICE + length - 1, int(offsets[j]))
 
 
-def text_runs(docs: DataFrame, text: str, length: int) -> DataFrame:
-    """(k1, k2, runs) of every row with a text of ``length`` bytes or more."""
-    cols = docs.where(F.octet_length(text) >= length).select(*text_key(F.col(text)), F.col(text).alias("text"))
-    out = fields(cols, ["k1", "k2"], ("runs", T._parse_datatype_string(RUN)))
+def plain(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts as they are."""
+    return data, offsets
+
+
+def coded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts of ``CODE`` bytes below 128 for each word, so that n words have one length; white space doesn't count."""
+    parts, sizes = [np.zeros(0, np.uint8)], []
+    for i, j in chunks(offsets):
+        part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        starts, ends, first = words(part, at)
+        hashes = Spans(part).of(starts, ends)
+        code = np.empty((len(starts), CODE), np.uint8)
+        for k in range(CODE):
+            code[:, k] = (hashes >> np.uint64(57 - 7 * k)).astype(np.uint8) & 127
+        parts.append(code.ravel())
+        sizes.append(CODE * np.diff(first))
+    return np.concatenate(parts), np.concatenate([[0], np.cumsum(np.concatenate(sizes) if sizes else [])]).astype(np.int64)
+
+
+Reading = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+
+
+def text_runs(texts: DataFrame, length: int, reading: Reading = plain, deal: int = 0) -> DataFrame:
+    """(k1, k2, copies, runs) of every row of (k1, k2, copies, text) whose text, as it is read, has a window."""
+    out = fields(texts, ["k1", "k2", "copies"], ("runs", T._parse_datatype_string(RUN)))
 
     def make():
         def step(b: pa.RecordBatch):
-            data, offsets = joined(b.column(2))
-            found = []
+            data, offsets = reading(*joined(b.column(3)))
+            found = [tuple(np.zeros(0, np.int64) for _ in range(5))]
             for i, j, s, e in _pieces(data, offsets, length):
                 at = np.clip(offsets[i : j + 1] - s, 0, e - s)
-                t, x, y, owner, segment = runs(data[s:e], at, length)
+                t, x, y, owner, segment = runs(data[s:e], at, length, deal)
                 back = np.where(j - i == 1, s - offsets[i], 0)
                 found.append((t + i, x + back, y + back, owner, segment))
             t, *columns = (np.concatenate(c) for c in zip(*found, strict=True))
             at = np.searchsorted(t, np.arange(b.num_rows + 1))
             body = pa.StructArray.from_arrays([pa.array(c) for c in columns], names=["a", "b", "owner", "segment"])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(at, pa.int32()), body)], names=out.names)
+            lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), body)
+            some = pa.array(np.diff(at) > 0)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], lists], names=out.names).filter(some)
 
         return step
 
-    return map_batches(cols, out, make)
+    return map_batches(texts.select("k1", "k2", "copies", "text"), out, make)
 
 
 def repeated_windows(bodies: np.ndarray, offsets: np.ndarray, owned: np.ndarray, copies: np.ndarray, length: int) -> np.ndarray:
@@ -193,60 +223,142 @@ def _by_windows(segments: DataFrame, length: int) -> DataFrame:
     return map_batches(hit, f"owner bigint, segment bigint, spans {SPANS}", merge)
 
 
-def repeated_spans(docs: DataFrame, text: str = "text", length: int = 400, split: int = SPLIT) -> DataFrame:
-    """(k1, k2, spans) for every distinct text with a covered byte: spans not yet merged across runs."""
-    found = written(text_runs(docs, text, length), "runs")
-    copies = found.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.max("runs").alias("runs"))
+def _cut(bodies: DataFrame, length: int, reading: Reading) -> DataFrame:
+    """The segments that rows of (text, want) are asked for: owner, segment, copies, owned, size, body."""
+    if reading is plain:
+        w = bodies.select("text", F.explode("want").alias("w"))
+        body = F.substring("text", (F.col("w.a") + 1).cast("int"), (F.col("w.b") - F.col("w.a") + length).cast("int"))
+        return w.select("w.owner", "w.segment", "w.copies", (F.col("w.b") - F.col("w.a") + 1).alias("owned"), "w.size", body.alias("body"))
+    out = T.StructType.fromDDL("owner bigint, segment bigint, copies bigint, owned bigint, size bigint, body binary")
+
+    def make():
+        def step(b: pa.RecordBatch):
+            data, offsets = reading(*joined(b.column(0)))
+            want = b.column(1)
+            flat = want.flatten()
+            row = np.repeat(np.arange(b.num_rows), np.diff(want.offsets.to_numpy()))
+            first, last = (flat.field(flat.type.get_field_index(x)).to_numpy() for x in "ab")
+            sizes = last - first + length
+            body = data[ranges(offsets[row] + first, sizes)]
+            made = [flat.field(flat.type.get_field_index(x)) for x in ("owner", "segment", "copies")]
+            made += [pa.array(last - first + 1), flat.field(flat.type.get_field_index("size")), binary(body, np.concatenate([[0], np.cumsum(sizes)]))]
+            yield pa.RecordBatch.from_arrays(made, names=out.names)
+
+        return step
+
+    return map_batches(bodies.select("text", "want"), out, make)
+
+
+def _spans_of(texts: DataFrame, length: int, reading: Reading, shard: int, deal: int) -> DataFrame:
+    """(k1, k2, spans) for every different text of (k1, k2, copies, text) with a covered byte, as it is read."""
+    found = written(text_runs(texts, length, reading, deal), "runs")
+    copies = found.groupBy("k1", "k2").agg(F.sum("copies").alias("copies"), F.max("runs").alias("runs"))
     each = written(copies.select("k1", "k2", "copies", F.explode("runs").alias("r")).select("k1", "k2", "copies", "r.*"), "distinct-runs")
     place = F.struct("k1", "k2", "a", "b")
     segments = each.groupBy("owner", "segment").agg(F.sum("copies").alias("copies"), F.min(place).alias("at"))
-    owners = segments.groupBy("owner").agg(F.sum("copies").alias("times"), F.count("*").alias("kinds")).where(F.col("times") > 1)
-    known = written(segments.join(owners, "owner").select("owner", "segment", "copies", "kinds", "at.*"), "segments")
+    bytes_of = F.col("at.b") - F.col("at.a") + F.lit(length)
+    owners = segments.groupBy("owner").agg(F.sum("copies").alias("times"), F.count("*").alias("kinds"), F.sum(bytes_of).alias("size")).where(F.col("times") > 1)
+    known = written(segments.join(owners, "owner").select("owner", "segment", "copies", "kinds", "size", "at.*"), "segments")
 
     alone = known.where(F.col("kinds") == 1)
-    size = F.col("b") - F.col("a") + F.lit(length)
-    whole = alone.select("owner", "segment", F.array(F.struct(F.lit(0).cast("bigint").alias("s"), size.alias("e"))).alias("spans"))
+    whole = F.struct(F.lit(0).cast("bigint").alias("s"), (F.col("b") - F.col("a") + F.lit(length)).alias("e"))
+    whole = alone.select("owner", "segment", F.array(whole).alias("spans"))
     contested = known.where(F.col("kinds") > 1)
-    total = contested.where(F.col("kinds") <= split).agg(F.sum(size)).first()[0] or 0
-    shards = max(1, -(-total // SHARD))
-    wanted = contested.groupBy("k1", "k2").agg(F.collect_list(F.struct("owner", "segment", "copies", "kinds", "a", "b")).alias("want"))
-    bodies = docs.where(F.octet_length(text) >= length).select(*text_key(F.col(text)), F.col(text).alias("text"))
-    bodies = bodies.groupBy("k1", "k2").agg(F.first("text").cast("binary").alias("text")).join(wanted, ["k1", "k2"])
-    cut = bodies.select("text", F.explode("want").alias("w"))
-    cut = cut.select(
-        F.pmod("w.owner", F.lit(shards)).alias("shard"), "w.owner", "w.segment", "w.copies", (F.col("w.b") - F.col("w.a") + 1).alias("owned"),
-        F.substring("text", (F.col("w.a") + 1).cast("int"), (F.col("w.b") - F.col("w.a") + length).cast("int")).alias("body"), "w.kinds",
-    )
-    cut = written(cut, "contested")
-    some = cut.where(F.col("kinds") <= split).drop("kinds")
-    many = cut.where(F.col("kinds") > split).drop("kinds")
-    spans = _in_shards(some, length).unionByName(_by_windows(many, length)).unionByName(whole)
+    sums = contested.agg(F.sum(F.when(F.col("size") <= shard, F.col("b") - F.col("a") + length)).alias("some"), F.count(F.when(F.col("size") > shard, 1)).alias("many")).first()
+    wanted = contested.groupBy("k1", "k2").agg(F.collect_list(F.struct("owner", "segment", "copies", "a", "b", "size")).alias("want"))
+    bodies = texts.groupBy("k1", "k2").agg(F.first("text").alias("text")).join(wanted, ["k1", "k2"])
+    cut = written(_cut(bodies.select(F.col("text").cast("binary").alias("text"), "want"), length, reading), "contested")
+    shards = max(1, -(-(sums["some"] or 0) // shard))
+    some = cut.where(F.col("size") <= shard).select(F.pmod("owner", F.lit(shards)).alias("shard"), "owner", "segment", "copies", "owned", "body")
+    spans = _in_shards(some, length).unionByName(whole)
+    if sums["many"]:
+        many = cut.where(F.col("size") > shard)
+        if deal < ROUNDS:
+            parts = many.select(F.col("owner").alias("k1"), F.col("segment").alias("k2"), "copies", F.col("body").alias("text"))
+            again = _spans_of(parts, length, plain, shard, deal + 1)
+            again = again.select(F.col("k1").alias("owner"), F.col("k2").alias("segment"), "spans")
+        else:
+            again = _by_windows(many.select(F.lit(0).alias("shard"), "owner", "segment", "copies", "owned", "body"), length)
+        spans = spans.unionByName(again)
     moved = F.transform("spans", lambda x: F.struct((x["s"] + F.col("a")).alias("s"), (x["e"] + F.col("a")).alias("e")))
     placed = each.join(spans, ["owner", "segment"]).select("k1", "k2", moved.alias("spans"))
     return placed.groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
-def _merged(spans: pa.Array) -> list[list[tuple[int, int]]]:
-    out = []
-    for row in spans.to_pylist():
-        done: list[tuple[int, int]] = []
-        for x in sorted((x["s"], x["e"]) for x in row or ()):
-            if done and x[0] <= done[-1][1]:
-                done[-1] = (done[-1][0], max(done[-1][1], x[1]))
-            else:
-                done.append(x)
-        out.append(done)
-    return out
+def repeated_spans(docs: DataFrame, text: str = "text", length: int = 400, reading: Reading = plain, shard: int = SHARD) -> DataFrame:
+    """(k1, k2, spans) for every distinct text with a covered byte: spans not yet merged across runs."""
+    # A text of n coded words has at least 2n - 1 bytes.
+    least = length if reading is plain else 2 * (length // CODE) - 1
+    texts = docs.where(F.octet_length(F.col(f"`{text}`")) >= least)
+    texts = texts.select(*text_key(F.col(f"`{text}`")), F.lit(1).cast("bigint").alias("copies"), F.col(f"`{text}`").alias("text"))
+    return _spans_of(texts, length, reading, shard, 0)
+
+
+def _covered_bytes(size: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which of ``size`` bytes lie in a span."""
+    edge = np.zeros(size + 1, np.int32)
+    np.add.at(edge, start, 1)
+    np.add.at(edge, end, -1)
+    return np.cumsum(edge[:-1]) > 0
 
 
-def _with_spans(docs: DataFrame, keep: list[str], text: str, length: int, split: int) -> DataFrame:
-    rows = docs.select(F.struct(*(F.col(c) for c in keep)).alias("row"), *text_key(F.col(text)), F.col(text).alias("text"))
-    # Written, so that the join deals both sides anew and a text with very many copies can be split.
-    spans = written(repeated_spans(docs, text, length, split), "spans")
-    return rows.join(spans, ["k1", "k2"], "left").select("row.*", F.col("text").cast("binary").alias("body"), "spans")
+def _flat_spans(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, s, e) of a batch's span lists; a null list has none."""
+    offsets = lists.offsets.to_numpy()
+    flat = lists.flatten()
+    valid = lists.is_valid().to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(lists)), np.where(valid, np.diff(offsets), 0))
+    return row, flat.field(0).to_numpy(), flat.field(1).to_numpy()
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", keep: list[str] | None = None, length: int = 400, split: int = SPLIT) -> DataFrame:
+def _runs_per_text(gone: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many maximal runs of marked bytes each text has."""
+    begin = gone.copy()
+    begin[1:] &= ~gone[:-1]
+    edges = offsets[:-1][np.diff(offsets) > 0]
+    begin[edges] = gone[edges]
+    return np.diff(np.concatenate([[0], np.cumsum(begin)])[offsets])
+
+
+def _whole_characters(data: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """Marks widened to all bytes of a character that has one marked."""
+    char = np.cumsum((data & 0xC0) != 0x80)
+    hit = np.zeros(int(char[-1]) + 1 if len(char) else 1, bool)
+    hit[char[gone]] = True
+    return hit[char]
+
+
+def _passage_bytes(data: np.ndarray, offsets: np.ndarray, row: np.ndarray, s: np.ndarray, e: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(marked bytes, words in passages per text) for spans over coded words of at least ``least`` words."""
+    starts, ends, first = words(data, offsets)
+    i, j = -(-s // CODE), e // CODE
+    long = j - i >= least
+    row, i, j = row[long], i[long], j[long]
+    gone = _covered_bytes(len(data), starts[first[row] + i], ends[first[row] + j - 1]) if len(row) else np.zeros(len(data), bool)
+    in_passage = _covered_bytes(len(starts), first[row] + i, first[row] + j)
+    return gone, np.diff(np.concatenate([[0], np.cumsum(in_passage)])[first])
+
+
+def _with_spans(docs: DataFrame, keep: list[str], text: str, spans: DataFrame, *names: str) -> DataFrame:
+    """(row, body, span lists) of every row; the spans are a written table, so a text with very many copies is split."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), *text_key(F.col(f"`{text}`")), F.col(f"`{text}`").alias("body"))
+    return rows.join(spans, ["k1", "k2"], "left").select("row", F.col("body").cast("binary").alias("body"), *names)
+
+
+def _digest(row: pa.StructArray, data: np.ndarray, offsets: np.ndarray, gone: np.ndarray) -> tuple[list[pa.Array], np.ndarray, np.ndarray]:
+    """Arrays of n_bytes, n_removed, n_spans and kept_sha256, and the remaining bytes with their offsets."""
+    left = np.concatenate([[0], np.cumsum(~gone)])[offsets]
+    rest = data[~gone]
+    body = memoryview(np.ascontiguousarray(rest))
+    hashes = [hashlib.sha256(body[a:b]).hexdigest() for a, b in zip(left[:-1], left[1:], strict=True)]
+    size, stay = np.diff(offsets), np.diff(left)
+    return [pa.array(size), pa.array(size - stay), pa.array(_runs_per_text(gone, offsets)), pa.array(hashes, pa.string())], rest, left
+
+
+DIGEST = [("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept_sha256", T.StringType())]
+
+
+def remove_repeats(docs: DataFrame, text: str = "text", keep: list[str] | None = None, length: int = 400, shard: int = SHARD) -> DataFrame:
     """``keep`` columns with n_bytes, n_removed, n_spans, kept_sha256 and rest (the remaining bytes) per row.
 
     A byte goes when a string of ``length`` bytes over it also starts anywhere else, in the same text or another,
@@ -255,92 +367,54 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep: list[str] | None =
     character, as matches are of bytes. No rows give no rows; other columns are ignored.
     """
     keep = ["doc_id"] if keep is None else keep
-    source = _with_spans(docs, keep, text, length, split)
-    long = T.LongType()
-    out = fields(docs, keep, ("n_bytes", long), ("n_removed", long), ("n_spans", long), ("kept_sha256", T.StringType()), ("rest", T.BinaryType()))
+    spans = written(repeated_spans(docs, text, length, plain, shard), "spans")
+    out = fields(docs, keep, *DIGEST, ("rest", T.BinaryType()))
 
     def make():
         def step(b: pa.RecordBatch):
-            spans = _merged(b.column(len(keep) + 1))
-            texts = [x or b"" for x in b.column(len(keep)).to_pylist()]
-            rest = []
-            for t, cuts in zip(texts, spans, strict=True):
-                edges = [0, *(x for c in cuts for x in c), len(t)]
-                rest.append(b"".join(t[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)) if cuts else t)
-            made = [
-                pa.array([len(t) for t in texts], pa.int64()),
-                pa.array([len(t) - len(r) for t, r in zip(texts, rest, strict=True)], pa.int64()),
-                pa.array([len(c) for c in spans], pa.int64()),
-                pa.array([hashlib.sha256(r).hexdigest() for r in rest]),
-                pa.array(rest, pa.binary()),
-            ]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *made], names=out.names)
-
-        return step
-
-    return map_batches(source, out, make)
-
-
-def _coded(docs: DataFrame, text: str) -> DataFrame:
-    """k1, k2 and codes of every row: ``CODE`` ASCII bytes of a hash for each word, so that n words have one length."""
-    cols = docs.select(*text_key(F.col(text)), F.col(text).alias("text"))
-    out = fields(cols, ["k1", "k2"], ("codes", T.StringType()))
-
-    def make():
-        def step(b: pa.RecordBatch):
-            data, offsets = joined(b.column(2))
-            for i, j in chunks(offsets):
-                part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                inside = np.zeros(len(part) + 2, bool)
-                inside[1:-1] = (part != 32) & ((part < 9) | (part > 13))
-                edge = np.zeros(len(part) + 1, bool)
-                edge[at] = True
-                starts = np.flatnonzero(inside[1:] & (~inside[:-1] | edge))
-                ends = np.flatnonzero(inside[:-1] & (~inside[1:] | edge))
-                hashes = mixed(Spans(part).of(starts, ends))
-                codes = np.stack([(hashes >> np.uint64(57 - 7 * k)).astype(np.uint8) & 127 for k in range(CODE)], axis=1)
-                first = (CODE * np.searchsorted(starts, at)).astype(np.int32)
-                body = pa.StringArray.from_buffers(j - i, pa.py_buffer(first.tobytes()), pa.py_buffer(codes.tobytes()))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), body], names=out.names)
+            data, offsets = joined(b.column(1))
+            row, s, e = _flat_spans(b.column(2))
+            made, rest, left = _digest(b.column(0), data, offsets, _covered_bytes(len(data), offsets[row] + s, offsets[row] + e))
+            yield pa.RecordBatch.from_arrays([*b.column(0).flatten(), *made, binary(rest, left)], names=out.names)
 
         return step
 
-    return map_batches(cols, out, make)
+    return map_batches(_with_spans(docs, keep, text, spans, "spans"), out, make)
 
 
-def remove_passages(docs: DataFrame, text: str = "text", keep: list[str] | None = None, words: int = 51, length: int = 400, split: int = SPLIT) -> DataFrame:
-    """``keep`` columns and rest: the text without strings of ``length`` bytes or ``words`` words that start elsewhere too.
+def remove_passages(
+    docs: DataFrame, text: str = "text", keep: list[str] | None = None, least: int = 51, length: int = 400, shard: int = SHARD, rest: bool = True
+) -> DataFrame:
+    """What ``remove_repeats`` gives, by its rule of ``length`` bytes, then what the rule of passages gives.
 
-    Both are judged on the input, as in ``remove_repeats``. Words are what white space parts, whatever its amount, and
-    are compared by 28-bit hashes; white space beside a passage of words stays.
+    Passages are strings of ``length`` bytes or ``least`` words that start elsewhere too, both judged on the input. Words
+    are what white space parts, whatever its amount, and are compared by 28-bit hashes; white space beside a
+    passage of words stays. passage_words counts the words in repeated strings of ``least`` words, passage_bytes the bytes of
+    all passages with whole characters, and rest, if wanted, is the text without them: a character cut in two goes, all
+    others stay as they are. Nulls, copies and empty tables as in ``remove_repeats``.
     """
     keep = ["doc_id"] if keep is None else keep
-    coded = _coded(docs, text)
-    of_words = repeated_spans(coded.select("codes"), "codes", CODE * words, split).select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), F.col("spans").alias("of_words"))
-    names = [k.alias(n) for k, n in zip(text_key(F.col("codes")), ("c1", "c2"), strict=True)]
-    keys = coded.where(F.octet_length("codes") >= CODE * words).select("k1", "k2", *names).distinct()
-    of_words = keys.join(of_words, ["c1", "c2"]).select("k1", "k2", "of_words")
-    spans = written(repeated_spans(docs, text, length, split).join(of_words, ["k1", "k2"], "full"), "spans")
-    rows = docs.select(F.struct(*(F.col(c) for c in keep)).alias("row"), *text_key(F.col(text)), F.col(text).alias("text"))
-    source = rows.join(spans, ["k1", "k2"], "left").select("row.*", F.col("text").cast("binary").alias("body"), "spans", "of_words")
-    out = fields(docs, keep, ("rest", T.BinaryType()))
-
-    def without(t: bytes, cuts: list[dict] | None, of_words: list[dict] | None) -> bytes:
-        cuts = list(cuts or ())
-        if of_words:
-            at = [m.span() for m in WORDS.finditer(t)]
-            inner = ((-(-x["s"] // CODE), x["e"] // CODE) for x in of_words)
-            cuts += [{"s": at[i][0], "e": at[j - 1][1]} for i, j in inner if j - i >= words]
-        merged = _merged(pa.array([cuts]))[0]
-        edges = [0, *(x for c in merged for x in c), len(t)]
-        return b"".join(t[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True))
+    of_words = repeated_spans(docs, text, CODE * least, coded, shard).withColumnRenamed("spans", "of_words")
+    of_words = written(of_words, "word-spans")
+    of_bytes = written(repeated_spans(docs, text, length, plain, shard), "spans")
+    spans = written(of_bytes.join(of_words, ["k1", "k2"], "full"), "all-spans")
+    more = [("passage_words", T.LongType()), ("passage_bytes", T.LongType())] + ([("rest", T.StringType())] if rest else [])
+    out = fields(docs, keep, *DIGEST, *more)
 
     def make():
         def step(b: pa.RecordBatch):
-            lists = (c.to_pylist() for c in b.columns[len(keep) :])
-            rest = [without(t or b"", s, w) if s or w else t or b"" for t, s, w in zip(*lists, strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(rest, pa.binary())], names=out.names)
+            data, offsets = joined(b.column(1))
+            row, s, e = _flat_spans(b.column(2))
+            gone = _covered_bytes(len(data), offsets[row] + s, offsets[row] + e)
+            made, _, _ = _digest(b.column(0), data, offsets, gone)
+            in_words, counts = _passage_bytes(data, offsets, *_flat_spans(b.column(3)), least)
+            gone = _whole_characters(data, gone | in_words)
+            left = np.concatenate([[0], np.cumsum(~gone)])[offsets]
+            made += [pa.array(counts), pa.array(np.diff(offsets) - np.diff(left))]
+            if rest:
+                made.append(binary(data[~gone], left).cast(pa.string()))
+            yield pa.RecordBatch.from_arrays([*b.column(0).flatten(), *made], names=out.names)
 
         return step
 
-    return map_batches(source, out, make)
+    return map_batches(_with_spans(docs, keep, text, spans, "spans", "of_words"), out, make)

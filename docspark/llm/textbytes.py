@@ -1,7 +1,9 @@
 """Texts of an Arrow batch as one byte array, with hashes of any of its spans.
 
-A span's hash is a polynomial over its bytes modulo 2**64 with an odd base, read off prefix sums, and
-then mixed. Equal spans have equal hashes; two different spans agree with a chance near 2**-64.
+A span's hash is a polynomial over its bytes modulo the prime 2**61 - 1, with a base drawn once at random, read off
+prefix sums and then mixed with its length. Equal spans have equal hashes; two different spans of up to n bytes are
+roots of a polynomial of that degree and agree for at most n of the 2**61 bases. (A power of two as modulus would let
+strings built by doubling agree for every base.)
 """
 
 from __future__ import annotations
@@ -11,8 +13,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BASE = 0x9E3779B97F4A7C15 | 1
-INVERSE = pow(BASE, -1, 1 << 64)
+PRIME = (1 << 61) - 1
+BASE = 0x11D3A8C5F04B2E97
+INVERSE = pow(BASE, -1, PRIME)
 # Bytes handled at a time inside a task; a longer text is handled alone.
 CHUNK = 1 << 20
 
@@ -45,12 +48,36 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK) -> Iterator[tuple[int, int]]
         i = j
 
 
+_P, _LOW31, _LOW30 = np.uint64(PRIME), np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
+_30, _31, _61 = np.uint64(30), np.uint64(31), np.uint64(61)
+# Bytes whose products, below 2**40, can be added up in 64 bits.
+BLOCK = 1 << 22
+
+
+def _folded(x: np.ndarray) -> np.ndarray:
+    """``x`` modulo the prime, for any 64-bit values."""
+    x = (x & _P) + (x >> _61)
+    return np.where(x >= _P, x - _P, x)
+
+
+def _shifted(x: np.ndarray) -> np.ndarray:
+    """``x`` times 2**31 modulo the prime, unfolded, for values below 2**61 or so."""
+    return (x >> _30) + ((x & _LOW30) << _31)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo the prime."""
+    ah, al, bh, bl = a >> _31, a & _LOW31, b >> _31, b & _LOW31
+    return _folded(_folded(np.uint64(2) * ah * bh + _shifted(ah * bl + al * bh)) + al * bl)
+
+
 def _power(base: int, n: int) -> np.ndarray:
+    """The first ``n`` powers of a base, by doubling; those of usual lengths are kept."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        full = np.full(max(n, 1 << 16), base, np.uint64)
-        full[0] = 1
-        have = np.cumprod(full, dtype=np.uint64)
+        have = np.ones(1, np.uint64)
+        while len(have) < max(n, 1 << 16):
+            have = np.concatenate([have, times(have, np.uint64(pow(base, len(have), PRIME)))])
         if n <= 4 * CHUNK:
             _powers[base] = have
     return have[:n]
@@ -65,17 +92,32 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def windows_of(data: np.ndarray, doublings: int) -> np.ndarray:
+    """A hash of the ``2**doublings`` bytes from every place that has as many, by pairs of halves."""
+    h = mixed(data.astype(np.uint64) + np.uint64(1))
+    for i in range(doublings):
+        size = 1 << i
+        if len(h) <= size:
+            return np.zeros(0, np.uint64)
+        h = mixed(h[:-size] * np.uint64(0x9E3779B97F4A7C15) + h[size:] + np.uint64(i))
+    return h
+
+
 class Spans:
     """Hashes of spans of one byte array."""
 
     def __init__(self, data: np.ndarray):
         n = len(data)
+        power = _power(BASE, n)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(BASE, n), out=self.sums[1:])
+        for i in range(0, n, BLOCK):
+            v, w = data[i : i + BLOCK].astype(np.uint64) + np.uint64(1), power[i : i + BLOCK]
+            high, low = np.cumsum(v * (w >> _31), dtype=np.uint64), np.cumsum(v * (w & _LOW31), dtype=np.uint64)
+            self.sums[i + 1 : i + 1 + len(v)] = _folded(_folded(_shifted(_folded(high)) + _folded(low)) + self.sums[i])
         self.back = _power(INVERSE, n + 1)
 
     def raw(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (self.sums[end] - self.sums[start]) * self.back[start]
+        return times(_folded(self.sums[end] + (_P - self.sums[start])), self.back[start])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mixed(self.raw(start, end) ^ (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))

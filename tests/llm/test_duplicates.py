@@ -55,8 +55,9 @@ def compare(df, length, **more):
     assert collections.Counter(map(tuple, got.drop("rest").collect())) == want
 
 
-@pytest.mark.parametrize("split", [repeats.SPLIT, 1])
-def test_repeats(spark, split):
+@pytest.mark.parametrize("shard, rounds", [(repeats.SHARD, 4), (500, 4), (100, 1)])
+def test_repeats(spark, shard, rounds, monkeypatch):
+    monkeypatch.setattr(repeats, "ROUNDS", rounds)
     r = random.Random(7)
     prose = lambda n: " ".join(r.choice(["be", "to", "the", "où", "a", "zz", "of"]) + str(r.randint(0, 99)) for _ in range(n))
     passage, common = prose(40), prose(12)
@@ -64,7 +65,71 @@ def test_repeats(spark, split):
     texts += [f"{prose(9)}{passage[:r.randint(30, 200)]}{prose(5)}" for _ in range(15)]
     texts += [f"{common}{prose(20)}{common}", "a" * 300, "ab" * 90, texts[0], texts[0], prose(60), "", None]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    compare(df, 60, split=split)
+    compare(df, 60, shard=shard)
+
+
+def doubled(n, x="t", y="z"):
+    """A string by doubling; with its complement it agrees under any polynomial modulo a power of two."""
+    return "".join(y if bin(i).count("1") % 2 else x for i in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_strings_by_doubling_are_told_apart(spark, n):
+    texts = [doubled(n), doubled(n, "z", "t"), "one two three " + doubled(n), "one two three " + doubled(n, "z", "t"), doubled(n) + "!"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    compare(df, 400)
+    words = [f"a b c {doubled(n)} e f g", f"a b c {doubled(n, 'z', 't')} e f g", f"x {doubled(n)}", f"x {doubled(n, 'z', 't')}"]
+    df = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")
+    assert {r.component_id for r in minhash.near_duplicates(df).collect()} == {0, 1, 2, 3}
+
+
+def test_a_common_string_among_many_others(spark):
+    """Every text has one string in other surroundings: one owner holds them all and has to be dealt anew."""
+    r = random.Random(11)
+    some = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    common = some(50)
+    pairs = [f"{some(80)}{common}{some(90)}" for _ in range(60)]
+    texts = [p for q in pairs for p in ((q, some(20) + q) if r.random() < 0.3 else (q,))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    compare(df, 60, shard=1000)
+
+
+def passages_by_hand(texts, least, length):
+    """Words in repeated strings of ``least`` words, and what stays without all passages."""
+    split = [[m.span() for m in re.finditer(rb"[^ \t-\r]+", t)] for t in texts]
+    said = [[t[a:b] for a, b in w] for t, w in zip(texts, split)]
+    seen = collections.Counter(tuple(w[i : i + least]) for w in said for i in range(len(w) - least + 1))
+    byte_runs = collections.Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
+    out = []
+    for t, w, at in zip(texts, said, split):
+        words = {j for i in range(len(w) - least + 1) if seen[tuple(w[i : i + least])] > 1 for j in range(i, i + least)}
+        gone = {p for i in range(len(t) - length + 1) if byte_runs[t[i : i + length]] > 1 for p in range(i, i + length)}
+        starts = [i for i in range(len(w) - least + 1) if seen[tuple(w[i : i + least])] > 1]
+        for i in starts:
+            gone |= set(range(at[i][0], at[i + least - 1][1]))
+        kept, place = [], 0
+        for ch in t.decode():
+            size = len(ch.encode())
+            if not any(p in gone for p in range(place, place + size)):
+                kept.append(ch)
+            place += size
+        kept = "".join(kept)
+        out.append((len(words), len(t) - len(kept.encode()), kept))
+    return out
+
+
+def test_passages_of_words_and_bytes(spark):
+    r = random.Random(13)
+    words = lambda n: [r.choice(["to", "été", "a", "�", "zz"]) + str(r.randint(0, 40)) for _ in range(n)]
+    passage = words(14)
+    texts = [" ".join([*words(r.randint(0, 9)), *passage[: r.randint(8, 14)], *words(5)]) for _ in range(25)]
+    texts += ["  ".join(passage), "\n".join(passage[2:]), "", None, "é" * 80, "x" + "é" * 80, texts[0], "a � b"]
+    df = spark.createDataFrame([(i, t, "e", "s") for i, t in enumerate(texts)], "doc_id long, text string, `of.words` string, spans string")
+    got = {x.doc_id: (x.passage_words, x.passage_bytes, x.rest) for x in repeats.remove_passages(df, least=10, length=60).collect()}
+    assert [got[i] for i in range(len(texts))] == passages_by_hand([(t or "").encode() for t in texts], 10, 60)
+    plain = repeats.remove_repeats(df, length=60).drop("rest").collect()
+    both = repeats.remove_passages(df, least=10, length=60, rest=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert sorted(both) == sorted(plain)
 
 
 def test_repeats_on_odd_rows_and_documents(odd, nothing, documents):

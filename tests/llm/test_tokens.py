@@ -1,6 +1,7 @@
 """Token counts (3), packing (5) and SentencePiece (7) against the libraries."""
 
 import collections
+import hashlib
 import itertools
 import math
 import random
@@ -130,3 +131,33 @@ def test_pieces_agree_with_the_library(odd, nothing):
     assert piece_encoding.encode(nothing, PIECES).count() == 0
     broken = encoded.sparkSession.createDataFrame([(1, [3 + 0xC3, 3 + 0x28]), (2, None)], "doc_id long, ids array<int>")
     assert dict(map(tuple, piece_encoding.decode(broken, PIECES).collect())) == {1: "�(", 2: ""}
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_words_by_doubling_are_told_apart(spark, n):
+    """Such words agree under polynomials modulo a power of two; each must get its own ids."""
+    one = "".join("z" if bin(i).count("1") % 2 else "t" for i in range(n))
+    two = one.translate(str.maketrans("tz", "zt"))
+    df = spark.createDataFrame([(0, one), (1, two), (2, f"{two} {one}")], "doc_id long, text string").coalesce(1)
+    tok, sp = Tokenizer.from_file(BPE), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    ids = {r.doc_id: tok.encode(r.text, add_special_tokens=False).ids for r in df.collect()}
+    assert {r.doc_id: r.n_tokens for r in token_counts.count_tokens(df, BPE).collect()} == {i: len(x) for i, x in ids.items()}
+    got = {(r.doc_id, r.piece): r.ids_crc32 for r in packing.pack(df, BPE).collect()}
+    for i, x in ids.items():
+        x = np.array([*x, 2], "<u4")
+        first = len(x) % 1024 or 1024
+        cuts = [0, *range(first, len(x) + 1, 1024)]
+        assert [got[i, k] for k in range(len(cuts) - 1)] == [zlib.crc32(x[a:b].tobytes()) for a, b in itertools.pairwise(cuts)]
+    assert {r.doc_id: list(r.ids) for r in piece_encoding.encode(df, PIECES).collect()} == {r.doc_id: sp.encode(r.text) for r in df.collect()}
+
+
+def test_registered_piece_query(spark, documents):
+    from docspark.llm import queries
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    want = {}
+    for r in documents.collect():
+        ids = sp.encode(r.text or "")
+        want[r.doc_id] = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), True)
+    got = queries.QUERIES["op7_piece_encoding"](spark, "/root/testdata/sf0.001")
+    assert {r[0]: tuple(r[1:]) for r in got.select("doc_id", "n_tokens", "ids_sha256", "round_trip").collect()} == want
