@@ -12,17 +12,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docspark.functions.bind import let
+from docspark.llm.tables import written
 
 BLANKS = " \t\n\x0b\x0c\r"
 SPACE = "[ \\t-\\r]+"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 MIN_WORDS = 20
-# A line goes when at least ``MIN_DOCS`` and ``SHARE`` of its host's distinct documents carry it; a document
+# A line goes when at least ``MIN_DOCS`` of its host's distinct documents carry it, however large the host is; a document
 # goes when fewer than ``MIN_WORDS`` words stay or over ``DEPLETED`` percent of them went.
-MIN_DOCS, SHARE, DEPLETED = 10, 0.1, 70
-# Distinct documents of a host that are enough by themselves, whatever the host's size; the SQL twin has no such limit.
-ENOUGH = 10
+MIN_DOCS, DEPLETED = 10, 70
 
 
 def _words(c: Column) -> Column:
@@ -79,24 +78,16 @@ def text_key(text: Column) -> list[Column]:
 KEY = ["k1", "k2"]
 
 
-def frequent_lines(docs: DataFrame, text: str, host: str, min_docs: int, share: float, enough: int | None = None) -> DataFrame:
-    """(host, k1, k2, removed_words, lines) of the distinct texts with a frequent line.
-
-    A line is frequent from ``min_docs`` documents and ``share`` of its host's, or from ``enough`` documents alone.
-    """
+def frequent_lines(docs: DataFrame, text: str, host: str, min_docs: int) -> DataFrame:
+    """(host, k1, k2, removed_words, lines) of the distinct texts with a line that ``min_docs`` documents of its host carry."""
     d = docs.select(F.col(host).alias("host"), *text_key(F.col(text)), F.coalesce(F.col(text), F.lit("")).alias("t"))
     copies = d.groupBy("host", *KEY).agg(F.count("*").alias("copies"))
     line = F.transform(F.split("t", "\n"), lambda x: F.struct(F.xxhash64(normalised(x)).alias("line"), F.size(_words(x)).alias("words")))
     rows = d.select("host", *KEY, F.explode(F.filter(line, lambda x: x["words"] > 0)).alias("l")).select("host", *KEY, "l.line", "l.words")
-    # A text's lines of one hash have the same words; its copies multiply the count alike.
-    carried = rows.groupBy("host", "line", *KEY).agg(F.count("*").alias("n"), F.max("words").alias("words"))
-    hosts = copies.groupBy("host").agg(F.count("*").alias("n_docs"))
-    seen = carried.groupBy("host", "line").agg(F.count("*").alias("docs")).where(F.col("docs") >= min(min_docs, min_docs if enough is None else enough))
-    s, h = seen.alias("s"), hosts.alias("h")
-    limit = (F.col("docs") >= min_docs) & (F.col("docs") >= F.ceil(F.lit(share) * F.col("n_docs")))
-    limit = limit if enough is None else limit | (F.col("docs") >= enough)
-    often = s.join(h, F.col("s.host").eqNullSafe(F.col("h.host"))).where(limit)
-    often = often.select(F.col("s.host").alias("host"), "line").alias("o")
+    # A text's lines of one hash have the same words; its copies multiply the count alike. Counted from and looked up in,
+    # so lines are cut and hashed once.
+    carried = written(rows.groupBy("host", "line", *KEY).agg(F.count("*").alias("n"), F.max("words").alias("words")), "lines")
+    often = carried.groupBy("host", "line").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select("host", "line").alias("o")
     c = carried.alias("c")
     hit = c.join(often, F.col("c.host").eqNullSafe(F.col("o.host")) & (F.col("c.line") == F.col("o.line")))
     hit = hit.groupBy("c.host", *KEY).agg(F.sum(F.col("n") * F.col("words")).alias("removed"), F.collect_list("c.line").alias("lines"))
@@ -106,10 +97,10 @@ def frequent_lines(docs: DataFrame, text: str, host: str, min_docs: int, share:
     return hit.join(k, same).select("v.host", "v.k1", "v.k2", removed, "v.lines")
 
 
-def _judged(docs: DataFrame, text: str, host: str, min_docs: int, share: float, depleted: int, enough: int | None) -> DataFrame:
+def _judged(docs: DataFrame, text: str, host: str, min_docs: int, depleted: int) -> DataFrame:
     """Every row as a struct, with its rules' values, verdict and frequent lines."""
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(host).alias("host"), *text_key(F.col(text)), *base_rules(F.col(text)))
-    found = frequent_lines(docs, text, host, min_docs, share, enough)
+    found = frequent_lines(docs, text, host, min_docs)
     r, f = rows.alias("r"), found.alias("f")
     same = F.col("r.host").eqNullSafe(F.col("f.host")) & (F.col("r.k1") == F.col("f.k1")) & (F.col("r.k2") == F.col("f.k2"))
     n, repeat = F.col("r.w.n_words"), F.col("r.w.n_repeat_words")
@@ -123,14 +114,7 @@ def _judged(docs: DataFrame, text: str, host: str, min_docs: int, share: float,
 
 
 def line_quality(
-    docs: DataFrame,
-    text: str = "text",
-    host: str = "source",
-    keep: list[str] | None = None,
-    min_docs: int = MIN_DOCS,
-    share: float = SHARE,
-    depleted: int = DEPLETED,
-    enough: int | None = None,
+    docs: DataFrame, text: str = "text", host: str = "source", keep: list[str] | None = None, min_docs: int = MIN_DOCS, depleted: int = DEPLETED
 ) -> DataFrame:
     """``keep`` columns and, for every row, the base rules, the line rule and the verdict.
 
@@ -140,21 +124,13 @@ def line_quality(
     Columns of other names, such as k1, may be present and are ignored unless kept.
     """
     keep = ["doc_id"] if keep is None else keep
-    judged = _judged(docs, text, host, min_docs, share, depleted, enough)
+    judged = _judged(docs, text, host, min_docs, depleted)
     return judged.select(*(F.col("row").getField(c).alias(c) for c in keep), *judged.columns[1:])
 
 
-def cleaned(
-    docs: DataFrame,
-    text: str = "text",
-    host: str = "source",
-    min_docs: int = MIN_DOCS,
-    share: float = SHARE,
-    depleted: int = DEPLETED,
-    enough: int | None = None,
-) -> DataFrame:
+def cleaned(docs: DataFrame, text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, depleted: int = DEPLETED) -> DataFrame:
     """The kept rows with all their columns, their texts without the frequent lines."""
-    kept = _judged(docs, text, host, min_docs, share, depleted, enough).where("kept")
+    kept = _judged(docs, text, host, min_docs, depleted).where("kept")
     shorter = without_lines(F.col("row").getField(text), F.col("removed_lines"))
     return kept.select(*((shorter if c == text else F.col("row").getField(c)).alias(c) for c in docs.columns))
 
@@ -181,10 +157,7 @@ lines AS (
          lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), ' ')) AS norm
   FROM raw_lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dup AS (SELECT doc_id, (count(*) - count(DISTINCT line))::BIGINT AS n_dup_lines FROM lines GROUP BY doc_id),
-hosts AS (SELECT source, count(DISTINCT t) AS n_docs FROM d GROUP BY source),
-often AS (
-  SELECT l.source, norm FROM lines l JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source
-  GROUP BY l.source, norm, n_docs HAVING count(DISTINCT t) >= 10 AND count(DISTINCT t) >= ceil(0.1 * n_docs)),
+often AS (SELECT source, norm FROM lines GROUP BY source, norm HAVING count(DISTINCT t) >= 10),
 gone AS (
   SELECT doc_id, sum(words)::BIGINT AS removed_words FROM lines l JOIN often o ON l.source IS NOT DISTINCT FROM o.source AND l.norm = o.norm
   GROUP BY doc_id),
