@@ -101,7 +101,7 @@ def test_pipeline_stage_by_stage(spark, odd, tmp_path):
         return collections.Counter((x.doc_id, x.text) for x in df.collect())
 
     source = [tuple(x) for x in start.select("doc_id", "text", "source").collect()]
-    kept = collections.Counter(x[0] for x in quality(source, 10, 0.1, 70) if x[-1])
+    kept = collections.Counter(x[0] for x in quality(source, 10, 70) if x[-1])
     assert collections.Counter(x.doc_id for x in clean.collect()) == kept
     line = norm("A line that stands in all of them")
     assert not any(norm(y) == line for x in clean.collect() for y in x.text.split("\n"))
@@ -136,6 +136,14 @@ def test_pipeline_cuts_passages_of_51_short_words(spark):
     assert [got[2], got[3]] == texts[2:]
 
 
+def test_pipeline_leaves_other_signs_and_columns_alone(spark):
+    both = "é" * 250  # a match of 400 bytes may end inside a sign
+    rows = [(1, f"the author's � sign {both}", None, 7), (2, f"another � one\u0301 x{both}", "b", 8), (3, None, "c", 9), (4, "", None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string, rest long")
+    got = {x.doc_id: tuple(x[1:]) for x in corpus_pipeline.repeated_passages(spark, df, "").collect()}
+    assert got == {1: ("the author's � sign ", None, 7), 2: ("another � one\u0301 x", "b", 8), 3: ("", "c", 9), 4: ("", None, None)}
+
+
 def test_labels_that_teach_nothing_keep_all_documents(spark, tmp_path):
     docs, labels, _ = labelled(spark, 60)
     some = labels.where(~toxicity.held_out(labels.doc_id))
