@@ -148,8 +148,9 @@ def sampled(docs: DataFrame, key: str, text: str, lang: str, sample: int, size:
     counts = hashes.groupBy("lang").agg(F.count("*").alias("n"))
     names = max(1, counts.count())
     part = max(1, sample // names)
-    # Twice the wanted share of the hashes holds enough, so the ranked rows are as many as the sample is large.
-    near = hashes.join(counts, "lang").where(F.col("k1") / F.lit(2.0**64) + 0.5 <= F.lit(2.0 * part) / F.col("n"))
+    # As many rows as the model has trees, so they may be broadcast. Twice the wanted share of the hashes holds enough:
+    # what is ranked is as large as the sample, and the rest of a language stays where it is.
+    near = hashes.join(F.broadcast(counts), "lang").where(F.col("k1") / F.lit(2.0**64) + 0.5 <= F.lit(2.0 * part) / F.col("n"))
     by = Window.partitionBy("lang").orderBy("k1", "k2")
     near = near.withColumns({"nth": F.row_number().over(by), "before": F.sum("size").over(by) - F.col("size")})
     near = near.where((F.col("nth") <= part) & (F.col("before") < size / names)).select("lang", "k1", "k2")
