@@ -11,6 +11,7 @@ from __future__ import annotations
 import numpy as np
 from tokenizers import Tokenizer, decoders, pre_tokenizers
 
+from docspark.llm.tables import release
 from docspark.llm.textbytes import Spans, ranges
 
 LETTER, DIGIT, OTHER, WHITE, UNSEEN = 0, 1, 2, 3, 255
@@ -129,9 +130,13 @@ def whole_tokens(tok: Tokenizer) -> list[tuple[str, int]]:
     ids = range(tok.get_vocab_size())
     texts = [tok.decode([i], skip_special_tokens=False) for i in ids]
     found = []
-    for i, t, e in zip(ids, texts, tok.encode_batch(texts, add_special_tokens=False), strict=True):
-        if e.ids == [i] and "�" not in t and t:
-            found.append((t, i))
+    # In parts, so that the library's results don't pile up.
+    for at in range(0, len(texts), 1024):
+        part = texts[at : at + 1024]
+        for i, t, e in zip(ids[at : at + 1024], part, tok.encode_batch(part, add_special_tokens=False), strict=True):
+            if e.ids == [i] and "�" not in t and t:
+                found.append((t, i))
+    release()
     return found
 
 

@@ -7,7 +7,7 @@ can't repeat and go no further. Equal segments are counted before anything moves
 segments go to shards of bounded size, where the suffix array of the segments is induced and common prefixes
 of neighbouring suffixes tell which windows start elsewhere too. An owner with more bytes than a shard should
 hold is dealt anew: its segments are searched as texts of their own, with owners by another hash, so that what they have
-in common no longer decides. What a few rounds don't part is counted by 128-bit hashes of its windows.
+in common no longer decides. What that doesn't part is counted by 128-bit hashes of its windows.
 
 Passages are measured in words: a text of words is a text of ``CODE`` bytes for each word, searched in the same way.
 """
@@ -32,8 +32,8 @@ GRAM_BITS = 5
 GRAM = 1 << GRAM_BITS
 # Bytes of a text looked at together; places inside take this many bits beside a hash.
 SLICE, PLACE_BITS = 1 << 18, 20
-# Segment bytes aimed at in a shard, beyond which one owner is dealt anew, and how often that is done.
-SHARD, ROUNDS = 600_000, 4
+# Segment bytes aimed at in a shard, those of one owner beyond which it is dealt anew, and how often that is done.
+SHARD, HEAVY, ROUNDS = 600_000, 1_200_000, 1
 RUN = "array<struct<a:bigint,b:bigint,owner:bigint,segment:bigint>>"
 SPANS = "array<struct<s:bigint,e:bigint>>"
 # Bytes that stand for a word where passages are measured in words, and what parts words.
@@ -249,7 +249,7 @@ def _cut(bodies: DataFrame, length: int, reading: Reading) -> DataFrame:
     return map_batches(bodies.select("text", "want"), out, make)
 
 
-def _spans_of(texts: DataFrame, length: int, reading: Reading, shard: int, deal: int) -> DataFrame:
+def _spans_of(texts: DataFrame, length: int, reading: Reading, shard: int, heavy: int, deal: int) -> DataFrame:
     """(k1, k2, spans) for every different text of (k1, k2, copies, text) with a covered byte, as it is read."""
     found = written(text_runs(texts, length, reading, deal), "runs")
     copies = found.groupBy("k1", "k2").agg(F.sum("copies").alias("copies"), F.max("runs").alias("runs"))
@@ -264,18 +264,18 @@ def _spans_of(texts: DataFrame, length: int, reading: Reading, shard: int, deal:
     whole = F.struct(F.lit(0).cast("bigint").alias("s"), (F.col("b") - F.col("a") + F.lit(length)).alias("e"))
     whole = alone.select("owner", "segment", F.array(whole).alias("spans"))
     contested = known.where(F.col("kinds") > 1)
-    sums = contested.agg(F.sum(F.when(F.col("size") <= shard, F.col("b") - F.col("a") + length)).alias("some"), F.count(F.when(F.col("size") > shard, 1)).alias("many")).first()
+    sums = contested.agg(F.sum(F.when(F.col("size") <= heavy, F.col("b") - F.col("a") + length)).alias("some"), F.count(F.when(F.col("size") > heavy, 1)).alias("many")).first()
     wanted = contested.groupBy("k1", "k2").agg(F.collect_list(F.struct("owner", "segment", "copies", "a", "b", "size")).alias("want"))
     bodies = texts.groupBy("k1", "k2").agg(F.first("text").alias("text")).join(wanted, ["k1", "k2"])
     cut = written(_cut(bodies.select(F.col("text").cast("binary").alias("text"), "want"), length, reading), "contested")
     shards = max(1, -(-(sums["some"] or 0) // shard))
-    some = cut.where(F.col("size") <= shard).select(F.pmod("owner", F.lit(shards)).alias("shard"), "owner", "segment", "copies", "owned", "body")
+    some = cut.where(F.col("size") <= heavy).select(F.pmod("owner", F.lit(shards)).alias("shard"), "owner", "segment", "copies", "owned", "body")
     spans = _in_shards(some, length).unionByName(whole)
     if sums["many"]:
-        many = cut.where(F.col("size") > shard)
+        many = cut.where(F.col("size") > heavy)
         if deal < ROUNDS:
             parts = many.select(F.col("owner").alias("k1"), F.col("segment").alias("k2"), "copies", F.col("body").alias("text"))
-            again = _spans_of(parts, length, plain, shard, deal + 1)
+            again = _spans_of(parts, length, plain, shard, heavy, deal + 1)
             again = again.select(F.col("k1").alias("owner"), F.col("k2").alias("segment"), "spans")
         else:
             again = _by_windows(many.select(F.lit(0).alias("shard"), "owner", "segment", "copies", "owned", "body"), length)
@@ -285,13 +285,13 @@ def _spans_of(texts: DataFrame, length: int, reading: Reading, shard: int, deal:
     return placed.groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
-def repeated_spans(docs: DataFrame, text: str = "text", length: int = 400, reading: Reading = plain, shard: int = SHARD) -> DataFrame:
+def repeated_spans(docs: DataFrame, text: str = "text", length: int = 400, reading: Reading = plain, shard: int = SHARD, heavy: int = HEAVY) -> DataFrame:
     """(k1, k2, spans) for every distinct text with a covered byte: spans not yet merged across runs."""
     # A text of n coded words has at least 2n - 1 bytes.
     least = length if reading is plain else 2 * (length // CODE) - 1
     texts = docs.where(F.octet_length(F.col(f"`{text}`")) >= least)
     texts = texts.select(*text_key(F.col(f"`{text}`")), F.lit(1).cast("bigint").alias("copies"), F.col(f"`{text}`").alias("text"))
-    return _spans_of(texts, length, reading, shard, 0)
+    return _spans_of(texts, length, reading, shard, heavy, 0)
 
 
 def _covered_bytes(size: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -358,7 +358,7 @@ def _digest(row: pa.StructArray, data: np.ndarray, offsets: np.ndarray, gone: np
 DIGEST = [("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept_sha256", T.StringType())]
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", keep: list[str] | None = None, length: int = 400, shard: int = SHARD) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", keep: list[str] | None = None, length: int = 400, **sizes: int) -> DataFrame:
     """``keep`` columns with n_bytes, n_removed, n_spans, kept_sha256 and rest (the remaining bytes) per row.
 
     A byte goes when a string of ``length`` bytes over it also starts anywhere else, in the same text or another,
@@ -367,7 +367,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep: list[str] | None =
     character, as matches are of bytes. No rows give no rows; other columns are ignored.
     """
     keep = ["doc_id"] if keep is None else keep
-    spans = written(repeated_spans(docs, text, length, plain, shard), "spans")
+    spans = written(repeated_spans(docs, text, length, plain, **sizes), "spans")
     out = fields(docs, keep, *DIGEST, ("rest", T.BinaryType()))
 
     def make():
@@ -383,7 +383,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep: list[str] | None =
 
 
 def remove_passages(
-    docs: DataFrame, text: str = "text", keep: list[str] | None = None, least: int = 51, length: int = 400, shard: int = SHARD, rest: bool = True
+    docs: DataFrame, text: str = "text", keep: list[str] | None = None, least: int = 51, length: int = 400, rest: bool = True, **sizes: int
 ) -> DataFrame:
     """What ``remove_repeats`` gives, by its rule of ``length`` bytes, then what the rule of passages gives.
 
@@ -394,9 +394,9 @@ def remove_passages(
     others stay as they are. Nulls, copies and empty tables as in ``remove_repeats``.
     """
     keep = ["doc_id"] if keep is None else keep
-    of_words = repeated_spans(docs, text, CODE * least, coded, shard).withColumnRenamed("spans", "of_words")
+    of_words = repeated_spans(docs, text, CODE * least, coded, **sizes).withColumnRenamed("spans", "of_words")
     of_words = written(of_words, "word-spans")
-    of_bytes = written(repeated_spans(docs, text, length, plain, shard), "spans")
+    of_bytes = written(repeated_spans(docs, text, length, plain, **sizes), "spans")
     spans = written(of_bytes.join(of_words, ["k1", "k2"], "full"), "all-spans")
     more = [("passage_words", T.LongType()), ("passage_bytes", T.LongType())] + ([("rest", T.StringType())] if rest else [])
     out = fields(docs, keep, *DIGEST, *more)

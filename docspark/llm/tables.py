@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -49,6 +50,13 @@ def release() -> None:
         return
 
 
+def settle(spark: SparkSession) -> None:
+    """Between jobs: lets the driver drop what is done, so that its shuffles and broadcasts are removed, and give memory back."""
+    gc.collect()
+    spark._jvm.System.gc()
+    release()
+
+
 def map_batches(df: DataFrame, schema: T.StructType | str, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]]) -> DataFrame:
     """``mapInArrow`` with something made once per task: ``make()`` gives the function over batches."""
 

@@ -55,7 +55,7 @@ def compare(df, length, **more):
     assert collections.Counter(map(tuple, got.drop("rest").collect())) == want
 
 
-@pytest.mark.parametrize("shard, rounds", [(repeats.SHARD, 4), (500, 4), (100, 1)])
+@pytest.mark.parametrize("shard, rounds", [(repeats.SHARD, 1), (500, 4), (100, 1)])
 def test_repeats(spark, shard, rounds, monkeypatch):
     monkeypatch.setattr(repeats, "ROUNDS", rounds)
     r = random.Random(7)
@@ -65,7 +65,7 @@ def test_repeats(spark, shard, rounds, monkeypatch):
     texts += [f"{prose(9)}{passage[:r.randint(30, 200)]}{prose(5)}" for _ in range(15)]
     texts += [f"{common}{prose(20)}{common}", "a" * 300, "ab" * 90, texts[0], texts[0], prose(60), "", None]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    compare(df, 60, shard=shard)
+    compare(df, 60, shard=shard, heavy=2 * shard)
 
 
 def doubled(n, x="t", y="z"):
@@ -91,7 +91,7 @@ def test_a_common_string_among_many_others(spark):
     pairs = [f"{some(80)}{common}{some(90)}" for _ in range(60)]
     texts = [p for q in pairs for p in ((q, some(20) + q) if r.random() < 0.3 else (q,))]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    compare(df, 60, shard=1000)
+    compare(df, 60, shard=1000, heavy=1000)
 
 
 def passages_by_hand(texts, least, length):
