@@ -95,6 +95,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = tables.written(stage(spark, docs, sf_dir), name)
+        tables.settle(spark)
     return docs
 
 
