@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docspark.functions import spans
+from docspark.functions import text as tx
 from docspark.functions.bind import let
 from docspark.functions.spans import SPAN  # noqa: F401
 
@@ -172,6 +173,17 @@ def scale_box(box: list[Column], width: Column, height: Column) -> Column:
     return F.array(one(box[0], width), one(box[1], height), one(box[2], width), one(box[3], height))
 
 
+def page_tokens(words: Column, width: Column, height: Column) -> Column:
+    """(word, box) of the words read off a page, (text, left, top, width, height) in pixels; blank ones go (LAY3)."""
+    read = F.filter(F.transform(words, lambda w: w.withField("text", tx.strip(w["text"]))), lambda w: w["text"] != "")
+
+    def token(w: Column) -> Column:
+        box = scale_box([w["left"], w["top"], w["left"] + w["width"], w["top"] + w["height"]], width, height)
+        return F.struct(w["text"].alias("word"), box.alias("box"))
+
+    return F.transform(read, token)
+
+
 def structure(regions: Column) -> Column:
     """Markup of the regions in order (LAY4)."""
     def one(r: Column) -> Column:

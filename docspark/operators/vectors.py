@@ -41,8 +41,10 @@ def embed_with_cache(
         .groupBy("text_key")
         .agg(F.max_by("embedding", "expires_at").alias("embedding"))
     )
-    texts = keyed.groupBy("text_key").agg(F.min("text").alias("text"))
-    missing = encoder(texts.join(live, "text_key", "left_anti"), F.col("text"))
+    # Keys alone are compared with the cache; then one row of each missing key brings its text.
+    unseen = keyed.groupBy("text_key").agg(F.min("chunk_id").alias("chunk_id")).join(live, "text_key", "left_anti")
+    texts = keyed.join(unseen, ["chunk_id", "text_key"], "left_semi").dropDuplicates(["text_key"])
+    missing = encoder(texts.select("text_key", "text"), F.col("text"))
     fresh = missing.select("text_key", "embedding")
     vectors = live.select("text_key", "embedding", F.lit(True).alias("from_cache")).unionByName(
         fresh.select("text_key", "embedding", F.lit(False).alias("from_cache"))

@@ -224,3 +224,26 @@ def box_scale(spark, sf):
     box = ent.scale_box([x, y, x + F.col("l_quantity") * 40, y + F.col("l_quantity") * 50], F.lit(1700), F.lit(2200))
     b = li.select("l_orderkey", "l_linenumber", box.alias("b"))
     return b.select("l_orderkey", "l_linenumber", *(F.col("b")[i].alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))))
+
+
+# Line items as words read off a page; every third is blank.
+@query(
+    "page_tokens",
+    """WITH w AS (
+  SELECT l_orderkey AS doc_id, CASE WHEN l_linenumber % 3 = 0 THEN ' ' || chr(9) ELSE '  ' || l_returnflag || l_linestatus || chr(10) END AS t, l_linenumber AS n,
+    l_quantity::INT * 20 AS x, l_linenumber * 300 AS y FROM lineitem),
+b AS (SELECT doc_id, trim(t, ' ' || chr(9) || chr(10)) AS word, n, x, y, [x, y, x + 90, y + 30] AS px FROM w)
+SELECT doc_id, count(*) AS tokens, string_agg(word || ':' || greatest(0, least(1000, trunc(px[1] * 1000 / 850)::INT)) || ',' || greatest(0, least(1000, trunc(px[2] * 1000 / 1100)::INT))
+  || ',' || greatest(0, least(1000, trunc(px[3] * 1000 / 850)::INT)) || ',' || greatest(0, least(1000, trunc(px[4] * 1000 / 1100)::INT)), ' ' ORDER BY n, x, word) AS placed
+FROM b WHERE word <> '' GROUP BY doc_id""",
+)
+def page_tokens(spark, sf):
+    n = F.col("l_linenumber")
+    text = F.when(n % 3 == 0, " \t").otherwise(F.concat(F.lit("  "), "l_returnflag", "l_linestatus", F.lit("\n")))
+    left, top = F.col("l_quantity").cast("int") * 20, (n * 300).cast("int")
+    word = F.struct(text.alias("text"), left.alias("left"), top.alias("top"), F.lit(90).alias("width"), F.lit(30).alias("height"))
+    li = inputs.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.struct(n.alias("n"), left.alias("x"), text.alias("t"), word.alias("w")).alias("o"))
+    pages = li.groupBy("doc_id").agg(F.sort_array(F.collect_list("o")).alias("o"))
+    t = pages.select("doc_id", ent.page_tokens(F.transform("o", lambda o: o["w"]), F.lit(850), F.lit(1100)).alias("t")).where(F.size("t") > 0)
+    shown = F.transform("t", lambda w: F.concat(w["word"], F.lit(":"), F.array_join(w["box"].cast("array<string>"), ",")))
+    return t.select("doc_id", F.size("t").cast("long").alias("tokens"), F.array_join(shown, " ").alias("placed"))

@@ -167,6 +167,15 @@ def dlq_retry_due(spark, sf):
     return s.select("doc_id", "source_type", "failure_reason", F.unix_seconds("retry_at").alias("retry_at"), "due")
 
 
+@query(
+    "dlq_counts",
+    with_sql("envelope", rest=f"""{VALIDATED} SELECT source_type, failure_reason, count(*) AS letters,
+  count(*) FILTER (epoch(ingestion_ts)::BIGINT + 300 <= epoch(TIMESTAMP '2024-01-01 06:00:00')::BIGINT) AS due FROM validated WHERE failure_reason IS NOT NULL GROUP BY ALL"""),
+)
+def dlq_counts(spark, sf):
+    return documents.retry_counts(documents.retry_schedule(letters(spark, sf), F.lit("2024-01-01 06:00:00").cast("timestamp")))
+
+
 @query(
     "processed_events",
     with_sql("envelope", rest=""" SELECT doc_id::VARCHAR AS key, '{"doc_id":"' || doc_id || '","status":"' || CASE WHEN byte_size > 2000 THEN 'completed' ELSE 'failed' END || '","predicted_class":"'

@@ -210,6 +210,11 @@ def retry_schedule(messages: DataFrame, now: Column) -> DataFrame:
     )
 
 
+def retry_counts(schedule: DataFrame) -> DataFrame:
+    """Letters by source type and reason, and how many of them are due (SRC8)."""
+    return schedule.groupBy("source_type", "failure_reason").agg(F.count("*").alias("letters"), F.count(F.when(F.col("due"), 1)).alias("due"))
+
+
 def retry_due(schedule: DataFrame, callback) -> DataFrame:
     """The caller's DataFrame function over the rows that are due (UDF6)."""
     return callback(schedule.where("due"))
