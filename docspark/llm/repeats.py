@@ -37,7 +37,7 @@ SHARD, HEAVY, ROUNDS = 600_000, 1_200_000, 1
 RUN = "array<struct<a:bigint,b:bigint,owner:bigint,segment:bigint>>"
 SPANS = "array<struct<s:bigint,e:bigint>>"
 # Bytes that stand for a word where passages are measured in words, and what parts words.
-CODE = 4
+CODE = 3
 
 
 def runs(data: np.ndarray, offsets: np.ndarray, length: int, deal: int = 0) -> tuple[np.ndarray, ...]:
@@ -388,7 +388,7 @@ def remove_passages(
     """What ``remove_repeats`` gives, by its rule of ``length`` bytes, then what the rule of passages gives.
 
     Passages are strings of ``length`` bytes or ``least`` words that start elsewhere too, both judged on the input. Words
-    are what white space parts, whatever its amount, and are compared by 28-bit hashes; white space beside a
+    are what white space parts, whatever its amount, and are compared by 21-bit hashes; white space beside a
     passage of words stays. passage_words counts the words in repeated strings of ``least`` words, passage_bytes the bytes of
     all passages with whole characters, and rest, if wanted, is the text without them: a character cut in two goes, all
     others stay as they are. Nulls, copies and empty tables as in ``remove_repeats``.

@@ -54,10 +54,18 @@ _30, _31, _61 = np.uint64(30), np.uint64(31), np.uint64(61)
 BLOCK = 1 << 22
 
 
+def _near(x: np.ndarray) -> np.ndarray:
+    """``x`` modulo the prime or up to 7 above it, for any 64-bit values."""
+    out = x >> _61
+    out += x & _P
+    return out
+
+
 def _folded(x: np.ndarray) -> np.ndarray:
-    """``x`` modulo the prime, for any 64-bit values."""
-    x = (x & _P) + (x >> _61)
-    return np.where(x >= _P, x - _P, x)
+    """``x`` modulo the prime."""
+    x = _near(x)
+    x -= (x >= _P) * _P
+    return x
 
 
 def _shifted(x: np.ndarray) -> np.ndarray:
@@ -68,7 +76,7 @@ def _shifted(x: np.ndarray) -> np.ndarray:
 def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Products modulo the prime."""
     ah, al, bh, bl = a >> _31, a & _LOW31, b >> _31, b & _LOW31
-    return _folded(_folded(np.uint64(2) * ah * bh + _shifted(ah * bl + al * bh)) + al * bl)
+    return _folded(_near(np.uint64(2) * ah * bh + _shifted(ah * bl + al * bh)) + al * bl)
 
 
 def _power(base: int, n: int) -> np.ndarray:
@@ -92,15 +100,21 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+BYTE_HASH = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53]
+
+
 def windows_of(data: np.ndarray, doublings: int) -> np.ndarray:
     """A hash of the ``2**doublings`` bytes from every place that has as many, by pairs of halves."""
-    h = mixed(data.astype(np.uint64) + np.uint64(1))
+    h = BYTE_HASH[data]
     for i in range(doublings):
         size = 1 << i
         if len(h) <= size:
             return np.zeros(0, np.uint64)
-        h = mixed(h[:-size] * np.uint64(0x9E3779B97F4A7C15) + h[size:] + np.uint64(i))
-    return h
+        left = h[:-size] * np.uint64(ODD[i % len(ODD)])
+        left += h[size:]
+        h = left
+    return mixed(h)
 
 
 class Spans:
@@ -111,13 +125,21 @@ class Spans:
         power = _power(BASE, n)
         self.sums = np.zeros(n + 1, np.uint64)
         for i in range(0, n, BLOCK):
-            v, w = data[i : i + BLOCK].astype(np.uint64) + np.uint64(1), power[i : i + BLOCK]
-            high, low = np.cumsum(v * (w >> _31), dtype=np.uint64), np.cumsum(v * (w & _LOW31), dtype=np.uint64)
-            self.sums[i + 1 : i + 1 + len(v)] = _folded(_folded(_shifted(_folded(high)) + _folded(low)) + self.sums[i])
+            v, w = data[i : i + BLOCK].astype(np.uint64), power[i : i + BLOCK]
+            v += np.uint64(1)
+            low = v * (w & _LOW31)
+            v *= w >> _31
+            np.cumsum(v, out=v)
+            np.cumsum(low, out=low)
+            total = _shifted(_near(v))
+            total += _near(low)
+            total = _near(total)
+            total += self.sums[i]
+            self.sums[i + 1 : i + 1 + len(v)] = _near(total)
         self.back = _power(INVERSE, n + 1)
 
     def raw(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return times(_folded(self.sums[end] + (_P - self.sums[start])), self.back[start])
+        return times(_near(self.sums[end] + (np.uint64(2) * _P - self.sums[start])), self.back[start])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mixed(self.raw(start, end) ^ (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))

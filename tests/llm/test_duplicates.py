@@ -125,10 +125,10 @@ def test_passages_of_words_and_bytes(spark):
     texts = [" ".join([*words(r.randint(0, 9)), *passage[: r.randint(8, 14)], *words(5)]) for _ in range(25)]
     texts += ["  ".join(passage), "\n".join(passage[2:]), "", None, "é" * 80, "x" + "é" * 80, texts[0], "a � b"]
     df = spark.createDataFrame([(i, t, "e", "s") for i, t in enumerate(texts)], "doc_id long, text string, `of.words` string, spans string")
-    got = {x.doc_id: (x.passage_words, x.passage_bytes, x.rest) for x in repeats.remove_passages(df, least=10, length=60).collect()}
-    assert [got[i] for i in range(len(texts))] == passages_by_hand([(t or "").encode() for t in texts], 10, 60)
+    got = {x.doc_id: (x.passage_words, x.passage_bytes, x.rest) for x in repeats.remove_passages(df, least=12, length=60).collect()}
+    assert [got[i] for i in range(len(texts))] == passages_by_hand([(t or "").encode() for t in texts], 12, 60)
     plain = repeats.remove_repeats(df, length=60).drop("rest").collect()
-    both = repeats.remove_passages(df, least=10, length=60, rest=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    both = repeats.remove_passages(df, least=12, length=60, rest=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
     assert sorted(both) == sorted(plain)
 
 
