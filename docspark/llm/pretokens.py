@@ -140,35 +140,76 @@ def whole_tokens(tok: Tokenizer) -> list[tuple[str, int]]:
     return found
 
 
+# Bits of a slot's number in the memo's first look-up.
+SLOTS = 20
+_BEYOND = np.array([(1 << 64) - (1 << 8 * k) for k in range(9)], np.uint64)
+
+
+def keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """What tells spans of UTF-8 bytes apart: up to 8 bytes are their own key, longer spans have a hash.
+
+    Places beyond a short span's end hold 0xFF, which UTF-8 never has, so short spans never share a key.
+    """
+    size = ends - starts
+    eight = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(8, np.uint8)]), 8)
+    out = eight[starts].view("<u8").ravel() | _BEYOND[np.minimum(size, 8)]
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        end = np.cumsum(size[long])
+        out[long] = Spans(data[ranges(starts[long], size[long])]).of(end - size[long], end)
+    return out
+
+
 class Known:
-    """Token ids by the hash of what they encode, in sorted arrays; it starts from a base it may fall back to."""
+    """Token ids by the key of what they encode; it starts from a base it may fall back to.
+
+    Entries are numbered as they come. A table of slots finds those met of late, a sorted array all of them.
+    """
 
     def __init__(self, hashes: np.ndarray, ids: np.ndarray):
         order = np.argsort(hashes)
-        self.base = (hashes[order], ids[order].astype(np.uint32), np.arange(len(ids)), np.ones(len(ids), np.int64))
-        self.keys, self.ids, self.at, self.size = self.base
+        self.base = (hashes[order], order, ids.astype(np.uint32), np.arange(len(ids)), np.ones(len(ids), np.int64))
+        self.slot_key = np.zeros(1 << SLOTS, np.uint64)
+        self._restart()
+
+    def _restart(self) -> None:
+        self.keys, self.entry, self.ids, self.at, self.size = self.base
+        self.slot_entry = np.full(1 << SLOTS, -1, np.int32)
 
     def find(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, encode) -> np.ndarray:
-        """Every span's place; ``encode(starts, ends)`` gives (ids, sizes) of distinct spans met anew."""
-        h = Spans(data).of(starts, ends)
-        distinct, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+        """Every span's entry; ``encode(starts, ends)`` gives (ids, sizes) of distinct spans met anew."""
+        key = keys(data, starts, ends)
+        slot = (key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)
+        out = self.slot_entry[slot]
+        rest = np.flatnonzero((out < 0) | (self.slot_key[slot] != key))
+        distinct, first, inverse = np.unique(key[rest], return_index=True, return_inverse=True)
         if len(self.keys) + len(distinct) > MEMO:
-            self.keys, self.ids, self.at, self.size = self.base
+            self._restart()
+            rest = np.arange(len(key))
+            distinct, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+        if len(rest) == 0:
+            return out
         place = np.minimum(np.searchsorted(self.keys, distinct), max(len(self.keys) - 1, 0))
         missing = self.keys[place] != distinct if len(self.keys) else np.ones(len(distinct), bool)
         if missing.any():
-            self._add(distinct[missing], *encode(starts[first[missing]], ends[first[missing]]))
+            new = rest[first[missing]]
+            self._add(distinct[missing], *encode(starts[new], ends[new]))
             place = np.searchsorted(self.keys, distinct)
-        return place[inverse]
+        entry = self.entry[place]
+        out[rest] = entry[inverse]
+        slot = slot[rest[first]]
+        self.slot_key[slot] = distinct
+        self.slot_entry[slot] = entry
+        return out
 
     def _add(self, hashes: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
-        at = len(self.ids) + np.cumsum(size) - size
         keys = np.concatenate([self.keys, hashes])
         order = np.argsort(keys, kind="stable")
         self.keys = keys[order]
+        self.entry = np.concatenate([self.entry, len(self.at) + np.arange(len(hashes))])[order]
+        self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(size) - size])
         self.ids = np.concatenate([self.ids, ids.astype(np.uint32)])
-        self.at = np.concatenate([self.at, at])[order]
-        self.size = np.concatenate([self.size, size])[order]
+        self.size = np.concatenate([self.size, size])
 
 
 class Memo:
@@ -180,7 +221,7 @@ class Memo:
         raw = [t.encode() for t, _ in whole]
         at = np.cumsum([0, *map(len, raw)])
         flat = np.frombuffer(b"".join(raw), np.uint8)
-        self.known = Known(Spans(flat).of(at[:-1], at[1:]), np.array([i for _, i in whole], np.uint32))
+        self.known = Known(keys(flat, at[:-1], at[1:]), np.array([i for _, i in whole], np.uint32))
 
     def _places(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         def merge(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -232,6 +273,9 @@ class Plain:
         return np.diff(self.encoded(data, offsets)[1])
 
 
+_opened: dict[str, Memo | Plain] = {}
+
+
 class Encoder:
     """What tasks receive: the tokenizer's file and the proved whole tokens, both of fixed size."""
 
@@ -242,9 +286,12 @@ class Encoder:
         self.whole = whole_tokens(tok) if byte_level(tok) else None
 
     def open(self) -> Memo | Plain:
-        """One per task."""
+        """One per worker, which keeps it from task to task: what it has merged, it knows (``MEMO`` at most)."""
         import os
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tok = Tokenizer.from_str(self.body)
-        return Plain(tok) if self.whole is None else Memo(tok, self.whole)
+        if self.body not in _opened:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            tok = Tokenizer.from_str(self.body)
+            _opened.clear()
+            _opened[self.body] = Plain(tok) if self.whole is None else Memo(tok, self.whole)
+        return _opened[self.body]

@@ -38,6 +38,26 @@ def test_pre_tokens_agree_with_the_library():
     assert memo.counts(data, offsets).tolist() == list(map(len, want))
 
 
+def test_memo_tells_spans_apart(monkeypatch):
+    """Spans of up to 8 bytes by their bytes, longer ones by hash; few slots and starting afresh change nothing."""
+    monkeypatch.setattr(pretokens, "SLOTS", 2)
+    monkeypatch.setattr(pretokens, "MEMO", 300)
+    r = random.Random(4)
+    known = pretokens.Known(np.zeros(0, np.uint64), np.zeros(0, np.uint32))
+    for _ in range(60):
+        data = np.frombuffer(bytes(r.choice(b"\0\0a\xc3\xa9") for _ in range(400)), np.uint8)
+        starts = np.array([r.randrange(388) for _ in range(120)])
+        ends = starts + np.array([r.choice([1, 1, 2, 7, 8, 9, 12]) for _ in starts])
+
+        def encode(a, b, data=data):
+            return np.concatenate([data[x:y] for x, y in zip(a, b, strict=True)]), b - a
+
+        entry = known.find(data, starts, ends, encode)
+        got = [known.ids[known.at[e] : known.at[e] + known.size[e]].tolist() for e in entry]
+        assert got == [data[a:b].tolist() for a, b in zip(starts, ends, strict=True)]
+    assert len(known.find(np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64), None)) == 0
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_token_counts(odd, nothing, name):
     tok = Tokenizer.from_file(P.path(name))
