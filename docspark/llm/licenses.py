@@ -1,8 +1,10 @@
 """Licence scans: sparse TF-IDF cosine to templates, then inheritance from the nearest directory above.
 
 A file's headers are its lines; a licence file is also looked at whole. Terms are runs of letters and digits in
-lower case. A term's weight is its count times its inverse document frequency among all files; frequencies
-are counted for template terms only, any other term has that of an unseen one. A file whose best cosine reaches
+lower case. A term's weight is its count times ``1 - ln(share)``, where share is that of all files that hold it, ``RARE``
+if smaller. Shares are counted for all terms, so a line's score doesn't depend on how many files there are: a table
+repeated any number of times has the same verdicts. The ``COMMON`` terms of most files go to the tasks; the others of
+lines that may still reach the limit meet their shares in a join. A file whose best cosine reaches
 ``LEAST`` has that template's licence. Any other file takes the licence of the nearest directory above it that
 holds a licence file with one, by joins on directory paths.
 """
@@ -16,10 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docspark.llm.tables import fields, map_batches, written
-from docspark.llm.textbytes import LOWER, Spans, chunks, joined
+from docspark.llm.textbytes import LOWER, Spans, chunks, joined, ranges
 from docspark.llm.toxicity import WORD
 
 LEAST = 0.5
+# The least share of files that a term's weight tells from none, and the terms whose shares tasks receive.
+RARE, COMMON = 1e-4, 4096
 FILES = r"(?i)^(licen[sc]e|copying|notice)([.-].*)?$"
 # Wordings by which the licences themselves ask to be named, or their opening words.
 TEMPLATES = [
@@ -65,55 +69,61 @@ class Vocabulary:
         return np.where(self.hashes[at] == hashes, at, -1)
 
 
-def _frequencies(files: DataFrame, text: str, vocabulary: Vocabulary) -> tuple[np.ndarray, int]:
-    """Files that hold each template term, and all files."""
+def _frequencies(files: DataFrame, text: str) -> DataFrame:
+    """term, n: files that hold each term; all files under the null term."""
 
     def make():
         def step(b: pa.RecordBatch):
             data, offsets = joined(b.column(0))
-            n = np.zeros(len(vocabulary.hashes), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([b.num_rows])], names=["term", "n"])
             for i, j in chunks(offsets):
                 starts, hashes = _terms(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                term = vocabulary.find(hashes)
                 doc = np.searchsorted(offsets[i : j + 1] - offsets[i], starts, "right") - 1
-                both = np.unique(doc[term >= 0] * len(n) + term[term >= 0])
-                n += np.bincount(both % len(n), minlength=len(n))
-            names = [*range(len(n)), -1]
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array([*n.tolist(), b.num_rows])], names=["term", "n"])
+                order = np.lexsort((doc, hashes))
+                hashes, doc = hashes[order], doc[order]
+                fresh = np.ones(len(doc), bool)
+                fresh[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
+                term, n = np.unique(hashes[fresh], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(n)], names=["term", "n"])
 
         return step
 
-    counted = map_batches(files.select(text), "term int, n long", make).groupBy("term").agg(F.sum("n").alias("n"))
-    got = {r["term"]: r["n"] for r in counted.collect()}
-    return np.array([got.get(i, 0) for i in range(len(vocabulary.hashes))], np.float64), got.get(-1, 0)
+    return map_batches(files.select(text), "term long, n long", make).groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def scan(files: DataFrame, path: str = "path", text: str = "text", keep: list[str] | None = None, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
-    """``keep`` columns, path, own_license, own_score and own_line of every file.
+def _weights(files: DataFrame, text: str) -> DataFrame:
+    """term, idf of all terms of at least a share of ``RARE`` of the files."""
+    counts = written(_frequencies(files, text), "term-files")
+    total = (counts.where(F.col("term").isNull()).agg(F.sum("n")).first()[0] or 0) or 1
+    return counts.where(F.col("term").isNotNull() & (F.col("n") / F.lit(float(total)) >= RARE)).select("term", (1 - F.log(F.col("n") / F.lit(float(total)))).alias("idf"))
+
+
+UNITS = "array<struct<line: int, template: int, dot: double, norm: double, terms: array<struct<term: bigint, tf: bigint>>>>"
 
-    The best template by cosine, earlier lines and templates first; own_line is -1 for a whole licence file. Below
-    ``LEAST`` all three are null. A null text or path is empty. Repeated rows are files of their own.
-    """
-    keep = keep or []
-    vocabulary = Vocabulary(templates)
-    df, total = _frequencies(files, text, vocabulary)
-    idf = np.log((total + 1) / (df + 1)) + 1
-    unseen = np.log(total + 1) + 1
-    weights = vocabulary.counts * idf
-    weights /= np.sqrt((weights**2).sum(axis=1, keepdims=True))
-    name = F.element_at(F.split(F.col(path), "/"), -1)
-    rows = files.select(*keep, F.coalesce(path, F.lit("")).alias("path"), F.coalesce(name.rlike(FILES), F.lit(False)).alias("whole"), F.col(text).alias("body"))
-    out = fields(rows, [*keep, "path"], ("own_license", T.StringType()), ("own_score", T.DoubleType()), ("own_line", T.IntegerType()))
 
-    def best(data: np.ndarray, offsets: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(template or -1, score, line) of each text."""
-        count = len(whole)
+class Matcher:
+    """Lines and whole files that may reach ``LEAST``: what tasks hold is of fixed size."""
+
+    def __init__(self, templates: list[tuple[str, str]], weights: DataFrame):
+        self.vocabulary = v = Vocabulary(templates)
+        known = {r["term"]: r["idf"] for r in weights.where(F.col("term").isin(v.hashes.view(np.int64).tolist())).collect()}
+        self.idf = np.array([known.get(t, 1 - np.log(RARE)) for t in v.hashes.view(np.int64).tolist()])
+        self.weights = v.counts * self.idf
+        self.weights /= np.sqrt((self.weights**2).sum(axis=1, keepdims=True))
+        common = weights.orderBy("idf", "term").limit(COMMON).collect()
+        hashes = np.array([r["term"] for r in common], np.int64).view(np.uint64)
+        order = np.argsort(hashes)
+        self.common, self.common_idf = hashes[order], np.array([r["idf"] for r in common], np.float64)[order]
+
+    def units(self, data: np.ndarray, offsets: np.ndarray, whole: np.ndarray) -> pa.Array:
+        """Per text its hopeful units: line (-1: the whole file), best template, product, squared norm so far, other terms."""
+        count, idf, weights = len(whole), self.idf, self.weights
         begins = np.union1d(offsets[:-1], np.flatnonzero(data == 10) + 1)
         first = np.searchsorted(begins, offsets)
         line_text = np.searchsorted(offsets, begins, "right") - 1
         starts, hashes = _terms(data, offsets)
         unit = np.searchsorted(begins, starts, "right") - 1
-        term = vocabulary.find(hashes)
+        term = self.vocabulary.find(hashes)
         again = whole[line_text[unit]] if len(unit) else np.zeros(0, bool)
         # Whole licence files are units after all lines.
         unit, term, hashes = (np.concatenate(x) for x in ((unit, len(begins) + line_text[unit[again]]), (term, term[again]), (hashes, hashes[again])))
@@ -124,41 +134,78 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", keep: list[st
         dots = np.zeros((units, len(weights)))
         value = tf * idf[v]
         np.add.at(dots, u, value[:, None] * weights[:, v].T)
-        inner = np.bincount(u, value**2, units)
-        hope = np.flatnonzero((inner > 0) & (dots.max(axis=1) >= LEAST * np.sqrt(inner) * (1 - 1e-9)))
-        near = np.zeros(units, bool)
-        near[hope] = True
-        rest = near[unit] & ~known
+        best = dots.argmax(axis=1)
+        dot = dots[np.arange(units), best]
+        norm = np.bincount(u, value**2, units).astype(np.float64)  # counts of nothing are whole numbers
+        hopeful = (norm > 0) & (dot >= LEAST * np.sqrt(norm) * (1 - 1e-9))
+        rest = hopeful[unit] & ~known
         order = np.lexsort((hashes[rest], unit[rest]))
         ru, rh = unit[rest][order], hashes[rest][order]
         new = np.flatnonzero(np.concatenate([[True], (ru[1:] != ru[:-1]) | (rh[1:] != rh[:-1])])) if len(ru) else np.zeros(0, np.int64)
-        outer = np.bincount(ru[new], np.diff(np.append(new, len(ru))) ** 2.0, units) * unseen**2
-        score = dots[hope] / np.sqrt(inner[hope] + outer[hope])[:, None]
+        tf = np.diff(np.append(new, len(ru)))
+        ru, rh = ru[new], rh[new]
+        if len(self.common):
+            at = np.minimum(np.searchsorted(self.common, rh), len(self.common) - 1)
+            shared = self.common[at] == rh
+            norm += np.bincount(ru[shared], (tf[shared] * self.common_idf[at[shared]]) ** 2, units)
+            ru, rh, tf = ru[~shared], rh[~shared], tf[~shared]
+        hopeful &= dot >= LEAST * np.sqrt(norm) * (1 - 1e-9)
+        hope = np.flatnonzero(hopeful)
         text_of = np.where(hope < len(begins), line_text[np.minimum(hope, len(begins) - 1)], hope - len(begins))
         line = np.where(hope < len(begins), hope - first[text_of], -1)
-        got = (np.full(count, -1), np.zeros(count), np.full(count, -1))
-        for d, s, n in zip(text_of.tolist(), score, line.tolist(), strict=True):
-            t = int(np.argmax(s))
-            if s[t] >= LEAST and (got[0][d] < 0 or (-round(s[t], 9), n, t) < (-round(got[1][d], 9), got[2][d], got[0][d])):
-                got[0][d], got[1][d], got[2][d] = t, s[t], n
-        return got
+        order = np.argsort(text_of, kind="stable")
+        hope, line, text_of = hope[order], line[order], text_of[order]
+        a, z = np.searchsorted(ru, hope), np.searchsorted(ru, hope, "right")
+        take = ranges(a, z - a)
+        terms = pa.StructArray.from_arrays([pa.array(rh[take].view(np.int64)), pa.array(tf[take])], ["term", "tf"])
+        terms = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(z - a)]), pa.int32()), terms)
+        made = [pa.array(line, pa.int32()), pa.array(best[hope], pa.int32()), pa.array(dot[hope]), pa.array(norm[hope]), terms]
+        made = pa.StructArray.from_arrays(made, ["line", "template", "dot", "norm", "terms"])
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(text_of, np.arange(count + 1)), pa.int32()), made)
+
+
+def scan(files: DataFrame, path: str = "path", text: str = "text", keep: list[str] | None = None, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
+    """``keep`` columns, path, own_license, own_score and own_line of every file.
+
+    The best template by cosine, earlier lines and templates first; own_line is -1 for a whole licence file. Below
+    ``LEAST`` all three are null. A null text or path is empty. Repeated rows are files of their own.
+    """
+    keep = keep or []
+    weights = _weights(files, text)
+    matcher = Matcher(templates, weights)
+    name = F.element_at(F.split(F.col(path), "/"), -1)
+    rows = files.select(*keep, F.coalesce(path, F.lit("")).alias("path"), F.coalesce(name.rlike(FILES), F.lit(False)).alias("whole"), F.col(text).alias("body"))
+    out = fields(rows, [*keep, "path"], ("license_row", T.LongType()), ("license_units", T.DataType.fromDDL(UNITS)))
 
     def make():
-        names = np.array(vocabulary.names, object)
+        from pyspark import TaskContext
+
+        at = TaskContext.get().partitionId() << 40
 
         def step(b: pa.RecordBatch):
+            nonlocal at
             k = len(keep) + 1
             data, offsets = joined(b.column(k + 1))
             whole = b.column(k).to_numpy(zero_copy_only=False)
-            parts = [best(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], whole[i:j]) for i, j in chunks(offsets)]
-            t, score, line = (np.concatenate(c) for c in zip(*parts, strict=True))
-            none = t < 0
-            made = [pa.array(names[np.maximum(t, 0)], pa.string(), mask=none), pa.array(score, mask=none), pa.array(line.astype(np.int32), mask=none)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:k], *made], names=out.names)
+            for i, j in chunks(offsets):
+                units = matcher.units(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], whole[i:j])
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in b.columns[:k]), pa.array(np.arange(at, at + j - i)), units], names=out.names)
+                at += j - i
 
         return step
 
-    return map_batches(rows, out, make)
+    found = written(map_batches(rows, out, make), "licence-units")
+    unit = found.where(F.size("license_units") > 0).select("license_row", F.posexplode("license_units").alias("nth", "u"))
+    term = unit.select("license_row", "nth", F.explode("u.terms").alias("t")).select("license_row", "nth", "t.*").join(weights, "term", "left")
+    weight = F.col("tf") * F.coalesce("idf", F.lit(1 - float(np.log(RARE))))
+    others = term.groupBy("license_row", "nth").agg(F.sum(weight * weight).alias("more"))
+    score = F.col("u.dot") / F.sqrt(F.col("u.norm") + F.coalesce("more", F.lit(0.0)))
+    scored = unit.join(others, ["license_row", "nth"], "left").select("license_row", "u.line", "u.template", score.alias("score")).where(F.col("score") >= LEAST)
+    best = scored.groupBy("license_row").agg(F.min(F.struct((-F.round("score", 9)).alias("s"), "line", "template", "score")).alias("b"))
+    label = F.element_at(F.array(*(F.lit(n) for n, _ in templates)), F.col("b.template") + 1)
+    return found.join(best, "license_row", "left").select(
+        *keep, "path", F.when(F.col("b").isNotNull(), label).alias("own_license"), F.col("b.score").alias("own_score"), F.col("b.line").alias("own_line")
+    )
 
 
 def _directory(path: Column) -> Column:
@@ -166,14 +213,14 @@ def _directory(path: Column) -> Column:
     return F.regexp_replace(path, "/?[^/]*$", "")
 
 
-def licenses(files: DataFrame, path: str = "path", text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def licenses(files: DataFrame, path: str = "path", text: str = "text", keep: list[str] | None = None, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """``scan`` with license, inherited (from a directory) and license_dir for every file.
 
     A directory with several licence files has the one of best score, then of least name. The nearest directory wins
     whatever its score. Files with no licence above them have null. No rows give no rows.
     """
     keep = keep or []
-    found = written(scan(files, path, text, keep).withColumn("dir", _directory(F.col("path"))), "licences")
+    found = written(scan(files, path, text, keep, templates).withColumn("dir", _directory(F.col("path"))), "licences")
     name = F.element_at(F.split("path", "/"), -1)
     held = found.where(F.col("own_license").isNotNull() & name.rlike(FILES))
     held = held.groupBy("dir").agg(F.min(F.struct((-F.col("own_score")).alias("s"), F.col("own_license").alias("l")))["l"].alias("license"))
@@ -225,11 +272,10 @@ lines AS (SELECT doc_id, unnest(range(len(l))) AS line, unnest(l) AS body FROM (
 units AS (SELECT * FROM lines UNION ALL SELECT doc_id, -1, body FROM files WHERE path LIKE '%/LICENSE'),
 uw AS (SELECT doc_id, line, w, count(*)::DOUBLE AS tf FROM (SELECT doc_id, line, unnest({words.format(low.format("body"))}) AS w FROM units) GROUP BY ALL),
 n AS (SELECT count(*)::DOUBLE AS total FROM documents),
-vocabulary AS (SELECT DISTINCT w FROM tw),
-df AS (SELECT w, count(DISTINCT doc_id)::DOUBLE AS df FROM uw JOIN vocabulary USING (w) WHERE line >= 0 GROUP BY w),
-idf AS (SELECT w, ln((total + 1) / (coalesce(df, 0) + 1)) + 1 AS idf FROM vocabulary LEFT JOIN df USING (w), n),
+df AS (SELECT w, count(DISTINCT doc_id)::DOUBLE AS df FROM uw WHERE line >= 0 GROUP BY w),
+idf AS (SELECT w, 1 - ln(greatest(coalesce(df, 0) / total, {RARE})) AS idf FROM (SELECT w FROM tw UNION SELECT w FROM df) LEFT JOIN df USING (w), n),
 tv AS (SELECT i, name, w, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY i)) AS v FROM tw JOIN idf USING (w)),
-uv AS (SELECT doc_id, line, w, tf * coalesce(idf, ln(total + 1) + 1) AS v FROM uw LEFT JOIN idf USING (w), n),
+uv AS (SELECT doc_id, line, w, tf * idf AS v FROM uw JOIN idf USING (w)),
 norms AS (SELECT doc_id, line, sqrt(sum(v * v)) AS norm FROM uv GROUP BY ALL),
 scores AS (
   SELECT doc_id, line, i, name, sum(uv.v * tv.v) / norm AS score FROM uv JOIN tv USING (w) JOIN norms USING (doc_id, line) GROUP BY doc_id, line, i, name, norm),

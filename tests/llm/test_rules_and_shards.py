@@ -7,6 +7,7 @@ import re
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from docspark.llm import licenses, line_quality, sharding
@@ -122,3 +123,26 @@ def test_licences(spark, odd, nothing):
     assert pick["r/a/y.py"] == ("Apache-2.0", False, None) and got["r/a/y.py"].own_line == 1
     assert pick["r/c/d/e/f.py"] == ("proprietary", True, "r/c") and pick["s/z.py"] == (None, False, None) and pick[""] == (None, False, None)
     assert licenses.licenses(licenses.filed(odd)).count() == odd.count() and licenses.licenses(licenses.filed(nothing)).count() == 0
+
+
+def test_license_verdicts_do_not_depend_on_the_table_size(spark):
+    rows = [("a.py", "Released under the MIT License. Enjoy"), ("b.py", "nothing to see"), ("c.py", "Released under the MIT License. Enjoy it with friends and family"), ("d.py", None)]
+    rows += [(f"x/{i}.txt", f"words such as released or license w{i} all under the same roof enjoy") for i in range(30)]
+    df = spark.createDataFrame(rows, "path string, text string")
+    often = df.join(spark.range(100)).drop("id")
+    once = sorted(map(tuple, licenses.scan(df).select("path", "own_license", F.round("own_score", 9), "own_line").collect()), key=str)
+    many = sorted(map(tuple, licenses.scan(often).select("path", "own_license", F.round("own_score", 9), "own_line").distinct().collect()), key=str)
+    # Batches without a term of any template, and without a term at all.
+    assert licenses.scan(spark.createDataFrame([("p", "qq"), ("q", "")], "path string, text string").repartition(2)).count() == 2
+    assert once == many and {x[1] for x in once} == {None, "MIT"}
+
+
+def test_license_terms_beyond_the_shared_ones(spark, monkeypatch):
+    """The join gives what the terms that tasks receive give; other templates are a parameter."""
+    df = spark.createDataFrame([("a", "be merry and share the code w1"), ("b", "share the code w2 w2"), ("LICENSE", "be merry\nand share the code")], "path string, text string")
+    merry = [("Merry", "be merry and share the code")]
+    want = licenses.licenses(df, templates=merry).orderBy("path").collect()
+    monkeypatch.setattr(licenses, "COMMON", 1)
+    got = licenses.licenses(df, templates=merry).orderBy("path").collect()
+    assert [(r.own_license, r.license) for r in got] == [("Merry", "Merry"), ("Merry", "Merry"), (None, "Merry")]
+    assert all(a[:2] == b[:2] and abs((a.own_score or 0) - (b.own_score or 0)) < 1e-9 for a, b in zip(got, want, strict=True))
