@@ -2,7 +2,7 @@
 
 A text's terms are its words (letters, digits and all bytes beyond ASCII, ASCII in lower case) and their first
 4, 5 and 6 bytes, each hashed to ``HASH_BITS`` bits. On a bounded sample of labelled texts the terms tied to
-the label are chosen, and a factorization machine is fitted to their presence: a weight for each term and a
+the label are chosen, among all of them or among those that hold a term tied to label 1, and a factorization machine is fitted to their presence: a weight for each term and a
 vector for each, whose products weigh pairs of terms, such as an insult with the mention of a group, that
 additive weights would miss. Every text is then scored whole, with a model of fixed size.
 """
@@ -111,6 +111,17 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(total, -60, 60)))
 
 
+def _tied(found: DataFrame, n: int, p: float) -> list[tuple[str, float]]:
+    """At most ``TERMS`` terms of (label, terms) tied to the label, with how many deviations, the strongest first."""
+    if p in (0, n):
+        return []
+    counts = found.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.sum("label").alias("hits"))
+    expected = F.col("df") * (p / n)
+    z = (F.col("hits") - expected) / F.sqrt(expected * (1 - p / n))
+    chosen = counts.where(F.col("df") >= LEAST).select("term", z.alias("z")).where(F.abs("z") >= TIED)
+    return [(r["term"], r["z"]) for r in chosen.orderBy(F.desc(F.abs("z")), "term").limit(TERMS).collect()]
+
+
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Machine:
     """A model from at most ``sample`` labelled rows outside the held-out part, those of least key hash.
 
@@ -131,12 +142,15 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     bare = Machine(float(np.log(share / (1 - share))), np.zeros(0, np.uint64), np.zeros(0), np.zeros((0, FACTORS)))
     if p in (0, n):
         return bare
-    rate = p / n
-    counts = found.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.sum("label").alias("hits"))
-    expected = F.col("df") * rate
-    z = (F.col("hits") - expected) / F.sqrt(expected * (1 - rate))
-    chosen = counts.where(F.col("df") >= LEAST).select("term", z.alias("z")).where(F.abs("z") >= TIED)
-    chosen = [r["term"] for r in chosen.orderBy(F.desc(F.abs("z")), "term").limit(TERMS).collect()]
+    tied = _tied(found, n, p)
+    strong = [t for t, z in tied if z > 0]
+    # A term that says little alone may say much beside such a term.
+    beside = found.where(F.exists("terms", lambda t: t.isin(strong)))
+    size = beside.agg(F.count("*").alias("n"), F.sum("label").alias("p")).first()
+    best: dict[str, float] = {}
+    for term, z in tied + _tied(beside, size["n"], size["p"] or 0.0):
+        best[term] = max(best.get(term, 0.0), abs(z))
+    chosen = sorted(best, key=lambda t: (-best[t], t))[:TERMS]
     if not chosen:
         return bare
     vectors = CountVectorizerModel.from_vocabulary(chosen, inputCol="terms", outputCol="features")

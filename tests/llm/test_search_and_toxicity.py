@@ -1,11 +1,13 @@
 """Collision search (8) against brute force, toxicity (10) by held-out accuracy, and the pipeline."""
 
 import collections
+import math
 import random
 import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 from test_duplicates import cut, groups
 from test_rules_and_shards import brute as quality
 from test_rules_and_shards import norm
@@ -13,6 +15,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from docspark.llm import collision_search, tables, toxicity
+from docspark.llm.textbytes import joined
 
 
 def test_nearest_vectors(spark):
@@ -154,3 +157,25 @@ def test_labels_that_teach_nothing_keep_all_documents(spark, tmp_path):
         assert len(toxicity.fit(docs, none).hashes) == 0
         calm = corpus_pipeline.toxic_documents(spark, docs, f"{tmp_path}/{k}")
         assert sorted(map(tuple, calm.collect())) == sorted(map(tuple, docs.collect()))
+
+
+def test_toxicity_learns_pairs_of_which_one_says_little_alone(spark):
+    """A group is named in half of all texts, toxic ones are those that insult it: its own tie is too small to be chosen."""
+    r = random.Random(12)
+    rows = []
+    for i in range(5000):
+        insult, group = r.random() < 0.04, r.random() < 0.5
+        body = [f"plain{r.randrange(300)}" for _ in range(6)] + ["zorgish"] * insult + ["marsfolk"] * group
+        r.shuffle(body)
+        rows.append((i, " ".join(body), int(insult and group)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    machine = toxicity.fit(df, df)
+    fixed = [(1, "zorgish marsfolk plain1"), (2, "marsfolk plain2"), (3, "plain3 plain4"), (4, "zorgish plain5 plain6")]
+    got = {x.doc_id: x for x in toxicity.toxicity(spark.createDataFrame(fixed, "doc_id long, text string"), machine).collect()}
+    assert got[1].score > 2 * got[4].score and [got[i].predicted for i in (1, 2, 3, 4)] == [1, 0, 0, 0]
+    # The score by its definition, term by term.
+    for i, text in fixed:
+        _, term = toxicity.terms(*joined(pa.array([text])))
+        at = [k for k, h in enumerate(machine.hashes) if h in set(term.tolist())]
+        want = machine.bias + sum(machine.weights[k] for k in at) + sum(machine.factors[a] @ machine.factors[b] for a in at for b in at if a < b)
+        assert abs(got[i].score - 1 / (1 + math.exp(-want))) < 1e-9
