@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from docspark.llm.piece_matching import Matcher, Pieces
+from docspark.llm.piece_matching import Pieces, matcher
 from docspark.llm.tables import fields, map_batches
 from docspark.llm.textbytes import binary, chunks, joined
 
@@ -25,12 +25,12 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | Non
     out = fields(docs, keep, ("ids", T.ArrayType(T.IntegerType())))
 
     def make():
-        matcher = Matcher(pieces)
+        words = matcher(pieces)
 
         def step(b: pa.RecordBatch):
             data, offsets = joined(b.column(len(keep)))
             for i, j in chunks(offsets, BATCH):
-                ids, at = matcher.encoded(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                ids, at = words.encoded(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in b.columns[: len(keep)]), lists], names=out.names)
 

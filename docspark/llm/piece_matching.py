@@ -14,6 +14,8 @@ bytes, and nothing merges across them.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import sentencepiece
 
@@ -31,6 +33,8 @@ class Pieces:
 
     def __init__(self, path: str):
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        with open(path, "rb") as f:
+            self.digest = hashlib.sha256(f.read()).hexdigest()
         if sp.normalize(" a  ﬁ ") != f"{BAR}{BAR}a{BAR}{BAR}ﬁ{BAR}":
             raise ValueError("only models that leave text as it is, with a blank put before it, are supported")
         n = sp.get_piece_size()
@@ -148,7 +152,7 @@ def _eights(data: np.ndarray) -> np.ndarray:
 
 
 class Matcher:
-    """One per task: words met so far with their ids, and the matching of new ones."""
+    """Words met so far with their ids, and the matching of new ones."""
 
     def __init__(self, pieces: Pieces):
         self.p = pieces
@@ -264,3 +268,14 @@ class Matcher:
         size = self.known.size[place]
         total = np.concatenate([[0], np.cumsum(size)])
         return self.known.ids[ranges(self.known.at[place], size)].astype(np.int64), total[np.searchsorted(starts, offsets)]
+
+
+_opened: dict[str, Matcher] = {}
+
+
+def matcher(pieces: Pieces) -> Matcher:
+    """One per worker, which keeps it from task to task."""
+    if pieces.digest not in _opened:
+        _opened.clear()
+        _opened[pieces.digest] = Matcher(pieces)
+    return _opened[pieces.digest]
