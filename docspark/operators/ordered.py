@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,3 +63,16 @@ def percentiles(df: DataFrame, keys: list[str], columns: dict[str, dict[str, flo
     got = run.groupBy(*keys).agg(*aggs)
     between = lambda n: F.col(f"{n}_lo") + (F.col(f"{n}_hi") - F.col(f"{n}_lo")) * F.col(f"{n}_f")
     return got.select(*keys, *(between(n).alias(n) for wanted in columns.values() for n in wanted))
+
+
+def counted_percentile(counts: DataFrame, keys: list[str], value: str, n: str, p: Decimal, out: str) -> DataFrame:
+    """The least value that a share ``p`` of a key's rows doesn't exceed, from rows counted by value.
+
+    Null values don't count; a key with no others has null.
+    """
+    # As one struct, so that a null among the keys is a key like any other in the joins.
+    flat = counts.select(F.struct(*keys).alias("_k"), F.col(value).alias("_x"), F.col(n).alias("_n"))
+    run = running_counts(flat, ["_k"], "_x", ["_n"])
+    reached = F.col("cum__n") >= F.ceil(F.col("all__n") * F.lit(p))
+    picked = run.groupBy("_k").agg(F.min(F.when(reached, F.col("_x"))).alias(out))
+    return flat.select("_k").distinct().join(picked, "_k", "left").select("_k.*", out)

@@ -100,7 +100,8 @@ def latency_p95(spark, sf):
 
 @query("latency_p95_stream", with_sql("requests", rest=" SELECT us // 86400000000 * 86400000000 AS window_start, label, quantile_disc(latency, 0.95) AS p95 FROM requests GROUP BY ALL"))
 def latency_p95_stream(spark, sf):
-    r = jobs.run(jobs.latency_p95(request_stream(spark, sf), "1 day"), "p95", ["window_start", "label"])
+    counts = jobs.run(jobs.latency_counts(request_stream(spark, sf), "1 day"), "p95", ["window_start", "label", "latency"])
+    r = jobs.latency_p95(counts)
     return r.select(us("window_start"), "label", "p95")
 
 
