@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docspark.functions.bind import let
+from docspark.functions.slices import row_slices
 
 
 def as_double(v: Column) -> Column:
@@ -36,26 +39,38 @@ def _slot(token: str, dim: int) -> tuple[int, float]:
     return int(h[:4], 16) % dim, (1.0 if h[4] < "8" else -1.0)
 
 
+def _embedded(lens: np.ndarray, codes: np.ndarray, names: list[str], dim: int) -> np.ndarray:
+    """Unit rows of rows of ``lens`` tokens each; ``codes`` are the tokens' places in ``names``."""
+    out = np.zeros((len(lens), dim))
+    if len(codes):
+        slots = [_slot(n, dim) for n in names]
+        col = np.array([s for s, _ in slots])[codes]
+        sign = np.array([w for _, w in slots])[codes]
+        np.add.at(out, (np.repeat(np.arange(len(lens)), lens), col), sign)
+    n = np.linalg.norm(out, axis=1, keepdims=True)
+    return np.divide(out, n, out=out, where=n > 0)
+
+
 def hash_embed(token_lists: list, dim: int) -> np.ndarray:
     """Signed token feature hashing, unit length: the default encoder (no weights needed)."""
     lens = np.fromiter((0 if t is None else len(t) for t in token_lists), dtype=np.int64)
-    out = np.zeros((len(token_lists), dim))
-    if lens.sum():
-        flat = np.concatenate([np.asarray(t, dtype=object) for t in token_lists if t is not None and len(t)])
-        uniq, inverse = np.unique(flat.astype(str), return_inverse=True)
-        slots = [_slot(u, dim) for u in uniq]
-        col = np.array([s for s, _ in slots])[inverse]
-        sign = np.array([w for _, w in slots])[inverse]
-        np.add.at(out, (np.repeat(np.arange(len(token_lists)), lens), col), sign)
-    n = np.linalg.norm(out, axis=1, keepdims=True)
-    return np.divide(out, n, out=out, where=n > 0)
+    flat = [x for t in token_lists if t is not None for x in t]
+    place = {x: i for i, x in enumerate(dict.fromkeys(flat))}
+    return _embedded(lens, np.fromiter((place[x] for x in flat), np.int64, len(flat)), list(place), dim)
 
 
 def hash_embed_column(dim: int = 64):
-    """Arrow UDF: array<string> tokens to array<double> vector."""
-
-    @F.pandas_udf("array<double>")
-    def embed(s: pd.Series) -> pd.Series:
-        return pd.Series(list(hash_embed(list(s), dim)))
+    """Arrow UDF: array<string> tokens to array<double> vector, a few rows of a batch at a time."""
+
+    def vectors(tokens: pa.Array) -> pa.Array:
+        words = tokens.flatten().dictionary_encode()
+        lens = pc.fill_null(tokens.value_lengths(), 0).to_numpy()
+        out = _embedded(lens, words.indices.to_numpy(), words.dictionary.to_pylist(), dim)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * dim, pa.int32()), pa.array(out.ravel()))
+
+    @F.arrow_udf("array<double>")
+    def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            yield from map(vectors, row_slices(b))
 
     return embed
