@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -112,17 +114,25 @@ GRAM_SLOTS = 4096
 GRAM_FACTOR = 31
 
 
-def _gram_slots(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(row, slot) of every adjacent character pair."""
-    rows, slots = [], []
-    for i, t in enumerate(texts.to_pylist()):
-        if t and len(t) > 1:
-            c = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+# Characters whose pairs are looked at together, of several texts or of a part of one.
+GRAM_CHARS = 1 << 18
+
+
+def _gram_slots(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, slot) of every adjacent character pair, in order, at most ``GRAM_CHARS`` or little more at a time."""
+    rows, slots, size = [], [], 0
+    for i, t in enumerate(texts):
+        t = t.as_py() or ""
+        for s in range(0, len(t) - 1, GRAM_CHARS):
+            c = np.frombuffer(t[s : s + GRAM_CHARS + 1].encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
             slots.append((c[:-1] * GRAM_FACTOR + c[1:]) % GRAM_SLOTS)
-            rows.append(np.full(len(t) - 1, i))
-    if not rows:
-        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-    return np.concatenate(rows), np.concatenate(slots)
+            rows.append(np.full(len(c) - 1, i))
+            size += len(c)
+            if size >= GRAM_CHARS:
+                yield np.concatenate(rows), np.concatenate(slots)
+                rows, slots, size = [], [], 0
+    if rows:
+        yield np.concatenate(rows), np.concatenate(slots)
 
 
 def train_language_model(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -138,9 +148,10 @@ def train_language_model(docs: DataFrame, text: str = "text", lang: str = "lang"
             if not names:
                 continue
             code = np.array([names.index(x) if x is not None else -1 for x in langs])
-            rows, slots = _gram_slots(b.column(0))
-            keep = code[rows] >= 0
-            flat = np.bincount(code[rows[keep]] * GRAM_SLOTS + slots[keep], minlength=len(names) * GRAM_SLOTS)
+            flat = np.zeros(len(names) * GRAM_SLOTS, np.int64)
+            for rows, slots in _gram_slots(b.column(0)):
+                keep = code[rows] >= 0
+                flat += np.bincount(code[rows[keep]] * GRAM_SLOTS + slots[keep], minlength=len(flat))
             at = np.flatnonzero(flat)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([names[i] for i in at // GRAM_SLOTS], pa.string()), pa.array(at % GRAM_SLOTS, pa.int32()),
@@ -168,12 +179,17 @@ def identify_language(docs: DataFrame, model: DataFrame, doc_id: str = "doc_id",
     id_type = docs.schema[doc_id].dataType.simpleString()
 
     def score(d: blocks.Columns, m: blocks.Columns) -> pa.RecordBatch:
-        rows, slots = _gram_slots(d["t"])
         n = len(d["doc_id"])
         table = np.repeat(m["floor_logp"].to_numpy()[None, :], GRAM_SLOTS, axis=0)
         lang_at = np.repeat(np.arange(len(m["lang"])), m["slots"].value_lengths().to_numpy())
         table[m["slots"].flatten().to_numpy(), lang_at] = m["logps"].flatten().to_numpy()
-        sums = np.stack([np.bincount(rows, weights=table[slots, j], minlength=n) for j in range(table.shape[1])], axis=1)
+        sums = np.zeros((n, table.shape[1]))
+        for rows, slots in _gram_slots(d["t"]):
+            # A text that goes on starts from its sum so far, so that the order of additions is that of its pairs.
+            a, b = int(rows[0]), int(rows[-1]) + 1
+            at = np.concatenate([np.arange(b - a), rows - a])
+            for j in range(table.shape[1]):
+                sums[a:b, j] = np.bincount(at, weights=np.concatenate([sums[a:b, j], table[slots, j]]))
         top = sums.max(axis=1, keepdims=True)
         p = np.exp(sums - top)
         p /= p.sum(axis=1, keepdims=True)

@@ -7,6 +7,7 @@ import pyarrow as pa
 
 from docspark.functions import vectors as vx
 from docspark.functions.slices import row_slices
+from docspark.operators import quality
 
 
 def peak_mb(run):
@@ -32,3 +33,12 @@ def test_one_long_token_does_not_widen_all_others():
     assert peak_mb(lambda: vx.hash_embed(tokens, 8)) < 40
     column = list(vx.hash_embed_column(8).func(iter([pa.array(tokens, pa.list_(pa.string()))])))
     assert np.array_equal(np.vstack([np.vstack(c.to_pylist()) for c in column]), vx.hash_embed(tokens, 8))
+
+
+def test_pairs_of_long_texts_are_counted_in_parts():
+    texts = ["ab" * 400_000, None, "x", "é🎈 c" * 90_000, "", "ba"]
+    parts = list(quality._gram_slots(pa.array(texts)))
+    assert len(parts) > 2 and max(len(r) for r, _ in parts) <= 2 * quality.GRAM_CHARS
+    rows, slots = (np.concatenate(x) for x in zip(*parts, strict=True))
+    want = [(i, (ord(a) * 31 + ord(b)) % 4096) for i, t in enumerate(texts) for a, b in zip(t or "", (t or "")[1:], strict=False)]
+    assert list(zip(rows.tolist(), slots.tolist(), strict=True)) == want
