@@ -189,7 +189,7 @@ def first_places(text: str, parts: list[str | None]) -> list[int | None]:
 @F.arrow_udf(T.ArrayType(T.IntegerType()))
 def places(text: pa.Array, parts: pa.Array) -> pa.Array:
     """Arrow UDF of ``first_places``: a text and its parts; a null of either has null."""
-    rows = zip(text.to_pylist(), parts.to_pylist(), strict=True)
+    rows = ((t.as_py(), p.as_py()) for t, p in zip(text, parts, strict=True))  # one document's strings at a time
     return pa.array([None if t is None or p is None else first_places(t, p) for t, p in rows], pa.list_(pa.int32()))
 
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -135,39 +139,48 @@ def fixed(docs: DataFrame, text: str, size: int = 512, overlap: int = 64, doc_id
     return _from_spans(df, "fixed", fixed_spans(size, overlap)("_counts"), doc_id, text)
 
 
-def default_sentence_encoder(dim: int = 64):
-    """Arrow UDF: array of sentences to array of vectors; any such UDF can take its place."""
+def _similarity(v) -> np.ndarray:
+    """Cosine of every row with the one before; 0 when either has no length."""
+    if len(v) < 2:
+        return np.empty(0)
+    m = np.vstack(v).astype(float)
+    n = np.linalg.norm(m, axis=1)
+    scale = n[1:] * n[:-1]
+    return np.divide((m[1:] * m[:-1]).sum(axis=1), scale, out=np.zeros(len(scale)), where=scale > 0)
 
-    @F.pandas_udf("array<array<double>>")
-    def encode(s: pd.Series) -> pd.Series:
-        import re
 
-        word = re.compile(r"[^\W_]+")
-        return s.map(lambda xs: list(map(list, vx.hash_embed([word.findall(x.lower()) for x in xs], dim))))
+def sentence_similarity(dim: int = 64):
+    """Arrow UDF: array of sentences to the similarity of each with the one before, by the default encoder.
 
-    return encode
+    The vectors, many times the text, are of one document at a time and never leave the worker.
+    """
+    word = re.compile(r"[^\W_]+")
 
+    @F.arrow_udf("array<double>")
+    def similar(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            rows = (s.as_py() for s in b)
+            yield pa.array(
+                [None if xs is None else _similarity(vx.hash_embed([word.findall(x.lower()) for x in xs], dim)) for xs in rows],
+                pa.list_(pa.float64()),
+            )
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def consecutive_similarity(vecs: pd.Series) -> pd.Series:
-    """Cosine of every sentence with the one before; 0 when either has no length."""
+    return similar
 
-    def one(v) -> np.ndarray:
-        if len(v) < 2:
-            return np.empty(0)
-        m = np.vstack(v).astype(float)
-        n = np.linalg.norm(m, axis=1)
-        scale = n[1:] * n[:-1]
-        return np.divide((m[1:] * m[:-1]).sum(axis=1), scale, out=np.zeros(len(scale)), where=scale > 0)
 
-    return vecs.map(one)
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def consecutive_similarity(vecs: pd.Series) -> pd.Series:
+    """The similarity of every sentence's vector with the one before."""
+    return vecs.map(_similarity)
 
 
 def semantic(docs: DataFrame, text: str, threshold: float = 0.75, encoder=None, doc_id: str = "doc_id") -> DataFrame:
-    """Chunks broken where consecutive sentences drift apart (CHK4)."""
+    """Chunks broken where consecutive sentences drift apart (CHK4).
+
+    ``encoder``: a UDF from an array of sentences to an array of vectors, in place of hashed words.
+    """
     df = _with_sentences(docs, text, doc_id)
-    df = df.withColumn("_vecs", (encoder or default_sentence_encoder())("_sents"))
-    df = df.withColumn("_sims", consecutive_similarity("_vecs"))
+    df = df.withColumn("_sims", sentence_similarity()("_sents") if encoder is None else consecutive_similarity(encoder("_sents")))
     return _from_spans(df, "semantic", semantic_spans(threshold)("_counts", "_sims"), doc_id, text)
 
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 
 from docspark.functions import vectors as vx
 from docspark.functions.slices import row_slices
-from docspark.operators import quality
+from docspark.operators import chunking, quality
 
 
 def peak_mb(run):
@@ -42,3 +42,14 @@ def test_pairs_of_long_texts_are_counted_in_parts():
     rows, slots = (np.concatenate(x) for x in zip(*parts, strict=True))
     want = [(i, (ord(a) * 31 + ord(b)) % 4096) for i, t in enumerate(texts) for a, b in zip(t or "", (t or "")[1:], strict=False)]
     assert list(zip(rows.tolist(), slots.tolist(), strict=True)) == want
+
+
+def test_sentence_vectors_are_of_one_document_at_a_time():
+    docs = [[f"Word{i} is here {j}." for i in range(300)] for j in range(30)] + [None, [], ["One."]]
+    out = []
+    peak = peak_mb(lambda: out.extend(chunking.sentence_similarity().func(iter([pa.array(docs)]))))
+    assert peak < 10
+    sims = [s for part in out for s in part.to_pylist()]
+    assert sims[-3:] == [None, [], []]
+    v = vx.hash_embed([x.lower().rstrip(".").split() for x in docs[0]], 64)
+    assert np.allclose(sims[0], (v[1:] * v[:-1]).sum(axis=1))
