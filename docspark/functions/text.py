@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docspark.functions.bind import let
+from docspark.functions.slices import row_slices
 
 # Unicode white space, as one character class, and its complement.
 WS = r"[\t-\r\x1c-\x1f\x{85}\p{Z}]"
@@ -49,9 +52,15 @@ def sentence_count(c: Column) -> Column:
     return F.when(s == "", 0).otherwise(F.regexp_count(s, F.lit(SENTENCE_END)) + 1)
 
 
-@F.pandas_udf(T.StringType())
-def nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+@F.arrow_udf(T.StringType())
+def nfkc(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The normal form of every text; runs of plain rows of a batch are passed on as they are."""
+    for b in batches:
+        for part in row_slices(b):
+            if pc.all(pc.string_is_ascii(part), min_count=0).as_py():
+                yield part
+            else:
+                yield pa.array((None if t is None else unicodedata.normalize("NFKC", t) for t in part.to_pylist()), part.type)
 
 
 # Marked so, it keeps its own step in the plan: run once, and never nested below another UDF.

@@ -5,6 +5,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
+from docspark.functions import text as tx
 from docspark.functions import vectors as vx
 from docspark.functions.slices import row_slices
 from docspark.operators import chunking, quality
@@ -53,3 +54,10 @@ def test_sentence_vectors_are_of_one_document_at_a_time():
     assert sims[-3:] == [None, [], []]
     v = vx.hash_embed([x.lower().rstrip(".").split() for x in docs[0]], 64)
     assert np.allclose(sims[0], (v[1:] * v[:-1]).sum(axis=1))
+
+
+def test_normal_forms_come_in_slices():
+    texts = ["plain " * 50_000] * 8 + ["ﬁne " * 50_000] * 8 + [None, ""]
+    parts = list(tx.nfkc.func(iter([pa.array(texts)])))
+    assert len(parts) > 2
+    assert [v for p in parts for v in p.to_pylist()] == ["plain " * 50_000] * 8 + ["fine " * 50_000] * 8 + [None, ""]
