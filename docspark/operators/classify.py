@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docspark.functions.bind import let
 from docspark.functions.vectors import softmax
+from docspark.session import cut_lineage
 
 # The classes, in tie order, and the blend weights.
 CLASSES = ["invoice", "contract", "report", "email", "form", "receipt", "legal", "other"]
@@ -142,12 +143,8 @@ def trace_summary(traces: DataFrame) -> DataFrame:
 def train_structural(rows: DataFrame, label: str = "label", vector: str = "vector", rounds: int = 50):
     """Boosted trees, one against the rest, over feature vectors (CLS1). Returns model and accuracy."""
     from pyspark.ml.classification import GBTClassifier, OneVsRest
-    from pyspark.ml.feature import StringIndexer
-    from pyspark.ml.functions import array_to_vector
 
-    data = rows.select(F.col(label).cast("string").alias("label_text"), array_to_vector(vector).alias("features"))
-    indexer = StringIndexer(inputCol="label_text", outputCol="label").fit(data)
-    data = indexer.transform(data)
+    data = _training_rows(rows, label, vector)
     trees = GBTClassifier(maxDepth=3, stepSize=0.1, maxIter=rounds, seed=7)
     model = OneVsRest(classifier=trees).fit(data)
     return model, _accuracy(model.transform(data))
@@ -156,16 +153,23 @@ def train_structural(rows: DataFrame, label: str = "label", vector: str = "vecto
 def train_text(rows: DataFrame, label: str = "label", vector: str = "embedding"):
     """Multinomial logistic regression over text vectors (CLS2). Returns model and accuracy."""
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import StringIndexer
-    from pyspark.ml.functions import array_to_vector
 
-    data = rows.select(F.col(label).cast("string").alias("label_text"), array_to_vector(vector).alias("features"))
-    indexer = StringIndexer(inputCol="label_text", outputCol="label").fit(data)
-    data = indexer.transform(data)
+    data = _training_rows(rows, label, vector)
     model = LogisticRegression(maxIter=1000, family="multinomial").fit(data)
     return model, _accuracy(model.transform(data))
 
 
+def _training_rows(rows: DataFrame, label: str, vector: str) -> DataFrame:
+    """(label, features) of every row. Training and scoring pass over them very often, so what makes them from the
+    texts is run once and cut off: they are numbers, some hundred bytes a row."""
+    from pyspark.ml.feature import StringIndexer
+    from pyspark.ml.functions import array_to_vector
+
+    slim = cut_lineage(rows.select(F.col(label).cast("string").alias("label_text"), F.col(vector).alias("vector")))
+    indexer = StringIndexer(inputCol="label_text", outputCol="label").fit(slim)
+    return indexer.transform(slim).select("label", array_to_vector("vector").alias("features"))
+
+
 def _accuracy(predicted: DataFrame) -> DataFrame:
     return predicted.agg(
         F.count("*").alias("rows"), F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy")

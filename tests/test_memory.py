@@ -4,11 +4,12 @@ import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from docspark.functions import text as tx
 from docspark.functions import vectors as vx
 from docspark.functions.slices import row_slices
-from docspark.operators import chunking, quality
+from docspark.operators import chunking, classify, quality
 
 
 def peak_mb(run):
@@ -29,7 +30,7 @@ def test_slices_hold_all_rows_and_few_bytes():
     assert len(list(row_slices(pa.array([], pa.string())))) == 1
 
 
-def test_one_long_token_does_not_widen_all_others():
+def test_one_long_token_does_not_widen_all_others(spark):
     tokens = [["x" * 10_000, *(f"w{i % 50}" for i in range(20_000))], [], None]
     assert peak_mb(lambda: vx.hash_embed(tokens, 8)) < 40
     column = list(vx.hash_embed_column(8).func(iter([pa.array(tokens, pa.list_(pa.string()))])))
@@ -45,7 +46,7 @@ def test_pairs_of_long_texts_are_counted_in_parts():
     assert list(zip(rows.tolist(), slots.tolist(), strict=True)) == want
 
 
-def test_sentence_vectors_are_of_one_document_at_a_time():
+def test_sentence_vectors_are_of_one_document_at_a_time(spark):
     docs = [[f"Word{i} is here {j}." for i in range(300)] for j in range(30)] + [None, [], ["One."]]
     out = []
     peak = peak_mb(lambda: out.extend(chunking.sentence_similarity().func(iter([pa.array(docs)]))))
@@ -56,8 +57,24 @@ def test_sentence_vectors_are_of_one_document_at_a_time():
     assert np.allclose(sims[0], (v[1:] * v[:-1]).sum(axis=1))
 
 
-def test_normal_forms_come_in_slices():
+def test_normal_forms_come_in_slices(spark):
     texts = ["plain " * 50_000] * 8 + ["ﬁne " * 50_000] * 8 + [None, ""]
     parts = list(tx.nfkc.func(iter([pa.array(texts)])))
     assert len(parts) > 2
     assert [v for p in parts for v in p.to_pylist()] == ["plain " * 50_000] * 8 + ["fine " * 50_000] * 8 + [None, ""]
+
+
+def test_training_makes_its_rows_once(spark):
+    """What makes vectors from texts runs once, however often training passes over them."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<double>")
+    def vector(i):
+        made.add(1)
+        return [float(i % 7), float(i % 3)]
+
+    rows = spark.range(200).select(F.when(F.col("id") % 7 > 3, "a").otherwise("b").alias("label"), vector("id").alias("v"))
+    _, accuracy = classify.train_text(rows, vector="v")
+    assert accuracy.first()["rows"] == 200 and made.value == 200
+    _, accuracy = classify.train_structural(rows, vector="v", rounds=2)
+    assert accuracy.first()["accuracy"] == 1.0 and made.value == 400
