@@ -133,12 +133,29 @@ def unit_rows(m: np.ndarray) -> np.ndarray:
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
 
-def top_rows(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) positions holding each column's k best scores, all ties of the k-th kept."""
+def top_rows(scores: np.ndarray, k: int, slack: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) positions holding each column's k best finite scores, and all within ``slack`` of the k-th.
+
+    The k-th best of the maxima of runs of rows is at most the k-th best score, so one comparison with it leaves few to sort.
+    """
     n = scores.shape[0]
-    if n <= k:
-        keep = np.isfinite(scores)
+    run = min(64, n // (4 * k))
+    if run < 2:
+        row, column = np.nonzero(np.isfinite(scores))
     else:
-        kth = np.partition(scores, n - k, axis=0)[n - k]
-        keep = (scores >= kth) & np.isfinite(scores)
-    return np.nonzero(keep)
+        runs = n // run
+        best = np.fmax.reduce(scores[: runs * run].reshape(runs, run, -1), axis=1)
+        best[np.isnan(best)] = -np.inf
+        least = np.partition(best, runs - k, axis=0)[runs - k]
+        row, column = np.nonzero(scores >= least - slack)
+        fine = np.isfinite(scores[row, column])
+        row, column = row[fine], column[fine]
+    value = scores[row, column]
+    order = np.lexsort((-value, column))
+    first = np.searchsorted(column[order], np.arange(scores.shape[1]))
+    last = np.searchsorted(column[order], np.arange(scores.shape[1]), "right")
+    kth = np.full(scores.shape[1], -np.inf)
+    full = last - first >= k
+    kth[full] = value[order][first[full] + k - 1]
+    keep = value >= kth[column] - slack
+    return row[keep], column[keep]

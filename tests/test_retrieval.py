@@ -149,3 +149,22 @@ def test_hashing(spark):
         assert r.u == str(uuid.uuid5(uuid.NAMESPACE_DNS, r.s))
         assert r.h == hmac.new(b"k", r.s.encode(), hashlib.sha256).hexdigest()
         assert r.m == int(hashlib.md5(r.s.encode()).hexdigest(), 16) % 10000
+
+
+def test_best_rows_of_every_column():
+    """Against a full sort: ties of the k-th stay, what isn't finite takes no place."""
+    import numpy as np
+
+    from docspark.operators import blocks
+
+    rng = np.random.default_rng(3)
+    for n, m, k in ((0, 3, 2), (7, 4, 5), (500, 6, 5), (2000, 3, 1)):
+        for scores in (rng.normal(size=(n, m)), np.round(rng.normal(size=(n, m)), 1)):
+            scores[rng.random((n, m)) < 0.3] = -np.inf
+            scores[rng.random((n, m)) < 0.01] = np.nan
+            want = set()
+            for j in range(m):
+                fine = np.sort(scores[np.isfinite(scores[:, j]), j])[::-1]
+                least = fine[min(k, len(fine)) - 1] if len(fine) else np.inf
+                want |= {(i, j) for i in range(n) if np.isfinite(scores[i, j]) and scores[i, j] >= least}
+            assert set(zip(*(x.tolist() for x in blocks.top_rows(scores, k)), strict=True)) == want
