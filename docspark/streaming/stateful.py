@@ -1,9 +1,11 @@
 """Keyed state on event time: decisions that need the rows of a key in order, and state that expires.
 
-A key's rows wait in a map state, in parts by slice of time, until the watermark has passed them. A timer at the
-earliest waiting row then takes the slices one after another: only one slice is in memory, however many rows a key
-has, and arrival order doesn't matter within the watermark's delay. What a decision remembers is one value state;
-it is cleared by a timer of its own once it can't matter any more. Needs the RocksDB state store (``session.keyed_state``).
+A key's rows wait until the watermark has passed them: a few in one value state, more in a map state, in parts by slice of
+time. A timer at the earliest waiting row then takes the slices one after another: only one slice and a few rows are in
+memory, however many rows a key has, and arrival order doesn't matter within the watermark's delay. What a decision
+remembers is in the same value state; it is cleared by a timer of its own once it can't matter any more. Every call on a
+state is a round trip to the JVM and every frame handed over an Arrow batch, so a key of few rows costs few of either.
+Needs the RocksDB state store (``session.keyed_state``).
 """
 
 from __future__ import annotations
@@ -18,16 +20,18 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from docspark.session import keyed_state
 
 DAY_US = 86_400_000_000
+# Rows of a key that wait together before they are dealt to slices, and rows to an output frame.
+FEW, FRAME = 500, 10_000
 
 
 class InOrder(StatefulProcessor):
     """Hands the rows of a key to ``decide`` by (us, id), once the watermark is at their millisecond or later.
 
-    Subclasses give ``memory`` (the schema of what they remember), ``decide`` and ``expires``. Columns of a row are
-    ``us`` (microseconds) and ``id``.
+    Subclasses give ``memory`` (the schema of what they remember, ``remembered`` fields, of which one at least isn't null),
+    ``decide`` and ``expires``. Columns of a row are ``us`` (microseconds) and ``id``.
     """
 
-    memory = ""
+    memory, remembered = "", 0
 
     def __init__(self, key: str, id_type: str, slice_us: int):
         self.key, self.id_type, self.slice_us = key, id_type, slice_us
@@ -35,8 +39,7 @@ class InOrder(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getMapState("waiting", "slice long, part long", f"us array<long>, id array<{self.id_type}>")
-        self.parts = handle.getValueState("parts", "n long")
-        self.kept = handle.getValueState("kept", self.memory)
+        self.kept = handle.getValueState("kept", f"{self.memory}, us array<long>, id array<{self.id_type}>, parts long")
 
     def decide(self, kept: tuple | None, us: int, id_: Any) -> tuple[tuple | None, tuple]:
         """(what to remember, the row's result)."""
@@ -50,64 +53,102 @@ class InOrder(StatefulProcessor):
         raise NotImplementedError
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator:
-        n = self.parts.get()[0] if self.parts.exists() else 0
+        kept, us, ids, n = self._known()
         low = None
         for frame in rows:
-            for at, part in frame.groupby(frame["us"] // self.slice_us):
-                self.waiting.updateValue((int(at), n), (part["us"].tolist(), part["id"].tolist()))
-                n += 1
-            low = int(frame["us"].min()) if low is None else min(low, int(frame["us"].min()))
-        self.parts.update((n,))
+            new = frame["us"].tolist()
+            low = min(new) if low is None else min(low, min(new))
+            us += new
+            ids += frame["id"].tolist()
+            if len(us) > FEW:
+                n = self._spread(us, ids, n)
+                us, ids = [], []
+        self._keep(kept, us, ids, n)
         if low is not None:
             self.handle.registerTimer(millisecond(low))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
         now = timerValues.getCurrentWatermarkInMs()
-        kept = tuple(self.kept.get()) if self.kept.exists() else None
-        for at, parts in self._due(now):
-            rows = self._take(at, parts)
-            due = [r for r in rows if millisecond(r[0]) <= now]
-            if len(due) < len(rows):
-                self._put_back(at, rows[len(due) :])
-            out = []
-            for us, id_ in due:
-                kept, row = self.decide(kept, us, id_)
-                out.append(row)
-            if due:
-                yield self.result(key, [r[0] for r in due], [r[1] for r in due], out)
-        self._remember(kept, now)
-
-    def _due(self, now: int) -> list[tuple[int, list[int]]]:
-        """The slices that begin before the watermark, with their parts; only the map's keys are read."""
+        kept, us, ids, n = self._known()
+        near, far = self._slices(zip(us, ids, strict=True)), self._parts() if n else {}
+        late, done, out = [], [], []
+        for at in sorted(near.keys() | far.keys()):
+            if millisecond(at * self.slice_us) > now:
+                late += near.get(at, [])
+                continue
+            rows = near.get(at, []) + self._take(at, far.pop(at, []))
+            for row in sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1])):
+                if millisecond(row[0]) > now:
+                    late.append(row)
+                    continue
+                kept, result = self.decide(kept, *row)
+                done.append(row)
+                out.append(result)
+            if len(done) >= FRAME:
+                yield self.result(key, [r[0] for r in done], [r[1] for r in done], out)
+                done, out = [], []
+        if done:
+            yield self.result(key, [r[0] for r in done], [r[1] for r in done], out)
+        self._remember(kept, late, far, n, now)
+
+    def _known(self) -> tuple[tuple | None, list[int], list, int]:
+        """What is remembered, the few rows that wait together, and the number of the next part."""
+        found = self.kept.get()
+        if found is None:
+            return None, [], [], 0
+        *kept, us, ids, n = found
+        return None if all(v is None for v in kept) else tuple(kept), list(us), list(ids), n
+
+    def _keep(self, kept: tuple | None, us: list[int], ids: list, n: int) -> None:
+        self.kept.update((*(kept or [None] * self.remembered), us, ids, n))
+
+    def _slices(self, rows) -> dict[int, list[tuple]]:
+        slices: dict[int, list[tuple]] = {}
+        for row in rows:
+            slices.setdefault(row[0] // self.slice_us, []).append(row)
+        return slices
+
+    def _spread(self, us: list[int], ids: list, n: int) -> int:
+        """Deals rows to parts of their slices; the number of the next part."""
+        for at, rows in self._slices(zip(us, ids, strict=True)).items():
+            self.waiting.updateValue((at, n), ([r[0] for r in rows], [r[1] for r in rows]))
+            n += 1
+        return n
+
+    def _parts(self) -> dict[int, list[int]]:
+        """The parts of every slice; only the map's keys are read."""
         slices: dict[int, list[int]] = {}
         for at, part in self.waiting.keys():
             slices.setdefault(int(at), []).append(int(part))
-        return sorted((at, parts) for at, parts in slices.items() if millisecond(at * self.slice_us) <= now)
+        return slices
 
     def _take(self, at: int, parts: list[int]) -> list[tuple]:
-        """The rows of a slice in order, which leave the state."""
+        """The rows of a slice's parts, which leave the state."""
         rows = []
         for part in parts:
             us, ids = self.waiting.getValue((at, part))
             rows += zip(us, ids, strict=True)
             self.waiting.removeKey((at, part))
-        return sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1]))
+        return rows
 
-    def _put_back(self, at: int, rows: list[tuple]) -> None:
-        n = self.parts.get()[0]
-        self.waiting.updateValue((at, n), ([r[0] for r in rows], [r[1] for r in rows]))
-        self.parts.update((n + 1,))
-        self.handle.registerTimer(millisecond(rows[0][0]))
-
-    def _remember(self, kept: tuple | None, now: int) -> None:
-        if kept is not None and millisecond(self.expires(kept)) > now:
-            self.kept.update(kept)
-            self.handle.registerTimer(millisecond(self.expires(kept)))
-        else:
+    def _remember(self, kept: tuple | None, late: list[tuple], far: dict[int, list[int]], n: int, now: int) -> None:
+        """Keeps what can still matter and what the watermark hasn't passed, with timers at the earliest of either."""
+        if kept is not None and millisecond(self.expires(kept)) <= now:
+            kept = None
+        if kept is None and not late and not far:
             self.kept.clear()
-            if not any(True for _ in self.waiting.keys()):
-                self.parts.clear()
+            return
+        first = [millisecond(at * self.slice_us) for at in far] + [millisecond(r[0]) for r in late]
+        us, ids, n = [r[0] for r in late], [r[1] for r in late], n if far else 0
+        if len(us) > FEW:
+            n = self._spread(us, ids, n)
+            us, ids = [], []
+        self._keep(kept, us, ids, n)
+        if first:
+            self.handle.registerTimer(min(first))
+        if kept is not None:
+            self.handle.registerTimer(millisecond(self.expires(kept)))
 
     def close(self) -> None:
         pass
@@ -121,7 +162,7 @@ def millisecond(us: int) -> int:
 class Limiter(InOrder):
     """Admits a row when fewer than ``limit`` were admitted in the ``width`` before it (STR2)."""
 
-    memory = "admitted array<long>"
+    memory, remembered = "admitted array<long>", 1
 
     def __init__(self, key: str, id_type: str, limit: int, width: int):
         super().__init__(key, id_type, max(width, 1))
@@ -149,7 +190,7 @@ class FirstWithin(InOrder):
 
     def __init__(self, key: str, id_type: str, ttl: int, slice_us: int = DAY_US):
         super().__init__(key, id_type, slice_us)
-        self.memory = f"owner {id_type}, until long"
+        self.memory, self.remembered = f"owner {id_type}, until long", 2
         self.ttl = ttl
 
     def decide(self, kept, us, id_):
