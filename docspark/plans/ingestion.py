@@ -351,5 +351,5 @@ SIX_HOURS = 21_600
 def stream_dedup(spark, sf):
     docs = inputs.envelope(spark, sf, jobs.file_source(spark, sf, "documents"))
     rows = docs.select("doc_id", "ingestion_ts", F.when(F.col("doc_id") % 19 > 0, F.sha2("raw_text", 256)).alias("text_key"))
-    out = jobs.run(stateful.dedup(rows, "text_key", "ingestion_ts", "doc_id", SIX_HOURS * 1_000_000), "dedup")
+    out = jobs.run(stateful.dedup(rows, "text_key", "ingestion_ts", "doc_id", SIX_HOURS * 1_000_000, buckets=stateful.BUCKETS), "dedup")
     return out.select(F.col("doc_id").alias("id"), "is_duplicate", "existing_id")

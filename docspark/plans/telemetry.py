@@ -55,7 +55,7 @@ def rate_limit(spark, sf):
 
 @query("rate_limit_stream", with_sql("requests", rest=LIMITED, recursive=True))
 def rate_limit_stream(spark, sf):
-    s = jobs.run(stateful.rate_limit(request_stream(spark, sf), 2, DAY_US), "rate-limit")
+    s = jobs.run(stateful.rate_limit(request_stream(spark, sf), 2, DAY_US, buckets=stateful.BUCKETS), "rate-limit")
     return s.select("event_id", "api_key", "admitted")
 
 
