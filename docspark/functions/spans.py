@@ -130,14 +130,19 @@ def token_spans(names: dict[str, str]):
     return merge.asNondeterministic()
 
 
-def all_spans(patterns: dict[str, str], names: dict[str, str], with_tokens: bool):
-    """Arrow UDF: text, and its token predictions if any, to the resolved spans; an empty or blank text has none."""
+def all_spans(patterns: dict[str, str], names: dict[str, str], with_tokens: bool, numeric: frozenset[str] = frozenset()):
+    """Arrow UDF: text, and its token predictions if any, to the resolved spans; an empty or blank text has none.
+
+    ``numeric``: patterns of which every match holds a digit, so that a text without one isn't searched for them.
+    """
     compiled = [(label, re.compile(p)) for label, p in patterns.items()]
+    wordy = [(label, p) for label, p in compiled if p.pattern not in numeric]
+    digit = re.compile(r"\d")
 
     def one(text: str | None, tokens: list[tuple]) -> list[Span]:
         if not text or not text.strip():
             return []
-        return resolved([*merged(text, tokens, names), *matches(text, compiled)])
+        return resolved([*merged(text, tokens, names), *matches(text, compiled if digit.search(text) else wordy)])
 
     if with_tokens:
 

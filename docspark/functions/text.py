@@ -14,11 +14,12 @@ from pyspark.sql import types as T
 from docspark.functions.bind import let
 from docspark.functions.slices import row_slices
 
-# Unicode white space, as one character class, and its complement.
+# Unicode white space, as characters, as one character class, and its complement.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 WS = r"[\t-\r\x1c-\x1f\x{85}\p{Z}]"
 NWS = r"[^\t-\r\x1c-\x1f\x{85}\p{Z}]"
 CONTROL = r"[\x00-\x08\x0b-\x1f\x7f-\x{9f}\p{Cf}]"
-INLINE_WS = r"[\x0b\x0c\x1c-\x1f\x{85}\p{Z}]+"
+INLINE_WS = r"[\x0b\x0c\x1c-\x1f\x{85}\p{Z}]"
 SENTENCE_END = r"([.!?])" + WS + "+"
 SENTENCE_GAP = r"(?<=[.!?])" + WS + "+"
 PAGE_MARK = r"--- PAGE \d+ ---"
@@ -26,7 +27,7 @@ UNIT = "\x1f"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def is_blank(c: Column) -> Column:
@@ -72,13 +73,15 @@ def strip_controls(c: Column) -> Column:
 
 
 def collapse_whitespace(c: Column) -> Column:
-    one_space = F.regexp_replace(c, INLINE_WS, " ")
+    """Runs of white space inside a line become a space, more than two line breaks two, and none is left at the ends."""
+    # A run that is one space already is no match, or every word would be one.
+    one_space = F.regexp_replace(c, f"{INLINE_WS}(?:{INLINE_WS}+|(?<! ))", " ")
     return strip(F.regexp_replace(one_space, r"\n{3,}", "\n\n"))
 
 
 def is_table(c: Column) -> Column:
-    """A line with two tabs or three pipes."""
-    return c.rlike(r"\t[^\n\t]*\t|\|[^\n|]*\|[^\n|]*\|")
+    """A line with two tabs or three pipes; a text with neither character is not searched for lines."""
+    return (F.contains(c, F.lit("\t")) | F.contains(c, F.lit("|"))) & c.rlike(r"\t[^\n\t]*\t|\|[^\n|]*\|[^\n|]*\|")
 
 
 def alpha_ratio(c: Column) -> Column:

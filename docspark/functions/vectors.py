@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,19 +36,20 @@ def softmax(logits: Column) -> Column:
     return let(e, scale)
 
 
-def _slot(token: str, dim: int) -> tuple[int, float]:
-    h = hashlib.md5(token.encode("utf-8")).hexdigest()
-    return int(h[:4], 16) % dim, (1.0 if h[4] < "8" else -1.0)
+def _slots(tokens: list[str], dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of every token its place, two bytes of its digest, and its sign, the bit after them."""
+    heads = b"".join([hashlib.md5(t.encode("utf-8")).digest()[:3] for t in tokens])
+    h = np.frombuffer(heads, np.uint8).reshape(-1, 3).astype(np.int64)
+    return (h[:, 0] * 256 + h[:, 1]) % dim, np.where(h[:, 2] < 128, 1.0, -1.0)
 
 
 def _embedded(lens: np.ndarray, codes: np.ndarray, names: list[str], dim: int) -> np.ndarray:
     """Unit rows of rows of ``lens`` tokens each; ``codes`` are the tokens' places in ``names``."""
     out = np.zeros((len(lens), dim))
     if len(codes):
-        slots = [_slot(n, dim) for n in names]
-        col = np.array([s for s, _ in slots])[codes]
-        sign = np.array([w for _, w in slots])[codes]
-        np.add.at(out, (np.repeat(np.arange(len(lens)), lens), col), sign)
+        col, sign = _slots(names, dim)
+        at = np.repeat(np.arange(len(lens)) * dim, lens) + col[codes]
+        out = np.bincount(at, weights=sign[codes], minlength=out.size).reshape(out.shape)  # sums of whole numbers, exact in any order
     n = np.linalg.norm(out, axis=1, keepdims=True)
     return np.divide(out, n, out=out, where=n > 0)
 
@@ -54,9 +57,9 @@ def _embedded(lens: np.ndarray, codes: np.ndarray, names: list[str], dim: int) -
 def hash_embed(token_lists: list, dim: int) -> np.ndarray:
     """Signed token feature hashing, unit length: the default encoder (no weights needed)."""
     lens = np.fromiter((0 if t is None else len(t) for t in token_lists), dtype=np.int64)
-    flat = [x for t in token_lists if t is not None for x in t]
+    flat = list(itertools.chain.from_iterable(t for t in token_lists if t is not None))
     place = {x: i for i, x in enumerate(dict.fromkeys(flat))}
-    return _embedded(lens, np.fromiter((place[x] for x in flat), np.int64, len(flat)), list(place), dim)
+    return _embedded(lens, np.fromiter(map(place.__getitem__, flat), np.int64, len(flat)), list(place), dim)
 
 
 def hash_embed_column(dim: int = 64):
@@ -74,3 +77,25 @@ def hash_embed_column(dim: int = 64):
             yield from map(vectors, row_slices(b))
 
     return embed
+
+
+# Runs of letters and digits, as ``text.tokens`` cuts a lower-cased text.
+TOKEN = re.compile(r"[^\W_]+")
+_GAPS = {i: " " for i in range(128) if not chr(i).isalnum()}
+
+
+def tokens(text: str) -> list[str]:
+    return text.translate(_GAPS).split() if text.isascii() else TOKEN.findall(text)
+
+
+def hash_embed_text(dim: int = 64):
+    """Arrow UDF: lower-cased text to array<double> vector; its tokens are made in the worker, a few rows of a batch at a time."""
+
+    @F.arrow_udf("array<double>")
+    def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            for part in row_slices(b):
+                out = hash_embed([None if t is None else tokens(t) for t in part.to_pylist()], dim)
+                yield pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * dim, pa.int32()), pa.array(out.ravel()))
+
+    return embed

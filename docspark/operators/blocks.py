@@ -71,17 +71,22 @@ def block_join(
     left_order: list[str] | None = None,
     right_order: list[str] | None = None,
     left_salts: int = 64,
+    few: bool = False,
 ) -> DataFrame:
     """Score every pack of ``left`` against every pack of ``right`` with the same key.
 
     Unkeyed, both sides are laid on a grid of cells: right packs over columns of ``COLUMN_PACKS``
     packs, left packs over ``left_salts`` rows. A cell is an ordinary equi-join partition, and
-    adaptive execution broadcasts the right side where its measured bytes allow.
+    adaptive execution broadcasts the right side where its measured bytes allow. That it does after the left
+    side has been dealt, to one task if there is one cell; a right side that is ``few`` rows whatever the
+    input is broadcast from the start and the left side stays where it is.
     """
     lp = pack(left, key, left_order, "l_")
     rp = pack(right, key, right_order, "r_")
     on = ["pack_key"]
-    if key is None:
+    if few and key is None:
+        rp = F.broadcast(rp)
+    elif key is None:
         # Written down once: it is counted here and read by the join.
         rp = cut_lineage(rp)
         columns = math.ceil(max(1, rp.count()) / COLUMN_PACKS)

@@ -11,10 +11,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from docspark.functions import text as tx
 from docspark.functions import vectors as vx
-from docspark.functions.spans import places
+from docspark.functions.slices import row_slices
+from docspark.functions.spans import first_places, places
 
 SPANS = "array<struct<s:int,e:int>>"
 # Fixed values of the semantic strategy.
@@ -43,13 +45,43 @@ def _fixed_spans(counts: list[int], size: int, overlap: int) -> list[tuple[int,
     return spans
 
 
-def fixed_spans(size: int, overlap: int):
-    @F.pandas_udf(SPANS)
-    def spans(counts: pd.Series) -> pd.Series:
-        return counts.map(lambda c: [{"s": s, "e": e} for s, e in _fixed_spans(list(c), size, overlap)])
+CUTS = T.ArrayType(
+    T.StructType().add("text", "string").add("char_start", "integer").add("sentence_start", "integer").add("token_count", "integer")
+)
+# Python's own white space is that of ``text.WS``, so its split and strip cut words as the patterns do.
+_SENTENCE_END = re.compile(rf"[.!?][{tx.SPACES}]+")
+
+
+def _sentences(text: str) -> list[str]:
+    """``text.sentences`` of one text."""
+    text = text.strip()
+    ends = [(m.start() + 1, m.end()) for m in _SENTENCE_END.finditer(text)]
+    return [s for a, b in zip([0, *(e for _, e in ends)], [*(s for s, _ in ends), len(text)], strict=True) if (s := text[a:b])]
+
+
+def _cut(text: str, size: int, overlap: int) -> list[dict]:
+    """The chunks of one text: sentences filled up to ``size`` words, with their offsets (CHK6)."""
+    sents = _sentences(text)
+    counts = [len(s.split()) for s in sents]
+    spans = _fixed_spans(counts, size, overlap)
+    starts = first_places(text, [sents[s] for s, _ in spans])
+    return [
+        {"text": " ".join(sents[s : e + 1]), "char_start": at, "sentence_start": s, "token_count": sum(counts[s : e + 1])}
+        for (s, e), at in zip(spans, starts, strict=True)
+    ]
+
+
+def fixed_cuts(size: int, overlap: int):
+    """Arrow UDF: a text to its chunks, a few texts of a batch at a time; a null text has null."""
+
+    @F.arrow_udf(CUTS)
+    def cuts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            for part in row_slices(b):
+                yield pa.array([None if t is None else _cut(t, size, overlap) for t in part.to_pylist()], to_arrow_type(CUTS))
 
     # Its result is exploded; marked so, it runs once instead of again in an inferred filter.
-    return spans.asNondeterministic()
+    return cuts.asNondeterministic()
 
 
 def _semantic_spans(counts: list[int], sims: list[float], threshold: float) -> list[tuple[int, int]]:
@@ -95,16 +127,16 @@ def _chunk(sents: Column, start: Column, first: Column, last: Column) -> Column:
     return F.struct(body.alias("text"), start.alias("char_start"), first.cast("int").alias("sentence_start"))
 
 
-def _chunk_rows(df: DataFrame, strategy: str, chunks: Column, doc_id: str, *extra: str) -> DataFrame:
+def _chunk_rows(df: DataFrame, strategy: str, chunks: Column, doc_id: str, *extra: str, counted: bool = False) -> DataFrame:
     """One row per chunk. Chunks are built inside the document's row, so only finished chunks are
-    exploded and the text is not copied along."""
+    exploded and the text is not copied along. ``counted``: they know their number of words."""
     rows = df.select(doc_id, F.posexplode(chunks).alias("chunk_index", "c"))
     return rows.select(
         chunk_id(F.col(doc_id), strategy, F.col("chunk_index")).alias("chunk_id"),
         doc_id,
         "chunk_index",
         "c.text",
-        tx.word_count(F.col("c.text")).alias("token_count"),
+        F.col("c.token_count") if counted else tx.word_count(F.col("c.text")).alias("token_count"),
         "c.char_start",
         (F.col("c.char_start") + F.char_length("c.text")).alias("char_end"),
         "c.sentence_start",
@@ -135,8 +167,9 @@ def _with_sentences(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
 
 def fixed(docs: DataFrame, text: str, size: int = 512, overlap: int = 64, doc_id: str = "doc_id") -> DataFrame:
     """Sentence-aligned chunks with overlap (CHK3)."""
-    df = _with_sentences(docs, text, doc_id)
-    return _from_spans(df, "fixed", fixed_spans(size, overlap)("_counts"), doc_id, text)
+    # Read twice, the text is made in a step before this one: Spark can't run a UDF over a lambda function in its argument.
+    df = docs.select(doc_id, F.when(~tx.is_blank(F.col(text)), fixed_cuts(size, overlap)(F.col(text))).alias("_cuts"))
+    return _chunk_rows(df, "fixed", F.col("_cuts"), doc_id, counted=True)
 
 
 def _similarity(v) -> np.ndarray:

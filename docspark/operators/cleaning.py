@@ -59,7 +59,9 @@ def remove_boilerplate(df: DataFrame, text: str, out: str, share: float = BOILER
             repeated_lines(lines, share), lambda bad: F.when(F.size(bad) == 0, F.col(text)).otherwise(without(lines, bad))
         ),
     )
-    return df.withColumn(out, result)
+    # Fewer marks leave fewer pages than a repeated line needs, so the text stands without its lines being made.
+    paged = F.regexp_count(text, F.lit(tx.PAGE_MARK)) >= MIN_PAGES - 1
+    return df.withColumn(out, F.when(paged, result).otherwise(F.col(text)))
 
 
 def clean(df: DataFrame, text: str, out: str = "clean_text") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docspark.functions import text as tx
 from docspark.functions.bind import let
+from docspark.functions.counts import text_counts
 
 # Keyword signals of the document types.
 INVOICE_WORDS = ["invoice", "receipt", "billing", "amount due", "payable", "purchase order", "po number", "total due"]
@@ -56,61 +57,64 @@ def has_images(metadata: Column, source_type: Column) -> Column:
     return F.coalesce(source_type == "image", F.lit(False)) | flag
 
 
+# Keywords a text is searched for, and the headers of an e-mail.
+FAMILIES = {
+    "invoice": INVOICE_WORDS, "contract": CONTRACT_WORDS, "report": REPORT_WORDS, "subject": ["subject:"], "party": ["to:", "from:", "cc:"],
+}
+
+
+def _doc_type(n: Column) -> Column:
+    """The type told by ``n``, a struct of how many keywords of each family were found."""
+    top = F.greatest(n["invoice"], n["contract"], n["report"])
+    return (
+        F.when((n["subject"] > 0) & (n["party"] > 0), "email")
+        .when(top == 0, "other")
+        .when(n["invoice"] == top, "invoice")
+        .when(n["contract"] == top, "contract")
+        .otherwise("report")
+    )
+
+
 def doc_type_signal(text: Column) -> Column:
     """E-mail headers first, then the type with most keywords; ties in listed order (FEA5)."""
+    hits = lambda t: F.struct(*(tx.count_contained(t, w).alias(k) for k, w in FAMILIES.items()))
+    return let(let(F.lower(text), hits), _doc_type)
 
-    def hits(t: Column) -> Column:
-        has = lambda k: F.contains(t, F.lit(k))
-        email = has("subject:") & (has("to:") | has("from:") | has("cc:"))
-        inv, con, rep = (tx.count_contained(t, w) for w in (INVOICE_WORDS, CONTRACT_WORDS, REPORT_WORDS))
-        return F.struct(email.alias("email"), inv.alias("inv"), con.alias("con"), rep.alias("rep"))
 
-    def pick(h: Column) -> Column:
-        top = F.greatest(h["inv"], h["con"], h["rep"])
-        return (
-            F.when(h["email"], "email")
-            .when(top == 0, "other")
-            .when(h["inv"] == top, "invoice")
-            .when(h["con"] == top, "contract")
-            .otherwise("report")
-        )
-
-    return let(let(F.lower(text), hits), pick)
+def _grade(words: Column, sentences: Column, syllables: Column) -> Column:
+    g = F.round(0.39 * (words / F.greatest(sentences, F.lit(1))) + 11.8 * (syllables / words) - 15.59, 2)
+    return F.when(words == 0, F.lit(0.0)).otherwise(F.greatest(g, F.lit(0.0)))
 
 
 def reading_level(text: Column) -> Column:
     """Flesch-Kincaid grade, never negative (FEA6-7)."""
+    counts = F.struct(tx.word_count(text).alias("w"), tx.sentence_count(text).alias("s"), tx.syllables(text).alias("syl"))
+    return let(counts, lambda n: _grade(n["w"], n["s"], n["syl"]))
 
-    def grade(n: Column) -> Column:
-        g = F.round(0.39 * (n["w"] / n["s"]) + 11.8 * (n["syl"] / n["w"]) - 15.59, 2)
-        return F.when(n["w"] == 0, F.lit(0.0)).otherwise(F.greatest(g, F.lit(0.0)))
 
-    counts = F.struct(
-        tx.word_count(text).alias("w"), F.greatest(tx.sentence_count(text), F.lit(1)).alias("s"), tx.syllables(text).alias("syl")
-    )
-    return let(counts, grade)
+def _density(proper_nouns: Column, words: Column) -> Column:
+    return F.when(words == 0, F.lit(0.0)).otherwise(F.round(proper_nouns / words, 4))
 
 
 def entity_density(text: Column) -> Column:
-    density = lambda w: F.when(w == 0, F.lit(0.0)).otherwise(F.round(tx.proper_nouns(text) / w, 4))
-    return let(tx.word_count(text), density)
+    return let(tx.word_count(text), lambda w: _density(tx.proper_nouns(text), w))
 
 
 def document_features(docs: DataFrame, text: str = "raw_text") -> DataFrame:
-    """All nine features in one projection, no shuffle (FEA10)."""
-    t = F.col(text)
-    counted = docs.withColumn("_pages", page_count(t, F.col("page_count")))
+    """All nine features without a shuffle (FEA10): what they are made of is counted in one pass over the text."""
+    t, n = F.col(text), F.col("_n")
+    counted = docs.withColumn("_n", text_counts(**FAMILIES)(t)).withColumn("_pages", page_count(t, F.col("page_count")))
     return counted.select(
         "doc_id",
         F.col("_pages").alias("page_count"),
-        avg_words_per_page(t, F.col("_pages")).alias("avg_words_per_page"),
+        F.round(n["words"] / F.greatest("_pages", F.lit(1)), 2).alias("avg_words_per_page"),
         tx.is_table(t).alias("has_tables"),
         has_images(F.col("metadata"), F.col("source_type")).alias("has_images"),
         "language",
-        doc_type_signal(t).alias("doc_type_signal"),
-        reading_level(t).alias("reading_level"),
-        entity_density(t).alias("entity_density"),
-        F.round(tx.alpha_ratio(t), 4).alias("text_quality_score"),
+        _doc_type(n).alias("doc_type_signal"),
+        _grade(n["words"], n["sentences"], n["syllables"]).alias("reading_level"),
+        _density(n["propers"], n["words"]).alias("entity_density"),
+        F.round(F.when(n["chars"] == 0, F.lit(0.0)).otherwise(n["letters"] / n["chars"]), 4).alias("text_quality_score"),
     )
 
 

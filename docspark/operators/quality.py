@@ -56,13 +56,18 @@ def _schema_checks(text: str, raw: str | None, language: str) -> list[tuple[Colu
     return checks
 
 
-def _content_checks(text: str) -> list[tuple[Column, str]]:
+def _content_checks(text: str, counts: Column | None = None) -> list[tuple[Column, str]]:
+    """``counts``: the text's counts, if they are known (``counts.text_counts``)."""
     t = F.col(text)
+    if counts is None:
+        mean, alpha = mean_word_length(t), tx.alpha_ratio(t)
+    else:
+        mean, alpha = counts["dense"] / counts["words"], counts["letters"] / counts["chars"]
     return [
         (tx.is_blank(t), "whitespace_only"),
         (blank_page(t), "blank_page"),
-        (mean_word_length(t) < MIN_WORD_LENGTH, "unreadable_scan"),
-        (tx.alpha_ratio(t) <= MIN_ALPHA, "low_alphabetic_ratio"),
+        (mean < MIN_WORD_LENGTH, "unreadable_scan"),
+        (alpha <= MIN_ALPHA, "low_alphabetic_ratio"),
     ]
 
 
@@ -71,9 +76,9 @@ def schema_reason(text: str = "raw_text", raw: str | None = "raw_bytes", languag
     return _first(_schema_checks(text, raw, language))
 
 
-def content_reason(text: str = "raw_text") -> Column:
+def content_reason(text: str = "raw_text", counts: Column | None = None) -> Column:
     """NULL for rows whose text passes the content checks (VAL7-10)."""
-    return _first(_content_checks(text))
+    return _first(_content_checks(text, counts))
 
 
 def failure_reason(text: str = "raw_text", raw: str | None = "raw_bytes", language: str = "language") -> Column:
@@ -124,15 +129,15 @@ def _gram_slots(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for i, t in enumerate(texts):
         t = t.as_py() or ""
         for s in range(0, len(t) - 1, GRAM_CHARS):
-            c = np.frombuffer(t[s : s + GRAM_CHARS + 1].encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
-            slots.append((c[:-1] * GRAM_FACTOR + c[1:]) % GRAM_SLOTS)
+            c = np.frombuffer(t[s : s + GRAM_CHARS + 1].encode("utf-32-le", "surrogatepass"), dtype="<u4")
+            slots.append((c[:-1] * np.uint32(GRAM_FACTOR) + c[1:]) % np.uint32(GRAM_SLOTS))
             rows.append(np.full(len(c) - 1, i))
             size += len(c)
             if size >= GRAM_CHARS:
-                yield np.concatenate(rows), np.concatenate(slots)
+                yield np.concatenate(rows), np.concatenate(slots).astype(np.int64)
                 rows, slots, size = [], [], 0
     if rows:
-        yield np.concatenate(rows), np.concatenate(slots)
+        yield np.concatenate(rows), np.concatenate(slots).astype(np.int64)
 
 
 def train_language_model(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -147,12 +152,12 @@ def train_language_model(docs: DataFrame, text: str = "text", lang: str = "lang"
             names = sorted({x for x in langs if x is not None})
             if not names:
                 continue
-            code = np.array([names.index(x) if x is not None else -1 for x in langs])
-            flat = np.zeros(len(names) * GRAM_SLOTS, np.int64)
+            # Texts without a language are counted behind the others, and left out.
+            code = GRAM_SLOTS * np.array([names.index(x) if x is not None else len(names) for x in langs])
+            flat = np.zeros((len(names) + 1) * GRAM_SLOTS, np.int64)
             for rows, slots in _gram_slots(b.column(0)):
-                keep = code[rows] >= 0
-                flat += np.bincount(code[rows[keep]] * GRAM_SLOTS + slots[keep], minlength=len(flat))
-            at = np.flatnonzero(flat)
+                flat += np.bincount(code[rows] + slots, minlength=len(flat))
+            at = np.flatnonzero(flat[: len(names) * GRAM_SLOTS])
             yield pa.RecordBatch.from_arrays(
                 [pa.array([names[i] for i in at // GRAM_SLOTS], pa.string()), pa.array(at % GRAM_SLOTS, pa.int32()),
                  pa.array(flat[at], pa.int64())],
@@ -183,13 +188,18 @@ def identify_language(docs: DataFrame, model: DataFrame, doc_id: str = "doc_id",
         table = np.repeat(m["floor_logp"].to_numpy()[None, :], GRAM_SLOTS, axis=0)
         lang_at = np.repeat(np.arange(len(m["lang"])), m["slots"].value_lengths().to_numpy())
         table[m["slots"].flatten().to_numpy(), lang_at] = m["logps"].flatten().to_numpy()
-        sums = np.zeros((n, table.shape[1]))
+        table = np.ascontiguousarray(table.T)
+        sums = np.zeros((n, len(table)))
+        behind = -1
         for rows, slots in _gram_slots(d["t"]):
-            # A text that goes on starts from its sum so far, so that the order of additions is that of its pairs.
             a, b = int(rows[0]), int(rows[-1]) + 1
-            at = np.concatenate([np.arange(b - a), rows - a])
-            for j in range(table.shape[1]):
-                sums[a:b, j] = np.bincount(at, weights=np.concatenate([sums[a:b, j], table[slots, j]]))
+            # A text that goes on starts from its sum so far, so that the order of additions is that of its pairs.
+            goes_on = a == behind
+            at = np.concatenate([[0], rows - a]) if goes_on else rows - a
+            for j, logps in enumerate(table):
+                found = logps[slots]
+                sums[a:b, j] = np.bincount(at, weights=np.concatenate([sums[a : a + 1, j], found]) if goes_on else found)
+            behind = b - 1
         top = sums.max(axis=1, keepdims=True)
         p = np.exp(sums - top)
         p /= p.sum(axis=1, keepdims=True)
@@ -202,8 +212,8 @@ def identify_language(docs: DataFrame, model: DataFrame, doc_id: str = "doc_id",
         )
 
     left = docs.select(F.col(doc_id).alias("doc_id"), F.lower(text).alias("t"))
-    # A handful of languages of fixed width each: one pack, so every document meets all of them.
-    return blocks.block_join(left, per_lang.coalesce(1), score, f"doc_id {id_type}, detected string, prob double")
+    # A handful of languages of fixed width each: one pack, so every document meets all of them where it is.
+    return blocks.block_join(left, per_lang.coalesce(1), score, f"doc_id {id_type}, detected string, prob double", few=True)
 
 
 def language_gate(identified: DataFrame) -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docspark.functions import text as tx
 from docspark.functions import vectors as vx
 from docspark.operators import blocks
 from docspark.sources import log
@@ -18,7 +17,7 @@ QUERY_PREFIX = "Represent this sentence: "
 
 def encode(df: DataFrame, text: Column, dim: int = 64, out: str = "embedding") -> DataFrame:
     """Default encoder: signed token hashing to unit vectors (EMB1, EMB3)."""
-    return df.withColumn(out, vx.hash_embed_column(dim)(tx.tokens(text)))
+    return df.withColumn(out, vx.hash_embed_text(dim)(F.lower(text)))
 
 
 def encode_queries(df: DataFrame, text: Column, dim: int = 64, out: str = "embedding") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docspark.functions import hashing
+from docspark.functions.counts import text_counts
 from docspark.operators import chunking, cleaning, entities, features, quality
 from docspark.operators import vectors as vec
 from docspark.sources import documents, log
@@ -23,6 +24,7 @@ def gate(docs: DataFrame, keys: DataFrame, model: DataFrame | None) -> DataFrame
     ``model`` the given language stands.
     """
     first = docs.withColumns({"schema_reason": quality.schema_reason(), "dedup_key": hashing.dedup_key(F.col("source_uri"), F.col("checksum"))})
+    counts = first.withColumn("counts", text_counts()(F.col("raw_text")))
     ok = first.where(F.col("schema_reason").isNull())
     asked = ok.where(F.col("dedup_key").isNotNull()).select("dedup_key", "doc_id", "ingestion_ts")
     owners = asked.groupBy("dedup_key").agg(F.min(F.struct("ingestion_ts", "doc_id")).alias("first"))
@@ -34,14 +36,14 @@ def gate(docs: DataFrame, keys: DataFrame, model: DataFrame | None) -> DataFrame
     else:
         spoken = quality.identify_language(ok.select("doc_id", "raw_text"), model, "doc_id", "raw_text")
     verdicts = spoken.join(copies, "doc_id", "full").withColumnRenamed("doc_id", "of").distinct()
-    out = first.join(verdicts, F.col("doc_id") == F.col("of"), "left").drop("of")
+    out = counts.join(verdicts, F.col("doc_id") == F.col("of"), "left").drop("of")
     spoken_ok = F.regexp_extract(F.lower("detected"), "^[a-z]+", 0).isin(quality.ALLOWED_LANGUAGES)
     reason = F.coalesce(
         F.col("schema_reason"), F.when(F.col("existing_doc_id").isNotNull(), "duplicate_document"),
-        F.when(F.col("detected").isNotNull() & ~spoken_ok, "detected_language_not_allowed"), quality.content_reason(),
+        F.when(F.col("detected").isNotNull() & ~spoken_ok, "detected_language_not_allowed"), quality.content_reason(counts=F.col("counts")),
     )
     out = out.withColumns({"failure_reason": reason, "uncertain_language": F.col("prob") < quality.MIN_LANGUAGE_PROB})
-    return out.withColumn("language", F.coalesce(F.regexp_extract(F.lower("detected"), "^[a-z]+", 0), "language")).drop("schema_reason")
+    return out.withColumn("language", F.coalesce(F.regexp_extract(F.lower("detected"), "^[a-z]+", 0), "language")).drop("schema_reason", "counts")
 
 
 def sinks(checked: DataFrame, encoder=vec.encode) -> dict:
