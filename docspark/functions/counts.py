@@ -75,6 +75,18 @@ def _syllables(sound: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return _between(heard, np.searchsorted(ends, np.concatenate([[0], np.cumsum(sizes)])))
 
 
+def word_places(texts: list[str]) -> tuple[np.ndarray, ...]:
+    """Of all texts in a row: code points, where texts begin, where words begin and end (their last character), how many words are
+    before each text and in all, and which words end a sentence."""
+    codes, starts = _codes(texts)
+    kind = _kinds()[0][codes]
+    white = (kind & WHITE) != 0
+    # A text's line break ends its last word, so words never cross texts.
+    ends = np.flatnonzero(~white[:-1] & white[1:])
+    firsts = np.flatnonzero(np.concatenate([~white[:1], white[:-1] & ~white[1:]]))
+    return codes, starts, firsts, ends, np.searchsorted(ends, np.append(starts, len(codes))), (kind[ends] & END) != 0
+
+
 def counted(texts: list[str]) -> dict[str, np.ndarray]:
     """The counts of every text, by name."""
     codes, starts = _codes(texts)
@@ -107,16 +119,25 @@ def counted(texts: list[str]) -> dict[str, np.ndarray]:
     }
 
 
+def _struct_type(families: dict[str, list[str]]) -> T.StructType:
+    return T.StructType([T.StructField(n, T.IntegerType()) for n in (*NAMES, *families)])
+
+
+def _found(texts: list[str | None], families: dict[str, list[str]], low: list[str | None] | None = None) -> list[pa.Array]:
+    """A column for each count; ``low`` are the lower-cased texts, if they are known."""
+    have = counted([t or "" for t in texts]) if texts else {n: np.zeros(0) for n in NAMES}
+    columns = [pa.array(have[n].astype(np.int32)) for n in NAMES]
+    if low is None:
+        low = [(t or "").lower() for t in texts] if families else []
+    return columns + [pa.array([sum(k in t for k in words) if t else 0 for t in low], pa.int32()) for words in families.values()]
+
+
 def text_counts(**families: list[str]):
     """Arrow UDF: the counts of every text, and how many keywords of each family its lower case holds; a null text has null."""
-    kind = T.StructType([T.StructField(n, T.IntegerType()) for n in (*NAMES, *families)])
+    kind = _struct_type(families)
 
     def found(texts: list[str | None]) -> pa.Array:
-        have = counted([t or "" for t in texts]) if texts else {n: np.zeros(0) for n in NAMES}
-        columns = [pa.array(have[n].astype(np.int32)) for n in NAMES]
-        low = [(t or "").lower() for t in texts] if families else []
-        columns += [pa.array([sum(k in t for k in words) for t in low], pa.int32()) for words in families.values()]
-        return pa.StructArray.from_arrays(columns, names=kind.names, mask=pa.array([t is None for t in texts], pa.bool_()))
+        return pa.StructArray.from_arrays(_found(texts, families), names=kind.names, mask=pa.array([t is None for t in texts], pa.bool_()))
 
     @F.arrow_udf(kind)
     def counts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -126,3 +147,26 @@ def text_counts(**families: list[str]):
 
     # Marked so, it keeps its own step in the plan and runs once for all that is made of it.
     return counts.asNondeterministic()
+
+
+def text_reading(table, **families: list[str]):
+    """Arrow UDF of a text and its lower case: its counts as ``text_counts`` has them, and its language and how likely that is.
+
+    ``table`` tells languages (``quality.LanguageTable``); without one they are null. A null text has null.
+    """
+    kind = _struct_type(families).add("detected", "string").add("prob", "double")
+
+    def read(texts: pa.Array, low: pa.Array) -> pa.Array:
+        told = (pa.nulls(len(texts), pa.string()), pa.nulls(len(texts), pa.float64())) if table is None or not len(texts) else table.tell(low)
+        columns = _found(texts.to_pylist(), families, low.to_pylist())
+        return pa.StructArray.from_arrays([*columns, *told], names=kind.names, mask=texts.is_null())
+
+    @F.arrow_udf(kind)
+    def reading(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, low in batches:
+            at = 0
+            for part in row_slices(texts):
+                yield read(part, low.slice(at, len(part)))
+                at += len(part)
+
+    return reading.asNondeterministic()

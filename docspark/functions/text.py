@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -68,6 +69,55 @@ def nfkc(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 nfkc = nfkc.asNondeterministic()
 
 
+# What ``CONTROL`` and ``INLINE_WS`` hold. Format characters are those of Java's tables (Unicode 13), Python's have newer ones.
+_FORMAT = (
+    "\xad\u0600-\u0605\u061c\u06dd\u070f\u08e2\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u206f\ufeff\ufff9-\ufffb"
+    "\U000110bd\U000110cd\U00013430-\U00013438\U0001bca0-\U0001bca3\U0001d173-\U0001d17a\U000e0001\U000e0020-\U000e007f"
+)
+_CONTROLS = re.compile(f"[\x00-\x08\x0b-\x1f\x7f-\x9f{_FORMAT}]")
+_ODD_SPACE = re.compile("[" + "".join(c for c in SPACES if c not in "\t\n\r ") + "]")
+_INLINE_RUN = re.compile("[" + "".join(c for c in SPACES if c not in "\t\n\r") + "]+")
+_PAGE_MARK = re.compile("--- PAGE [0-9]+ ---")
+_ASCII_CONTROLS = bytes([*range(9), *range(11, 32), 127])
+
+
+def _collapsed(t: str) -> str:
+    """``collapse_whitespace`` of one text without control characters."""
+    if not t.isascii() and _ODD_SPACE.search(t):
+        t = _INLINE_RUN.sub(" ", t)
+    elif "  " in t:
+        t = re.sub("  +", " ", t)
+    return (re.sub("\n{3,}", "\n\n", t) if "\n\n\n" in t else t).strip()
+
+
+def _plain(t: str, marks: int) -> tuple[str, bool]:
+    if t.isascii():
+        t = t.encode().translate(None, _ASCII_CONTROLS).decode()
+    else:
+        t = _CONTROLS.sub("", unicodedata.normalize("NFKC", t))
+    paged = t.count("--- PAGE ") >= marks and len(_PAGE_MARK.findall(t)) >= marks
+    return (t, True) if paged else (_collapsed(t), False)
+
+
+def plain(marks: int):
+    """Arrow UDF: every text in its normal form and without control characters; ``paged`` where it has ``marks`` page marks or more.
+
+    White space is collapsed as well, but not in paged texts, whose lines are to be compared before. It does in one
+    reading what ``nfkc``, ``strip_controls`` and ``collapse_whitespace`` do one after another.
+    """
+    kind = T.StructType().add("text", "string").add("paged", "boolean")
+
+    @F.arrow_udf(kind)
+    def made(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            for part in row_slices(b):
+                rows = [(None, None) if t is None else _plain(t, marks) for t in part.to_pylist()]
+                texts, paged = zip(*rows, strict=True) if rows else ((), ())
+                yield pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(paged, pa.bool_())], names=["text", "paged"])
+
+    return made.asNondeterministic()
+
+
 def strip_controls(c: Column) -> Column:
     return F.regexp_replace(c, CONTROL, "")
 

@@ -36,20 +36,34 @@ def softmax(logits: Column) -> Column:
     return let(e, scale)
 
 
-def _slots(tokens: list[str], dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of every token its place, two bytes of its digest, and its sign, the bit after them."""
-    heads = b"".join([hashlib.md5(t.encode("utf-8")).digest()[:3] for t in tokens])
-    h = np.frombuffer(heads, np.uint8).reshape(-1, 3).astype(np.int64)
-    return (h[:, 0] * 256 + h[:, 1]) % dim, np.where(h[:, 2] < 128, 1.0, -1.0)
+# Tokens whose digests a worker remembers; with more it starts afresh.
+MEMO = 1 << 18
 
 
-def _embedded(lens: np.ndarray, codes: np.ndarray, names: list[str], dim: int) -> np.ndarray:
-    """Unit rows of rows of ``lens`` tokens each; ``codes`` are the tokens' places in ``names``."""
+class _Memo(dict):
+    """Of every token two bytes of its digest, its place before it is cut to a dimension, and the bit after them, its sign."""
+
+    def __missing__(self, token: str) -> int:
+        h = hashlib.md5(token.encode("utf-8")).digest()
+        self[token] = code = h[0] << 9 | h[1] << 1 | h[2] >> 7
+        return code
+
+
+_memo = _Memo()
+
+
+def _codes(tokens: list[str]) -> np.ndarray:
+    if len(_memo) > MEMO:
+        _memo.clear()
+    return np.fromiter(map(_memo.__getitem__, tokens), np.int64, len(tokens))
+
+
+def _embedded(lens: np.ndarray, codes: np.ndarray, dim: int) -> np.ndarray:
+    """Unit rows of rows of ``lens`` tokens each, by the tokens' codes."""
     out = np.zeros((len(lens), dim))
     if len(codes):
-        col, sign = _slots(names, dim)
-        at = np.repeat(np.arange(len(lens)) * dim, lens) + col[codes]
-        out = np.bincount(at, weights=sign[codes], minlength=out.size).reshape(out.shape)  # sums of whole numbers, exact in any order
+        at = np.repeat(np.arange(len(lens)) * dim, lens) + (codes >> 1) % dim
+        out = np.bincount(at, weights=1.0 - 2.0 * (codes & 1), minlength=out.size).reshape(out.shape)  # sums of whole numbers, exact in any order
     n = np.linalg.norm(out, axis=1, keepdims=True)
     return np.divide(out, n, out=out, where=n > 0)
 
@@ -57,9 +71,7 @@ def _embedded(lens: np.ndarray, codes: np.ndarray, names: list[str], dim: int) -
 def hash_embed(token_lists: list, dim: int) -> np.ndarray:
     """Signed token feature hashing, unit length: the default encoder (no weights needed)."""
     lens = np.fromiter((0 if t is None else len(t) for t in token_lists), dtype=np.int64)
-    flat = list(itertools.chain.from_iterable(t for t in token_lists if t is not None))
-    place = {x: i for i, x in enumerate(dict.fromkeys(flat))}
-    return _embedded(lens, np.fromiter(map(place.__getitem__, flat), np.int64, len(flat)), list(place), dim)
+    return _embedded(lens, _codes(list(itertools.chain.from_iterable(t for t in token_lists if t is not None))), dim)
 
 
 def hash_embed_column(dim: int = 64):
@@ -68,7 +80,7 @@ def hash_embed_column(dim: int = 64):
     def vectors(tokens: pa.Array) -> pa.Array:
         words = tokens.flatten().dictionary_encode()
         lens = pc.fill_null(tokens.value_lengths(), 0).to_numpy()
-        out = _embedded(lens, words.indices.to_numpy(), words.dictionary.to_pylist(), dim)
+        out = _embedded(lens, _codes(words.dictionary.to_pylist())[words.indices.to_numpy()], dim)
         return pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * dim, pa.int32()), pa.array(out.ravel()))
 
     @F.arrow_udf("array<double>")

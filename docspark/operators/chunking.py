@@ -15,6 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from docspark.functions import text as tx
 from docspark.functions import vectors as vx
+from docspark.functions.counts import word_places
 from docspark.functions.slices import row_slices
 from docspark.functions.spans import first_places, places
 
@@ -48,27 +49,45 @@ def _fixed_spans(counts: list[int], size: int, overlap: int) -> list[tuple[int,
 CUTS = T.ArrayType(
     T.StructType().add("text", "string").add("char_start", "integer").add("sentence_start", "integer").add("token_count", "integer")
 )
-# Python's own white space is that of ``text.WS``, so its split and strip cut words as the patterns do.
-_SENTENCE_END = re.compile(rf"[.!?][{tx.SPACES}]+")
 
 
-def _sentences(text: str) -> list[str]:
-    """``text.sentences`` of one text."""
-    text = text.strip()
-    ends = [(m.start() + 1, m.end()) for m in _SENTENCE_END.finditer(text)]
-    return [s for a, b in zip([0, *(e for _, e in ends)], [*(s for s, _ in ends), len(text)], strict=True) if (s := text[a:b])]
+def _cut(texts: list[str | None], size: int, overlap: int) -> list[list[dict] | None]:
+    """The chunks of every text: sentences filled up to ``size`` words, with their offsets (CHK6).
 
-
-def _cut(text: str, size: int, overlap: int) -> list[dict]:
-    """The chunks of one text: sentences filled up to ``size`` words, with their offsets (CHK6)."""
-    sents = _sentences(text)
-    counts = [len(s.split()) for s in sents]
-    spans = _fixed_spans(counts, size, overlap)
-    starts = first_places(text, [sents[s] for s, _ in spans])
-    return [
-        {"text": " ".join(sents[s : e + 1]), "char_start": at, "sentence_start": s, "token_count": sum(counts[s : e + 1])}
-        for (s, e), at in zip(spans, starts, strict=True)
-    ]
+    A sentence is a run of words up to one that ends in . ! or ?, so where all words begin and end says where sentences
+    do and how many words they have; texts are only sliced where chunks begin and end.
+    """
+    codes, starts, firsts, ends, of, full = word_places([t or "" for t in texts])
+    closes = full
+    closes[of[1:][np.diff(of) > 0] - 1] = True
+    last = np.flatnonzero(closes)
+    first = np.concatenate([[0], last[:-1] + 1]) if len(last) else last
+    words, a, b = last - first + 1, firsts[first], ends[last] + 1
+    # Between sentences anything but one space becomes one.
+    odd = np.ones(len(last), bool)
+    odd[:-1] = (a[1:] - b[:-1] != 1) | (codes[b[:-1]] != 32)
+    bounds = np.searchsorted(last, of)
+    out: list[list[dict] | None] = []
+    for k, text in enumerate(texts):
+        lo, hi = int(bounds[k]), int(bounds[k + 1])
+        if text is None:
+            out.append(None)
+            continue
+        counts = words[lo:hi]
+        whole = hi > lo and counts.sum() <= size
+        spans = [(0, hi - lo - 1)] if whole else _fixed_spans(counts, size, overlap)
+        begin, stop = a[lo:hi] - starts[k], b[lo:hi] - starts[k]
+        breaks, total = np.flatnonzero(odd[lo:hi]), np.concatenate([[0], np.cumsum(counts)])
+        heads = [text[begin[s] : stop[s]] for s, _ in spans]
+        chunks = []
+        for (s, e), at in zip(spans, first_places(text, heads), strict=True):
+            inner = breaks[np.searchsorted(breaks, s) : np.searchsorted(breaks, e)]
+            runs = zip([s, *(inner + 1)], [*inner, e], strict=True)
+            chunks.append({
+                "text": " ".join([text[begin[x] : stop[y]] for x, y in runs]), "char_start": at, "sentence_start": s, "token_count": int(total[e + 1] - total[s]),
+            })
+        out.append(chunks)
+    return out
 
 
 def fixed_cuts(size: int, overlap: int):
@@ -78,7 +97,7 @@ def fixed_cuts(size: int, overlap: int):
     def cuts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for b in batches:
             for part in row_slices(b):
-                yield pa.array([None if t is None else _cut(t, size, overlap) for t in part.to_pylist()], to_arrow_type(CUTS))
+                yield pa.array(_cut(part.to_pylist(), size, overlap), to_arrow_type(CUTS))
 
     # Its result is exploded; marked so, it runs once instead of again in an inferred filter.
     return cuts.asNondeterministic()

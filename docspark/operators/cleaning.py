@@ -41,8 +41,8 @@ def repeated_lines(per_page: Column, share: float) -> Column:
     return F.when(F.size(per_page) >= MIN_PAGES, F.array_distinct(hits)).otherwise(F.array().cast("array<string>"))
 
 
-def remove_boilerplate(df: DataFrame, text: str, out: str, share: float = BOILERPLATE_SHARE) -> DataFrame:
-    """Adds ``out``: the text without boilerplate lines, or unchanged when there are none (CLN3)."""
+def without_boilerplate(text: Column, share: float = BOILERPLATE_SHARE) -> Column:
+    """The text without boilerplate lines, or as it is when there are none (CLN3)."""
     marks = F.regexp_extract_all(text, F.lit(f"({tx.PAGE_MARK}\\n?)"), F.lit(1))
 
     def without(lines: Column, bad: Column) -> Column:
@@ -53,18 +53,23 @@ def remove_boilerplate(df: DataFrame, text: str, out: str, share: float = BOILER
         marked = F.zip_with(m, p, lambda a, b: F.concat(a, b))
         return F.array_join(F.when(F.size(m) == F.size(p), marked).otherwise(p), "\n\n")
 
-    result = let(
-        page_lines(F.col(text)),
+    return let(
+        page_lines(text),
         lambda lines: let(
-            repeated_lines(lines, share), lambda bad: F.when(F.size(bad) == 0, F.col(text)).otherwise(without(lines, bad))
+            repeated_lines(lines, share), lambda bad: F.when(F.size(bad) == 0, text).otherwise(without(lines, bad))
         ),
     )
+
+
+def remove_boilerplate(df: DataFrame, text: str, out: str, share: float = BOILERPLATE_SHARE) -> DataFrame:
+    """Adds ``out``: the text without boilerplate lines, or unchanged when there are none (CLN3)."""
     # Fewer marks leave fewer pages than a repeated line needs, so the text stands without its lines being made.
     paged = F.regexp_count(text, F.lit(tx.PAGE_MARK)) >= MIN_PAGES - 1
-    return df.withColumn(out, F.when(paged, result).otherwise(F.col(text)))
+    return df.withColumn(out, F.when(paged, without_boilerplate(F.col(text), share)).otherwise(F.col(text)))
 
 
 def clean(df: DataFrame, text: str, out: str = "clean_text") -> DataFrame:
-    """NFKC, control characters, boilerplate, white space, in this order (CLN1-4, CLN6)."""
-    stepped = df.withColumn("_n", tx.nfkc(F.coalesce(text, F.lit("")))).withColumn("_n", tx.strip_controls(F.col("_n")))
-    return remove_boilerplate(stepped, "_n", "_b").withColumn(out, tx.collapse_whitespace(F.col("_b"))).drop("_n", "_b")
+    """NFKC, control characters, boilerplate, white space, in this order (CLN1-4, CLN6); only texts of several pages are read again."""
+    made = df.withColumn("_c", tx.plain(MIN_PAGES - 1)(F.coalesce(text, F.lit("")))).withColumns({"_n": F.col("_c.text"), "_p": F.col("_c.paged")})
+    paged = tx.collapse_whitespace(without_boilerplate(F.col("_n")))
+    return made.withColumn(out, F.when(F.col("_p"), paged).otherwise(F.col("_n"))).drop("_c", "_n", "_p")

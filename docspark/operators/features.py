@@ -100,22 +100,26 @@ def entity_density(text: Column) -> Column:
     return let(tx.word_count(text), lambda w: _density(tx.proper_nouns(text), w))
 
 
-def document_features(docs: DataFrame, text: str = "raw_text") -> DataFrame:
-    """All nine features without a shuffle (FEA10): what they are made of is counted in one pass over the text."""
-    t, n = F.col(text), F.col("_n")
-    counted = docs.withColumn("_n", text_counts(**FAMILIES)(t)).withColumn("_pages", page_count(t, F.col("page_count")))
-    return counted.select(
-        "doc_id",
-        F.col("_pages").alias("page_count"),
-        F.round(n["words"] / F.greatest("_pages", F.lit(1)), 2).alias("avg_words_per_page"),
-        tx.is_table(t).alias("has_tables"),
+def feature_columns(n: Column, pages: Column, text: str = "raw_text") -> list[Column]:
+    """All nine features of a row with its counts ``n`` (``counts.text_counts``) and its pages."""
+    return [
+        pages.alias("page_count"),
+        F.round(n["words"] / F.greatest(pages, F.lit(1)), 2).alias("avg_words_per_page"),
+        tx.is_table(F.col(text)).alias("has_tables"),
         has_images(F.col("metadata"), F.col("source_type")).alias("has_images"),
-        "language",
+        F.col("language"),
         _doc_type(n).alias("doc_type_signal"),
         _grade(n["words"], n["sentences"], n["syllables"]).alias("reading_level"),
         _density(n["propers"], n["words"]).alias("entity_density"),
         F.round(F.when(n["chars"] == 0, F.lit(0.0)).otherwise(n["letters"] / n["chars"]), 4).alias("text_quality_score"),
-    )
+    ]
+
+
+def document_features(docs: DataFrame, text: str = "raw_text") -> DataFrame:
+    """All nine features without a shuffle (FEA10): what they are made of is counted in one pass over the text."""
+    t = F.col(text)
+    counted = docs.withColumn("_n", text_counts(**FAMILIES)(t)).withColumn("_pages", page_count(t, F.col("page_count")))
+    return counted.select("doc_id", *feature_columns(F.col("_n"), F.col("_pages"), text))
 
 
 def _code(c: Column, codes: dict[str, int], other: int) -> Column:

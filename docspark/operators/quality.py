@@ -175,45 +175,61 @@ def train_language_model(docs: DataFrame, text: str = "text", lang: str = "lang"
     )
 
 
-def identify_language(docs: DataFrame, model: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, detected, prob): the most likely language of each text (VAL6)."""
-    per_lang = model.groupBy("lang").agg(
-        F.collect_list("slot").alias("slots"), F.collect_list("logp").alias("logps"),
-        F.max("floor_logp").alias("floor_logp"),
-    )
-    id_type = docs.schema[doc_id].dataType.simpleString()
-
-    def score(d: blocks.Columns, m: blocks.Columns) -> pa.RecordBatch:
-        n = len(d["doc_id"])
-        table = np.repeat(m["floor_logp"].to_numpy()[None, :], GRAM_SLOTS, axis=0)
-        lang_at = np.repeat(np.arange(len(m["lang"])), m["slots"].value_lengths().to_numpy())
-        table[m["slots"].flatten().to_numpy(), lang_at] = m["logps"].flatten().to_numpy()
-        table = np.ascontiguousarray(table.T)
-        sums = np.zeros((n, len(table)))
+class LanguageTable:
+    """A trained model as arrays, of fixed width whatever it was trained on: its languages and, of each, the log-probability of every slot."""
+
+    def __init__(self, names: list[str], slots: list, logps: list, floors: list[float]):
+        self.order = np.argsort(np.array(names), kind="stable")  # ties go to the first name
+        self.names = np.array(names)
+        self.logps = np.repeat(np.array(floors, float)[:, None], GRAM_SLOTS, axis=1)
+        for row, at, values in zip(self.logps, slots, logps, strict=True):
+            row[np.asarray(at, np.int64)] = values
+
+    def tell(self, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """The most likely language of each lower-cased text, and how likely it is."""
+        n = len(texts)
+        sums = np.zeros((n, len(self.logps)))
         behind = -1
-        for rows, slots in _gram_slots(d["t"]):
+        for rows, slots in _gram_slots(texts):
             a, b = int(rows[0]), int(rows[-1]) + 1
             # A text that goes on starts from its sum so far, so that the order of additions is that of its pairs.
             goes_on = a == behind
             at = np.concatenate([[0], rows - a]) if goes_on else rows - a
-            for j, logps in enumerate(table):
+            for j, logps in enumerate(self.logps):
                 found = logps[slots]
                 sums[a:b, j] = np.bincount(at, weights=np.concatenate([sums[a : a + 1, j], found]) if goes_on else found)
             behind = b - 1
         top = sums.max(axis=1, keepdims=True)
         p = np.exp(sums - top)
         p /= p.sum(axis=1, keepdims=True)
-        names = np.array(m["lang"].to_pylist())
-        order = np.argsort(names, kind="stable")  # ties go to the first name
-        best = order[np.argmax(sums[:, order], axis=1)]
-        return pa.RecordBatch.from_arrays(
-            [d["doc_id"], pa.array(names[best].tolist(), pa.string()), pa.array(p[np.arange(n), best])],
-            names=["doc_id", "detected", "prob"],
-        )
+        best = self.order[np.argmax(sums[:, self.order], axis=1)]
+        return pa.array(self.names[best].tolist(), pa.string()), pa.array(p[np.arange(n), best])
+
+
+def _by_language(model: DataFrame) -> DataFrame:
+    return model.groupBy("lang").agg(
+        F.collect_list("slot").alias("slots"), F.collect_list("logp").alias("logps"),
+        F.max("floor_logp").alias("floor_logp"),
+    )
+
+
+def language_table(model: DataFrame) -> LanguageTable | None:
+    """The model as a value that goes to the tasks; None if it knows no language. Its size is fixed: ``GRAM_SLOTS`` numbers a language."""
+    rows = _by_language(model).orderBy("lang").collect()
+    return LanguageTable(*map(list, zip(*rows, strict=True))) if rows else None
+
+
+def identify_language(docs: DataFrame, model: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, detected, prob): the most likely language of each text (VAL6)."""
+    id_type = docs.schema[doc_id].dataType.simpleString()
+
+    def score(d: blocks.Columns, m: blocks.Columns) -> pa.RecordBatch:
+        table = LanguageTable(m["lang"].to_pylist(), m["slots"].to_pylist(), m["logps"].to_pylist(), m["floor_logp"].to_pylist())
+        return pa.RecordBatch.from_arrays([d["doc_id"], *table.tell(d["t"])], names=["doc_id", "detected", "prob"])
 
     left = docs.select(F.col(doc_id).alias("doc_id"), F.lower(text).alias("t"))
     # A handful of languages of fixed width each: one pack, so every document meets all of them where it is.
-    return blocks.block_join(left, per_lang.coalesce(1), score, f"doc_id {id_type}, detected string, prob double", few=True)
+    return blocks.block_join(left, _by_language(model).coalesce(1), score, f"doc_id {id_type}, detected string, prob double", few=True)
 
 
 def language_gate(identified: DataFrame) -> DataFrame:

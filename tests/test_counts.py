@@ -8,6 +8,7 @@ from docspark.functions import text as tx
 from docspark.functions import vectors as vx
 from docspark.functions.counts import text_counts
 from docspark.operators import chunking, cleaning, entities, features, quality
+from docspark.streaming import ingest
 
 ODD = ["　", " ", "\x85", "\xa0", "\x1c", "\x0b", "İ", "K", "é", "É", "語", "7", "'", "\U0001d400", "ß", "\r", "​"]
 WORDS = ["--- PAGE 3 ---", "Subject:", "to:", "Invoice", "due ", "e ", "The ", "|", "\n\n\n\n", "  "]
@@ -85,3 +86,60 @@ def test_a_text_without_digits_is_searched_for_other_patterns(spark):
     df = spark.createDataFrame([(1, "Ref AB-x here"), (2, "Paid $12 for AB-x")], "id int, t string")
     found = df.select("id", entities.extract_entities(F.col("t"), patterns={"REF": r"\bAB-\w"}).alias("s")).collect()
     assert {r.id: [(s.label, s.text) for s in r.s] for r in found} == {1: [("REF", "AB-x")], 2: [("MONEY", "$12"), ("REF", "AB-x")]}
+
+
+def test_a_cleaned_text_is_what_the_patterns_make_of_it(spark):
+    every = [(100_000 + i, f"a{chr(i)}{chr(i)}b {chr(i)} c") for i in range(0x110000) if not 0xD800 <= i < 0xE000 and (i < 0x3400 or 0xF900 <= i < 0x1E000 or i > 0xE0000 and i < 0xE0200)]
+    pages = [(900_000 + i, t) for i, t in enumerate(["--- PAGE 1 ---\nSame line\na  b\n\n\n\n--- PAGE 2 ---\nSame line\nc\n--- PAGE 3 ---\nSame line\nd", "---  PAGE 1 --- ---  PAGE 2 --- x"])]
+    df = spark.createDataFrame(odd_texts() + every + pages, "id int, t string")
+    steps = df.withColumn("n", tx.nfkc(F.coalesce("t", F.lit("")))).withColumn("n", tx.strip_controls(F.col("n")))
+    want = cleaning.remove_boilerplate(steps, "n", "b").select("id", tx.collapse_whitespace(F.col("b")).alias("want"))
+    assert cleaning.clean(df, "t").join(want, "id").where(~F.col("clean_text").eqNullSafe(F.col("want"))).collect() == []
+
+
+def literal_cut(text, size, overlap):
+    text = text.strip()
+    sents, start = [], 0
+    for i in range(1, len(text)):
+        if text[i].isspace() and text[i - 1] in ".!?":
+            sents, start = [*sents, text[start:i].strip()], i
+    sents = [s for s in [*sents, text[start:].strip()] if s]
+    counts = [len(s.split()) for s in sents]
+    return [(" ".join(sents[a : b + 1]), a, sum(counts[a : b + 1]), sents[a]) for a, b in chunking._fixed_spans(counts, size, overlap)]
+
+
+def test_chunks_are_those_of_sentences_cut_one_by_one():
+    texts = [t for _, t in odd_texts(600)] + ["One two. Three!\n\nFour?  Five six. " * 40, "no end " * 30]
+    for size, overlap in ((7, 2), (512, 64), (1, 0)):
+        got = chunking._cut(texts, size, overlap)
+        for t, chunks in zip(texts, got, strict=True):
+            want = None if t is None else [(c, s, n, t.find(head)) for c, s, n, head in literal_cut(t, size, overlap)]
+            assert want == (None if chunks is None else [(c["text"], c["sentence_start"], c["token_count"], c["char_start"]) for c in chunks])
+    assert chunking._cut([], 7, 2) == []
+
+
+def test_a_worker_digests_a_token_once(monkeypatch):
+    vx._memo.clear()
+    asked, md5 = [], vx.hashlib.md5
+    monkeypatch.setattr(vx.hashlib, "md5", lambda b: asked.append(b) or md5(b))
+    first = vx.hash_embed([["a", "b", "a"], None, ["é"]], 64)
+    assert (vx.hash_embed([["a", "b", "a"], None, ["é"]], 64) == first).all() and sorted(asked) == [b"a", b"b", "é".encode()]
+    monkeypatch.setattr(vx, "MEMO", 2)  # three are more than it may keep
+    assert (vx.hash_embed([["é"]], 64)[0] == first[2]).all() and set(vx._memo) == {"é"}
+
+
+def test_the_gate_reads_a_text_once_and_tells_rows_of_one_id_apart(spark):
+    long = "The invoice was paid on time. " * 9
+    rows = [(i, t, uri) for i, t, uri in [(1, long, "a"), (2, long, "a"), (2, long + "x", "b"), (3, long + "y", None)]]
+    docs = spark.createDataFrame(rows, "doc_id long, raw_text string, source_uri string").selectExpr(
+        "doc_id", "timestamp_seconds(doc_id) AS ingestion_ts", "'pdf' AS source_type", "source_uri", "raw_text", "CAST(raw_text AS binary) AS raw_bytes",
+        "CAST(octet_length(raw_text) AS long) AS byte_size", "sha2(raw_text, 256) AS checksum", "'en' AS language", "CAST(NULL AS int) AS page_count", "'{}' AS metadata",
+    )
+    checked = ingest.gate(docs, spark.createDataFrame([], ingest.KEYS), None)
+    got = sorted((r.doc_id, r.source_uri or "", r.failure_reason, r.existing_doc_id, r.features.doc_type_signal) for r in checked.collect())
+    assert got == [(1, "a", None, None, "invoice"), (2, "a", "duplicate_document", 1, "invoice"), (2, "b", None, None, "invoice"), (3, "", None, None, "invoice")]
+    alone = ingest.read_rows(docs, None)
+    plan = alone._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "Exchange" not in plan
+    one = alone.select("features.*").collect()
+    assert sorted(one) == sorted(features.document_features(docs).collect())
