@@ -19,8 +19,8 @@ from docspark.functions.slices import row_slices
 from docspark.functions.text import SPACES
 
 NAMES = ("chars", "dense", "letters", "words", "sentences", "propers", "syllables")
-# What a character is: white, a letter, upper case, the end of a sentence.
-WHITE, LETTER, UPPER, END = 1, 2, 4, 8
+# What a character is: white, a letter, upper case, the end of a sentence, part of a token.
+WHITE, LETTER, UPPER, END, TOKEN = 1, 2, 4, 8, 16
 # What it is among the letters a to z after lower-casing, where all but these and white space is dropped.
 DROPPED, BLANK, CONSONANT, VOWEL, E = 0, 1, 2, 3, 4
 
@@ -33,6 +33,8 @@ def _kinds() -> tuple[np.ndarray, np.ndarray]:
         category = unicodedata.category(chr(i))
         if category[0] == "L":
             kind[i] = LETTER | UPPER if category == "Lu" else LETTER
+        if chr(i).isalnum():
+            kind[i] |= TOKEN
     white = [ord(c) for c in SPACES]
     kind[white], sound[white] = WHITE, BLANK
     kind[[ord(c) for c in ".!?"]] = END
@@ -87,6 +89,24 @@ def word_places(texts: list[str]) -> tuple[np.ndarray, ...]:
     return codes, starts, firsts, ends, np.searchsorted(ends, np.append(starts, len(codes))), (kind[ends] & END) != 0
 
 
+def token_runs(texts: list[str]) -> tuple[np.ndarray, pa.Array]:
+    """How many tokens every lower-cased text has, runs of letters and digits, and the tokens of all texts in a row."""
+    codes, starts = _codes(texts)
+    inside = (_kinds()[0][codes] & TOKEN) != 0
+    opens = inside.copy()
+    opens[1:] &= ~inside[:-1]
+    kept, firsts = codes[inside], np.flatnonzero(opens[inside])
+    if kept.dtype == np.uint8:
+        data, at, end = kept.tobytes(), firsts, len(kept)
+    else:
+        data = kept.tobytes().decode("utf-32-le").encode()
+        total = np.concatenate([[0], np.cumsum(1 + (kept >= 0x80) + (kept >= 0x800) + (kept >= 0x10000))])
+        at, end = total[firsts], total[-1]
+    offsets = np.append(at, end).astype(np.int32)
+    lens = _per_text(opens, starts) if texts else np.zeros(0, np.int64)
+    return lens, pa.StringArray.from_buffers(len(firsts), pa.py_buffer(offsets), pa.py_buffer(data))
+
+
 def counted(texts: list[str]) -> dict[str, np.ndarray]:
     """The counts of every text, by name."""
     codes, starts = _codes(texts)

@@ -17,6 +17,8 @@ SPAN = "array<struct<text:string,label:string,start:int,end:int,confidence:doubl
 Span = tuple[str, str, int, int, float]
 # Characters that a sentence is found by; a longer one is compared once its beginning has been found.
 GRAM = 32
+# Characters times sentences up to which every sentence is simply looked for.
+SEARCHED = 1 << 20
 
 
 def _spans(rows: list[list[Span] | None]) -> pa.Array:
@@ -168,7 +170,7 @@ def first_places(text: str, parts: list[str | None]) -> list[int | None]:
     by_length: dict[int, list[str]] = {}
     for p in {p for p in parts if p}:
         by_length.setdefault(min(len(p), GRAM), []).append(p)
-    if len(text) < 20_000 or sum(map(len, by_length.values())) < 4:
+    if len(text) * sum(map(len, by_length.values())) < SEARCHED:
         known.update((p, text.find(p)) for ps in by_length.values() for p in ps)
         return [None if p is None else known[p] for p in parts]
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)

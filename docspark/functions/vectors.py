@@ -14,6 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docspark.functions.bind import let
+from docspark.functions.counts import token_runs
 from docspark.functions.slices import row_slices
 
 
@@ -74,14 +75,18 @@ def hash_embed(token_lists: list, dim: int) -> np.ndarray:
     return _embedded(lens, _codes(list(itertools.chain.from_iterable(t for t in token_lists if t is not None))), dim)
 
 
+def _vectors(lens: np.ndarray, tokens: pa.Array, dim: int) -> pa.Array:
+    """The vectors of rows of ``lens`` tokens each; a token that occurs again is looked up once."""
+    words = tokens.dictionary_encode()
+    out = _embedded(lens, _codes(words.dictionary.to_numpy(zero_copy_only=False).tolist())[words.indices.to_numpy()], dim)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * dim, pa.int32()), pa.array(out.ravel()))
+
+
 def hash_embed_column(dim: int = 64):
     """Arrow UDF: array<string> tokens to array<double> vector, a few rows of a batch at a time."""
 
     def vectors(tokens: pa.Array) -> pa.Array:
-        words = tokens.flatten().dictionary_encode()
-        lens = pc.fill_null(tokens.value_lengths(), 0).to_numpy()
-        out = _embedded(lens, _codes(words.dictionary.to_pylist())[words.indices.to_numpy()], dim)
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * dim, pa.int32()), pa.array(out.ravel()))
+        return _vectors(pc.fill_null(tokens.value_lengths(), 0).to_numpy(), tokens.flatten(), dim)
 
     @F.arrow_udf("array<double>")
     def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -97,6 +102,7 @@ _GAPS = {i: " " for i in range(128) if not chr(i).isalnum()}
 
 
 def tokens(text: str) -> list[str]:
+    """The tokens of one lower-cased text; ``counts.token_runs`` has those of many."""
     return text.translate(_GAPS).split() if text.isascii() else TOKEN.findall(text)
 
 
@@ -107,7 +113,6 @@ def hash_embed_text(dim: int = 64):
     def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for b in batches:
             for part in row_slices(b):
-                out = hash_embed([None if t is None else tokens(t) for t in part.to_pylist()], dim)
-                yield pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * dim, pa.int32()), pa.array(out.ravel()))
+                yield _vectors(*token_runs([t or "" for t in part.to_pylist()]), dim)
 
     return embed

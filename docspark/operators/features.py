@@ -39,7 +39,7 @@ FEATURE_TYPES = {
 
 def page_count(text: Column, given: Column | None = None) -> Column:
     """Page markers, else the given count when positive, else 1 (FEA1)."""
-    marks = F.regexp_count(text, F.lit(tx.PAGE_MARK))
+    marks = F.when(F.contains(text, F.lit("--- PAGE ")), F.regexp_count(text, F.lit(tx.PAGE_MARK))).otherwise(0)
     known = F.when(given > 0, given) if given is not None else F.lit(None).cast("int")
     return F.when(marks > 0, marks).otherwise(F.coalesce(known, F.lit(1))).cast("int")
 

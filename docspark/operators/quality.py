@@ -23,10 +23,10 @@ ALLOWED_LANGUAGES = ["en", "fr", "de", "es", "hi", "zh"]
 
 
 def blank_page(c: Column) -> Column:
-    """A page of a multi-page text without content behind its header (VAL8)."""
+    """A page of a multi-page text without content behind its header (VAL8); a text without pages isn't split."""
     parts = F.split(c, "--- PAGE ")
     content = lambda p: F.regexp_replace(p, r"(?s)^.*?---", "")
-    return (F.size(parts) > 1) & F.exists(parts, lambda p: ~tx.is_blank(p) & tx.is_blank(content(p)))
+    return F.contains(c, F.lit("--- PAGE ")) & F.exists(parts, lambda p: ~tx.is_blank(p) & tx.is_blank(content(p)))
 
 
 def mean_word_length(c: Column) -> Column:

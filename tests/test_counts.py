@@ -2,11 +2,14 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from docspark.functions import spans
 from docspark.functions import text as tx
 from docspark.functions import vectors as vx
-from docspark.functions.counts import text_counts
+from docspark.functions.counts import text_counts, token_runs
 from docspark.operators import chunking, cleaning, entities, features, quality
 from docspark.streaming import ingest
 
@@ -143,3 +146,27 @@ def test_the_gate_reads_a_text_once_and_tells_rows_of_one_id_apart(spark):
     assert plan.count("ArrowEvalPython") == 1 and "Exchange" not in plan
     one = alone.select("features.*").collect()
     assert sorted(one) == sorted(features.document_features(docs).collect())
+
+
+def test_tokens_of_many_texts_are_those_of_each():
+    texts = [(t or "").lower() for _, t in odd_texts(600)] + ["²x_y\u0345 ٣é\U0001d7d8", "", "a"]
+    for some in (texts, [t for t in texts if t.isascii()], ["", ""], [" "], []):
+        lens, found = token_runs(some)
+        want = [vx.tokens(t) for t in some]
+        assert found.to_pylist() == [x for w in want for x in w] and lens.tolist() == [len(w) for w in want]
+        out = [v for part in vx.hash_embed_text(16).func(iter([pa.array(some, pa.string())])) for v in part.to_pylist()]
+        assert np.array_equal(np.array(out).reshape(-1, 16), vx.hash_embed(want, 16))
+
+
+def test_a_sentence_is_looked_for_only_in_texts_of_few(monkeypatch):
+    asked = []
+    monkeypatch.setattr(spans, "SEARCHED", 100)
+    monkeypatch.setattr(spans.np, "isin", lambda *a, f=np.isin: asked.append(1) or f(*a))
+    assert spans.first_places("one two. three.", ["two."]) == [4] and not asked
+    assert spans.first_places("one two. " * 30, ["two.", "one two. o", "four"]) == [4, 0, -1] and asked
+
+
+def test_a_text_without_page_marks_has_no_blank_page(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["", "no", "--- PAGE 1 ---", "--- PAGE 1 ---\nx", "x--- PAGE 1 ---\n \n--- PAGE 2 ---\ny", "--- PAGE x"])], "id int, t string")
+    rows = df.select("id", quality.blank_page(F.col("t")).alias("b"), features.page_count(F.col("t")).alias("n")).collect()
+    assert {r.id: (r.b, r.n) for r in rows} == {0: (False, 1), 1: (False, 1), 2: (True, 1), 3: (False, 1), 4: (True, 2), 5: (False, 1)}
