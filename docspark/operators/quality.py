@@ -125,19 +125,25 @@ GRAM_CHARS = 1 << 18
 
 def _gram_slots(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(row, slot) of every adjacent character pair, in order, at most ``GRAM_CHARS`` or little more at a time."""
-    rows, slots, size = [], [], 0
+    at, sizes, slots, size = [], [], [], 0
+
+    def part() -> tuple[np.ndarray, np.ndarray]:
+        return np.repeat(np.array(at, np.int64), sizes), np.concatenate(slots).astype(np.int64)
+
     for i, t in enumerate(texts):
         t = t.as_py() or ""
         for s in range(0, len(t) - 1, GRAM_CHARS):
             c = np.frombuffer(t[s : s + GRAM_CHARS + 1].encode("utf-32-le", "surrogatepass"), dtype="<u4")
-            slots.append((c[:-1] * np.uint32(GRAM_FACTOR) + c[1:]) % np.uint32(GRAM_SLOTS))
-            rows.append(np.full(len(c) - 1, i))
+            # The slots are a power of two, so the remainder is the lowest bits.
+            slots.append((c[:-1] * np.uint32(GRAM_FACTOR) + c[1:]) & np.uint32(GRAM_SLOTS - 1))
+            at.append(i)
+            sizes.append(len(c) - 1)
             size += len(c)
             if size >= GRAM_CHARS:
-                yield np.concatenate(rows), np.concatenate(slots).astype(np.int64)
-                rows, slots, size = [], [], 0
-    if rows:
-        yield np.concatenate(rows), np.concatenate(slots).astype(np.int64)
+                yield part()
+                at, sizes, slots, size = [], [], [], 0
+    if at:
+        yield part()
 
 
 def train_language_model(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
