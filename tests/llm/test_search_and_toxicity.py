@@ -46,6 +46,81 @@ def test_nearest_vectors(spark):
     assert collision_search.nearest(df.limit(0), asked).count() == 0 and collision_search.nearest(df, asked.limit(0)).count() == 0
 
 
+def nearest_of(rows, q, v, k):
+    """The k best (score, id) of rows of the query's width, by all cosines."""
+    v = np.array(v, np.float64)
+    near = [(-round(float(np.array(x, np.float64) @ v / np.linalg.norm(x) / np.linalg.norm(v)), 10), i) for i, x in rows if i != q and len(x) == len(v)]
+    return [i for _, i in sorted(near)[:k]]
+
+
+def test_blocks_of_vectors_meet_in_no_join(spark):
+    """Copies of the queries' blocks were broadcast: the join's size was estimated before they were copied."""
+    r = np.random.default_rng(4)
+    rows = [(i, r.standard_normal(16).astype(np.float32).tolist()) for i in range(900)]
+    rows += [(5000 + i, r.standard_normal(3).astype(np.float32).tolist()) for i in range(60)] + [(6000, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(12)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several blocks of queries, so several columns
+    try:
+        for kind in ("array<double>", "array<float>"):
+            found = collision_search.nearest(df, df.where("vec_id % 3 = 0").selectExpr("vec_id", f"cast(embedding as {kind})"), 4)
+            got = collections.defaultdict(list)
+            for x in sorted(found.collect(), key=lambda x: x["rank"]):
+                got[x.query_id].append(x.vec_id)
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert "MapInArrow" in plan and "Join" not in plan and "Broadcast" not in plan
+            want = {i: nearest_of(rows, i, v, 4) for i, v in rows if i % 3 == 0 and i != 6000}
+            assert set(got) == set(want)
+            assert sum(got[i] == want[i] for i in want) >= 0.98 * len(want)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_a_cell_keeps_the_best_rows_over_its_blocks():
+    r = np.random.default_rng(5)
+    rows = [[(1000 * w + i, r.standard_normal(w).tolist()) for i in range(90)] for w in (2, 5, 8)]
+
+    def block(asks, of, width):
+        return {"width": width, "asks": asks, "ids": [i for i, _ in of], "values": [x for _, v in of for x in v]}
+
+    cell = [block(False, rows[0], 2)]  # no query has this width
+    cell += [block(True, rows[1][:7], 5), block(True, rows[1][7:9], 5)] + [block(False, rows[1][i : i + 30], 5) for i in (0, 30, 60)]
+    cell += [block(True, rows[2][:3], 8)]  # no row has this one
+    schema = pa.schema([("width", pa.int32()), ("asks", pa.bool_()), ("ids", pa.list_(pa.int64())), ("values", pa.list_(pa.float32()))])
+    batches = [pa.RecordBatch.from_pylist(cell[i : i + 3], schema) for i in range(0, len(cell), 3)]
+    got = collections.defaultdict(list)
+    for b in collision_search.best_of_cell(iter(batches), 3):
+        for x in b.to_pylist():
+            got[x["query_id"]].append(x["vec_id"])
+    assert got == {i: nearest_of(rows[1], i, v, 3) for i, v in rows[1][:9]}
+
+
+def test_search_ends_where_rounds_one_by_one_end():
+    r = np.random.default_rng(6)
+    m = r.standard_normal((700, 12))
+    for i in range(60):  # some queries have near rows at one distance or another, some are alone
+        m[100 + 8 * i : 104 + 8 * i] = m[i] + 10.0 ** -r.integers(0, 5) * r.standard_normal((4, 12))
+    m[650:660] = m[3]
+    ids = r.permutation(len(m))
+    index = collision_search.Index(ids, m)
+    for k in (1, 4, 699, 900):
+        asked = np.arange(60 if k < 9 else 3)
+        got_ids, got = collision_search.search(index, ids[asked], m[asked], k)
+        size = np.sqrt((m * m).sum(axis=1))
+        placed = (m / size[:, None]) @ index.lines
+        ends = set()
+        for q in asked:
+            score = np.where(ids != ids[q], (m * m[q]).sum(axis=1) / (size * size[q]), -np.inf)
+            for radius in [*collision_search.RADII, None]:
+                near = score if radius is None else np.where((abs(placed - placed[q]) <= radius).sum(axis=1) >= collision_search.NEEDED, score, -np.inf)
+                if radius is None or np.count_nonzero(near >= 1 - radius**2 / 2) >= k:
+                    break
+            ends.add(radius)
+            best = [i for i in np.lexsort((ids, -near))[:k] if near[i] > -np.inf]
+            assert got_ids[q][: len(best)].tolist() == ids[best].tolist() and got[q][: len(best)].tolist() == near[best].tolist()
+            assert np.isneginf(got[q][len(best) :]).all()
+        assert len(ends) > 4 or k > 9
+
+
 def labelled(spark, n=1500, seed=3):
     """An insult alone is fine, and so is a group; together they are toxic."""
     r = random.Random(seed)
